@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", app: str = "tidemark", **extra: str) -
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
