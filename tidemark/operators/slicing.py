@@ -9,7 +9,8 @@ Rows near an edge need context from the neighbouring slice. It comes as *halo* r
 take part in the window and are dropped afterwards:
 
 * bounded reach (``before``/``after``): rows near an edge are copied, without a further shuffle;
-* nearest earlier or later row, however far: ``add_earlier`` / ``add_later`` carry one row per slice;
+* nearest earlier or later row, however far: ``add_earlier``, ``add_later`` and ``add_neighbours`` carry one row
+  per slice and direction;
 * running totals: ``add_totals`` carries one row of totals per slice;
 * the last n rows: ``rank_slices`` cuts by row number instead of by time.
 
@@ -55,17 +56,18 @@ def _helpers(key: list[str]) -> list[str]:
 def slice_rows(df: DataFrame, key: list[str], pos: Column, before: int = 0, after: int = 0) -> DataFrame:
     """Adds ``_slice``, ``_own`` and ``_hot``; copies rows into slices that reach back ``before`` or ahead ``after``."""
     hot = hot_keys(df, key, pos, min_width=max(before, after))
-    marked = _mark(df, key, hot).withColumn("_hot", F.col("_width").isNotNull())
+    marked = _mark(df, key, hot)
+    is_hot = F.col("_width").isNotNull()
 
     def at(p: Column) -> Column:
         return F.coalesce(F.floor((p - F.col("_lo")) / F.col("_width")), F.lit(0))
 
     home = at(pos)
     if not before and not after:
-        return marked.withColumn("_slice", home).withColumn("_own", F.lit(True)).drop(*_helpers(key))
+        return marked.select(*df.columns, home.alias("_slice"), F.lit(True).alias("_own"), is_hot.alias("_hot"))
     reach = F.sequence(F.greatest(at(pos - after), F.lit(0)), at(pos + before))
-    return (marked.withColumn("_home", home).withColumn("_slice", F.explode(reach))
-            .withColumn("_own", F.col("_home") == F.col("_slice")).drop("_home", *_helpers(key)))
+    placed = marked.select(*df.columns, home.alias("_home"), F.explode(reach).alias("_slice"), is_hot.alias("_hot"))
+    return placed.select(*df.columns, "_slice", (F.col("_home") == F.col("_slice")).alias("_own"), "_hot")
 
 
 def over_slices(key: list[str], *order: Column | str, more: list[str] | None = None):
@@ -89,19 +91,24 @@ def _carry(sliced: DataFrame, key: list[str], order: list[str], cond: Column | N
     steps = Window.partitionBy(*key).orderBy(F.desc("_slice") if later else F.asc("_slice"))
     nearest_edge = F.last("_edge", ignorenulls=True).over(steps.rowsBetween(Window.unboundedPreceding, -1))
     halo = edges.select("_slice", nearest_edge.alias("_edge")).where(F.col("_edge").isNotNull())
-    return sliced.unionByName(halo.select(
-        *[F.col("_edge")[c].alias(c) for c in columns],
-        "_slice", F.lit(False).alias("_own"), F.lit(True).alias("_hot")))
+    return halo.select(*[F.col("_edge")[c].alias(c) for c in columns],
+                       "_slice", F.lit(False).alias("_own"), F.lit(True).alias("_hot"))
 
 
 def add_earlier(sliced: DataFrame, key: list[str], order: list[str], cond: Column | None = None) -> DataFrame:
     """Gives each slice of a hot key the last row (that meets ``cond``) of all its earlier slices."""
-    return _carry(sliced, key, order, cond, later=False)
+    return sliced.unionByName(_carry(sliced, key, order, cond, later=False))
 
 
 def add_later(sliced: DataFrame, key: list[str], order: list[str], cond: Column | None = None) -> DataFrame:
     """Gives each slice of a hot key the first row (that meets ``cond``) of all its later slices."""
-    return _carry(sliced, key, order, cond, later=True)
+    return sliced.unionByName(_carry(sliced, key, order, cond, later=True))
+
+
+def add_neighbours(sliced: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Gives each slice of a hot key the last row before it and the first row after it."""
+    return (sliced.unionByName(_carry(sliced, key, order, None, later=False))
+            .unionByName(_carry(sliced, key, order, None, later=True)))
 
 
 def add_totals(sliced: DataFrame, key: list[str], totals: dict[str, Column]) -> DataFrame:
@@ -110,9 +117,7 @@ def add_totals(sliced: DataFrame, key: list[str], totals: dict[str, Column]) ->
     A running sum over ``(key, _slice)`` that starts with the carried row (``_own`` false, all else null) is then
     the running sum over the whole key.
     """
-    plain = sliced
-    for name, value in totals.items():
-        plain = plain.withColumn(name, F.when(F.col("_own"), value).otherwise(0))
+    plain = sliced.withColumns({n: F.when(F.col("_own"), v).otherwise(0) for n, v in totals.items()})
     sums = plain.where("_hot AND _own").groupBy(*key, "_slice").agg(*[F.sum(n).alias(n) for n in totals])
     steps = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*key, "_slice", *[F.sum(n).over(steps).alias(n) for n in totals])
@@ -136,11 +141,12 @@ def rank_slices(df: DataFrame, key: list[str], pos: Column, order: list[str], ba
     cold = (_mark(df, key, hot).where(F.col("_width").isNull()).drop(*_helpers(key))
             .withColumn("_slice", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True)))
     busy = _mark(df, key, hot, "inner").drop(*_helpers(key))
-    numbered = row_numbers(busy, key, pos, order, "_rank")
+    rank = F.col("_rank")
 
     def at(r: Column) -> Column:
         return F.floor((r - 1) / rows)
 
-    cut = (numbered.withColumn("_slice", F.explode(F.sequence(at(F.col("_rank")), at(F.col("_rank") + back))))
-           .withColumn("_own", F.col("_slice") == at(F.col("_rank"))).drop("_rank"))
+    cut = (row_numbers(busy, key, pos, order, "_rank")
+           .select(*df.columns, "_rank", F.explode(F.sequence(at(rank), at(rank + back))).alias("_slice"))
+           .select(*df.columns, "_slice", (F.col("_slice") == at(rank)).alias("_own")))
     return cold.unionByName(cut)

@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from tidemark.plans import window_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    window_queries,
+    keyed_queries,
+    pattern_queries,
+    join_queries,
+)
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

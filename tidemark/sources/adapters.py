@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fixed
 
 
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with its zoneless times read as UTC instants, which windows and watermarks need."""
+    """A table with its declared schema; zoneless times are read as UTC instants, which windows need."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return instants(df)
-
-
-def instants(df: DataFrame) -> DataFrame:
-    times = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
-    return df.withColumns(times) if times else df
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _pick(values: list[str], index: Column) -> Column:
