@@ -5,6 +5,8 @@ from tidemark.plans import (  # noqa: F401
     keyed_queries,
     pattern_queries,
     join_queries,
+    parse_queries,
+    enrich_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 

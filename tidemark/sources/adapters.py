@@ -34,11 +34,11 @@ def _events(events: DataFrame) -> tuple[Column, Column, Column]:
     return k, F.concat(F.lit("user_"), F.col("user_id")), _pick(fixed.COUNTRIES, k % 10)
 
 
-def user_events_of(events: DataFrame) -> DataFrame:
+def user_events_of(events: DataFrame, *kept: str) -> DataFrame:
     k, user, country = _events(events)
     slot = F.floor(F.unix_micros("ts") / F.lit(21_600_000_000)).cast("string")
     return events.select(
-        F.col("event_id").alias("eventId"), user.alias("userId"), F.col("event_type").alias("eventType"), "ts",
+        *kept, F.col("event_id").alias("eventId"), user.alias("userId"), F.col("event_type").alias("eventType"), "ts",
         F.concat_ws("_", user, slot).alias("sessionId"),
         F.when(F.col("event_type").isin("view", "click"),
                F.concat(F.lit("/page/"), (k % 13).cast("string"))).alias("page"),
@@ -46,20 +46,20 @@ def user_events_of(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "view", F.floor(F.col("value") * 1000)).alias("duration"))
 
 
-def transactions_of(events: DataFrame) -> DataFrame:
+def transactions_of(events: DataFrame, *kept: str) -> DataFrame:
     k, user, country = _events(events)
     return events.select(
-        F.concat(F.lit("tx_"), F.col("event_id")).alias("transactionId"), user.alias("userId"), "ts",
+        *kept, F.concat(F.lit("tx_"), F.col("event_id")).alias("transactionId"), user.alias("userId"), "ts",
         F.round(F.col("value") * 10, 2).alias("amount"),
         F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
         (k / F.lit(100.0)).alias("riskScore"), country.alias("country"),
         _pick(list(fixed.MERCHANT_LIMITS), k % 10).alias("merchantCategory"), (k < 5).alias("isFraud"))
 
 
-def sensors_of(events: DataFrame) -> DataFrame:
+def sensors_of(events: DataFrame, *kept: str) -> DataFrame:
     k, _, _ = _events(events)
     return events.select(
-        F.col("event_id").alias("readingId"), F.concat(F.lit("sensor_"), F.col("user_id")).alias("sensorId"),
+        *kept, F.col("event_id").alias("readingId"), F.concat(F.lit("sensor_"), F.col("user_id")).alias("sensorId"),
         _pick(list(fixed.SENSOR_RANGES), F.col("user_id") % 10).alias("sensorType"),
         _pick(fixed.LOCATIONS, F.floor(F.col("user_id") / 10) % 10).alias("location"), "ts", "value",
         k.alias("batteryLevel"), (F.col("value") > 200).alias("isAnomaly"))
@@ -117,3 +117,48 @@ def oracle(body: str) -> str:
     if body[:5].upper() == "WITH ":
         return head + ",\n" + body[5:]
     return head + "\n" + body
+
+
+# Raw messages, as a broker would deliver them: made from the same rows, some of them damaged.
+def user_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """User events as JSON text: k = 0 is cut off, k = 1 has no user, odd k has its time as epoch milliseconds."""
+    return _messages(spark, folder, user_events_of, "user-events", ["eventId", "ts"],
+                     lambda k, c: F.when(k != 1, F.col(c)) if c == "userId" else F.col(c))
+
+
+def transaction_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions as JSON text, damaged the same way; k = 2 has no risk score, k = 3 no country."""
+    lost = {"userId": 1, "riskScore": 2, "country": 3}
+    return _messages(spark, folder, lambda e, *kept: transactions_of(e, *kept).withColumn("currency", F.lit("USD")),
+                     "transaction-events", ["ts"],
+                     lambda k, c: F.when(k != lost[c], F.col(c)) if c in lost else F.col(c))
+
+
+def sensor_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings as JSON text, damaged the same way; k = 2 has no battery level, k below 50 says ``deviceType``."""
+    def damage(k: Column, c: str) -> Column:
+        if c == "deviceType":
+            return F.when(k < 50, F.col("sensorType"))
+        if c == "sensorType":
+            return F.when(k >= 50, F.col("sensorType"))
+        lost = {"sensorId": 1, "batteryLevel": 2}
+        return F.when(k != lost[c], F.col(c)) if c in lost else F.col(c)
+
+    return _messages(spark, folder,
+                     lambda e, *kept: sensors_of(e, *kept).withColumns({"unit": F.lit("unit"), "deviceType": F.col("sensorType")}),
+                     "iot-sensor-events", ["readingId", "ts"], damage)
+
+
+def _messages(spark: SparkSession, folder: str, view, topic: str, left_out: list[str], damage) -> DataFrame:
+    events = table(spark, folder, "events")
+    named = view(events)
+    k = F.col("_k")
+    made = events.select("*", F.get_json_object("props", "$.k").cast("int").alias("_k"))
+    made = view(made, "_k", "event_id")
+    time = F.when(k % 2 == 1, F.unix_millis("ts").cast("string")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+    fields = [damage(k, c).alias(c) for c in named.columns if c not in left_out]
+    text = F.to_json(F.struct(time.alias("timestamp"), *fields))
+    value = F.when(k == 0, F.substring(text, 1, 25)).otherwise(text)
+    return made.select(F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
+                       value.alias("value"))
