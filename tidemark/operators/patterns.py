@@ -8,6 +8,7 @@ instant are ordered by id. All stages share one shuffle by (key, slice); a slice
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,54 +61,76 @@ class Pattern:
 
 def sequence(df: DataFrame, stages: list[Stage], within: str, key: str, tiebreak: str,
              amount: str = "amount") -> DataFrame:
-    """One row per match: the starting row's columns, ``startTs``, ``endTs``, ``endId`` and a total per stage.
+    """One row per match: the starting row's columns, ``startTs``, ``endTs``, ``endId`` and a total per stage."""
+    span = micros(within)
+    wanted = reduce(lambda a, b: a | b, [F.coalesce(s.cond, F.lit(False)) for s in stages])
+    sliced = S.slice_rows(df.where(wanted), [key], F.unix_micros("ts"), after=span)
+    matches = add_matches(sliced, stages, span, [key], tiebreak, amount, "_to").where(
+        F.col("_own") & F.col("_to").isNotNull())
+    totals = [F.col("_to.totals")[i].alias(f"{s.name}Total") for i, s in enumerate(stages)]
+    return matches.select(*df.columns, F.col("ts").alias("startTs"), F.col("_to.ts").alias("endTs"),
+                          F.col("_to.id").alias("endId"), *totals)
+
+
+def add_matches(sliced: DataFrame, stages: list[Stage], span: int, key: list[str], tiebreak: str, amount: str,
+                name: str) -> DataFrame:
+    """Adds to rows in slices, where they start a match, how it ends: struct (ts, id, totals), else null.
 
     Worked from the last stage back. ``_to`` of a row is how its stage onwards completes when the row is the
     stage's first: the stage's last row is ``times - 1`` rows further among rows of that stage, and from there the
     next row of the following stage continues. Both are window lookups in the slice, so no row pairs are formed.
     """
-    span = micros(within)
-    work = S.slice_rows(df, [key], F.unix_micros("ts"), after=span)
-    flags = {f"_is{i}": F.coalesce(s.cond, F.lit(False)) for i, s in enumerate(stages)}
-    work = work.withColumns(flags)
-    forward = S.over_slices([key], "ts", tiebreak)
-    backward = S.over_slices([key], F.desc("ts"), F.desc(tiebreak)).rowsBetween(Window.unboundedPreceding, -1)
+    kept = sliced.columns
+    work = sliced.withColumns({f"_is{i}": F.coalesce(s.cond, F.lit(False)) for i, s in enumerate(stages)})
+    backward = S.over_slices(key, F.desc("ts"), F.desc(tiebreak)).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.struct(F.col("ts").alias("ts"), F.col(tiebreak).alias("id"), F.array().cast("array<double>").alias("totals"))
     for i in range(len(stages) - 1, -1, -1):
         n, flag = stages[i].times, f"_is{i}"
-        mine = S.over_slices([key], "ts", tiebreak, more=[flag])
-        total = F.sum(amount).over(mine.rowsBetween(0, n - 1))
+        mine = S.over_slices(key, "ts", tiebreak, more=[flag])
         if i == len(stages) - 1:
-            rest = F.struct(F.col("ts").alias("ts"), F.col(tiebreak).alias("id"), F.array().cast("array<double>").alias("totals"))
+            work = work.withColumn("_rest", end)
         else:
-            following = F.last(F.when(F.col(f"_is{i + 1}"), F.col("_to")), ignorenulls=True).over(backward)
-            work = work.withColumn("_rest", following)
-            rest = F.col("_rest")
-        work = work.withColumn("_here", rest).withColumn("_total", total)
-        last = F.lead("_here", n - 1).over(mine) if n > 1 else F.col("_here")
-        work = work.withColumn("_there", last).withColumn(
-            "_to", F.when(F.col(flag) & F.col("_there").isNotNull(), F.struct(
-                F.col("_there.ts").alias("ts"), F.col("_there.id").alias("id"),
-                F.concat(F.array("_total"), F.col("_there.totals")).alias("totals"))))
-        work = work.drop("_rest", "_here", "_there", "_total")
+            work = work.withColumn("_rest", F.last(F.when(F.col(f"_is{i + 1}"), F.col("_to")), ignorenulls=True).over(backward))
+        work = work.withColumns({
+            "_there": F.lead("_rest", n - 1).over(mine) if n > 1 else F.col("_rest"),
+            "_total": F.sum(amount).over(mine.rowsBetween(0, n - 1))})
+        work = work.withColumn("_to", F.when(F.col(flag) & F.col("_there").isNotNull(), F.struct(
+            F.col("_there.ts").alias("ts"), F.col("_there.id").alias("id"),
+            F.concat(F.array("_total"), F.col("_there.totals")).alias("totals"))))
     in_time = F.unix_micros("_to.ts") - F.unix_micros("ts") < span
-    matches = work.where(F.col("_own") & F.col("_to").isNotNull() & in_time)
-    totals = [F.col("_to.totals")[i].alias(f"{s.name}Total") for i, s in enumerate(stages)]
-    return matches.select(
-        *df.columns, F.col("ts").alias("startTs"), F.col("_to.ts").alias("endTs"), F.col("_to.id").alias("endId"), *totals)
+    return work.select(*kept, F.when(in_time, F.col("_to")).alias(name))
+
+
+def velocity_stages(n: int = 5, success: tuple[str, ...] = ("completed",)) -> list[Stage]:
+    return [Stage("all", F.col("status").isin(*success), n)]
+
+
+def structuring_stages(high: float = 1000, low: float = 100, n: int = 3,
+                       success: tuple[str, ...] = ("completed",)) -> list[Stage]:
+    done = F.col("status").isin(*success)
+    return [Stage("high", done & (F.col("amount") >= high)), Stage("small", done & (F.col("amount") <= low), n)]
+
+
+def card_testing_stages(n: int = 3, success: tuple[str, ...] = ("completed",),
+                        failure: tuple[str, ...] = ("failed",)) -> list[Stage]:
+    return [Stage("failed", F.col("status").isin(*failure), n), Stage("success", F.col("status").isin(*success))]
 
 
 def velocity(tx: DataFrame, n: int = 5, within: str = "2 minutes", success: tuple[str, ...] = ("completed",)) -> DataFrame:
     """``n`` successful transactions of a user; the amount is their total."""
-    done = tx.where(F.col("status").isin(*success))
-    return sequence(done, [Stage("all", F.lit(True), n)], within, "userId", "transactionId")
+    return sequence(tx, velocity_stages(n, success), within, "userId", "transactionId")
 
 
 def structuring(tx: DataFrame, high: float = 1000, low: float = 100, n: int = 3, within: str = "10 minutes",
                 success: tuple[str, ...] = ("completed",)) -> DataFrame:
     """A large successful transaction followed by ``n`` small ones."""
-    done = tx.where(F.col("status").isin(*success) & ((F.col("amount") >= high) | (F.col("amount") <= low)))
-    stages = [Stage("high", F.col("amount") >= high), Stage("small", F.col("amount") <= low, n)]
-    return sequence(done, stages, within, "userId", "transactionId")
+    return sequence(tx, structuring_stages(high, low, n, success), within, "userId", "transactionId")
+
+
+def card_testing(tx: DataFrame, n: int = 3, within: str = "5 minutes", success: tuple[str, ...] = ("completed",),
+                 failure: tuple[str, ...] = ("failed",)) -> DataFrame:
+    """``n`` failed transactions of a user followed by a successful one."""
+    return sequence(tx, card_testing_stages(n, success, failure), within, "userId", "transactionId")
 
 
 def country_change(tx: DataFrame, within: str = "5 minutes", success: tuple[str, ...] = ("completed",)) -> DataFrame:
@@ -124,14 +147,6 @@ def country_change(tx: DataFrame, within: str = "5 minutes", success: tuple[str,
             .drop("_next"))
 
 
-def card_testing(tx: DataFrame, n: int = 3, within: str = "5 minutes", success: tuple[str, ...] = ("completed",),
-                 failure: tuple[str, ...] = ("failed",)) -> DataFrame:
-    """``n`` failed transactions of a user followed by a successful one."""
-    both = tx.where(F.col("status").isin(*success, *failure))
-    stages = [Stage("failed", F.col("status").isin(*failure), n), Stage("success", F.col("status").isin(*success))]
-    return sequence(both, stages, within, "userId", "transactionId")
-
-
 def off_hours(tx: DataFrame, risk: float = 0.7, tz: str = "UTC", success: tuple[str, ...] = ("completed",)) -> DataFrame:
     """Successful transactions of high risk during the night."""
     return tx.where(is_off_hours(F.col("ts"), tz) & (F.col("riskScore") >= risk) & F.col("status").isin(*success))
