@@ -138,7 +138,7 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
     newest = readings.groupBy("sensorId").agg(
         F.max("ts").alias("ts"), F.lit(None).cast("string").alias("sensorType"),
         F.lit(None).cast("string").alias("location"), F.lit(None).cast("double").alias("value"))
-    silent = _emit(newest, [(F.unix_micros("ts") + silence <= horizon, offline_at(F.col("ts")))])
+    silent = _emit(newest.where(F.unix_micros("ts") + silence <= horizon), [(F.lit(True), offline_at(F.col("ts")))])
     apart = W.deviation_candidates(readings, deviation_window, limit=deviation)
     crossed = _emit(apart, [(F.lit(True), anomaly(
         "CORRELATION_ANOMALY", "Cross-sensor correlation anomaly",

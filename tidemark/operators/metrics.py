@@ -71,7 +71,10 @@ def observe(df: DataFrame, kind: str, latency: str | None = None) -> tuple[DataF
 
 
 def latency_histogram(df: DataFrame, kind: str, latency: str, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Events and latency quantiles per kind, from mergeable sketches."""
-    return df.groupBy(kind).agg(
-        F.count(F.lit(1)).alias("processed"),
-        *[F.percentile_approx(latency, q, 10000).alias(f"p{round(q * 100)}") for q in quantiles])
+    """Events and exact latency quantiles per kind, from the counts per latency (whole units, so few values)."""
+    counted = df.groupBy(kind, F.floor(latency).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(kind).orderBy("_l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(kind))})
+    return ranked.groupBy(kind).agg(
+        F.sum("_n").alias("processed"),
+        *[F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("_l"))).alias(f"p{round(q * 100)}") for q in quantiles])

@@ -7,6 +7,10 @@ from tidemark.plans import (  # noqa: F401
     join_queries,
     parse_queries,
     enrich_queries,
+    alert_queries,
+    dashboard_queries,
+    search_queries,
+    metric_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 
