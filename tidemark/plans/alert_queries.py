@@ -10,6 +10,16 @@ from tidemark.plans.registry import ORACLES, query
 from tidemark.sources.adapters import sensors, transactions
 
 
+def _say(pattern: str, *values: str) -> str:
+    """A description with numbers rounded half up."""
+    parts, rest = [], pattern
+    for value in values:
+        head, rest = rest.split("%.", 1)
+        digits, rest = rest[0], rest[2:]
+        parts += [f"'{head}'", f"CAST(CAST(CAST({value} AS DECIMAL(28, 6)) AS DECIMAL(28, {digits})) AS VARCHAR)"]
+    return " || ".join([*parts, f"'{rest}'"])
+
+
 def _alert(kind: str, source: str, key: str, at: str, title: str, text: str, severity: str, details: str) -> str:
     return f"""SELECT sha256('{kind}|' || {key} || '|' || CAST(epoch_us({at}) // 1000 AS VARCHAR)) AS "alertId",
   {at} AS ts, '{kind}' AS "alertType", {details}, '{title}' AS title, {text} AS description,
@@ -24,18 +34,18 @@ def _fraud(kind, title, text, severity, source, tx='"transactionId"'):
 
 _FRAUDS = [
     _fraud("VELOCITY_FRAUD", "Rapid successive transactions detected",
-           """printf('User made 5 transactions totaling $%.2f in 1440 minutes', "allTotal")""", "0.9", "c1_velocity"),
+           _say("User made 5 transactions totaling $%.2f in 1440 minutes", '"allTotal"'), "0.9", "c1_velocity"),
     _fraud("STRUCTURING_FRAUD", "Potential transaction structuring detected",
-           """printf('High-value transaction ($%.2f) followed by 3 small transactions ($%.2f total)', amount, "smallTotal")""",
-           "0.8", "c2_structuring"),
+           _say("High-value transaction ($%.2f) followed by 3 small transactions ($%.2f total)", "amount",
+                '"smallTotal"'), "0.8", "c2_structuring"),
     _fraud("GEOGRAPHIC_ANOMALY", "Suspicious geographic activity detected",
            """'Transactions from different countries: ' || country || ' and ' || "nextCountry" || ' within 360 minutes'""",
            "0.7", "c3_country_change"),
     _fraud("TESTING_ATTACK", "Potential card testing attack detected",
-           """printf('3 failed transactions followed by successful transaction of $%.2f', "successTotal")""",
+           _say("3 failed transactions followed by successful transaction of $%.2f", '"successTotal"'),
            "0.85", "c4_card_testing", '"endId"'),
     _fraud("OFF_HOURS_HIGH_RISK", "High-risk transaction during off-hours",
-           """printf('Transaction of $%.2f with risk score %.2f at ', amount, "riskScore")
+           _say("Transaction of $%.2f with risk score %.2f at ", "amount", '"riskScore"') + """
              || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'""",
            '"riskScore"', "c5_off_hours"),
 ]
@@ -67,21 +77,21 @@ def _anomaly(kind, title, text, severity, source, value="value", real=True):
 
 @query("u2_anomaly_alerts", "\nUNION ALL\n".join([
     _anomaly("STATISTICAL_ANOMALY", "Statistical anomaly detected",
-             """printf('Value %.2f deviates %.2f standard deviations from mean %.2f', value, "zScore", mean)""",
+             _say("Value %.2f deviates %.2f standard deviations from mean %.2f", "value", '"zScore"', "mean"),
              "severity", "t2_zscore"),
     _anomaly("THRESHOLD_VIOLATION", "Threshold violation detected",
-             """printf('%s sensor value %.2f is outside safe range', "sensorType", value)""",
+             '"sensorType" || ' + _say(" sensor value %.2f is outside safe range", "value"),
              "severity", "e14_e15_threshold_violations"),
     _anomaly("RAPID_CHANGE", "Rapid value change detected",
-             """printf('Value changed by %.2f%% (from %.2f to %.2f) in %.1f seconds', "relativeChange" * 100,
-               "previousValue", value, seconds)""", "severity", "t3_rapid_change"),
+             _say("Value changed by %.2f% (from %.2f to %.2f) in %.1f seconds", 'abs(value - "previousValue") / abs("previousValue") * 100',
+                  '"previousValue"', "value", "seconds"), "severity", "t3_rapid_change"),
     _anomaly("MISSING_DATA", "Sensor data gap detected",
-             "printf('No data received for %.1f minutes', minutes)", "severity", "t4_data_gaps"),
+             _say("No data received for %.1f minutes", "minutes"), "severity", "t4_data_gaps"),
     _anomaly("SENSOR_OFFLINE", "Sensor appears to be offline",
              "'No data received for over 480.0 minutes'", "severity", "t5_offline", real=False),
     _anomaly("CORRELATION_ANOMALY", "Cross-sensor correlation anomaly",
-             """printf('Temperature sensor reading %.2f°C deviates %.2f°C from location average %.2f°C', value,
-               deviation, mean)""", "severity", "a6_cross_sensor_deviation"),
+             _say("Temperature sensor reading %.2f°C deviates %.2f°C from location average %.2f°C", "value",
+                  "deviation", "mean"), "severity", "a6_cross_sensor_deviation"),
 ]))
 def u2_anomaly_alerts(spark, folder):
     return A.anomaly_alerts(sensors(spark, folder), max_dt="2 hours", timeout="8 hours", deviation_window="1 day")
