@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import micros
+from tidemark.functions.times import is_off_hours, micros
+from tidemark.operators.enrich import threshold_violations
 from tidemark.operators.patterns import Stage, card_testing_stages, structuring_stages, velocity_stages
 from tidemark.streaming import rules as R
 from tidemark.streaming.ordered import in_order
@@ -93,21 +94,94 @@ def country_change(tx: DataFrame, within: str = "5 minutes", success: tuple[str,
 def asof_join(left: DataFrame, right: DataFrame, key: str, name: str, right_id: str, ts: str = "ts",
               how: str = "inner", **options: str) -> DataFrame:
     """Each left row with the latest right row of its key, as struct ``name``; both streams share one watermark."""
+    left_kinds, right_kinds = dict(left.dtypes), dict(right.dtypes)
+    lefts, rights = _numbers(left), _numbers(right)
     no_id = F.lit(None).cast(right.schema[right_id].dataType)
+    no_left, no_right = F.lit(None).cast(lefts.schema), F.lit(None).cast(rights.schema)
 
-    def side(df: DataFrame, number: int, ident: Column, mine: Column, other: Column) -> DataFrame:
-        pair = (mine, other) if number == 1 else (other, mine)
-        return df.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.struct(
-            F.lit(number).alias("side"), ident.alias("id")).alias("_side"), F.struct(
-            pair[0].alias("leftRow"), pair[1].alias("rightRow")).alias("payload"))
+    def side(df: DataFrame, number: int, ident: Column, pair: tuple[Column, Column]) -> DataFrame:
+        return df.select(
+            F.col(key).alias("_key"), F.col(ts).alias("_ts"),
+            F.struct(F.lit(number).alias("side"), ident.alias("id")).alias("_side"),
+            F.struct(pair[0].alias("leftRow"), pair[1].alias("rightRow")).alias("payload"))
 
-    both = side(left, 1, no_id, F.struct(*left.columns), F.lit(None).cast(right.schema)).unionByName(
-        side(right, 0, F.col(right_id), F.struct(*right.columns), F.lit(None).cast(left.schema)))
-    rule = R.AsOf(left.schema.simpleString(), right.schema.simpleString(), how == "inner")
+    both = side(left, 1, no_id, (_number_row(left), no_right)).unionByName(
+        side(right, 0, F.col(right_id), (no_left, _number_row(right))))
+    rule = R.AsOf(lefts.schema.simpleString(), rights.schema.simpleString(), how == "inner")
     out = in_order(both, "_key", rule, "_side", ts="_ts", **options)
-    return out.select("leftRow.*", F.col("hit").alias(name))
+    hit = F.when(F.col("hit").isNotNull(), F.struct(*[_back(f"hit.{c}", k).alias(c) for c, k in right_kinds.items()]))
+    return out.select(*[_back(f"leftRow.{c}", k).alias(c) for c, k in left_kinds.items()], hit.alias(name))
+
+
+# State keeps times as numbers: Python would read them in the zone of each worker.
+def _number(c: str, kind: str) -> Column:
+    return F.unix_micros(c).alias(c) if kind == "timestamp" else F.col(c)
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    return df.select(*[_number(c, k) for c, k in df.dtypes])
+
+
+def _number_row(df: DataFrame) -> Column:
+    return F.struct(*[_number(c, k) for c, k in df.dtypes])
+
+
+def _back(c: str, kind: str) -> Column:
+    return F.timestamp_micros(c) if kind == "timestamp" else F.col(c)
 
 
 def risk_history(tx: DataFrame, **options: str) -> DataFrame:
     """What the risk score needs of the past; join the static profiles to it for the score."""
     return _times(in_order(tx, "userId", R.History(), "transactionId", **options), p="ts")
+
+
+def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n: int = 5, high: float = 1000,
+                 low: float = 100, small_n: int = 3, structuring_within: str = "10 minutes",
+                 country_within: str = "5 minutes", failed_n: int = 3, testing_within: str = "5 minutes",
+                 risk: float = 0.7, tz: str = "UTC", success: tuple[str, ...] = ("completed",),
+                 failure: tuple[str, ...] = ("failed",), **options: str) -> DataFrame:
+    """(alertType, userId, transactionId, ts, severity) of all five detectors; four share one state per user."""
+    done = F.col("status").isin(*success)
+    each = [velocity_stages(velocity_n, success), structuring_stages(high, low, small_n, success),
+            card_testing_stages(failed_n, success, failure)]
+    spans = [micros(s) for s in (velocity_within, structuring_within, testing_within)]
+    flags = [F.array(*[F.coalesce(s.cond, F.lit(False)) for s in stages]) for stages in each]
+    parts = [(R.Sequence([s.times for s in stages], span), [f"flags{i}", "amount"])
+             for i, (stages, span) in enumerate(zip(each, spans))]
+    parts.append((R.CountryChange(micros(country_within)), ["country"]))
+    use = F.array(*[F.array_contains(f, True) for f in flags], done & F.col("country").isNotNull())
+    found = in_order(tx, "userId", R.Together(parts), "transactionId", where=F.array_contains(use, True), use=use,
+                     **{f"flags{i}": f for i, f in enumerate(flags)}, **options)
+
+    def alert(kind: str, hit: str, ident: str, severity: float) -> Column:
+        at = F.col(f"{hit}.startP") if hit != "o3" else F.col("o3.p")
+        return F.when(F.col(hit).isNotNull(), F.struct(
+            F.lit(kind).alias("alertType"), F.col(f"{hit}.{ident}").alias("transactionId"),
+            F.timestamp_micros(at).alias("ts"), F.lit(severity).alias("severity")))
+
+    hit = F.coalesce(alert("VELOCITY_FRAUD", "o0", "startId", 0.9), alert("STRUCTURING_FRAUD", "o1", "startId", 0.8),
+                     alert("TESTING_ATTACK", "o2", "endId", 0.85), alert("GEOGRAPHIC_ANOMALY", "o3", "transactionId", 0.7))
+    matched = found.select("userId", hit.alias("a")).select("a.alertType", "userId", "a.transactionId", "a.ts", "a.severity")
+    night = tx.where(is_off_hours(F.col("ts"), tz) & (F.col("riskScore") >= risk) & done).select(
+        F.lit("OFF_HOURS_HIGH_RISK").alias("alertType"), "userId", "transactionId", "ts", F.col("riskScore").alias("severity"))
+    return matched.unionByName(night)
+
+
+def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float = 2.5, max_dt: str = "300 seconds",
+                   rel: float = 0.5, timeout: str = "5 minutes", **options: str) -> DataFrame:
+    """(alertType, sensorId, readingId, ts, severity) of the detectors per sensor; they share one state per sensor."""
+    parts = [(R.ZScore(n, min_n, z), ["value"]), (R.RapidChange(micros(max_dt), rel), ["value"]),
+             (R.DataGaps(micros(timeout)), []), (R.Offline(micros(timeout)), [])]
+    found = in_order(readings, "sensorId", R.Together(parts), "readingId",
+                     use=F.array(*[F.lit(True)] * len(parts)), **options)
+    capped = [F.least(F.lit(0.9), F.col("o0.zScore") / z), F.least(F.lit(0.9), F.col("o1.relativeChange")),
+              F.lit(0.7), F.lit(0.8)]
+    kinds = ["STATISTICAL_ANOMALY", "RAPID_CHANGE", "MISSING_DATA", "SENSOR_OFFLINE"]
+    hit = F.coalesce(*[F.when(F.col(f"o{i}").isNotNull(), F.struct(
+        F.lit(kind).alias("alertType"), F.col(f"o{i}.readingId").alias("readingId"),
+        F.timestamp_micros(f"o{i}.p").alias("ts"), severity.alias("severity")))
+        for i, (kind, severity) in enumerate(zip(kinds, capped))])
+    matched = found.select("sensorId", hit.alias("a")).select("a.alertType", "sensorId", "a.readingId", "a.ts", "a.severity")
+    outside = threshold_violations(readings).select(
+        F.lit("THRESHOLD_VIOLATION").alias("alertType"), "sensorId", "readingId", "ts", "severity")
+    return matched.unionByName(outside)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import types as T
+
 from tidemark.streaming.ordered import Rule
 
 
@@ -249,6 +251,44 @@ class AsOf(Rule):
         return tuple(memory), [(tuple(left), tuple(memory[0]))]
 
 
+class Together(Rule):
+    """Several rules over one buffer. ``use`` says per row which of them see it; outputs come as one struct each."""
+
+    def __init__(self, parts: list[tuple[Rule, list[str]]]):
+        self.parts = parts
+        self.columns = ["use", *dict.fromkeys(c for _, names in parts for c in names)]
+        self.memory = ", ".join(f"m{i} {self._struct(r.memory)}" for i, (r, _) in enumerate(parts))
+        self.output = ", ".join(f"o{i} {self._struct(r.output)}" for i, (r, _) in enumerate(parts))
+
+    @staticmethod
+    def _struct(ddl: str) -> str:
+        return T.StructType.fromDDL(ddl).simpleString()
+
+    def _merge(self, each: list[tuple[tuple | None, list[tuple]]]) -> tuple[tuple | None, list[tuple]]:
+        memory = tuple(m for m, _ in each)
+        rows = [tuple(o if j == i else None for j in range(len(each))) for i, (_, outs) in enumerate(each) for o in outs]
+        return (memory if any(m is not None for m in memory) else None), rows
+
+    def step(self, memory, row):
+        at, ident, use, *values = row
+        have = dict(zip(self.columns[1:], values))
+        old = memory or (None,) * len(self.parts)
+        return self._merge([
+            rule.step(old[i], (at, ident, *[have[n] for n in names])) if use[i] else (old[i], [])
+            for i, (rule, names) in enumerate(self.parts)])
+
+    def wake(self, memory):
+        times = [rule.wake(m) for (rule, _), m in zip(self.parts, memory or ())]
+        return min((t for t in times if t is not None), default=None)
+
+    def idle(self, memory, now):
+        each = []
+        for (rule, _), m in zip(self.parts, memory):
+            due = rule.wake(m)
+            each.append(rule.idle(m, now) if due is not None and due <= now else (m, []))
+        return self._merge(each)
+
+
 class History(Rule):
     """Time since the previous transaction and the number of earlier frauds, for the risk score."""
 
