@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UNIT_MICROS = {
@@ -57,3 +57,11 @@ def is_off_hours(ts: Column, tz: str = "UTC", start: int = 22, end: int = 6) ->
 
 def position(ts: Column) -> Column:
     return F.unix_micros(ts)
+
+
+def late_filter(df: DataFrame, cond: Column, ts: str = "ts") -> DataFrame:
+    """Filters a stream above its watermark, so that the rows left out still move it.
+
+    Spark moves a filter below the watermark unless its condition names the event time.
+    """
+    return df.where(F.when(F.col(ts).isNotNull(), cond) if df.isStreaming else cond)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import micros, seconds
+from tidemark.functions.times import late_filter, micros, seconds
 
 
 def _bounds() -> list[Column]:
@@ -27,7 +27,7 @@ def page_stats(events: DataFrame, size: str = "5 minutes", approximate: bool = F
     ``approximate`` a fixed-size sketch.
     """
     duration = F.col("duration").cast("string").try_cast("bigint")
-    seen = events.where(F.col("page").isNotNull()).select(
+    seen = late_filter(events, F.col("page").isNotNull()).select(
         F.window("ts", size).alias("window"), "page", "userId", duration.alias("_d"))
     if events.isStreaming or approximate:
         users = F.approx_count_distinct("userId") if approximate else F.size(F.collect_set("userId"))
@@ -138,7 +138,7 @@ def deviation_candidates(sensors: DataFrame, size: str = "1 minute", sensor_type
     low_rank = F.struct(F.col("value"), F.col("sensorId"), F.col("readingId"))
     high_rank = F.struct((-F.col("value")).alias("v"), F.col("sensorId"), F.col("readingId"))
     kept = ["sensorId", "readingId", "value", "ts"]
-    found = (sensors.where(F.col("sensorType") == sensor_type)
+    found = (late_filter(sensors, F.col("sensorType") == sensor_type)
              .groupBy(F.window("ts", size), "location", "sensorType")
              .agg(F.count(F.lit(1)).alias("readings"), F.avg("value").alias("mean"),
                   F.min_by(F.struct(*kept), low_rank).alias("_low"),

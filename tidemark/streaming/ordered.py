@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.functions.times import micros
+from tidemark.functions.times import late_filter, micros
 
 
 class Rule:
@@ -119,8 +119,7 @@ def in_order(df: DataFrame, key: str, rule: Rule, tiebreak: Column | str, ts: st
     tie = F.col(tiebreak) if isinstance(tiebreak, str) else tiebreak
     marked = df.withWatermark(ts, delay)
     if where is not None:
-        # A condition that names the time is not moved below the watermark.
-        marked = marked.where(F.when(F.col(ts).isNotNull(), where))
+        marked = late_filter(marked, where, ts)
     work = marked.select(F.col(key), F.col(ts), F.unix_micros(ts).alias("_p"), tie.alias("_id"),
                          *[(computed[c] if c in computed else F.col(c)).alias(c) for c in rule.columns])
     names = ["_p", "_id", *rule.columns]
