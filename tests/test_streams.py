@@ -77,7 +77,7 @@ def test_page_stats_and_trend(feed, drain):
     same(drain(live), windows.page_stats(adapters.user_events_of(table), "1 day"), "page", "window_start", "pageViews",
          "uniqueUsers", F.round("avgDuration", 6))
     sensors = adapters.sensors_of(stream()).withWatermark("ts", "12 hours")
-    live = routing.sensor_aggregates(sensors, "6 hours", "10 hours", "2 hours")
+    live = routing.sensor_aggregates(sensors, "6 hours", "10 hours", "2 hours", slice_width="30 minutes")
     want = routing.sensor_aggregates(adapters.sensors_of(table), "6 hours", "10 hours", "2 hours")
     same(drain(live), want, "sensorType", "window_start", "aggregationType", F.coalesce("count", "dataPoints"),
          F.coalesce("trendDirection", F.lit("-")), F.round(F.coalesce("trend", "sum"), 6))

@@ -53,7 +53,9 @@ def threshold_severity(sensor_type: Column, value: Column, low: Column, high: Co
 def as_number(c: Column) -> Column:
     """A reading as a number: booleans become 1 and 0, text that is no number becomes null."""
     text = F.lower(c.cast("string"))
-    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
+    # A first look spares most text that is no number the exception a failing try_cast costs.
+    return (F.when(text == "true", 1.0).when(text == "false", 0.0)
+            .when(text.rlike("^\\s*[+-]?[0-9.]"), text.try_cast("double")))
 
 
 def gauge(value: Column, low: float, high: float) -> Column:

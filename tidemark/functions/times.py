@@ -32,10 +32,9 @@ def seconds(span: str | int | float) -> float:
 def event_time(c: Column) -> Column:
     """ISO-8601 text or epoch milliseconds as a timestamp; null where it is neither."""
     text = c.cast("string")
-    return F.coalesce(
-        F.timestamp_millis(text.try_cast("bigint")),
-        F.try_to_timestamp(text),
-    )
+    # The digits are tested first: a failing try_cast costs an exception per row.
+    return F.when(text.rlike("^[+-]?[0-9]{1,18}$"), F.timestamp_millis(text.try_cast("bigint"))).otherwise(
+        F.try_to_timestamp(text))
 
 
 def time_parts(ts: Column) -> dict[str, Column]:

@@ -33,7 +33,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, name: str, right_id:
         near = F.unix_micros("_ts") - F.unix_micros("_hit._ts") <= micros(tolerance)
         found = F.when(near, found)
     out = met.select("_left.*", found.alias(name))
-    return out.where(F.col(name).isNotNull()) if how == "inner" else out
+    if how == "inner":
+        return out.where(F.col(name).isNotNull())
+    return out.unionByName(left.where(F.col(ts).isNull()).withColumn(name, no_right))
 
 
 def _empty(df: DataFrame) -> Column:

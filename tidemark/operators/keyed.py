@@ -20,7 +20,8 @@ def _pos(ts: str) -> Column:
 
 # Runs of rows: sessions, sustained conditions -----------------------------------------------------------------
 
-def segments(df: DataFrame, key: list[str], label: str, ts: str, tiebreak: str, gap: str | None = None) -> DataFrame:
+def segments(df: DataFrame, key: list[str], label: str, ts: str, tiebreak: str,
+             gap: str | float | None = None) -> DataFrame:
     """Runs of consecutive rows with the same label and no time gap of ``gap`` or more.
 
     Per run: start, end, number of rows, and time and label of the row after it. Runs are formed inside slices;
@@ -77,11 +78,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 second
         F.col("rows").cast("int").alias("eventCount"), status.alias("status"))
 
 
-def gap_sessions(df: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts") -> DataFrame:
-    """Sessions by time gap alone. On a table the last rows of a gap-free run may be merged from partial runs."""
-    return (df.groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("eventCount"))
-            .select(key, F.col("session_window.start").alias("window_start"),
-                    F.col("session_window.end").alias("window_end"), "eventCount"))
+def gap_sessions(df: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", tiebreak: str = "eventId") -> DataFrame:
+    """Sessions by time gap alone; rows exactly ``gap`` apart belong together, as in Spark's session windows.
+
+    On a table these are runs, which split hot keys; a stream uses the session window."""
+    if df.isStreaming:
+        return (df.groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("eventCount"))
+                .select(key, F.col("session_window.start").alias("window_start"),
+                        F.col("session_window.end").alias("window_end"), "eventCount"))
+    runs = segments(df.withColumn("_same", F.lit(0)), [key], "_same", ts, tiebreak, (micros(gap) + 1) / SECOND)
+    return runs.select(key, F.col("start").alias("window_start"),
+                       F.timestamp_micros(_pos("end") + micros(gap)).alias("window_end"), F.col("rows").alias("eventCount"))
 
 
 # Sensors ------------------------------------------------------------------------------------------------------

@@ -65,6 +65,8 @@ def sequence(df: DataFrame, stages: list[Stage], within: str, key: str, tiebreak
     span = micros(within)
     wanted = reduce(lambda a, b: a | b, [F.coalesce(s.cond, F.lit(False)) for s in stages])
     sliced = S.slice_rows(df.where(wanted), [key], F.unix_micros("ts"), after=span)
+    if len(stages) > 1:
+        sliced = S.by_slice(sliced, [key])
     matches = add_matches(sliced, stages, span, [key], tiebreak, amount, "_to").where(
         F.col("_own") & F.col("_to").isNotNull())
     totals = [F.col("_to.totals")[i].alias(f"{s.name}Total") for i, s in enumerate(stages)]
@@ -93,7 +95,7 @@ def add_matches(sliced: DataFrame, stages: list[Stage], span: int, key: list[str
             work = work.withColumn("_rest", F.last(F.when(F.col(f"_is{i + 1}"), F.col("_to")), ignorenulls=True).over(backward))
         work = work.withColumns({
             "_there": F.lead("_rest", n - 1).over(mine) if n > 1 else F.col("_rest"),
-            "_total": F.sum(amount).over(mine.rowsBetween(0, n - 1))})
+            "_total": F.sum(amount).over(mine.rowsBetween(0, n - 1)) if n > 1 else F.col(amount).cast("double")})
         work = work.withColumn("_to", F.when(F.col(flag) & F.col("_there").isNotNull(), F.struct(
             F.col("_there.ts").alias("ts"), F.col("_there.id").alias("id"),
             F.concat(F.array("_total"), F.col("_there.totals")).alias("totals"))))

@@ -37,8 +37,9 @@ def split_stream(cond: Column, label: str, main: Callable[[DataFrame, int], None
 
 
 def sensor_aggregates(sensors: DataFrame, size: str = "5 minutes", span: str = "10 minutes", slide: str = "2 minutes",
-                      labels: tuple[str, str] = ("tumbling_5min", "sliding_10min_2min")) -> DataFrame:
+                      labels: tuple[str, str] = ("tumbling_5min", "sliding_10min_2min"),
+                      slice_width: str = "10 seconds") -> DataFrame:
     """Statistics and trends of the sensors as one table; columns of the other kind are null."""
     trend = W.sensor_trend_stream if sensors.isStreaming else W.sensor_trend
     return W.sensor_stats(sensors, size, labels[0]).unionByName(
-        trend(sensors, span, slide, labels[1]), allowMissingColumns=True)
+        trend(sensors, span, slide, labels[1], slice_width), allowMissingColumns=True)

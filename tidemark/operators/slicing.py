@@ -54,7 +54,10 @@ def _helpers(key: list[str]) -> list[str]:
 
 
 def slice_rows(df: DataFrame, key: list[str], pos: Column, before: int = 0, after: int = 0) -> DataFrame:
-    """Adds ``_slice``, ``_own`` and ``_hot``; copies rows into slices that reach back ``before`` or ahead ``after``."""
+    """Adds ``_slice``, ``_own`` and ``_hot``; copies rows into slices that reach back ``before`` or ahead ``after``.
+
+    Rows without a position have no place in the order and are left out."""
+    df = df.where(pos.isNotNull())
     hot = hot_keys(df, key, pos, min_width=max(before, after))
     marked = _mark(df, key, hot)
     is_hot = F.col("_width").isNotNull()
@@ -75,6 +78,12 @@ def over_slices(key: list[str], *order: Column | str, more: list[str] | None = N
     return Window.partitionBy(*key, "_slice", *(more or [])).orderBy(*order)
 
 
+def by_slice(sliced: DataFrame, key: list[str]) -> DataFrame:
+    """Places rows by slice once, for several windows to come: the first of them alone might place them more finely,
+    and the next would have to move them again."""
+    return sliced.repartition(*key, "_slice")
+
+
 def own(df: DataFrame) -> DataFrame:
     """Drops halo rows and the helper columns."""
     return df.where("_own").drop("_own", "_slice", "_hot")
@@ -136,6 +145,7 @@ def row_numbers(df: DataFrame, key: list[str], pos: Column, order: list[str], na
 
 def rank_slices(df: DataFrame, key: list[str], pos: Column, order: list[str], back: int) -> DataFrame:
     """Slices in which every own row has the ``back`` rows before it; hot keys are cut by row number."""
+    df = df.where(pos.isNotNull())
     hot = hot_keys(df, key, pos)
     rows = max(hot_key_rows(df.sparkSession), back + 1)
     cold = (_mark(df, key, hot).where(F.col("_width").isNull()).drop(*_helpers(key))

@@ -22,22 +22,23 @@ def count_by_user_type(events: DataFrame, size: str = "1 minute") -> DataFrame:
 def page_stats(events: DataFrame, size: str = "5 minutes", approximate: bool = False) -> DataFrame:
     """Views, distinct users and mean duration per page; events without a page do not count.
 
-    On a table the distinct users are counted in two steps, by (window, page, user) first, so that a page with a
-    third of all views is spread over its users. A stream keeps the set of users of each open window, or with
-    ``approximate`` a fixed-size sketch.
+    Distinct users are counted in two steps, by (window, page, user) first, so that a page with a third of all views
+    is spread over its users, on a stream (append mode) as well. ``approximate`` keeps a fixed-size sketch instead.
     """
-    duration = F.col("duration").cast("string").try_cast("bigint")
-    seen = late_filter(events, F.col("page").isNotNull()).select(
-        F.window("ts", size).alias("window"), "page", "userId", duration.alias("_d"))
-    if events.isStreaming or approximate:
-        users = F.approx_count_distinct("userId") if approximate else F.size(F.collect_set("userId"))
-        counted = seen.groupBy("window", "page").agg(
-            F.count(F.lit(1)).alias("pageViews"), users.cast("bigint").alias("uniqueUsers"),
+    duration = F.col("duration")
+    if dict(events.dtypes)["duration"] == "string":
+        duration = F.when(duration.rlike("^[+-]?[0-9]{1,18}$"), duration.try_cast("bigint"))
+    seen = late_filter(events, F.col("page").isNotNull()).select("ts", "page", "userId", duration.alias("_d"))
+    window = F.window("ts", size).alias("window")
+    if approximate:
+        counted = seen.groupBy(window, "page").agg(
+            F.count(F.lit(1)).alias("pageViews"), F.approx_count_distinct("userId").alias("uniqueUsers"),
             F.sum("_d").alias("_sum"), F.count("_d").alias("_n"))
     else:
-        per_user = seen.groupBy("window", "page", "userId").agg(
+        per_user = seen.groupBy(window, "page", "userId").agg(
             F.count(F.lit(1)).alias("_views"), F.sum("_d").alias("_sum"), F.count("_d").alias("_n"))
-        counted = per_user.groupBy("window", "page").agg(
+        again = F.window("window", size).alias("window") if events.isStreaming else F.col("window")
+        counted = per_user.groupBy(again, "page").agg(
             F.sum("_views").alias("pageViews"), F.count("userId").alias("uniqueUsers"),
             F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
     mean = F.coalesce(F.try_divide("_sum", "_n"), F.lit(0.0))
@@ -84,10 +85,9 @@ def sensor_trend(sensors: DataFrame, size: str = "10 minutes", slide: str = "2 m
     width = micros(slice_width) if slice_width else step
     if step % width or span % width:
         raise ValueError("the slices must divide the slide and the window")
-    numbered = sensors.select(
-        "sensorType", "value", F.floor(F.unix_micros("ts") / width).alias("_slice"),
-        (F.row_number().over(Window.partitionBy("sensorType", F.floor(F.unix_micros("ts") / width))
-                             .orderBy("ts", "readingId")) - 1).alias("_i"))
+    placed = sensors.select("sensorType", "value", "ts", "readingId", F.floor(F.unix_micros("ts") / width).alias("_slice"))
+    number = F.row_number().over(Window.partitionBy("sensorType", "_slice").orderBy("ts", "readingId")) - 1
+    numbered = placed.withColumn("_i", number)
     slices = numbered.groupBy("sensorType", "_slice").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_y"), F.sum(F.col("_i") * F.col("value")).alias("_iy"))
     begin = F.col("_slice") * width
@@ -110,20 +110,30 @@ def sensor_trend(sensors: DataFrame, size: str = "10 minutes", slide: str = "2 m
 
 
 def sensor_trend_stream(sensors: DataFrame, size: str = "10 minutes", slide: str = "2 minutes",
-                        label: str = "sliding_10min_2min") -> DataFrame:
-    """The same on a stream, where row numbers are not available: the open windows hold their readings."""
-    grouped = sensors.groupBy(F.window("ts", size, slide), "sensorType").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "readingId", "value"))).alias("_r"))
-    values = F.transform(F.col("_r"), lambda r: r["value"])
-    weighted = F.transform(values, lambda v, i: v * i)
+                        label: str = "sliding_10min_2min", slice_width: str = "10 seconds") -> DataFrame:
+    """The same on a stream, where row numbers are not available: the state holds the readings of open slices, and
+    of open windows only one summary per slice. Runs in append mode."""
+    if micros(slide) % micros(slice_width) or micros(size) % micros(slice_width):
+        raise ValueError("the slices must divide the slide and the window")
 
     def total(c: Column) -> Column:
         return F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
 
-    n = F.size("_r")
-    return (grouped.where(n >= 2)
-            .withColumn("trend", slope(n, total(values), total(weighted)))
-            .select("sensorType", *_bounds(), n.alias("dataPoints"), "trend",
+    values = F.transform(F.col("_r"), lambda r: r["value"])
+    slices = sensors.groupBy(F.window("ts", slice_width), "sensorType").agg(
+        F.sort_array(F.collect_list(F.struct("ts", "readingId", "value"))).alias("_r")).select(
+        "window", "sensorType", F.struct(
+            F.col("window.start").alias("begin"), F.size("_r").cast("bigint").alias("n"), total(values).alias("y"),
+            total(F.transform(values, lambda v, i: v * i)).alias("iy")).alias("_slice"))
+    grouped = slices.groupBy(F.window("window", size, slide), "sensorType").agg(
+        F.sort_array(F.collect_list("_slice")).alias("_slices"))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("y"), F.lit(0.0).alias("xy"))
+    joined = F.aggregate("_slices", none, lambda a, s: F.struct(
+        (a["n"] + s["n"]).alias("n"), (a["y"] + s["y"]).alias("y"),
+        (a["xy"] + s["iy"] + a["n"] * s["y"]).alias("xy")))
+    return (grouped.withColumn("_t", joined).where(F.col("_t.n") >= 2)
+            .withColumn("trend", slope(F.col("_t.n"), F.col("_t.y"), F.col("_t.xy")))
+            .select("sensorType", *_bounds(), F.col("_t.n").cast("int").alias("dataPoints"), "trend",
                     trend_direction(F.col("trend")).alias("trendDirection"),
                     F.lit(label).alias("aggregationType")))
 

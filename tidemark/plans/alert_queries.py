@@ -107,7 +107,8 @@ SELECT "sensorType", window_start, window_end, NULL, NULL, NULL, NULL, "aggregat
 FROM ({ORACLES['a5_sensor_trend']})
 """)
 def u3_sensor_aggregates(spark, folder):
-    return R.sensor_aggregates(sensors(spark, folder), "6 hours", "10 hours", "2 hours", ("tumbling_6h", "sliding_10h_2h"))
+    return R.sensor_aggregates(sensors(spark, folder), "6 hours", "10 hours", "2 hours",
+                               ("tumbling_6h", "sliding_10h_2h"), "30 minutes")
 
 
 _TX = """"transactionId", "userId", ts, amount, status, CAST("riskScore" AS DOUBLE) AS "riskScore", country,
