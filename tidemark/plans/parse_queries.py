@@ -176,7 +176,7 @@ SELECT "userId" AS doc_id, ts, "eventType", 'user-events' AS "index" FROM ranked
 """)
 def s6_document_upsert(spark, folder):
     """Two batches, the second written twice, then read back."""
-    root = f"{shared_folder(spark)}/documents-{folder.rstrip('/').rsplit('/', 1)[-1]}"
+    root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/documents-{folder.rstrip('/').rsplit('/', 1)[-1]}"
     docs = D.route_index(user_events(spark, folder).select(
         F.col("userId").alias("doc_id"), "ts", "eventType", "eventId"))
     half = F.col("eventId") % 2
