@@ -57,3 +57,18 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(ts" in text and "EqualTo(user_id" in text
     assert "ReadSchema: struct<ts:timestamp,user_id:bigint>" in text
 
+
+
+def test_a_burst_is_cut_finely(spark):
+    """Half of a key's rows within a thousandth of its time."""
+    from pyspark.sql import functions as F
+    from tidemark.operators import slicing
+    span = 30 * 86_400_000_000
+    rows = spark.range(20000).select(F.lit("k").alias("k"), F.when(
+        F.col("id") % 2 == 0, F.col("id") * (span // 20000)).otherwise(span // 3 + F.col("id") * (span // 1000 // 20000)).alias("p"))
+    spark.conf.set(slicing.HOT_KEY_SETTING, "500")
+    try:
+        sizes = slicing.slice_rows(rows, ["k"], F.col("p")).groupBy("_slice").count().agg(F.max("count"), F.sum("count")).first()
+    finally:
+        spark.conf.unset(slicing.HOT_KEY_SETTING)
+    assert sizes[0] <= 1500 and sizes[1] == 20000

@@ -14,8 +14,8 @@ take part in the window and are dropped afterwards:
 * running totals: ``add_totals`` carries one row of totals per slice;
 * the last n rows: ``rank_slices`` cuts by row number instead of by time.
 
-The table of hot keys holds fewer than (rows / HOT_KEY_ROWS) rows and so is safe to broadcast; when it turns
-out empty, adaptive execution removes the branches that depend on it.
+The tables of hot keys hold fewer than (rows / HOT_KEY_ROWS) rows and so are safe to broadcast; when they
+turn out empty, adaptive execution removes the branches that depend on them.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 HOT_KEY_ROWS = 2_000_000
 HOT_KEY_SETTING = "tidemark.hotKeyRows"
+CELLS = 4096
 
 
 def hot_key_rows(spark: SparkSession) -> int:
@@ -34,14 +35,24 @@ def hot_key_rows(spark: SparkSession) -> int:
 
 
 def hot_keys(df: DataFrame, key: list[str], pos: Column, min_width: int = 1) -> DataFrame:
-    """Keys above the row limit, with the origin and the width of their slices."""
+    """Keys above the row limit, with the origin and the width of their slices.
+
+    The width follows the densest part of a key, so that a burst is cut finely enough: the rows of hot keys alone
+    are counted again in ``CELLS`` equal parts of the key's range.
+    """
     limit = hot_key_rows(df.sparkSession)
-    counted = df.select(*key, pos.alias("_p")).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / limit))
-    return counted.where(F.col("_n") > limit).select(
-        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(key)],
-        "_lo", F.greatest(width, F.lit(max(min_width, 1))).alias("_width"))
+    narrow = df.select(*key, pos.alias("_p"))
+    names = [f"_hot_{i}" for i in range(len(key))]
+    busy = narrow.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).where(F.col("_n") > limit)
+    busy = busy.select(*[F.col(k).alias(n) for k, n in zip(key, names)], "_lo",
+                       F.ceil((F.col("_hi") - F.col("_lo") + 1) / CELLS).alias("_cell"))
+    cells = _mark(narrow, key, busy, "inner").groupBy(
+        *names, "_lo", "_cell", F.floor((F.col("_p") - F.col("_lo")) / F.col("_cell")).alias("_at"))
+    densest = cells.agg(F.count(F.lit(1)).alias("_n")).groupBy(*names, "_lo", "_cell").agg(F.max("_n").alias("_n"))
+    width = F.when(F.col("_n") > limit, F.ceil(F.col("_cell") / F.ceil(F.col("_n") / limit))).otherwise(
+        F.col("_cell") * F.floor(limit / F.col("_n")))
+    return densest.select(*names, "_lo", F.greatest(width, F.lit(max(min_width, 1))).alias("_width"))
 
 
 def _mark(df: DataFrame, key: list[str], hot: DataFrame, how: str = "left") -> DataFrame:
