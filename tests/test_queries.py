@@ -6,8 +6,9 @@ import __spark_entry__ as contract
 from check_oracle import compare, connect
 from conftest import SF
 from tidemark.operators.slicing import HOT_KEY_SETTING
+from tidemark.plans.catalog import ORACLES, QUERIES
 
-KEYED = [n for n in contract.queries() if n[:2] in {"t1", "t2", "t3", "t4", "t5", "t6", "t8", "c1", "c2", "c3", "c4", "c6",
+KEYED = [n for n in QUERIES if n[:2] in {"t1", "t2", "t3", "t4", "t5", "t6", "t8", "c1", "c2", "c3", "c4", "c6",
                                                     "j1", "j2", "u1", "u2", "m1", "m2", "m4"} or n[:3] in {"e19", "x12"}]
 
 
@@ -16,7 +17,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     text, _, good = compare(spark, con, name, SF)
     assert good, text
@@ -38,4 +39,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(ORACLES) == set(QUERIES)
