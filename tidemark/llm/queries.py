@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
+from tidemark.llm import html_cut
 from tidemark.llm.common import read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -41,3 +42,10 @@ def op1_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         imatch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         imatch.likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+@query("op2_main_text")
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html_cut.extract(read(spark, folder, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_content")
