@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
-from tidemark.llm import html_cut
+from tidemark.llm import html_cut, secret_scan
 from tidemark.llm.common import read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -49,3 +49,13 @@ def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     pages = html_cut.extract(read(spark, folder, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_content")
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secret_scan.scan(read(spark, folder, "documents").select("doc_id", "text"))
+    base = secret_scan.KINDS[:3]
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(secret_scan.KINDS).alias("spans"))
