@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
-from tidemark.llm import html_cut, secret_scan
+from tidemark.llm import html_cut, secret_scan, url_rules
 from tidemark.llm.common import read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -59,3 +59,42 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(secret_scan.KINDS).alias("spans"))
+
+
+@query("op6_url_filter", r"""
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3)
+    ELSE '' END AS u FROM pages),
+parts AS (SELECT page_id, html, u, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS query FROM cut),
+named AS (SELECT *, host || path || query AS address FROM parts),
+rules(action, name, start) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags AS (SELECT address, host, path, unnest(list_concat(
+    [regexp_extract(t, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1) FOR t IN regexp_extract_all(seen,
+      '(?i)<link\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical(?:["''\s][^>]*)?>')],
+    [regexp_extract(t, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) FOR t IN regexp_extract_all(seen,
+      '(?i)<meta\s(?:[^>]*\s)?http-equiv\s*=\s*["'']?refresh(?:["''\s][^>]*)?>')])) AS link
+  FROM (SELECT *, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>', ' ', 'g') AS seen FROM named WHERE host <> '')),
+targets AS (SELECT address AS a, CASE WHEN link LIKE '%://%' THEN substr(link, strpos(link, '://') + 3)
+    WHEN link LIKE '//%' THEN substr(link, 3) WHEN link LIKE '/%' THEN host || link
+    ELSE host || CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '^.*/') ELSE '/' END || link END AS u
+  FROM (SELECT address, host, path, replace(link, '&amp;', '&') AS link FROM tags WHERE link <> '')),
+pairs AS (SELECT a, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || regexp_extract(u, '^[^/?#]*([^?#]*)', 1) || regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS b FROM targets),
+edges AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
+reach AS (SELECT a AS v, a AS w FROM edges UNION SELECT r.v, e.b FROM reach r JOIN edges e ON r.w = e.a),
+ruled AS (SELECT w, host, path, (SELECT arg_max(action, length(name) + length(start)) FROM rules WHERE (host = name OR
+    suffix(host, '.' || name)) AND starts_with(path, start)) AS action
+  FROM (SELECT DISTINCT w, regexp_extract(w, '^[^/?#]*') AS host, regexp_extract(w, '^[^/?#]*([^?#]*)', 1) AS path FROM reach)),
+alias AS (SELECT v, max(action = 'block') AND NOT coalesce(max(action = 'allow'), FALSE) AS blocked
+  FROM reach JOIN ruled USING (w) GROUP BY v),
+own AS (SELECT page_id, host, path, address, (SELECT arg_max({'r': name || start, 'a': action}, length(name) + length(start))
+    FROM rules WHERE (host = name OR suffix(host, '.' || name)) AND starts_with(path, start)) AS hit FROM named)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, hit.r AS rule,
+  coalesce(hit.a, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict FROM own LEFT JOIN alias ON address = v
+""")
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page's address."""
+    judged = url_rules.judge(read(spark, folder, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
