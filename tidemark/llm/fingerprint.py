@@ -13,6 +13,7 @@ table gives no rows. Other columns pass through; the added name replaces a colum
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACE, whole
+from tidemark.llm.common import SPACE, unpacked, whole
 
 #: Subsets as (rate, how many), sparse first.
 LEVELS = ((1 / 4096, 16), (1 / 1024, 32), (1 / 256, 32), (1 / 64, 24), (1 / 8, 24))
@@ -86,13 +87,38 @@ def fingerprints(docs: DataFrame, terms: list[str], text: Column | None = None,
     """``docs`` with the binary fingerprint of ``text``. ``terms``: the lexicon, of bounded size."""
     lent = docs.sparkSession.sparkContext.broadcast(terms)
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held = dict(zip(lent.value, _membership(lent.value)))
         for batch in batches:
-            yield pd.Series([fingerprint_of(t.split(), held) for t in batch], dtype=object)
+            yield pd.Series([fingerprint_of(t.lower().split(), held) for t in batch], dtype=object)
 
-    return docs.withColumn(out, apply(F.lower(whole() if text is None else text)))
+    return docs.withColumn(out, apply(whole() if text is None else text))
+
+
+def edited(pairs: DataFrame, terms: list[str], text: str, donor: str) -> DataFrame:
+    """Fingerprint and digest of texts whose second half gives way to the donor's start.
+
+    ``text`` and ``donor`` are packed. The last floor(n / 2) code points are replaced by as many of the donor's first ones,
+    or by all of them. Adds ``edited_sha256`` and ``edited_fingerprint``.
+    """
+    lent = pairs.sparkSession.sparkContext.broadcast(terms)
+    kind = T.StructType([T.StructField("edited_sha256", T.StringType()), T.StructField("edited_fingerprint", T.BinaryType())])
+
+    @F.pandas_udf(kind)
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        held = dict(zip(lent.value, _membership(lent.value)))
+        for own, other in batches:
+            rows = []
+            for a, b in zip(own, other):
+                a, b = unpacked(a), unpacked(b)
+                half = len(a) // 2
+                new = a[:len(a) - half] + b[:half]
+                rows.append((hashlib.sha256(new.encode()).hexdigest(), fingerprint_of(new.lower().split(), held)))
+            yield pd.DataFrame(rows, columns=kind.names)
+
+    done = pairs.withColumn("_edited", apply(text, donor))
+    return done.withColumns({n: F.col(f"_edited.{n}") for n in kind.names}).drop("_edited")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
 from tidemark.llm import html_cut, secret_scan, url_rules
-from tidemark.llm.common import read, whole
+from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,14 +31,11 @@ def op1_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edited text: the second half replaced by the next document's start."""
     docs = read(spark, folder, "documents").select("doc_id", whole().alias("text"))
     terms = imatch.lexicon(docs)
-    own = imatch.fingerprints(docs, terms)
+    own = imatch.fingerprints(docs, terms).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", packed("text").alias("text"))
     pairs = with_next(own, "doc_id", {"text": "next_text", "fingerprint": "next_fingerprint"}, F.xxhash64("text"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    pairs = pairs.withColumn("edited", edited)
-    out = imatch.fingerprints(pairs, terms, F.col("edited"), "edited_fingerprint")
-    return out.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+    return imatch.edited(pairs, terms, "text", "next_text").select(
+        "doc_id", "n_chars", "edited_sha256",
         F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         imatch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         imatch.likeness("fingerprint", "next_fingerprint").alias("near_next"))
