@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
-from tidemark.llm import html_cut, secret_scan, url_rules
+from tidemark.llm import html_cut, quality_crf, secret_scan, url_rules
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -95,3 +95,13 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Rule and verdict of every page's address."""
     judged = url_rules.judge(read(spark, folder, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_quality_crf")
+def op10_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; one in five labels is held out."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    labels = read(spark, folder, "labels").where(~quality_crf.held_out()).select("doc_id", "quality")
+    scored = quality_crf.score(docs, quality_crf.fit(docs, labels))
+    return scored.select("doc_id", quality_crf.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality_crf.KEEP).cast("int").alias("predicted"))
