@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
-from tidemark.llm import html_cut, quality_crf, secret_scan, url_rules
+from tidemark.llm import html_cut, ngram_join, quality_crf, secret_scan, url_rules
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -105,3 +105,9 @@ def op10_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality_crf.score(docs, quality_crf.fit(docs, labels))
     return scored.select("doc_id", quality_crf.held_out().alias("held_out"), "score",
                          (F.col("score") >= quality_crf.KEEP).cast("int").alias("predicted"))
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's shingle set, and the component its links make."""
+    return ngram_join.join(read(spark, folder, "documents").select("doc_id", "text"))
