@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
-from tidemark.llm import html_cut, ngram_join, quality_crf, secret_scan, url_rules
+from tidemark.llm import decontaminate, html_cut, ngram_join, quality_crf, secret_scan, url_rules
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -111,3 +111,12 @@ def op10_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Size of every document's shingle set, and the component its links make."""
     return ngram_join.join(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item, its first word and the similarity."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, read(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", F.col("leak.start").alias("first_word"), "leak.similarity")
