@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
-from tidemark.llm import decontaminate, html_cut, ngram_join, quality_crf, secret_scan, url_rules
+from tidemark.llm import decontaminate, html_cut, ngram_join, pieces, quality_crf, secret_scan, url_rules
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -120,3 +121,14 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_leaks(docs, read(spark, folder, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select(
         "doc_id", "leak.item_id", F.col("leak.start").alias("first_word"), "leak.similarity")
+
+
+@query("op7_sampled_pieces")
+def op7_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, digested, and whether decoding gives the text back."""
+    model = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = read(spark, folder, "documents").select("doc_id", whole().alias("text"))
+    coded = pieces.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), model, keep=("doc_id", "text_sha256"))
+    return pieces.digest(coded, model).select(
+        "doc_id", "sample", "n_pieces", "ids_sha256", "log_prob", "log_inclusion",
+        (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
