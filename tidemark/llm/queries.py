@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
-from tidemark.llm import decontaminate, html_cut, ngram_join, pieces, quality_crf, secret_scan, url_rules
+from tidemark.llm import (
+    decontaminate, html_cut, license_scan, ngram_join, pieces, quality_crf, secret_scan, sentence_spans, url_rules)
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -132,3 +133,17 @@ def op7_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest(coded, model).select(
         "doc_id", "sample", "n_pieces", "ids_sha256", "log_prob", "log_inclusion",
         (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+
+
+@query("op5_repeated_spans")
+def op5_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the sentences of repeated spans that occur earlier."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return sentence_spans.remove_repeats(docs).select(
+        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of every document that holds one."""
+    return license_scan.scan(read(spark, folder, "documents").select("doc_id", "text"))
