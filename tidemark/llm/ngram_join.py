@@ -26,13 +26,14 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bitmaps
-from tidemark.llm.common import components, packed, stored, unpacked, whole
+from tidemark.llm.common import components, packed, slices, stored, unpacked, whole
 from tidemark.llm.shingles import Words, distinct
 
 #: Least similarity, in hundredths.
@@ -65,37 +66,45 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def _keys(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+def _keys(batches: Iterator[pa.RecordBatch], least: int, hot=None) -> Iterator[pa.RecordBatch]:
+    """Prefix keys of every class of the task; with ``hot`` only the keys that replace hot ones."""
     words, seen = Words(), set()
     none = np.array([], np.uint64)
-    for batch in batches:
-        found = []
-        for text in batch["text"]:
+    for batch in slices(batches):
+        found = [none]
+        for text in batch.column("text").to_pylist():
             shingles = distinct(text, words)
             own = class_of(shingles)
             if len(shingles) and own not in seen:
                 seen.add(own)
-                found.append(prefix(shingles, none, least))
-        yield pd.DataFrame({"key": np.concatenate(found or [none]).view(np.int64)})
+                first = prefix(shingles, none, least)
+                found.append(first if hot is None else np.setdiff1d(prefix(shingles, hot.value, least), first, assume_unique=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
 
 _PROFILE = "doc_id long, n long, class long, band int, keys array<long>, bits array<long>"
 
 
-def _profiles(batches: Iterator[pd.DataFrame], least: int, hot, shared) -> Iterator[pd.DataFrame]:
+def _profiles(batches: Iterator[pa.RecordBatch], least: int, hot, shared) -> Iterator[pa.RecordBatch]:
     words, seen = Words(), set()
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+    for batch in slices(batches):
+        sizes, classes, bands, keys, bits = [], [], [], [], []
+        for text in batch.column("text").to_pylist():
             shingles = distinct(text, words)
             n, own = len(shingles), class_of(shingles)
-            keys = bits = None
+            sizes.append(n)
+            classes.append(own)
+            bands.append(band(n, least))
+            keys.append(None)
+            bits.append(None)
             if n and own not in seen:
                 seen.add(own)
-                keys = prefix(shingles, hot.value, least).view(np.int64)
-                keys, bits = keys[bitmaps.holds(shared.value, keys)], bitmap(shingles)
-            rows.append((doc_id, n, own, band(n, least), keys, bits))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "class", "band", "keys", "bits"]).astype({"doc_id": "Int64"})
+                found = prefix(shingles, hot.value, least).view(np.int64)
+                keys[-1], bits[-1] = found[bitmaps.holds(shared.value, found)], bitmap(shingles)
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bands, pa.int32()),
+             pa.array(keys, longs), pa.array(bits, longs)], ["doc_id", "n", "class", "band", "keys", "bits"])
 
 
 def band(n: int, least: int) -> int:
@@ -107,7 +116,7 @@ def profiles(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per document its class, set size and band; once per task and class also prefix keys that several sets hold, and bitmap."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    counted = (texts.select("text").mapInPandas(partial(_keys, least=least), "key long").groupBy("key")
+    counted = (texts.select("text").mapInArrow(partial(_keys, least=least), "key long").groupBy("key")
                .agg(F.count("*").alias("sets")).where("sets > 1"))
     counted = stored(counted)
     often = counted.where(F.col("sets") > OFTEN).orderBy(F.desc("sets"), "key").limit(MOST_HOT).select("key").collect()
@@ -116,29 +125,13 @@ def profiles(docs: DataFrame, least: int = LEAST) -> DataFrame:
     shared = bitmaps.of_column(counted, "key")
     if len(hot):
         lent = spark.sparkContext.broadcast(hot)
-        late = texts.select("text").mapInPandas(partial(_late_keys, least=least, hot=lent), "key long")
+        late = texts.select("text").mapInArrow(partial(_keys, least=least, hot=lent), "key long")
         shared = shared | bitmaps.of_column(late, "key")
-    made = texts.mapInPandas(partial(_profiles, least=least, hot=spark.sparkContext.broadcast(hot),
+    made = texts.mapInArrow(partial(_profiles, least=least, hot=spark.sparkContext.broadcast(hot),
                                      shared=spark.sparkContext.broadcast(shared)), _PROFILE)
     return stored(made)
 
 
-def _late_keys(batches: Iterator[pd.DataFrame], least: int, hot) -> Iterator[pd.DataFrame]:
-    """Keys that replace hot ones."""
-    words, seen = Words(), set()
-    none = np.array([], np.uint64)
-    for batch in batches:
-        found = []
-        for text in batch["text"]:
-            shingles = distinct(text, words)
-            own = class_of(shingles)
-            if len(shingles) and own not in seen:
-                seen.add(own)
-                first = prefix(shingles, none, least)
-                found.append(np.setdiff1d(prefix(shingles, hot.value, least), first, assume_unique=True))
-        yield pd.DataFrame({"key": np.concatenate(found or [none]).view(np.int64)})
-
-
 def tiles(profiled: DataFrame) -> DataFrame:
     """Rows (key, band, n, class, leader) of the keys that several classes hold; the leader is its tile's smallest set."""
     rows = profiled.where("keys is not null").select(F.explode("keys").alias("key"), "band", "n", "class")
