@@ -1,13 +1,65 @@
-"""From raw documents to token samples in stages; each stage's rows are written and read again."""
+"""From raw documents to token samples in stages; each stage's rows are written and read again.
+
+1. quality: documents that the line field scores below ``quality_crf.KEEP`` go.
+2. near copies: of each component of linked documents the one of least doc_id stays. Repeated rows of one id become one;
+   rows without an id cannot be named and stay.
+3. decontamination: documents that hold a benchmark item go.
+4. secrets: found spans give way to a mark; no document goes. ``n_chars`` is renewed.
+5. tokens: two sampled segmentations of every document that is left.
+
+Extra columns pass through the first four stages. Empty tables pass through all of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontaminate, ngram_join, pieces, quality_crf, secret_scan
 from tidemark.llm.common import read, stored
 
-STAGES: list = []
+#: The vocabulary of the last stage.
+VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(~quality_crf.held_out()).select("doc_id", "quality")
+    model = quality_crf.fit(docs, labels)
+    return quality_crf.score(docs, model, "_score").where(F.col("_score") >= quality_crf.KEEP).drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = ngram_join.join(docs.select("doc_id", "text"))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"), "_leaks")
+    return found.where(F.size("_leaks") == 0).drop("_leaks")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, pieces.model_bytes(VOCABULARY), keep=("doc_id",))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", redact_secrets),
+    ("SentencePiece encoding", sample_pieces),
+]
 
+#: No SQL: the field, the fingerprints and the samples are not expressible in it.
 ORACLE_SQL = None
 
 
