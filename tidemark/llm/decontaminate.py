@@ -179,15 +179,16 @@ class Items:
                     if w + size <= ends[doc] and (doc, item, start) not in tried:
                         tried.add((doc, item, start))
                         begin = int(ends[doc]) - len(docs[doc])
-                        like = self._similarity(item, docs[doc], start - begin)
-                        if like >= LEAST and like > best[doc].get(item, (0, 0.0))[1]:
-                            best[doc][item] = (max(start - begin, 0), like)
-        return [[(self.ids[i], *v) for i, v in sorted(found.items())] for found in best]
-
-    def _similarity(self, item: int, doc: np.ndarray, start: int) -> float:
-        """Weighted share of the item's shingles that the stretch holds; two words more at either end allow for shifts."""
+                        slack = 2 if len(self.hashes[item]) >= WIDTH else 0  # words more at either end allow for shifts
+                        like = self._similarity(item, docs[doc], start - begin, slack)
+                        if like >= LEAST:
+                            rank = (like, self._similarity(item, docs[doc], start - begin, 0), begin - start)
+                            best[doc][item] = max(rank, best[doc].get(item, rank))
+        return [[(self.ids[i], max(-v[2], 0), v[0]) for i, v in sorted(found.items())] for found in best]
+
+    def _similarity(self, item: int, doc: np.ndarray, start: int, slack: int) -> float:
+        """Weighted share of the item's shingles that the stretch holds."""
         want, weight = self.shingles[item]
-        slack = 2 if len(self.hashes[item]) >= WIDTH else 0
         have, _ = _shingles(doc[max(start - slack, 0):max(start + len(self.hashes[item]) + slack, 0)])
         return float(weight[np.isin(want, have)].sum() / weight.sum())
 

@@ -126,11 +126,11 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     spans = stored(repeated_spans(docs, sentences, words))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     marked = docs.withColumn("_may", bitmaps.filter_of(spans, "doc_id", key))
-    cut = (marked.where("_may").withColumn("_key", key).join(spans.select(F.col("doc_id").alias("_key"), "spans"), "_key")
-           .withColumn("_cut", _cut(whole(), "spans")))
+    gone = spans.select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"))
+    cut = marked.where("_may").withColumn("_key", key).join(gone, "_key").withColumn("_cut", _cut(whole(), "_spans"))
     renewed = {"text": F.col("_cut.text"), "n_chars": F.length("_cut.text").cast("long"), "n_removed": F.col("_cut.n_removed")}
     names = [c for c in docs.columns if c != "n_removed"]
     changed = cut.select(*[renewed[c].alias(c) if c in renewed else F.col(f"`{c}`") for c in names], renewed["n_removed"].alias("n_removed"))
-    kept = marked.where("_may").withColumn("_key", key).join(spans.select(F.col("doc_id").alias("_key")), "_key", "left_anti")
+    kept = marked.where("_may").withColumn("_key", key).join(gone.select("_key"), "_key", "left_anti")
     same = [F.col(f"`{c}`") for c in names] + [F.lit(0).alias("n_removed")]
     return changed.unionByName(kept.select(*same)).unionByName(marked.where(~F.col("_may")).select(*same))
