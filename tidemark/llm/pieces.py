@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import whole
+from tidemark.llm.common import slices, whole
 from tidemark.llm.shingles import mix
 
 _UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words looked at together, and lattice nodes that a worker keeps.
-CHUNK, NODES = 300_000, 1_200_000
+CHUNK, NODES = 80_000, 1_000_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,33 +48,48 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+def _piece(sp, i: int) -> tuple[str | None, bytes]:
+    """A piece as text, if it is one, and as bytes."""
+    piece = sp.id_to_piece(i)
+    if sp.is_byte(i):
+        return None, bytes([int(piece[1:-1], 16)])
+    if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
+        return None, b""
+    text = piece.replace("▁", " ")
+    return text, text.encode()
+
+
+def _processor(model: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+def raw_pieces(model: bytes) -> list[bytes]:
+    """The bytes of every piece."""
+    sp = _processor(model)
+    return [_piece(sp, i)[1] for i in range(sp.vocab_size())]
+
+
 class Vocabulary:
     """Pieces, their weights, and per length the hashes of all prefixes of pieces."""
 
     def __init__(self, model: bytes, alpha: float):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        sp = _processor(model)
         self.size = sp.vocab_size()
-        rank = np.arange(self.size) + 2.0
-        self.weight = -alpha * np.log(rank)
+        self.weight = -alpha * np.log(np.arange(self.size) + 2.0)
         self.byte = np.full(256, -1, np.int64)
         self.raw: list[bytes] = []
         prefixes: dict[str, int] = {}
         for i in range(self.size):
-            piece = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                value = int(piece[1:-1], 16)
-                self.byte[value] = i
-                self.raw.append(bytes([value]))
-            elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.raw.append(b"")
-            else:
-                text = piece.replace("▁", " ")
-                self.raw.append(text.encode())
+            text, raw = _piece(sp, i)
+            self.raw.append(raw)
+            if text is not None:
                 for n in range(1, len(text)):
                     prefixes.setdefault(text[:n], -1)
                 prefixes[text] = i
+            elif raw:
+                self.byte[raw[0]] = i
         self.byte_weight = -alpha * math.log(self.size + 2.0)
         self.tables = []
         by_length: dict[int, list] = {}
@@ -93,6 +108,19 @@ def extend(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + code + np.uint64(1)
 
 
+class Numbers(dict):
+    """Numbers of words in the order of their coming; new ones are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = len(self)
+        self.new.append(word)
+        return out
+
+
 class Lattices:
     """Lattices of words, one after another: nodes, and the edges of each node with running chances."""
 
@@ -101,7 +129,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.start = np.zeros(0, np.int32)  # per word its first node
         self.stop = np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)  # per node its first edge, and one past the last
@@ -112,18 +140,16 @@ class Lattices:
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Numbers of words; lattices of new words are added."""
-        new = set(words) - self.index.keys()
-        if new:
-            if len(self.first) > NODES:
-                self.clear()
-                new = set(words)
-            self._add(sorted(new))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(self.first) > NODES:
+            self.clear()
+        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self._add(self.index.new)
+            self.index.new = []
+        return out
 
     def _add(self, words: list[str]) -> None:
-        for w in words:
-            self.index[w] = len(self.index)
-        lengths = np.array([len(w) for w in words])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
         n = len(codes)
         word = np.repeat(np.arange(len(words)), lengths)
@@ -406,7 +432,7 @@ class Sampler:
 
 def decode_ids(ids, raw: list[bytes]) -> str:
     """Text of piece ids; ``raw``: the bytes of every piece."""
-    return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
+    return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def encode(docs: DataFrame, model: bytes, k: int = 2, key: str = "doc_id", keep: tuple[str, ...] = (), alpha: float = 1.0) -> DataFrame:
@@ -417,7 +443,7 @@ def encode(docs: DataFrame, model: bytes, k: int = 2, key: str = "doc_id", keep:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(lent, k, alpha)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             taken, samples, ids, logs, inclusions = [], [], [], [], []
             for row, j, tokens, log, inclusion in sampler.encode(batch.column("_text").to_pylist(), batch.column("_key").to_pylist()):
                 taken.append(row)
@@ -425,7 +451,7 @@ def encode(docs: DataFrame, model: bytes, k: int = 2, key: str = "doc_id", keep:
                 ids.append(tokens)
                 logs.append(log)
                 inclusions.append(inclusion)
-                if len(taken) >= 4000:
+                if len(taken) >= 500:
                     yield _batch(batch, taken, samples, ids, logs, inclusions)
                     taken, samples, ids, logs, inclusions = [], [], [], [], []
             yield _batch(batch, taken, samples, ids, logs, inclusions)
@@ -462,7 +488,7 @@ def decode(coded: DataFrame, model: bytes, ids: str = "ids", out: str = "text")
 
     @F.pandas_udf(T.StringType())
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        raw = Vocabulary(lent.value, 1.0).raw
+        raw = raw_pieces(lent.value)
         for batch in batches:
             yield pd.Series([decode_ids(x, raw) for x in batch], dtype=object)
 
@@ -479,10 +505,10 @@ def digest(coded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
 
     @F.pandas_udf(_DIGEST)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        raw = Vocabulary(lent.value, 1.0).raw
+        raw = raw_pieces(lent.value)
         for batch in batches:
             rows = [(len(x), hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest(),
-                     hashlib.sha256(decode_ids(x, raw).encode()).hexdigest()) for x in batch]
+                     hashlib.sha256(decode_ids(x.tolist(), raw).encode()).hexdigest()) for x in batch]
             yield pd.DataFrame(rows, columns=_DIGEST.names)
 
     done = coded.withColumn("_digest", apply(ids))
