@@ -10,6 +10,7 @@ from tidemark.functions import categories as C
 from tidemark.functions.times import event_time, is_off_hours, micros
 from tidemark.operators import alerts, dashboard, enrich, joins, keyed, metrics, patterns, routing, search, windows
 from tidemark.sources import documents, parse, topics
+from tidemark.streaming import jobs
 
 
 def values(df, *names):
@@ -343,7 +344,46 @@ def test_upsert_can_be_repeated_and_folded(spark, tmp_path):
 
 
 def test_bulk_load_counts(spark, tmp_path):
-    assert documents.bulk_load(spark.range(1000).toDF("id"), str(tmp_path / "t")) == (1000, 1000)
+    assert values(documents.bulk_load(spark.range(1000).toDF("id"), str(tmp_path / "t")), "sent", "stored") == [(1000, 1000)]
+
+
+def test_writers_do_not_touch_each_other(spark, tmp_path):
+    def batch(ids, index):
+        return spark.createDataFrame([(i, 1) for i in ids], "doc_id STRING, ts INT").withColumn("index", F.lit(index))
+
+    def ids(root, **which):
+        return sorted(r.doc_id for r in documents.read_documents(spark, root, schema, ["ts"], **which).collect())
+
+    schema, root = batch(["a"], "x").drop("index").schema, str(tmp_path / "docs")
+    for writer, index in (("tx", "transaction-events"), ("iot", "iot-sensor-events"), ("user", "user-events")):
+        documents.upsert(batch([f"{writer}1", f"{writer}2"], index), root, 0, ["ts"], writer=writer)
+    assert ids(root) == ["iot1", "iot2", "tx1", "tx2", "user1", "user2"]
+    assert ids(root, index="user-events") == ["user1", "user2"] and ids(root, ident="tx2") == ["tx2"]
+    folded = str(tmp_path / "folded")
+    documents.fold(spark, root, folded, schema, ["ts"])
+    documents.upsert(batch(["new"], "user-events"), folded, 0, ["ts"], writer="user")
+    assert ids(folded) == ["iot1", "iot2", "new", "tx1", "tx2", "user1", "user2"]
+    with pytest.raises(ValueError):
+        documents.fold(spark, root, root, schema, ["ts"])
+
+
+def test_unreadable_messages_keep_their_own_documents(spark):
+    messages = spark.createDataFrame([("user-events", 0, i, "not json" if i % 2 else None) for i in range(20)],
+                                     "topic STRING, partition INT, offset BIGINT, value STRING")
+    first, again = (jobs.documents_of(messages, "user").select("doc_id", "raw").collect() for _ in range(2))
+    assert len({r.doc_id for r in first}) == 20 and {r.doc_id for r in first} == {r.doc_id for r in again}
+    assert {r.raw for r in first} == {"not json", None}
+
+
+def test_histogram_over_a_wide_gap(spark):
+    rows = spark.createDataFrame([("1970-01-02 00:00:30",), ("2024-01-01 00:00:00",)], "t STRING").select(F.col("t").cast("timestamp").alias("ts"))
+    found = search.date_histogram(rows, "ts", "1 minute", {})
+    assert found.agg(F.count("*"), F.sum("doc_count")).first()[0:2] == (28_399_681, 2)
+
+
+def test_unknown_time_range_raises(spark):
+    with pytest.raises(ValueError):
+        dashboard.filter_tx(transactions(spark, [(0, 1, "completed")]), dashboard.Filter(time_range="2h"))
 
 
 def test_conform_adds_and_casts(spark):

@@ -116,6 +116,28 @@ LOCATIONS = [
 COUNTRIES = ["US", "UK", "DE", "FR", "CA", "AU", "JP", "IN", "BR", "MX"]
 HIGH_RISK_COUNTRIES = ["RU", "CN", "NG", "PK"]
 
+# Sources and the status of alerts.
+ALERT_SOURCES = {"fraud": "CEP-FRAUD-DETECTION", "anomaly": "ANOMALY-DETECTION"}
+ALERT_STATUS = "ACTIVE"
+
+# Alerts by type as (title, pattern of the description); the types are fixed values, the wording is this library's own.
+ALERT_TEXTS = {
+    "VELOCITY_FRAUD": ("Many payments in a row", "%d payments, %.2f in all, within %d min"),
+    "STRUCTURING_FRAUD": ("Large payment, then small ones", "payment of %.2f, then %d small ones of %.2f in all"),
+    "GEOGRAPHIC_ANOMALY": ("Payments far apart", "payment in %s, then in %s, within %d min"),
+    "TESTING_ATTACK": ("Card tried until it worked", "%d refused payments, then one of %.2f went through"),
+    "OFF_HOURS_HIGH_RISK": ("Risky payment at night", "payment of %.2f, risk %.2f, at %s"),
+    "STATISTICAL_ANOMALY": ("Reading far from the usual", "reading %.2f is %.2f deviations from the mean %.2f"),
+    "THRESHOLD_VIOLATION": ("Reading beyond its limits", "%s reading %.2f %s beyond its limits"),
+    "RAPID_CHANGE": ("Reading jumped", "reading moved by %.2f percent, %.2f to %.2f, in %.1f s"),
+    "MISSING_DATA": ("Gap in readings", "silent for %.1f min"),
+    "SENSOR_OFFLINE": ("Sensor silent", "silent for more than %.1f min"),
+    "CORRELATION_ANOMALY": ("Reading unlike its neighbours", "reading %.2f lies %.2f from the mean %.2f of its location"),
+}
+
+# The table of a document by the id it carries; others belong to "user-events".
+INDEXES = {"transactionId": "transaction-events", "sensorId": "iot-sensor-events"}
+
 # Message kind by topic; anything else is "unknown".
 TOPIC_KINDS = {
     "user-events": "user_event",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
+from tidemark.functions.fixed_values import ALERT_SOURCES, ALERT_STATUS, ALERT_TEXTS
 from tidemark.functions.times import is_off_hours, micros
 from tidemark.operators import keyed as K
 from tidemark.operators import patterns as P
@@ -13,19 +16,21 @@ from tidemark.operators import slicing as S
 from tidemark.operators import windows as W
 
 
-def alert(kind: str, source: str, key: Column, at: Column, title: str, description: Column, severity: Column,
-          **details: Column) -> Column:
+def alert(kind: str, source: str, key: Column, at: Column, description: Column, severity: Column, **details: Column) -> Column:
     """An alert as a struct. Its id is a digest of type, key and time, so repeated runs give the same alert."""
     text = F.concat_ws("|", F.lit(kind), key, F.unix_millis(at).cast("string"))
     return F.struct(
         F.sha2(text, 256).alias("alertId"), at.alias("ts"), F.lit(kind).alias("alertType"),
-        *[c.alias(n) for n, c in details.items()], F.lit(title).alias("title"), description.alias("description"),
-        severity.cast("double").alias("severity"), F.lit("ACTIVE").alias("status"), F.lit(source).alias("source"))
+        *[c.alias(n) for n, c in details.items()], F.lit(ALERT_TEXTS[kind][0]).alias("title"),
+        description.alias("description"), severity.cast("double").alias("severity"),
+        F.lit(ALERT_STATUS).alias("status"), F.lit(ALERT_SOURCES[source]).alias("source"))
 
 
-def _text(pattern: str, *values: Column | float) -> Column:
-    """A description. Numbers are rounded first, so that the order of summing cannot show in the text."""
-    return F.format_string(pattern, *[F.round(v, 6) if isinstance(v, Column) else F.lit(v) for v in values])
+def describe(kind: str, *values: Column | float) -> Column:
+    """An alert's description. Numbers are rounded first, so that the order of summing cannot show in the text."""
+    whole = [v if isinstance(v, Column) else F.lit(v) for v in values]
+    kinds = re.findall(r"%(?:\.\d)?([dfs])", ALERT_TEXTS[kind][1])
+    return F.format_string(ALERT_TEXTS[kind][1], *[F.round(v, 6) if k == "f" else v for v, k in zip(whole, kinds)])
 
 
 def _emit(df: DataFrame, alerts: list[tuple[Column, Column]]) -> DataFrame:
@@ -58,34 +63,26 @@ def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n:
     seen = work.withColumn("_c", F.when(F.col("_done"), following)).where("_own")
     travelled = ((F.unix_micros("_c.ts") - F.unix_micros("ts") < spans[2]) & (F.col("_c.country") != F.col("country")))
 
-    def fraud(kind: str, title: str, text: Column, severity: Column, tx_id: Column = F.col("transactionId")) -> Column:
-        return alert(kind, "CEP-FRAUD-DETECTION", tx_id, F.col("ts"), title, text, severity,
-                     userId=F.col("userId"), transactionId=tx_id)
+    def fraud(kind: str, severity: Column, *said: Column | float, tx_id: Column = F.col("transactionId")) -> Column:
+        return alert(kind, "fraud", tx_id, F.col("ts"), describe(kind, *said), severity, userId=F.col("userId"), transactionId=tx_id)
 
+    amount, minutes = F.col("amount"), 60_000_000
     return _emit(seen, [
-        (F.col("_v").isNotNull(), fraud(
-            "VELOCITY_FRAUD", "Rapid successive transactions detected",
-            _text("User made %d transactions totaling $%.2f in %d minutes", velocity_n, F.col("_v.totals")[0],
-                  spans[0] // 60_000_000), F.lit(0.9))),
-        (F.col("_s").isNotNull(), fraud(
-            "STRUCTURING_FRAUD", "Potential transaction structuring detected",
-            _text("High-value transaction ($%.2f) followed by %d small transactions ($%.2f total)", F.col("amount"),
-                  small_n, F.col("_s.totals")[1]), F.lit(0.8))),
-        (travelled, fraud(
-            "GEOGRAPHIC_ANOMALY", "Suspicious geographic activity detected",
-            F.format_string("Transactions from different countries: %s and %s within %d minutes", F.col("country"),
-                            F.col("_c.country"), F.lit(spans[2] // 60_000_000)), F.lit(0.7))),
-        (F.col("_t").isNotNull(), fraud(
-            "TESTING_ATTACK", "Potential card testing attack detected",
-            _text("%d failed transactions followed by successful transaction of $%.2f", failed_n,
-                  F.col("_t.totals")[1]), F.lit(0.85), F.col("_t.id"))),
-        (done & is_off_hours(F.col("ts"), tz) & (F.col("riskScore") >= risk), fraud(
-            "OFF_HOURS_HIGH_RISK", "High-risk transaction during off-hours",
-            F.concat(_text("Transaction of $%.2f with risk score %.2f at ", F.col("amount"), F.col("riskScore")),
-                     F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSX")), F.col("riskScore"))),
+        (F.col("_v").isNotNull(), fraud("VELOCITY_FRAUD", F.lit(0.9), velocity_n, F.col("_v.totals")[0], spans[0] // minutes)),
+        (F.col("_s").isNotNull(), fraud("STRUCTURING_FRAUD", F.lit(0.8), amount, small_n, F.col("_s.totals")[1])),
+        (travelled, fraud("GEOGRAPHIC_ANOMALY", F.lit(0.7), F.col("country"), F.col("_c.country"), spans[2] // minutes)),
+        (F.col("_t").isNotNull(), fraud("TESTING_ATTACK", F.lit(0.85), failed_n, F.col("_t.totals")[1], tx_id=F.col("_t.id"))),
+        (done & is_off_hours(F.col("ts"), tz) & (F.col("riskScore") >= risk), off_hours_alert()),
     ])
 
 
+def off_hours_alert() -> Column:
+    risk, at = F.col("riskScore"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSX")
+    return alert("OFF_HOURS_HIGH_RISK", "fraud", F.col("transactionId"), F.col("ts"),
+                 describe("OFF_HOURS_HIGH_RISK", F.col("amount"), risk, at), risk,
+                 userId=F.col("userId"), transactionId=F.col("transactionId"))
+
+
 def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float = 2.5, max_dt: str = "300 seconds",
                    rel: float = 0.5, timeout: str = "5 minutes", delay: str = "10 seconds",
                    deviation_window: str = "1 minute", deviation: float = 5.0,
@@ -93,60 +90,48 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
     """All sensor detectors: z-score, threshold, rapid change, gap and offline in one pass by sensor, and
     deviation within a location."""
     order, span, silence = ["ts", "readingId"], micros(max_dt), micros(timeout)
-    limits = scoring.alert_limits(readings.sparkSession) if limits is None else limits
-    columns = [*order, "sensorId", "sensorType", "location", "value"]
+    limits = F.broadcast(scoring.alert_limits(readings.sparkSession)) if limits is None else limits
+    readings = readings if "unit" in readings.columns else readings.withColumn("unit", F.lit(None).cast("string"))
+    columns = [*order, "sensorId", "sensorType", "location", "value", "unit"]
     sliced = S.rank_slices(readings.select(*columns), ["sensorId"], F.unix_micros("ts"), order, back=n - 1)
     w = S.over_slices(["sensorId"], *order)
     last_n = w.rowsBetween(-(n - 1), 0)
     seen = S.own(sliced.withColumns({
         "_n": F.count(F.lit(1)).over(last_n), "_mean": F.avg("value").over(last_n),
         "_std": F.stddev_pop("value").over(last_n), "_prev": F.lag(F.struct("ts", "value")).over(w)}))
-    met = seen.join(F.broadcast(limits), F.lower(seen["sensorType"]) == limits["limitType"], "left")
+    met = seen.join(limits, F.lower(seen["sensorType"]) == limits["limitType"], "left")
     value, elapsed = F.col("value"), F.unix_micros("ts") - F.unix_micros("_prev.ts")
     score = F.when((F.col("_n") >= min_n) & (F.col("_std") > 0), F.abs(value - F.col("_mean")) / F.col("_std"))
     change = F.when((elapsed > 0) & (elapsed < span), K.relative_change(value, F.col("_prev.value")))
     scored = met.withColumns({"_z": score, "_rel": change, "_gap": elapsed})
 
-    def anomaly(kind: str, title: str, text: Column, severity: Column, at: Column = F.col("ts")) -> Column:
+    def anomaly(kind: str, severity: Column, *said: Column | float, at: Column = F.col("ts")) -> Column:
         real = F.lit(kind != "SENSOR_OFFLINE")
-        return alert(kind, "ANOMALY-DETECTION", F.col("sensorId"), at, title, text, severity,
+        return alert(kind, "anomaly", F.col("sensorId"), at, describe(kind, *said), severity,
                      sensorId=F.col("sensorId"),
                      deviceType=F.when(real, F.col("sensorType")).otherwise("UNKNOWN"),
                      location=F.when(real, F.col("location")).otherwise("UNKNOWN"),
-                     value=F.when(real, value).otherwise(0.0))
+                     value=F.when(real, value).otherwise(0.0), unit=F.when(real, F.col("unit")),
+                     readingTimestamp=F.when(real, F.col("ts")))
 
     def offline_at(last_seen: Column) -> Column:
-        return anomaly("SENSOR_OFFLINE", "Sensor appears to be offline",
-                       _text("No data received for over %.1f minutes", silence / 60_000_000.0), F.lit(0.8),
-                       F.timestamp_micros(F.unix_micros(last_seen) + silence))
+        return anomaly("SENSOR_OFFLINE", F.lit(0.8), silence / 60_000_000.0, at=F.timestamp_micros(F.unix_micros(last_seen) + silence))
 
     by_row = _emit(scored, [
-        (F.col("_z") > z, anomaly(
-            "STATISTICAL_ANOMALY", "Statistical anomaly detected",
-            _text("Value %.2f deviates %.2f standard deviations from mean %.2f", value, F.col("_z"), F.col("_mean")),
-            F.least(F.lit(0.9), F.col("_z") / z))),
+        (F.col("_z") > z, anomaly("STATISTICAL_ANOMALY", F.least(F.lit(0.9), F.col("_z") / z), value, F.col("_z"), F.col("_mean"))),
         ((value < F.col("lowLimit")) | (value > F.col("highLimit")), anomaly(
-            "THRESHOLD_VIOLATION", "Threshold violation detected",
-            F.concat(F.col("sensorType"), _text(" sensor value %.2f is outside safe range", value)),
-            scoring.threshold_severity(F.col("sensorType"), value, F.col("lowLimit"), F.col("highLimit")))),
-        (F.col("_rel") > rel, anomaly(
-            "RAPID_CHANGE", "Rapid value change detected",
-            _text("Value changed by %.2f%% (from %.2f to %.2f) in %.1f seconds", F.col("_rel") * 100,
-                            F.col("_prev.value"), value, F.col("_gap") / 1e6),
-            F.least(F.lit(0.9), F.col("_rel")))),
-        (F.col("_gap") > silence, anomaly(
-            "MISSING_DATA", "Sensor data gap detected",
-            _text("No data received for %.1f minutes", F.col("_gap") / 60_000_000.0), F.lit(0.7))),
+            "THRESHOLD_VIOLATION", scoring.threshold_severity(F.col("sensorType"), value, F.col("lowLimit"), F.col("highLimit")),
+            F.col("sensorType"), value, F.coalesce("unit", F.lit("")))),
+        (F.col("_rel") > rel, anomaly("RAPID_CHANGE", F.least(F.lit(0.9), F.col("_rel")), F.col("_rel") * 100,
+                                      F.col("_prev.value"), value, F.col("_gap") / 1e6)),
+        (F.col("_gap") > silence, anomaly("MISSING_DATA", F.lit(0.7), F.col("_gap") / 60_000_000.0)),
         (F.col("_gap") > silence, offline_at(F.col("_prev.ts"))),
     ])
     horizon = readings.groupBy().agg(F.max(F.unix_micros("ts")) - micros(delay)).scalar()
     newest = readings.groupBy("sensorId").agg(
         F.max("ts").alias("ts"), F.lit(None).cast("string").alias("sensorType"),
-        F.lit(None).cast("string").alias("location"), F.lit(None).cast("double").alias("value"))
+        F.lit(None).cast("string").alias("location"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))
     silent = _emit(newest.where(F.unix_micros("ts") + silence <= horizon), [(F.lit(True), offline_at(F.col("ts")))])
     apart = W.deviation_candidates(readings, deviation_window, limit=deviation)
-    crossed = _emit(apart, [(F.lit(True), anomaly(
-        "CORRELATION_ANOMALY", "Cross-sensor correlation anomaly",
-        _text("Temperature sensor reading %.2f°C deviates %.2f°C from location average %.2f°C", value,
-                        F.col("deviation"), F.col("mean")), F.col("severity")))])
+    crossed = _emit(apart, [(F.lit(True), anomaly("CORRELATION_ANOMALY", F.col("severity"), value, F.col("deviation"), F.col("mean")))])
     return by_row.unionByName(silent).unionByName(crossed)

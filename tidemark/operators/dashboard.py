@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import TIME_RANGES
@@ -82,7 +82,9 @@ def newest(df: DataFrame, ts: str = "ts") -> Column:
 
 
 def _since(df: DataFrame, f: Filter, now: Column | None) -> Column:
-    span = TIME_RANGES.get(f.time_range, TIME_RANGES["5m"])
+    if f.time_range not in TIME_RANGES:
+        raise ValueError(f"time range {f.time_range!r}; known ones are {', '.join(TIME_RANGES)}")
+    span = TIME_RANGES[f.time_range]
     return F.col("ts") >= (newest(df) if now is None else now) - F.expr(f"INTERVAL {span}")
 
 
@@ -117,7 +119,7 @@ def flagged(df: DataFrame, flag: str, n: int = 10, tiebreak: str | None = None)
 
 def share(df: DataFrame, label: str, value: str) -> DataFrame:
     """Share of the total in percent (one decimal), 0 where the total is 0. For aggregated rows."""
-    total = F.sum(value).over(Window.partitionBy())
+    total = df.groupBy().agg(F.sum(value)).scalar()
     percent = F.coalesce(F.try_divide(100.0 * F.col(value), total), F.lit(0.0))
     return df.select(label, value, F.round(percent, 1).alias("percent"))
 

@@ -53,8 +53,8 @@ def enrich_sensor(df: DataFrame) -> DataFrame:
 
 def threshold_violations(readings: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """Readings outside the limits of their type, with severity. The limits are a small table of types."""
-    limits = scoring.alert_limits(readings.sparkSession) if limits is None else limits
-    met = readings.join(F.broadcast(limits), F.lower(readings["sensorType"]) == limits["limitType"])
+    limits = F.broadcast(scoring.alert_limits(readings.sparkSession)) if limits is None else limits
+    met = readings.join(limits, F.lower(readings["sensorType"]) == limits["limitType"])
     outside = (F.col("value") < F.col("lowLimit")) | (F.col("value") > F.col("highLimit"))
     severity = scoring.threshold_severity(F.col("sensorType"), F.col("value"), F.col("lowLimit"), F.col("highLimit"))
     return met.where(outside).select(*readings.columns, "lowLimit", "highLimit", severity.alias("severity"))
@@ -62,10 +62,10 @@ def threshold_violations(readings: DataFrame, limits: DataFrame | None = None) -
 
 def classify(readings: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """Readings with ``normal``, ``out_of_range`` or ``critical`` by the ranges of their type."""
-    ranges = scoring.sensor_ranges(readings.sparkSession) if ranges is None else ranges
+    ranges = F.broadcast(scoring.sensor_ranges(readings.sparkSession)) if ranges is None else ranges
     state = scoring.classify_reading(F.col("value"), (F.col("normalLow"), F.col("normalHigh")),
                                      (F.col("criticalLow"), F.col("criticalHigh")))
-    return (readings.join(F.broadcast(ranges), "sensorType", "left")
+    return (readings.join(ranges, "sensorType", "left")
             .select(*readings.columns, F.col("rangeUnit").alias("unit"), state.alias("readingClass")))
 
 

@@ -156,15 +156,15 @@ def offline(readings: DataFrame, timeout: str = "5 minutes", delay: str = "10 se
 def velocity_count(tx: DataFrame, window: str = "300 seconds", more_than: int = 5, tiebreak: str = "transactionId") -> DataFrame:
     """Transactions by which the user has more than ``more_than`` in the trailing window, both ends included.
 
-    Transactions of one instant count in the order of their ids, as they would arrive.
+    Transactions of one instant count in the order of their ids, as they would arrive. Every row also leaves, one
+    window later and after all that arrives then, so the count is one running sum however full the window is.
     """
     span = micros(window)
     sliced = S.slice_rows(tx.withColumn("_p", _pos("ts")), ["userId"], F.col("_p"), before=span)
-    w = S.over_slices(["userId"], "_p").rangeBetween(-span, 0)
-    behind = S.over_slices(["userId"], F.desc(tiebreak), more=["_p"]).rowsBetween(Window.unboundedPreceding, -1)
-    later_peers = F.coalesce(F.count(F.lit(1)).over(behind), F.lit(0))
-    counted = sliced.withColumn("transactionCount", F.count(F.lit(1)).over(w) - later_peers)
-    return S.own(counted).where(F.col("transactionCount") > more_than).drop("_p")
+    moves = S.with_leavings(sliced, span)
+    running = S.over_slices(["userId"], "_at", "_leaves", tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = moves.withColumn("transactionCount", F.sum(F.when(F.col("_leaves"), -1).otherwise(1)).over(running))
+    return S.own(counted.where(~F.col("_leaves"))).where(F.col("transactionCount") > more_than).drop("_p", "_at", "_leaves")
 
 
 def rate_limit(tx: DataFrame, per: str = "minute", n: int = 100, tiebreak: str = "transactionId") -> DataFrame:

@@ -15,25 +15,34 @@ def _increase(value: str, previous: Column) -> Column:
     return F.when(F.col(value) < previous, F.col(value)).otherwise(F.col(value) - previous)
 
 
-def counter_rate(df: DataFrame, labels: list[str], ts: str, value: str, window: str = "5 minutes") -> DataFrame:
-    """Increase per second over the trailing window at each sample; null with fewer than two samples in it."""
-    span = micros(window)
+def counter_rate(df: DataFrame, labels: list[str], ts: str, value: str, window: str = "5 minutes",
+                 tiebreak: str | None = None) -> DataFrame:
+    """Increase per second over the trailing window at each sample; null with fewer than two samples in it.
+
+    Samples of one instant are ordered by ``tiebreak``, else by value. The increase is the difference of two running
+    sums, at the sample and at the first sample of its window. When a sample leaves the window, the one after it is the
+    first: that one is carried along, so a sample costs the same however many share its window.
+    """
+    span, tie = micros(window), tiebreak or value
     sliced = S.slice_rows(df.withColumn("_p", F.unix_micros(ts)), labels, F.col("_p"), before=span)
-    order = S.over_slices(labels, "_p")
-    trailing = order.rangeBetween(-span, 0)
-    # The first sample of the window only starts the count: its own increase belongs to the time before.
-    grown = sliced.withColumn("_inc", _increase(value, F.lag(value).over(order)))
-    first = F.first(F.struct("_p", "_inc")).over(trailing)
-    sums = grown.withColumns({"_sum": F.sum("_inc").over(trailing), "_first": first})
-    total = F.col("_sum") - F.coalesce(F.col("_first._inc"), F.lit(0.0))
-    rate = F.try_divide(total, (F.col("_p") - F.col("_first._p")) / 1e6)
-    return S.own(sums).select(*df.columns, rate.alias("rate"))
-
-
-def instant_rate(df: DataFrame, labels: list[str], ts: str, value: str) -> DataFrame:
-    """Increase per second between each sample and the one before it."""
-    sliced = S.add_earlier(S.slice_rows(df, labels, F.unix_micros(ts)), labels, [ts])
-    previous = F.lag(F.struct(F.col(ts).alias("ts"), F.col(value).alias("v"))).over(S.over_slices(labels, ts))
+    order = S.over_slices(labels, "_p", tie)
+    grown = sliced.withColumn("_inc", F.coalesce(_increase(value, F.lag(value).over(order)), F.lit(0.0)))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = grown.withColumn("_c", F.struct(F.col("_p").alias("p"), F.sum("_inc").over(upto).alias("sum")))
+    known = summed.withColumns({"_next": F.lead("_c").over(order), "_start": F.first("_c").over(order)})
+    before = S.over_slices(labels, "_at", "_leaves", tie).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.last(F.when(F.col("_leaves"), F.col("_next")), ignorenulls=True).over(before)
+    seen = S.with_leavings(known, span).withColumn("_first", F.coalesce(left, "_start"))
+    rate = F.try_divide(F.col("_c.sum") - F.col("_first.sum"), (F.col("_p") - F.col("_first.p")) / 1e6)
+    return S.own(seen.where(~F.col("_leaves"))).select(*df.columns, rate.alias("rate"))
+
+
+def instant_rate(df: DataFrame, labels: list[str], ts: str, value: str, tiebreak: str | None = None) -> DataFrame:
+    """Increase per second between each sample and the one before it; samples of one instant are ordered by ``tiebreak``,
+    else by value."""
+    order = [ts, tiebreak or value]
+    sliced = S.add_earlier(S.slice_rows(df, labels, F.unix_micros(ts)), labels, order)
+    previous = F.lag(F.struct(F.col(ts).alias("ts"), F.col(value).alias("v"))).over(S.over_slices(labels, *order))
     seen = S.own(sliced.withColumn("_prev", previous))
     elapsed = (F.unix_micros(ts) - F.unix_micros("_prev.ts")) / 1e6
     rate = F.try_divide(_increase(value, F.col("_prev.v")), elapsed)

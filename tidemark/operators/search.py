@@ -12,6 +12,10 @@ from tidemark.functions.times import micros
 from tidemark.operators import slicing as S
 
 
+#: Buckets made by one row of a histogram.
+PART = 10_000
+
+
 def count(df: DataFrame) -> DataFrame:
     return df.groupBy().agg(F.count(F.lit(1)).alias("count"))
 
@@ -50,13 +54,12 @@ def date_histogram(df: DataFrame, ts: str, interval: str, aggs: dict[str, Column
     bucket = F.floor(F.unix_micros(ts) / width) * width
     filled = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("doc_count"),
                                                 *[c.alias(n) for n, c in aggs.items()])
-    bounds = df.groupBy().agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-
-    def start(c: str) -> Column:
-        return F.floor(F.unix_micros(c) / width) * width
-
-    every = (bounds.where("lo IS NOT NULL")
-             .select(F.explode(F.sequence(start("lo"), start("hi"), F.lit(width))).alias("_b")))
+    filled = filled.where("_b IS NOT NULL")
+    bounds = filled.groupBy().agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).where("lo IS NOT NULL")
+    # Two levels, so that no row holds more than a part of the buckets.
+    parts = bounds.select("hi", F.explode(F.sequence("lo", "hi", F.lit(width * PART))).alias("_from")).repartition("_from")
+    last = F.least(F.col("_from") + F.lit(width * (PART - 1)), F.col("hi"))
+    every = parts.select(F.explode(F.sequence("_from", last, F.lit(width))).alias("_b"))
     return (every.join(filled, "_b", "left")
             .select(F.timestamp_micros("_b").alias("bucket"), F.coalesce("doc_count", F.lit(0)).alias("doc_count"), *aggs))
 

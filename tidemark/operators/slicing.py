@@ -147,6 +147,17 @@ def add_totals(sliced: DataFrame, key: list[str], totals: dict[str, Column]) ->
     return plain.unionByName(carried, allowMissingColumns=True)
 
 
+def with_leavings(sliced: DataFrame, span: int) -> DataFrame:
+    """Every row twice: as it comes at ``_p``, and as it leaves a trailing window of ``span`` (``_leaves``).
+
+    ``_at`` is the time of either. Ordered by (``_at``, ``_leaves``), a row leaves after all that comes at the same
+    time, so a window includes its older end."""
+    both = F.array(F.struct(F.col("_p").alias("at"), F.lit(False).alias("leaves")),
+                   F.struct((F.col("_p") + span).alias("at"), F.lit(True).alias("leaves")))
+    twice = sliced.withColumn("_move", F.explode(both))
+    return twice.withColumns({"_at": F.col("_move.at"), "_leaves": F.col("_move.leaves")}).drop("_move")
+
+
 def row_numbers(df: DataFrame, key: list[str], pos: Column, order: list[str], name: str) -> DataFrame:
     """Row number within the key, counted from 1."""
     counted = add_totals(slice_rows(df, key, pos), key, {"_one": F.lit(1).cast("bigint")})

@@ -147,7 +147,7 @@ def deviation_candidates(sensors: DataFrame, size: str = "1 minute", sensor_type
     """
     low_rank = F.struct(F.col("value"), F.col("sensorId"), F.col("readingId"))
     high_rank = F.struct((-F.col("value")).alias("v"), F.col("sensorId"), F.col("readingId"))
-    kept = ["sensorId", "readingId", "value", "ts"]
+    kept = ["sensorId", "readingId", "value", "ts", *(["unit"] if "unit" in sensors.columns else [])]
     found = (late_filter(sensors, F.col("sensorType") == sensor_type)
              .groupBy(F.window("ts", size), "location", "sensorType")
              .agg(F.count(F.lit(1)).alias("readings"), F.avg("value").alias("mean"),
@@ -162,7 +162,7 @@ def deviation_candidates(sensors: DataFrame, size: str = "1 minute", sensor_type
             .where((F.col("readings") >= min_readings) & (F.col("deviation") > limit))
             .withColumn("_far", F.when(pick_low, F.col("_low")).otherwise(F.col("_high")))
             .select("location", "sensorType", *_bounds(), "readings", "mean", "deviation",
-                    "_far.sensorId", "_far.readingId", "_far.value", "_far.ts",
+                    *[f"_far.{c}" for c in kept],
                     F.least(F.lit(0.9), F.col("deviation") / 10).alias("severity")))
 
 

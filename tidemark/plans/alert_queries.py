@@ -1,7 +1,10 @@
 """Alerts, unions and splits over whole tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from tidemark.functions.fixed_values import ALERT_SOURCES, ALERT_STATUS, ALERT_TEXTS, SENSOR_RANGES
 from tidemark.operators import alerts as A
 from tidemark.operators import patterns as P
 from tidemark.operators import routing as R
@@ -10,56 +13,41 @@ from tidemark.plans.registry import ORACLES, query
 from tidemark.sources.adapters import sensors, transactions
 
 
-def _say(pattern: str, *values: str) -> str:
-    """A description with numbers rounded half up."""
-    parts, rest = [], pattern
+def _say(kind: str, *values: str) -> str:
+    """An alert's description; numbers are rounded half up."""
+    parts, rest = [], ALERT_TEXTS[kind][1]
     for value in values:
-        head, rest = rest.split("%.", 1)
-        digits, rest = rest[0], rest[2:]
-        parts += [f"'{head}'", f"CAST(CAST(CAST({value} AS DECIMAL(28, 6)) AS DECIMAL(28, {digits})) AS VARCHAR)"]
+        hit = re.search(r"%(?:\.(\d))?([dfs])", rest)
+        text = f"CAST(CAST({value} AS DECIMAL(28, 6)) AS DECIMAL(28, {hit[1]}))" if hit[2] == "f" else value
+        parts += [f"'{rest[:hit.start()]}'", f"CAST({text} AS VARCHAR)"]
+        rest = rest[hit.end():]
     return " || ".join([*parts, f"'{rest}'"])
 
 
-def _alert(kind: str, source: str, key: str, at: str, title: str, text: str, severity: str, details: str) -> str:
+def _alert(kind: str, source: str, key: str, at: str, text: str, severity: str, details: str) -> str:
     return f"""SELECT sha256('{kind}|' || {key} || '|' || CAST(epoch_us({at}) // 1000 AS VARCHAR)) AS "alertId",
-  {at} AS ts, '{kind}' AS "alertType", {details}, '{title}' AS title, {text} AS description,
-  round(CAST({severity} AS DOUBLE), 6) AS severity, 'ACTIVE' AS status, '{source}' AS source"""
+  {at} AS ts, '{kind}' AS "alertType", {details}, '{ALERT_TEXTS[kind][0]}' AS title, {text} AS description,
+  round(CAST({severity} AS DOUBLE), 6) AS severity, '{ALERT_STATUS}' AS status, '{ALERT_SOURCES[source]}' AS source"""
 
 
-def _fraud(kind, title, text, severity, source, tx='"transactionId"'):
-    head = _alert(kind, "CEP-FRAUD-DETECTION", tx, "ts", title, text, severity,
-                  f'"userId", {tx} AS "transactionId"')
+def _fraud(kind, severity, source, *said, tx='"transactionId"'):
+    head = _alert(kind, "fraud", tx, "ts", _say(kind, *said), severity, f'"userId", {tx} AS "transactionId"')
     return f"{head} FROM ({ORACLES[source]})"
 
 
+_AT = "strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'"
 _FRAUDS = [
-    _fraud("VELOCITY_FRAUD", "Rapid successive transactions detected",
-           _say("User made 5 transactions totaling $%.2f in 1440 minutes", '"allTotal"'), "0.9", "c1_velocity"),
-    _fraud("STRUCTURING_FRAUD", "Potential transaction structuring detected",
-           _say("High-value transaction ($%.2f) followed by 3 small transactions ($%.2f total)", "amount",
-                '"smallTotal"'), "0.8", "c2_structuring"),
-    _fraud("GEOGRAPHIC_ANOMALY", "Suspicious geographic activity detected",
-           """'Transactions from different countries: ' || country || ' and ' || "nextCountry" || ' within 360 minutes'""",
-           "0.7", "c3_country_change"),
-    _fraud("TESTING_ATTACK", "Potential card testing attack detected",
-           _say("3 failed transactions followed by successful transaction of $%.2f", '"successTotal"'),
-           "0.85", "c4_card_testing", '"endId"'),
-    _fraud("OFF_HOURS_HIGH_RISK", "High-risk transaction during off-hours",
-           _say("Transaction of $%.2f with risk score %.2f at ", "amount", '"riskScore"') + """
-             || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'""",
-           '"riskScore"', "c5_off_hours"),
+    _fraud("VELOCITY_FRAUD", "0.9", "c1_velocity", "5", '"allTotal"', "1440"),
+    _fraud("STRUCTURING_FRAUD", "0.8", "c2_structuring", "amount", "3", '"smallTotal"'),
+    _fraud("GEOGRAPHIC_ANOMALY", "0.7", "c3_country_change", "country", '"nextCountry"', "360"),
+    _fraud("TESTING_ATTACK", "0.85", "c4_card_testing", "3", '"successTotal"', tx='"endId"'),
+    _fraud("OFF_HOURS_HIGH_RISK", '"riskScore"', "c5_off_hours", "amount", '"riskScore"', _AT),
 ]
 
 
 @query("e16_alert_rows", _FRAUDS[4])
 def e16_alert_rows(spark, folder):
-    rows = P.off_hours(transactions(spark, folder))
-    text = F.format_string("Transaction of $%.2f with risk score %.2f at %s", F.col("amount"), F.col("riskScore"),
-                           F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSX"))
-    made = A.alert("OFF_HOURS_HIGH_RISK", "CEP-FRAUD-DETECTION", F.col("transactionId"), F.col("ts"),
-                   "High-risk transaction during off-hours", text, F.col("riskScore"),
-                   userId=F.col("userId"), transactionId=F.col("transactionId"))
-    return rows.select(made.alias("a")).select("a.*")
+    return P.off_hours(transactions(spark, folder)).select(A.off_hours_alert().alias("a")).select("a.*")
 
 
 @query("u1_fraud_alerts", "\nUNION ALL\n".join(_FRAUDS))
@@ -68,33 +56,30 @@ def u1_fraud_alerts(spark, folder):
                           country_within="6 hours", testing_within="72 hours")
 
 
-def _anomaly(kind, title, text, severity, source, value="value", real=True):
-    details = (f'"sensorId", "sensorType" AS "deviceType", location, {value} AS value' if real else
-               """"sensorId", 'UNKNOWN' AS "deviceType", 'UNKNOWN' AS location, CAST(0 AS DOUBLE) AS value""")
-    head = _alert(kind, "ANOMALY-DETECTION", '"sensorId"', "ts", title, text, severity, details)
+_UNIT = "CASE \"sensorType\" " + " ".join(f"WHEN '{t}' THEN '{r[0]}'" for t, r in SENSOR_RANGES.items()) + " END"
+
+
+def _anomaly(kind, severity, source, *said, real=True):
+    details = (f'''"sensorId", "sensorType" AS "deviceType", location, value, {_UNIT} AS unit, ts AS "readingTimestamp"''' if real else
+               """"sensorId", 'UNKNOWN' AS "deviceType", 'UNKNOWN' AS location, CAST(0 AS DOUBLE) AS value,
+               CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS TIMESTAMP) AS "readingTimestamp" """)
+    head = _alert(kind, "anomaly", '"sensorId"', "ts", _say(kind, *said), severity, details)
     return f"{head} FROM ({ORACLES[source]})"
 
 
 @query("u2_anomaly_alerts", "\nUNION ALL\n".join([
-    _anomaly("STATISTICAL_ANOMALY", "Statistical anomaly detected",
-             _say("Value %.2f deviates %.2f standard deviations from mean %.2f", "value", '"zScore"', "mean"),
-             "severity", "t2_zscore"),
-    _anomaly("THRESHOLD_VIOLATION", "Threshold violation detected",
-             '"sensorType" || ' + _say(" sensor value %.2f is outside safe range", "value"),
-             "severity", "e14_e15_threshold_violations"),
-    _anomaly("RAPID_CHANGE", "Rapid value change detected",
-             _say("Value changed by %.2f% (from %.2f to %.2f) in %.1f seconds", 'abs(value - "previousValue") / abs("previousValue") * 100',
-                  '"previousValue"', "value", "seconds"), "severity", "t3_rapid_change"),
-    _anomaly("MISSING_DATA", "Sensor data gap detected",
-             _say("No data received for %.1f minutes", "minutes"), "severity", "t4_data_gaps"),
-    _anomaly("SENSOR_OFFLINE", "Sensor appears to be offline",
-             "'No data received for over 480.0 minutes'", "severity", "t5_offline", real=False),
-    _anomaly("CORRELATION_ANOMALY", "Cross-sensor correlation anomaly",
-             _say("Temperature sensor reading %.2f°C deviates %.2f°C from location average %.2f°C", "value",
-                  "deviation", "mean"), "severity", "a6_cross_sensor_deviation"),
+    _anomaly("STATISTICAL_ANOMALY", "severity", "t2_zscore", "value", '"zScore"', "mean"),
+    _anomaly("THRESHOLD_VIOLATION", "severity", "e14_e15_threshold_violations", '"sensorType"', "value", _UNIT),
+    _anomaly("RAPID_CHANGE", "severity", "t3_rapid_change", 'abs(value - "previousValue") / abs("previousValue") * 100',
+             '"previousValue"', "value", "seconds"),
+    _anomaly("MISSING_DATA", "severity", "t4_data_gaps", "minutes"),
+    _anomaly("SENSOR_OFFLINE", "severity", "t5_offline", "480.0", real=False),
+    _anomaly("CORRELATION_ANOMALY", "severity", "a6_cross_sensor_deviation", "value", "deviation", "mean"),
 ]))
 def u2_anomaly_alerts(spark, folder):
-    return A.anomaly_alerts(sensors(spark, folder), max_dt="2 hours", timeout="8 hours", deviation_window="1 day")
+    units = F.create_map(*[F.lit(x) for t, r in SENSOR_RANGES.items() for x in (t, r[0])])
+    readings = sensors(spark, folder).withColumn("unit", units[F.col("sensorType")])
+    return A.anomaly_alerts(readings, max_dt="2 hours", timeout="8 hours", deviation_window="1 day")
 
 
 @query("u3_sensor_aggregates", f"""

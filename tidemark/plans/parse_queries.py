@@ -1,5 +1,7 @@
 """Sources, parsing, routing and document tables over messages made from the whole events table."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.search import all_of, term
@@ -186,6 +188,27 @@ def s6_document_upsert(spark, folder):
     return D.read_documents(spark, root, schema, ["ts"])
 
 
+@query("s6_three_kinds_in_one_root", f"""
+WITH {_DOCS} SELECT "index", count(DISTINCT doc_id) AS documents, sum(CAST(length(doc_id) AS BIGINT)) :: BIGINT AS id_chars
+FROM (SELECT DISTINCT * FROM docs) GROUP BY "index"
+""")
+def s6_three_kinds_in_one_root(spark, folder):
+    """Three writers, each counting its batches from 0, and a fold with one more batch 0 after it."""
+    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/kinds-{folder.rstrip('/').rsplit('/', 1)[-1]}"
+    root, folded = f"{base}-{uuid.uuid4().hex}", f"{base}-{uuid.uuid4().hex}"
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")
+    kinds = {"tx": transactions(spark, folder).select("transactionId", "ts", text), "iot": sensors(spark, folder).select("sensorId", "ts", text),
+             "user": user_events(spark, folder).select("userId", "ts", text)}
+    docs = {name: D.route_index(D.doc_id(rows)).select("doc_id", "ts", "index") for name, rows in kinds.items()}
+    schema = docs["tx"].select("doc_id", "ts").schema
+    for name in ("tx", "iot"):
+        D.upsert(docs[name], root, 0, ["ts"], writer=name)
+    D.fold(spark, root, folded, schema, ["ts"])
+    D.upsert(docs["user"], folded, 0, ["ts"], writer="user")
+    return D.read_documents(spark, folded, schema, ["ts"]).groupBy("index").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.length("doc_id").cast("bigint")).alias("id_chars"))
+
+
 @query("s9_retention", """
 SELECT * FROM user_events WHERE ts >= (SELECT max(ts) - INTERVAL 7 day FROM user_events)
 """)

@@ -14,7 +14,7 @@ USER_EVENT = (
 
 TRANSACTION = (
     "transactionId STRING, userId STRING, amount DOUBLE, currency STRING, status STRING, timestamp STRING, "
-    "riskScore DOUBLE, country STRING, merchantId STRING, merchantName STRING, merchantCategory STRING, "
+    "riskScore DOUBLE, country STRING, location STRING, merchantId STRING, merchantName STRING, merchantCategory STRING, "
     "paymentMethod STRING, cardNumber STRING, ipAddress STRING, userAgent STRING, deviceId STRING, "
     "authorizationCode STRING, isOnline BOOLEAN, isFraud BOOLEAN, processingTime INT, "
     "metadata STRUCT<processor: STRING, terminal_id: STRING, batch_number: STRING, response_code: STRING>")

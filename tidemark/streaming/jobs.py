@@ -44,17 +44,25 @@ def sensors(messages: DataFrame, delay: str = "10 seconds", **limits) -> Streams
 
 
 def documents_of(messages: DataFrame, kind: str) -> DataFrame:
-    """Enriched documents with id and index, ready for the upsert."""
+    """Enriched documents of their table's declared columns, with id and index, ready for the upsert.
+
+    A message's place in its topic and its text make the id of a record without ids of its own; the text of a message
+    that could not be read is kept in ``raw``.
+    """
     parsers = {"user": (parse.parse_user_events, E.enrich_user, "user-events"),
                "transaction": (parse.parse_transactions, E.enrich_tx, "transaction-events"),
                "iot": (parse.parse_sensors, E.enrich_sensor, "iot-sensor-events")}
     read, enrich, source = parsers[kind]
-    rows = parse.stamp(enrich(read(messages.select("value"))), source)
+    kept = _values(messages).withColumn("raw", F.col("value"))
+    rows = parse.stamp(enrich(read(kept)), source)
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return documents.route_index(documents.doc_id(rows.withColumn("timestamp", text)).drop("timestamp"))
+    known = documents.route_index(documents.doc_id(rows.withColumn("timestamp", text), record=("messageId", "raw")))
+    unread = F.col("ts").isNull().alias("_unread")
+    marked = known.select("*", unread).withColumn("raw", F.when(F.col("_unread"), F.col("raw")))
+    return documents.conform(marked, source, more=("raw", "messageId", "processedAt", "eventSource", "index"))
 
 
-def to_documents(docs: DataFrame, root: str, checkpoint: str, every: str = "5 seconds",
+def to_documents(docs: DataFrame, root: str, checkpoint: str, every: str = "1 minute",
                  rows_per_file: int = 5_000_000) -> DataStreamWriter:
     """A writer that upserts each batch; bulk sizes are the trigger interval and the rows per file."""
     write = documents.upsert_stream(root, ["ts"], rows_per_file=rows_per_file)

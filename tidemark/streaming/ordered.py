@@ -6,6 +6,7 @@ holds the waiting rows of one watermark delay, a small memory of the rule, and o
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -41,7 +42,12 @@ def _plain(value):
     """Rows as tuples, which is what state takes."""
     if isinstance(value, tuple):
         return tuple(_plain(v) for v in value)
-    return [_plain(v) for v in value] if isinstance(value, list) else value
+    return [_plain(v) for v in value] if isinstance(value, (list, deque)) else value
+
+
+def _place(row: tuple) -> tuple:
+    """Time, then id; rows without an id come first."""
+    return row[0], row[1] is not None, row[1] if row[1] is not None else ""
 
 
 class InOrder(StatefulProcessor):
@@ -65,7 +71,7 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         held = [_plain(r) for r in self.waiting.get()]
-        due = sorted((r for r in held if r[0] <= now), key=lambda r: r[:2])
+        due = sorted((r for r in held if r[0] <= now), key=_place)
         rest = [r for r in held if r[0] > now]
         memory = _plain(self.memory.get()) if self.memory.exists() else None
         last = self.clock.get()[1] if self.clock.exists() else None
@@ -84,7 +90,7 @@ class InOrder(StatefulProcessor):
         if memory is None:
             self.memory.clear()
         else:
-            self.memory.update(memory)
+            self.memory.update(_plain(memory))
         if due:
             self.waiting.put(rest) if rest else self.waiting.clear()
         times = [r[0] for r in rest] + [t for t in (wake,) if t is not None and memory is not None]

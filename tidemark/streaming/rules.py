@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import math
 
 from pyspark.sql import types as T
@@ -116,7 +118,12 @@ class VelocityCount(Rule):
 
     def step(self, memory, row):
         at, ident = row
-        times = [t for t in (memory[0] if memory else []) if at - t <= self.window] + [at]
+        times = memory[0] if memory else deque()
+        if not isinstance(times, deque):  # as it comes from the state
+            times = deque(times)
+        while times and at - times[0] > self.window:
+            times.popleft()
+        times.append(at)
         return (times,), [(ident, at, len(times))] if len(times) > self.more_than else []
 
 
