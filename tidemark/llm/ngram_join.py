@@ -25,15 +25,14 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import bitmaps
-from tidemark.llm.common import components, packed, slices, stored, unpacked, whole
+from tidemark.llm.common import components, slices, stored, unpacked, whole
 from tidemark.llm.shingles import Words, distinct
 
 #: Least similarity, in hundredths.
@@ -161,20 +160,21 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: int)
     right = texts.select(F.col("class").alias("y"), F.col("text").alias("right"))
     both = hopeful.join(left, "x").join(right, "y")
 
-    @F.pandas_udf(T.BooleanType())
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        words, last = Words(), (None, None)
-        for lefts, rights in batches:
-            out = []
-            for p, q in zip(lefts, rights):
-                if q != last[0]:  # a leader's rows come together
-                    last = (q, distinct(unpacked(q), words))
-                s, t = distinct(unpacked(p), words), last[1]
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                out.append(100 * common >= least * (len(s) + len(t) - common))
-            yield pd.Series(out, dtype=bool)
+    return both.select("x", "y", "left", "right").mapInArrow(partial(_linked, least=least), "a long, b long")
 
-    return both.where(linked("left", "right")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    words, last = Words(), (None, None)
+    for batch in slices(batches):
+        keep = []
+        for p, q in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            if q != last[0]:  # a leader's rows come together
+                last = (q, distinct(unpacked(q), words))
+            s, t = distinct(unpacked(p), words), last[1]
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            keep.append(100 * common >= least * (len(s) + len(t) - common))
+        pairs = pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["a", "b"])
+        yield pairs.filter(pa.array(keep, pa.bool_()))
 
 
 def join(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -216,16 +216,21 @@ def join(docs: DataFrame, least: int = LEAST) -> DataFrame:
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-@F.pandas_udf(T.LongType())
-def _class(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    words = Words()
-    for batch in batches:
-        yield pd.Series([class_of(distinct(t, words)) for t in batch], dtype="int64")
+def _packed_classes(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """Class and packed text of the documents whose id may be wanted."""
+    words, press = Words(), zstandard.ZstdCompressor(level=3)
+    for batch in slices(batches):
+        may = bitmaps.holds(wanted.value, batch.column("h").to_numpy(zero_copy_only=False))
+        texts = batch.column("text").filter(pa.array(may)).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([class_of(distinct(t, words)) for t in texts], pa.int64()),
+             pa.array([press.compress(t.encode()) for t in texts], pa.binary())], ["class", "text"])
 
 
 def _texts_of(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(class, packed text) of every class that is compared. A filter on ids keeps the other texts out of the shuffle."""
-    may = bitmaps.filter_of(held, "doc_id", F.col("doc_id").cast("long"))
-    text = docs.where(may).select(whole().alias("text"))
-    rows = text.select(_class("text").alias("class"), packed("text").alias("text"))
-    return stored(rows.join(held.select("class"), "class").dropDuplicates(["class"]))
+    ids = bitmaps.of_column(held.select(F.xxhash64("doc_id").alias("h")), "h")
+    lent = docs.sparkSession.sparkContext.broadcast(ids)
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), whole().alias("text"))
+    made = rows.mapInArrow(partial(_packed_classes, wanted=lent), "class long, text binary")
+    return stored(made.join(held.select("class"), "class").dropDuplicates(["class"]))

@@ -435,28 +435,60 @@ def decode_ids(ids, raw: list[bytes]) -> str:
     return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, model: bytes, k: int = 2, key: str = "doc_id", keep: tuple[str, ...] = (), alpha: float = 1.0) -> DataFrame:
-    """Rows (``keep`` columns, sample, ids, log_prob, log_inclusion): up to k segmentations of each text."""
+def _coded(batches: Iterator[pa.RecordBatch], lent, k: int, alpha: float) -> Iterator[pa.RecordBatch]:
+    sampler = _sampler(lent, k, alpha)
+    for batch in slices(batches):
+        taken, samples, ids, logs, inclusions = [], [], [], [], []
+        for row, j, tokens, log, inclusion in sampler.encode(batch.column("_text").to_pylist(), batch.column("_key").to_pylist()):
+            taken.append(row)
+            samples.append(j)
+            ids.append(tokens)
+            logs.append(log)
+            inclusions.append(inclusion)
+        yield _batch(batch, taken, samples, ids, logs, inclusions)
+
+
+def _run(docs: DataFrame, model: bytes, k: int, key: str, keep: tuple[str, ...], alpha: float, then, columns: str) -> DataFrame:
     lent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c) for c in keep], whole().alias("_text"), F.xxhash64(key).alias("_key"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-2])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(lent, k, alpha)
-        for batch in slices(batches, 1000):
-            taken, samples, ids, logs, inclusions = [], [], [], [], []
-            for row, j, tokens, log, inclusion in sampler.encode(batch.column("_text").to_pylist(), batch.column("_key").to_pylist()):
-                taken.append(row)
-                samples.append(j)
-                ids.append(tokens)
-                logs.append(log)
-                inclusions.append(inclusion)
-                if len(taken) >= 500:
-                    yield _batch(batch, taken, samples, ids, logs, inclusions)
-                    taken, samples, ids, logs, inclusions = [], [], [], [], []
-            yield _batch(batch, taken, samples, ids, logs, inclusions)
-
-    return rows.mapInArrow(apply, f"{kept + ', ' if kept else ''}sample int, ids array<int>, log_prob double, log_inclusion double")
+        return then(_coded(batches, lent, k, alpha), lent)
+
+    return rows.mapInArrow(apply, kept + columns)
+
+
+def encode(docs: DataFrame, model: bytes, k: int = 2, key: str = "doc_id", keep: tuple[str, ...] = (), alpha: float = 1.0) -> DataFrame:
+    """Rows (``keep`` columns, sample, ids, log_prob, log_inclusion): up to k segmentations of each text."""
+    return _run(docs, model, k, key, keep, alpha, lambda coded, _: coded,
+                "sample int, ids array<int>, log_prob double, log_inclusion double")
+
+
+def encode_digests(docs: DataFrame, model: bytes, k: int = 2, key: str = "doc_id", keep: tuple[str, ...] = (),
+                   alpha: float = 1.0) -> DataFrame:
+    """The same with digests in place of the ids: their number, the SHA-256 of the ids (as 32-bit numbers, low byte
+    first), and that of the text they decode to."""
+    return _run(docs, model, k, key, keep, alpha, _digested, "sample int, n_pieces int, ids_sha256 string, decoded_sha256 string, "
+                "log_prob double, log_inclusion double")
+
+
+def _digested(coded: Iterator[pa.RecordBatch], lent) -> Iterator[pa.RecordBatch]:
+    raw = raw_pieces(lent.value)
+    for batch in coded:
+        ids, own = batch.column("ids"), []
+        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+        for a, b in zip(ends, ends[1:]):
+            part = flat[a:b]
+            own.append((len(part), hashlib.sha256(part.astype("<i4").tobytes()).hexdigest(),
+                        hashlib.sha256(decode_ids(part.tolist(), raw).encode()).hexdigest()))
+        n, code, text = zip(*own) if own else ((), (), ())
+        names = [x for x in batch.schema.names if x != "ids"]
+        at = names.index("sample") + 1
+        columns = [batch.column(x) for x in names]
+        columns[at:at] = [pa.array(n, pa.int32()), pa.array(code, pa.string()), pa.array(text, pa.string())]
+        names[at:at] = ["n_pieces", "ids_sha256", "decoded_sha256"]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _batch(batch: pa.RecordBatch, taken, samples, ids, logs, inclusions) -> pa.RecordBatch:
@@ -494,22 +526,3 @@ def decode(coded: DataFrame, model: bytes, ids: str = "ids", out: str = "text")
 
     return coded.withColumn(out, apply(ids))
 
-
-_DIGEST = T.StructType([T.StructField("n_pieces", T.IntegerType()), T.StructField("ids_sha256", T.StringType()),
-                        T.StructField("decoded_sha256", T.StringType())])
-
-
-def digest(coded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
-    """``coded`` with number and digest of the piece ids (as 32-bit numbers, low byte first) and digest of their text."""
-    lent = coded.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(_DIGEST)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        raw = raw_pieces(lent.value)
-        for batch in batches:
-            rows = [(len(x), hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest(),
-                     hashlib.sha256(decode_ids(x.tolist(), raw).encode()).hexdigest()) for x in batch]
-            yield pd.DataFrame(rows, columns=_DIGEST.names)
-
-    done = coded.withColumn("_digest", apply(ids))
-    return done.withColumns({n: F.col(f"_digest.{n}") for n in _DIGEST.names}).drop("_digest")

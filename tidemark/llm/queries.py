@@ -129,8 +129,8 @@ def op7_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, digested, and whether decoding gives the text back."""
     model = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
     docs = read(spark, folder, "documents").select("doc_id", whole().alias("text"))
-    coded = pieces.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), model, keep=("doc_id", "text_sha256"))
-    return pieces.digest(coded, model).select(
+    known = docs.withColumn("text_sha256", F.sha2("text", 256))
+    return pieces.encode_digests(known, model, keep=("doc_id", "text_sha256")).select(
         "doc_id", "sample", "n_pieces", "ids_sha256", "log_prob", "log_inclusion",
         (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
 

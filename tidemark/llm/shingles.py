@@ -12,7 +12,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Words(dict):
     """Hashes of words, remembered up to a bound."""
 
-    most = 150_000
+    most = 80_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
