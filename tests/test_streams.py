@@ -138,11 +138,11 @@ def test_alerts_together(feed, drain):
     table, stream = feed
     live, still = adapters.transactions_of(stream()), adapters.transactions_of(table)
     same(drain(O.fraud_alerts(live, **LIMITS, **DELAY)), alerts.fraud_alerts(still, **LIMITS),
-         "alertType", "userId", "transactionId", "severity")
+         "alertId", "ts", "alertType", "userId", "transactionId", "title", "description", "severity", "status", "source")
     live, still = adapters.sensors_of(stream()), adapters.sensors_of(table)
     want = alerts.anomaly_alerts(still, max_dt="2 hours", timeout="8 hours").where("alertType <> 'CORRELATION_ANOMALY'")
-    same(drain(O.anomaly_alerts(live, max_dt="2 hours", timeout="8 hours", **DELAY)), want, "alertType", "sensorId", "ts",
-         F.round("severity", 6))
+    same(drain(O.anomaly_alerts(live, max_dt="2 hours", timeout="8 hours", **DELAY)), want, "alertId", "ts", "alertType", "sensorId",
+         "deviceType", "location", "value", "unit", "readingTimestamp", "title", "description", F.round("severity", 6), "status", "source")
 
 
 def test_asof(feed, drain):

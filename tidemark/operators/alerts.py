@@ -83,6 +83,22 @@ def off_hours_alert() -> Column:
                  userId=F.col("userId"), transactionId=F.col("transactionId"))
 
 
+def sensor_alert(kind: str, severity: Column, *said: Column | float, at: Column | None = None, row: str = "") -> Column:
+    """An alert about a reading, whose columns lie at ``row``; an offline sensor has no reading to tell of."""
+
+    def field(name: str, otherwise: Column) -> Column:
+        return otherwise if kind == "SENSOR_OFFLINE" else F.col(f"{row}{name}")
+
+    return alert(kind, "anomaly", F.col("sensorId"), F.col(f"{row}ts") if at is None else at, describe(kind, *said), severity,
+                 sensorId=F.col("sensorId"), deviceType=field("sensorType", F.lit("UNKNOWN")),
+                 location=field("location", F.lit("UNKNOWN")), value=field("value", F.lit(0.0)),
+                 unit=field("unit", F.lit(None).cast("string")), readingTimestamp=field("ts", F.lit(None).cast("timestamp")))
+
+
+def with_unit(readings: DataFrame) -> DataFrame:
+    return readings if "unit" in readings.columns else readings.withColumn("unit", F.lit(None).cast("string"))
+
+
 def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float = 2.5, max_dt: str = "300 seconds",
                    rel: float = 0.5, timeout: str = "5 minutes", delay: str = "10 seconds",
                    deviation_window: str = "1 minute", deviation: float = 5.0,
@@ -91,7 +107,7 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
     deviation within a location."""
     order, span, silence = ["ts", "readingId"], micros(max_dt), micros(timeout)
     limits = F.broadcast(scoring.alert_limits(readings.sparkSession)) if limits is None else limits
-    readings = readings if "unit" in readings.columns else readings.withColumn("unit", F.lit(None).cast("string"))
+    readings = with_unit(readings)
     columns = [*order, "sensorId", "sensorType", "location", "value", "unit"]
     sliced = S.rank_slices(readings.select(*columns), ["sensorId"], F.unix_micros("ts"), order, back=n - 1)
     w = S.over_slices(["sensorId"], *order)
@@ -105,26 +121,17 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
     change = F.when((elapsed > 0) & (elapsed < span), K.relative_change(value, F.col("_prev.value")))
     scored = met.withColumns({"_z": score, "_rel": change, "_gap": elapsed})
 
-    def anomaly(kind: str, severity: Column, *said: Column | float, at: Column = F.col("ts")) -> Column:
-        real = F.lit(kind != "SENSOR_OFFLINE")
-        return alert(kind, "anomaly", F.col("sensorId"), at, describe(kind, *said), severity,
-                     sensorId=F.col("sensorId"),
-                     deviceType=F.when(real, F.col("sensorType")).otherwise("UNKNOWN"),
-                     location=F.when(real, F.col("location")).otherwise("UNKNOWN"),
-                     value=F.when(real, value).otherwise(0.0), unit=F.when(real, F.col("unit")),
-                     readingTimestamp=F.when(real, F.col("ts")))
-
     def offline_at(last_seen: Column) -> Column:
-        return anomaly("SENSOR_OFFLINE", F.lit(0.8), silence / 60_000_000.0, at=F.timestamp_micros(F.unix_micros(last_seen) + silence))
+        return sensor_alert("SENSOR_OFFLINE", F.lit(0.8), silence / 60_000_000.0, at=F.timestamp_micros(F.unix_micros(last_seen) + silence))
 
     by_row = _emit(scored, [
-        (F.col("_z") > z, anomaly("STATISTICAL_ANOMALY", F.least(F.lit(0.9), F.col("_z") / z), value, F.col("_z"), F.col("_mean"))),
-        ((value < F.col("lowLimit")) | (value > F.col("highLimit")), anomaly(
+        (F.col("_z") > z, sensor_alert("STATISTICAL_ANOMALY", F.least(F.lit(0.9), F.col("_z") / z), value, F.col("_z"), F.col("_mean"))),
+        ((value < F.col("lowLimit")) | (value > F.col("highLimit")), sensor_alert(
             "THRESHOLD_VIOLATION", scoring.threshold_severity(F.col("sensorType"), value, F.col("lowLimit"), F.col("highLimit")),
             F.col("sensorType"), value, F.coalesce("unit", F.lit("")))),
-        (F.col("_rel") > rel, anomaly("RAPID_CHANGE", F.least(F.lit(0.9), F.col("_rel")), F.col("_rel") * 100,
+        (F.col("_rel") > rel, sensor_alert("RAPID_CHANGE", F.least(F.lit(0.9), F.col("_rel")), F.col("_rel") * 100,
                                       F.col("_prev.value"), value, F.col("_gap") / 1e6)),
-        (F.col("_gap") > silence, anomaly("MISSING_DATA", F.lit(0.7), F.col("_gap") / 60_000_000.0)),
+        (F.col("_gap") > silence, sensor_alert("MISSING_DATA", F.lit(0.7), F.col("_gap") / 60_000_000.0)),
         (F.col("_gap") > silence, offline_at(F.col("_prev.ts"))),
     ])
     horizon = readings.groupBy().agg(F.max(F.unix_micros("ts")) - micros(delay)).scalar()
@@ -133,5 +140,5 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
         F.lit(None).cast("string").alias("location"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))
     silent = _emit(newest.where(F.unix_micros("ts") + silence <= horizon), [(F.lit(True), offline_at(F.col("ts")))])
     apart = W.deviation_candidates(readings, deviation_window, limit=deviation)
-    crossed = _emit(apart, [(F.lit(True), anomaly("CORRELATION_ANOMALY", F.col("severity"), value, F.col("deviation"), F.col("mean")))])
+    crossed = _emit(apart, [(F.lit(True), sensor_alert("CORRELATION_ANOMALY", F.col("severity"), value, F.col("deviation"), F.col("mean")))])
     return by_row.unionByName(silent).unionByName(crossed)

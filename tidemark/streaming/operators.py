@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import is_off_hours, micros
+from tidemark.operators import alerts as A
 from tidemark.operators.enrich import threshold_violations
 from tidemark.operators.patterns import Stage, card_testing_stages, structuring_stages, velocity_stages
 from tidemark.streaming import rules as R
@@ -140,7 +141,7 @@ def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n:
                  country_within: str = "5 minutes", failed_n: int = 3, testing_within: str = "5 minutes",
                  risk: float = 0.7, tz: str = "UTC", success: tuple[str, ...] = ("completed",),
                  failure: tuple[str, ...] = ("failed",), **options: str) -> DataFrame:
-    """(alertType, userId, transactionId, ts, severity) of all five detectors; four share one state per user."""
+    """The alert rows of all five detectors, as of a table; four share one state per user."""
     done = F.col("status").isin(*success)
     each = [velocity_stages(velocity_n, success), structuring_stages(high, low, small_n, success),
             card_testing_stages(failed_n, success, failure)]
@@ -153,35 +154,46 @@ def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n:
     found = in_order(tx, "userId", R.Together(parts), "transactionId", where=F.array_contains(use, True), use=use,
                      **{f"flags{i}": f for i, f in enumerate(flags)}, **options)
 
-    def alert(kind: str, hit: str, ident: str, severity: float) -> Column:
-        at = F.col(f"{hit}.startP") if hit != "o3" else F.col("o3.p")
-        return F.when(F.col(hit).isNotNull(), F.struct(
-            F.lit(kind).alias("alertType"), F.col(f"{hit}.{ident}").alias("transactionId"),
-            F.timestamp_micros(at).alias("ts"), F.lit(severity).alias("severity")))
+    def fraud(kind: str, hit: str, ident: str, at: str, severity: float, *said: Column | float) -> Column:
+        tx_id = F.col(f"{hit}.{ident}")
+        made = A.alert(kind, "fraud", tx_id, F.timestamp_micros(f"{hit}.{at}"), A.describe(kind, *said), F.lit(severity),
+                       userId=F.col("userId"), transactionId=tx_id)
+        return F.when(F.col(hit).isNotNull(), made)
 
-    hit = F.coalesce(alert("VELOCITY_FRAUD", "o0", "startId", 0.9), alert("STRUCTURING_FRAUD", "o1", "startId", 0.8),
-                     alert("TESTING_ATTACK", "o2", "endId", 0.85), alert("GEOGRAPHIC_ANOMALY", "o3", "transactionId", 0.7))
-    matched = found.select("userId", hit.alias("a")).select("a.alertType", "userId", "a.transactionId", "a.ts", "a.severity")
-    night = tx.where(is_off_hours(F.col("ts"), tz) & (F.col("riskScore") >= risk) & done).select(
-        F.lit("OFF_HOURS_HIGH_RISK").alias("alertType"), "userId", "transactionId", "ts", F.col("riskScore").alias("severity"))
-    return matched.unionByName(night)
+    first, rest = [[F.col(f"o{i}.totals")[k] for i in range(3)] for k in (0, 1)]
+    hit = F.coalesce(
+        fraud("VELOCITY_FRAUD", "o0", "startId", "startP", 0.9, velocity_n, first[0], spans[0] // 60_000_000),
+        fraud("STRUCTURING_FRAUD", "o1", "startId", "startP", 0.8, first[1], small_n, rest[1]),
+        fraud("TESTING_ATTACK", "o2", "endId", "startP", 0.85, failed_n, rest[2]),
+        fraud("GEOGRAPHIC_ANOMALY", "o3", "transactionId", "p", 0.7, F.col("o3.country"), F.col("o3.nextCountry"),
+              micros(country_within) // 60_000_000))
+    night = tx.where(is_off_hours(F.col("ts"), tz) & (F.col("riskScore") >= risk) & done)
+    return found.select(hit.alias("a")).select("a.*").unionByName(night.select(A.off_hours_alert().alias("a")).select("a.*"))
 
 
 def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float = 2.5, max_dt: str = "300 seconds",
                    rel: float = 0.5, timeout: str = "5 minutes", **options: str) -> DataFrame:
-    """(alertType, sensorId, readingId, ts, severity) of the detectors per sensor; they share one state per sensor."""
+    """The alert rows of the detectors per sensor, as of a table; they share one state per sensor. Deviations within a
+    location are a plain windowed aggregation (``windows.deviation_candidates``)."""
     parts = [(R.ZScore(n, min_n, z), ["value"]), (R.RapidChange(micros(max_dt), rel), ["value"]),
              (R.DataGaps(micros(timeout)), []), (R.Offline(micros(timeout)), [])]
-    found = in_order(readings, "sensorId", R.Together(parts), "readingId",
+    readings = A.with_unit(readings).withColumn("rowTs", F.col("ts"))
+    carry = {"sensorType": "string", "location": "string", "value": "double", "unit": "string", "rowTs": "timestamp"}
+    found = in_order(readings, "sensorId", R.Together(parts, carry), "readingId",
                      use=F.array(*[F.lit(True)] * len(parts)), **options)
-    capped = [F.least(F.lit(0.9), F.col("o0.zScore") / z), F.least(F.lit(0.9), F.col("o1.relativeChange")),
-              F.lit(0.7), F.lit(0.8)]
-    kinds = ["STATISTICAL_ANOMALY", "RAPID_CHANGE", "MISSING_DATA", "SENSOR_OFFLINE"]
-    hit = F.coalesce(*[F.when(F.col(f"o{i}").isNotNull(), F.struct(
-        F.lit(kind).alias("alertType"), F.col(f"o{i}.readingId").alias("readingId"),
-        F.timestamp_micros(f"o{i}.p").alias("ts"), severity.alias("severity")))
-        for i, (kind, severity) in enumerate(zip(kinds, capped))])
-    matched = found.select("sensorId", hit.alias("a")).select("a.alertType", "sensorId", "a.readingId", "a.ts", "a.severity")
-    outside = threshold_violations(readings).select(
-        F.lit("THRESHOLD_VIOLATION").alias("alertType"), "sensorId", "readingId", "ts", "severity")
-    return matched.unionByName(outside)
+    found = found.withColumn("row", F.struct("row.*", F.col("row.rowTs").alias("ts")))
+
+    def hit(i: int, kind: str, severity: Column, *said: Column | float) -> Column:
+        made = A.sensor_alert(kind, severity, *said, at=F.timestamp_micros(f"o{i}.p"), row="row.")
+        return F.when(F.col(f"o{i}").isNotNull(), made)
+
+    value = F.col("row.value")
+    made = F.coalesce(
+        hit(0, "STATISTICAL_ANOMALY", F.least(F.lit(0.9), F.col("o0.zScore") / z), value, F.col("o0.zScore"), F.col("o0.mean")),
+        hit(1, "RAPID_CHANGE", F.least(F.lit(0.9), F.col("o1.relativeChange")), F.col("o1.relativeChange") * 100,
+            F.col("o1.previousValue"), value, F.col("o1.seconds")),
+        hit(2, "MISSING_DATA", F.lit(0.7), F.col("o2.minutes")),
+        hit(3, "SENSOR_OFFLINE", F.lit(0.8), micros(timeout) / 60_000_000.0))
+    outside = threshold_violations(readings).select(A.sensor_alert(
+        "THRESHOLD_VIOLATION", F.col("severity"), F.col("sensorType"), F.col("value"), F.coalesce("unit", F.lit(""))).alias("a"))
+    return found.select(made.alias("a")).select("a.*").unionByName(outside.select("a.*"))

@@ -259,21 +259,28 @@ class AsOf(Rule):
 
 
 class Together(Rule):
-    """Several rules over one buffer. ``use`` says per row which of them see it; outputs come as one struct each."""
+    """Several rules over one buffer. ``use`` says per row which of them see it; outputs come as one struct each.
 
-    def __init__(self, parts: list[tuple[Rule, list[str]]]):
-        self.parts = parts
-        self.columns = ["use", *dict.fromkeys(c for _, names in parts for c in names)]
+    ``carry``: columns (with their types) of the row at hand that go out beside each output as the struct ``row``, null
+    where time alone made the output.
+    """
+
+    def __init__(self, parts: list[tuple[Rule, list[str]]], carry: dict[str, str] | None = None):
+        self.parts, self.carry = parts, carry or {}
+        self.columns = ["use", *dict.fromkeys([*(c for _, names in parts for c in names), *self.carry])]
         self.memory = ", ".join(f"m{i} {self._struct(r.memory)}" for i, (r, _) in enumerate(parts))
         self.output = ", ".join(f"o{i} {self._struct(r.output)}" for i, (r, _) in enumerate(parts))
+        if self.carry:
+            self.output += ", row " + self._struct(", ".join(f"{n} {t}" for n, t in self.carry.items()))
 
     @staticmethod
     def _struct(ddl: str) -> str:
         return T.StructType.fromDDL(ddl).simpleString()
 
-    def _merge(self, each: list[tuple[tuple | None, list[tuple]]]) -> tuple[tuple | None, list[tuple]]:
+    def _merge(self, each: list[tuple[tuple | None, list[tuple]]], have: dict | None = None) -> tuple[tuple | None, list[tuple]]:
         memory = tuple(m for m, _ in each)
-        rows = [tuple(o if j == i else None for j in range(len(each))) for i, (_, outs) in enumerate(each) for o in outs]
+        beside = (tuple(have[n] for n in self.carry) if have else None,) if self.carry else ()
+        rows = [(*(o if j == i else None for j in range(len(each))), *beside) for i, (_, outs) in enumerate(each) for o in outs]
         return (memory if any(m is not None for m in memory) else None), rows
 
     def step(self, memory, row):
@@ -282,7 +289,7 @@ class Together(Rule):
         old = memory or (None,) * len(self.parts)
         return self._merge([
             rule.step(old[i], (at, ident, *[have[n] for n in names])) if use[i] else (old[i], [])
-            for i, (rule, names) in enumerate(self.parts)])
+            for i, (rule, names) in enumerate(self.parts)], have)
 
     def wake(self, memory):
         times = [rule.wake(m) for (rule, _), m in zip(self.parts, memory or ())]
