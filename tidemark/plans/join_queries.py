@@ -63,6 +63,37 @@ def j3_profile_lookup(spark, folder):
     return J.lookup(orders, profiles, "o_custkey", {"tier": "premium", "balance": 0.0})
 
 
+@query("j1_asof_all_events", """
+SELECT t."transactionId", t."userId", t.ts, max({'ts': u.ts, 'id': u."eventId"}).id AS "lastEventId"
+FROM transactions t JOIN user_events u ON t."userId" = u."userId" AND u.ts <= t.ts GROUP BY t."transactionId", t."userId", t.ts
+""")
+def j1_asof_all_events(spark, folder):
+    """Every event counts; of several at one instant the one of largest id is the latest."""
+    out = J.asof_join(transactions(spark, folder), user_events(spark, folder), "userId", "u", "eventId")
+    return out.select("transactionId", "userId", "ts", F.col("u.eventId").alias("lastEventId"))
+
+
+@query("j2_asof_all_readings", """
+SELECT p."readingId" AS "placeId", p.location, p.ts, max({'ts': s.ts, 'id': s."readingId"}).id AS "readingId"
+FROM sensors p JOIN sensors s ON p.location = s.location AND s.ts <= p.ts GROUP BY p."readingId", p.location, p.ts
+""")
+def j2_asof_all_readings(spark, folder):
+    readings = sensors(spark, folder)
+    place = readings.select(F.col("readingId").alias("placeId"), "ts", "location")
+    return J.asof_join(place, readings, "location", "s", "readingId").select("placeId", "location", "ts", "s.readingId")
+
+
+@query("j3_all_customers", """
+SELECT o.o_orderkey, o.o_custkey, coalesce(c.c_mktsegment, 'premium') AS tier, round(coalesce(c.c_acctbal, 0.0), 6) AS balance
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+""")
+def j3_all_customers(spark, folder):
+    profiles = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("tier"), F.col("c_acctbal").alias("balance"))
+    return J.lookup(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), profiles, "o_custkey",
+                    {"tier": "premium", "balance": 0.0})
+
+
 @query("j4_reference_lookup", """
 WITH limits AS (SELECT * FROM (VALUES
   ('grocery', 15.0, 200.0), ('gas_station', 20.0, 80.0), ('restaurant', 10.0, 150.0), ('retail', 25.0, 500.0),

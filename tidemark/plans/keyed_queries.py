@@ -156,3 +156,14 @@ FROM sized WHERE n = 100
 """)
 def t10_batch_rows(spark, folder):
     return K.count_batches(sensors(spark, folder), partial=False)[1]
+
+
+@query("t10_batch_rows_all", BATCHES_SQL + """
+, sized AS (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS m FROM b WINDOW w AS (PARTITION BY "sensorType", batch))
+SELECT "readingId", "sensorType", CAST(batch AS BIGINT) AS batch, CAST(n AS INT) AS "batchSize", round(m, 6) AS "batchAverage"
+FROM sized
+""")
+def t10_batch_rows_all(spark, folder):
+    """With the readings of the last, partial batch of each type."""
+    rows = K.count_batches(sensors(spark, folder))[1]
+    return rows.select("readingId", "sensorType", "batch", "batchSize", "batchAverage")

@@ -79,6 +79,15 @@ def x6_orders_by_day(spark, folder):
     return found.withColumn("total", F.round("total", 2))
 
 
+@query("x6_all_transactions", """
+WITH b AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, sum(amount) AS total FROM transactions GROUP BY 1),
+every AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 1 hour)) AS bucket)
+SELECT every.bucket, coalesce(n, 0) AS doc_count, round(total, 6) AS total FROM every LEFT JOIN b USING (bucket)
+""")
+def x6_all_transactions(spark, folder):
+    return X.date_histogram(transactions(spark, folder), "ts", "1 hour", {"total": F.sum("amount")})
+
+
 @query("x7_page", """SELECT * FROM user_events WHERE "eventId" > 299 ORDER BY "eventId" LIMIT 100""")
 def x7_page(spark, folder):
     return X.page(user_events(spark, folder), "eventId", after=299, n=100)
