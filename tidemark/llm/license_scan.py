@@ -29,7 +29,6 @@ from tidemark.llm.common import whole
 WIDTH = 5
 LEAST = 0.75
 BANDS = 24
-SIZES = (12, 18, 27, 40, 60, 90, 135, 200)
 #: Parts of words that licence notices use.
 ANCHORS = ("licen", "permission", "redistribut", "copyright", "warrant", "software")
 
@@ -63,7 +62,11 @@ def _shingles(words: list[str]) -> list[str]:
 
 
 def size_of(words: int) -> int:
-    return next(s for s in SIZES if s >= 1.5 * words)
+    """Window sizes grow by half from 12 words."""
+    size = 12
+    while size < 1.5 * words:
+        size = size * 3 // 2
+    return size
 
 
 def _check(templates) -> None:

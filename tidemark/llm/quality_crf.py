@@ -113,9 +113,6 @@ class Model:
     slope: float
     shift: float
 
-    def emission(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
-
 
 def marginals(emission: np.ndarray, per_text: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Per line the chance of good; summed expected transitions; summed log partition functions.
