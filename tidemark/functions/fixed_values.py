@@ -116,6 +116,19 @@ LOCATIONS = [
 COUNTRIES = ["US", "UK", "DE", "FR", "CA", "AU", "JP", "IN", "BR", "MX"]
 HIGH_RISK_COUNTRIES = ["RU", "CN", "NG", "PK"]
 
+# Parts of a transaction's risk score.
+RISK_WEIGHTS = {
+    "amount_factor": 3, "amount": 0.3, "night_until": 6, "night": 0.2, "risky_country": 0.4, "other_country": 0.1,
+    "other_category": 0.1, "within_minute": 0.3, "within_five_minutes": 0.1, "magnetic_stripe": 0.1,
+    "per_prior_fraud": 0.1, "most_prior_frauds": 0.3,
+}
+
+# What lowers a reading's data quality from 1.
+QUALITY_WEIGHTS = {
+    "battery_low": 20, "low": 0.3, "battery_half": 50, "half": 0.1, "calibration_days": 90, "calibration": 0.2,
+    "per_error": 0.02, "most_errors": 0.3, "anomaly": 0.1,
+}
+
 # Sources and the status of alerts.
 ALERT_SOURCES = {"fraud": "CEP-FRAUD-DETECTION", "anomaly": "ANOMALY-DETECTION"}
 ALERT_STATUS = "ACTIVE"

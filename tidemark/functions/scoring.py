@@ -59,7 +59,9 @@ def as_number(c: Column) -> Column:
 
 
 def gauge(value: Column, low: float, high: float) -> Column:
-    """Position of a value between two ends, 0 to 100."""
+    """Position of a value between two ends, 0 to 100; null where the ends are equal."""
+    if high == low:
+        return F.lit(None).cast("double")
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - low) / (high - low) * 100.0))
 
 
@@ -70,12 +72,13 @@ def gauge_status(normalised: Column, good: float, warning: float) -> Column:
 
 def quality_score(battery: Column, days_since_calibration: Column, errors: Column, is_anomaly: Column) -> Column:
     """Data quality of a reading, 0 to 1."""
+    w = fixed.QUALITY_WEIGHTS
     score = (
         F.lit(1.0)
-        - F.when(battery < 20, 0.3).when(battery < 50, 0.1).otherwise(0.0)
-        - F.when(days_since_calibration > 90, 0.2).otherwise(0.0)
-        - F.least(F.coalesce(errors, F.lit(0)) * 0.02, F.lit(0.3))
-        - F.when(is_anomaly, 0.1).otherwise(0.0)
+        - F.when(battery < w["battery_low"], w["low"]).when(battery < w["battery_half"], w["half"]).otherwise(0.0)
+        - F.when(days_since_calibration > w["calibration_days"], w["calibration"]).otherwise(0.0)
+        - F.least(F.coalesce(errors, F.lit(0)) * w["per_error"], F.lit(w["most_errors"]))
+        - F.when(is_anomaly, w["anomaly"]).otherwise(0.0)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 

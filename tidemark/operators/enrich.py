@@ -100,14 +100,16 @@ def risk_score(tx: DataFrame, profiles: DataFrame, risky_countries: list[str] |
     known = seen.join(profiles, "userId", "left")
     risky = F.col("country").isin(risky_countries or fixed.HIGH_RISK_COUNTRIES)
     method = F.col("paymentMethod") == "magnetic_stripe" if "paymentMethod" in tx.columns else F.lit(False)
+    weights = fixed.RISK_WEIGHTS
     score = (
-        F.when(F.col("amount") > F.col("averageAmount") * 3, 0.3).otherwise(0.0)
-        + F.when(F.hour("ts") < 6, 0.2).otherwise(0.0)
-        + F.when(risky, 0.4).when(F.col("country") != F.col("homeCountry"), 0.1).otherwise(0.0)
-        + F.when(~F.array_contains("preferredCategories", F.col("merchantCategory")), 0.1).otherwise(0.0)
-        + F.when(F.col("_elapsed") < micros("60 seconds"), 0.3).when(F.col("_elapsed") < recent, 0.1).otherwise(0.0)
-        + F.when(method, 0.1).otherwise(0.0)
-        + F.least(F.col("priorFrauds") * 0.1, F.lit(0.3))
+        F.when(F.col("amount") > F.col("averageAmount") * weights["amount_factor"], weights["amount"]).otherwise(0.0)
+        + F.when(F.hour("ts") < weights["night_until"], weights["night"]).otherwise(0.0)
+        + F.when(risky, weights["risky_country"]).when(F.col("country") != F.col("homeCountry"), weights["other_country"]).otherwise(0.0)
+        + F.when(~F.array_contains("preferredCategories", F.col("merchantCategory")), weights["other_category"]).otherwise(0.0)
+        + F.when(F.col("_elapsed") < micros("60 seconds"), weights["within_minute"])
+        .when(F.col("_elapsed") < recent, weights["within_five_minutes"]).otherwise(0.0)
+        + F.when(method, weights["magnetic_stripe"]).otherwise(0.0)
+        + F.least(F.col("priorFrauds") * weights["per_prior_fraud"], F.lit(weights["most_prior_frauds"]))
     )
     score = F.round(F.least(score, F.lit(1.0)), 3)
     return (known.withColumn("score", score)
