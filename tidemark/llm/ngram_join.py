@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bitmaps
 from tidemark.llm.common import components, slices, stored, unpacked, whole
-from tidemark.llm.shingles import Words, distinct
+from tidemark.llm.shingles import Words, distinct, distinct_all
 
 #: Least similarity, in hundredths.
 LEAST = 75
@@ -65,45 +65,45 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], least: int, hot=None) -> Iterator[pa.RecordBatch]:
-    """Prefix keys of every class of the task; with ``hot`` only the keys that replace hot ones."""
+def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Prefix keys of every class of the task."""
     words, seen = Words(), set()
     none = np.array([], np.uint64)
     for batch in slices(batches):
         found = [none]
-        for text in batch.column("text").to_pylist():
-            shingles = distinct(text, words)
+        for shingles in distinct_all(batch.column("text").to_pylist(), words):
             own = class_of(shingles)
             if len(shingles) and own not in seen:
                 seen.add(own)
-                first = prefix(shingles, none, least)
-                found.append(first if hot is None else np.setdiff1d(prefix(shingles, hot.value, least), first, assume_unique=True))
+                found.append(prefix(shingles, none, least))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
 
-_PROFILE = "doc_id long, n long, class long, band int, keys array<long>, bits array<long>"
+_PROFILE = "doc_id long, n long, class long, band int, fame int, late boolean, keys array<long>, bits array<long>"
 
 
-def _profiles(batches: Iterator[pa.RecordBatch], least: int, hot, shared) -> Iterator[pa.RecordBatch]:
-    words, seen = Words(), set()
+def _profiles(batches: Iterator[pa.RecordBatch], least: int, hot) -> Iterator[pa.RecordBatch]:
+    words, seen, often = Words(), set(), hot.value
+    none = np.array([], np.uint64)
     for batch in slices(batches):
-        sizes, classes, bands, keys, bits = [], [], [], [], []
-        for text in batch.column("text").to_pylist():
-            shingles = distinct(text, words)
+        rows = []
+        for shingles in distinct_all(batch.column("text").to_pylist(), words):
             n, own = len(shingles), class_of(shingles)
-            sizes.append(n)
-            classes.append(own)
-            bands.append(band(n, least))
-            keys.append(None)
-            bits.append(None)
+            fame, late, keys, bits = 0, False, None, None
             if n and own not in seen:
                 seen.add(own)
-                found = prefix(shingles, hot.value, least).view(np.int64)
-                keys[-1], bits[-1] = found[bitmaps.holds(shared.value, found)], bitmap(shingles)
+                famous = np.isin(shingles, often, assume_unique=True)
+                fame = int(1000 * famous.mean())
+                first = prefix(shingles, none, least)
+                late = bool(famous[:len(first)].any())
+                keys, bits = (prefix(shingles, often, least) if late else first).view(np.int64), bitmap(shingles)
+            rows.append((n, own, band(n, least), fame, late, keys, bits))
+        columns = list(zip(*rows)) if rows else [()] * 7
         longs = pa.list_(pa.int64())
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), longs, longs]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bands, pa.int32()),
-             pa.array(keys, longs), pa.array(bits, longs)], ["doc_id", "n", "class", "band", "keys", "bits"])
+            [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            ["doc_id", "n", "class", "band", "fame", "late", "keys", "bits"])
 
 
 def band(n: int, least: int) -> int:
@@ -111,8 +111,9 @@ def band(n: int, least: int) -> int:
     return int(math.log(n) / math.log(100 / least)) if n else 0
 
 
-def profiles(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per document its class, set size and band; once per task and class also prefix keys that several sets hold, and bitmap."""
+def profiles(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, np.ndarray]:
+    """Per document its class, set size and band, and once per task and class its prefix keys and bitmap; and the filter
+    of the keys that several sets may hold."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     counted = (texts.select("text").mapInArrow(partial(_keys, least=least), "key long").groupBy("key")
@@ -120,26 +121,40 @@ def profiles(docs: DataFrame, least: int = LEAST) -> DataFrame:
     counted = stored(counted)
     often = counted.where(F.col("sets") > OFTEN).orderBy(F.desc("sets"), "key").limit(MOST_HOT).select("key").collect()
     hot = np.sort(np.array([r.key for r in often], dtype=np.int64).view(np.uint64))
-    # a set that gives up a hot key takes others instead, which were not counted: they pass the filter too
+    made = stored(texts.mapInArrow(partial(_profiles, least=least, hot=spark.sparkContext.broadcast(hot)), _PROFILE))
     shared = bitmaps.of_column(counted, "key")
-    if len(hot):
-        lent = spark.sparkContext.broadcast(hot)
-        late = texts.select("text").mapInArrow(partial(_keys, least=least, hot=lent), "key long")
-        shared = shared | bitmaps.of_column(late, "key")
-    made = texts.mapInArrow(partial(_profiles, least=least, hot=spark.sparkContext.broadcast(hot),
-                                     shared=spark.sparkContext.broadcast(shared)), _PROFILE)
-    return stored(made)
-
-
-def tiles(profiled: DataFrame) -> DataFrame:
-    """Rows (key, band, n, class, leader) of the keys that several classes hold; the leader is its tile's smallest set."""
-    rows = profiled.where("keys is not null").select(F.explode("keys").alias("key"), "band", "n", "class")
-    by_key = Window.partitionBy("key").orderBy("band", "n", "class")
+    if len(hot):  # keys that sets took in place of hot ones were not counted
+        shared = shared | bitmaps.of_column(made.where("late").select(F.explode("keys").alias("key")), "key")
+    return made, shared
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """A row for each key that passes the filter."""
+    names = ["band", "fame", "n", "class"]
+    for batch in slices(batches):
+        keys = batch.column("keys")
+        flat = keys.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+        hit = bitmaps.holds(shared.value, flat)
+        at = pa.array(owner[hit])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *(batch.column(c).take(at) for c in names)], ["key", *names])
+
+
+def tiles(profiled: DataFrame, shared: np.ndarray) -> DataFrame:
+    """Rows (key, band, n, class, leader) of the keys that several classes hold.
+
+    The leader of a tile is the class with the largest share of hot shingles: in a crowd of near copies that is the one
+    nearest to all others."""
+    lent = profiled.sparkSession.sparkContext.broadcast(shared)
+    rows = profiled.where("keys is not null").select("keys", "band", "fame", "n", "class").mapInArrow(
+        partial(_key_rows, shared=lent), "key long, band int, fame int, n long, class long")
+    order = [F.desc("fame"), "n", "class"]
+    by_key = Window.partitionBy("key").orderBy("band", *order)
     once = rows.withColumn("_before", F.lag("class").over(by_key)).where("_before is null or _before <> class").drop("_before")
     near = once.withColumns({"_before": F.lag("class").over(by_key), "_after": F.lead("class").over(by_key)})
-    in_tile = Window.partitionBy("key", "band").orderBy("n", "class")
+    in_tile = Window.partitionBy("key", "band").orderBy(*order)
     return (near.where("_before is not null or _after is not null").drop("_before", "_after")
-            .withColumn("leader", F.first("class").over(in_tile)))
+            .withColumn("leader", F.first("class").over(in_tile)).drop("fame"))
 
 
 def _overlap_possible(a: str, b: str, least: int) -> Column:
@@ -179,8 +194,8 @@ def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 def join(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable by links)."""
-    made = profiles(docs, least)
-    tile = stored(tiles(made))
+    made, shared = profiles(docs, least)
+    tile = stored(tiles(made, shared))
     classes = (made.where("keys is not null").groupBy("class")
                .agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
     held = stored(classes.join(tile.select("class").distinct(), "class"))
@@ -223,7 +238,7 @@ def _packed_classes(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.Re
         may = bitmaps.holds(wanted.value, batch.column("h").to_numpy(zero_copy_only=False))
         texts = batch.column("text").filter(pa.array(may)).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([class_of(distinct(t, words)) for t in texts], pa.int64()),
+            [pa.array([class_of(x) for x in distinct_all(texts, words)], pa.int64()),
              pa.array([press.compress(t.encode()) for t in texts], pa.binary())], ["class", "text"])
 
 

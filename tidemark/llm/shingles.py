@@ -12,7 +12,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Words(dict):
     """Hashes of words, remembered up to a bound."""
 
-    most = 80_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -48,5 +48,17 @@ def runs(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return acc
 
 
+def distinct_all(texts: list[str], words: Words) -> list[np.ndarray]:
+    """The sets of several texts, with one pass over all their words."""
+    lists = [split(t) for t in texts]
+    hashes = words.of([w for own in lists for w in own])
+    every, at, out = runs(hashes), 0, []
+    for own in lists:
+        n = len(own)
+        out.append(np.unique(every[at:at + n - WIDTH + 1] if n >= WIDTH else runs(hashes[at:at + n])))
+        at += n
+    return out
+
+
 def distinct(text: str, words: Words) -> np.ndarray:
     return np.unique(runs(words.of(split(text))))
