@@ -40,6 +40,7 @@ LEAST = 75
 #: Keys of more classes than this go last in the order, most frequent first, up to a number that fits every task.
 OFTEN, MOST_HOT = 32, 200_000
 WORDS = 16  # 64-bit words of a bitmap
+ANY = 1 << 50  # slack at a key that is not hot
 
 
 def needed(n: np.ndarray | int, least: int):
@@ -66,9 +67,22 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Prefix keys of every class of the task."""
+    """Prefix keys of every class of the task, and any shingles that many classes of the task hold, with their number.
+
+    The latter may be in no prefix by hash, but would enter the prefixes that other frequent shingles leave."""
     words, seen = Words(), set()
     none = np.array([], np.uint64)
+    held, size = [none], 0
+
+    def rows(keys: np.ndarray, sets: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets, pa.int32()), pa.array(often, pa.int32())],
+                                          ["key", "sets", "often"])
+
+    def frequent() -> pa.RecordBatch:
+        keys, many = np.unique(np.concatenate(held), return_counts=True)
+        keys, many = keys[many >= 3], many[many >= 3]
+        return rows(keys, np.zeros(len(keys)).astype(np.int32), many.astype(np.int32))
+
     for batch in slices(batches):
         found = [none]
         for shingles in distinct_all(batch.column("text").to_pylist(), words):
@@ -76,10 +90,17 @@ def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             if len(shingles) and own not in seen:
                 seen.add(own)
                 found.append(prefix(shingles, none, least))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+                held.append(shingles)
+                size += len(shingles)
+        keys = np.concatenate(found)
+        yield rows(keys, np.ones(len(keys), np.int32), np.zeros(len(keys), np.int32))
+        if size > 4_000_000:
+            yield frequent()
+            held, size = [none], 0
+    yield frequent()
 
 
-_PROFILE = "doc_id long, n long, class long, band int, fame int, late boolean, keys array<long>, bits array<long>"
+_PROFILE = "doc_id long, n long, class long, band int, hot int, late boolean, keys array<long>, bits array<long>"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], least: int, hot) -> Iterator[pa.RecordBatch]:
@@ -89,21 +110,21 @@ def _profiles(batches: Iterator[pa.RecordBatch], least: int, hot) -> Iterator[pa
         rows = []
         for shingles in distinct_all(batch.column("text").to_pylist(), words):
             n, own = len(shingles), class_of(shingles)
-            fame, late, keys, bits = 0, False, None, None
+            many, late, keys, bits = 0, False, None, None
             if n and own not in seen:
                 seen.add(own)
                 famous = np.isin(shingles, often, assume_unique=True)
-                fame = int(1000 * famous.mean())
+                many = int(famous.sum())
                 first = prefix(shingles, none, least)
                 late = bool(famous[:len(first)].any())
                 keys, bits = (prefix(shingles, often, least) if late else first).view(np.int64), bitmap(shingles)
-            rows.append((n, own, band(n, least), fame, late, keys, bits))
+            rows.append((n, own, band(n, least), many, late, keys, bits))
         columns = list(zip(*rows)) if rows else [()] * 7
         longs = pa.list_(pa.int64())
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), longs, longs]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-            ["doc_id", "n", "class", "band", "fame", "late", "keys", "bits"])
+            ["doc_id", "n", "class", "band", "hot", "late", "keys", "bits"])
 
 
 def band(n: int, least: int) -> int:
@@ -111,50 +132,61 @@ def band(n: int, least: int) -> int:
     return int(math.log(n) / math.log(100 / least)) if n else 0
 
 
-def profiles(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, np.ndarray]:
-    """Per document its class, set size and band, and once per task and class its prefix keys and bitmap; and the filter
-    of the keys that several sets may hold."""
+def profiles(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Per document its class, set size and band, and once per task and class its hot shingles' number, prefix keys and
+    bitmap; the filter of the keys that several sets may hold; and the hot keys."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    counted = (texts.select("text").mapInArrow(partial(_keys, least=least), "key long").groupBy("key")
-               .agg(F.count("*").alias("sets")).where("sets > 1"))
-    counted = stored(counted)
-    often = counted.where(F.col("sets") > OFTEN).orderBy(F.desc("sets"), "key").limit(MOST_HOT).select("key").collect()
+    counted = (texts.select("text").mapInArrow(partial(_keys, least=least), "key long, sets int, often int").groupBy("key")
+               .agg(F.sum("sets").alias("sets"), F.sum("often").alias("often")).where((F.col("sets") > 1) | (F.col("often") > OFTEN)))
+    counted = stored(counted.select("sets", "key", F.greatest("sets", "often").alias("most")))
+    often = counted.where(F.col("most") > OFTEN).orderBy(F.desc("most"), "key").limit(MOST_HOT).select("key").collect()
     hot = np.sort(np.array([r.key for r in often], dtype=np.int64).view(np.uint64))
     made = stored(texts.mapInArrow(partial(_profiles, least=least, hot=spark.sparkContext.broadcast(hot)), _PROFILE))
-    shared = bitmaps.of_column(counted, "key")
+    shared = bitmaps.of_column(counted.where("sets > 1"), "key")
     if len(hot):  # keys that sets took in place of hot ones were not counted
         shared = shared | bitmaps.of_column(made.where("late").select(F.explode("keys").alias("key")), "key")
-    return made, shared
+    return made, shared, hot
+
 
+def _key_rows(batches: Iterator[pa.RecordBatch], shared, hot, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each key that passes the filter.
 
-def _key_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """A row for each key that passes the filter."""
-    names = ["band", "fame", "n", "class"]
+    A set with a hot key in its prefix has all its other shingles there too. So two sets whose first common key is a hot
+    one differ in all shingles that are not hot and in the hot ones before that key, and overlap in half of the rest at
+    most. At a hot key ``slack`` is (100 + least) * (hot ones from this key on) - 2 * least * n: the two can only be
+    linked if, at their first common key, their slacks add up to 0 or more."""
+    names = ["band", "hot", "n", "class"]
     for batch in slices(batches):
         keys = batch.column("keys")
         flat = keys.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+        size = np.diff(keys.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(keys)), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         hit = bitmaps.holds(shared.value, flat)
         at = pa.array(owner[hit])
-        yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *(batch.column(c).take(at) for c in names)], ["key", *names])
+        many, n = (batch.column(c).to_numpy()[owner[hit]].astype(np.int64) for c in ("hot", "n"))
+        onward = many - (place[hit] - (n - many))
+        slack = np.where(np.isin(flat[hit].view(np.uint64), hot.value), (100 + least) * onward - 2 * least * n, ANY)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(flat[hit]), *(batch.column(c).take(at) for c in names), pa.array(slack)], ["key", *names, "slack"])
 
 
-def tiles(profiled: DataFrame, shared: np.ndarray) -> DataFrame:
-    """Rows (key, band, n, class, leader) of the keys that several classes hold.
+def tiles(profiled: DataFrame, shared: np.ndarray, hot: np.ndarray, least: int = LEAST) -> DataFrame:
+    """Rows (key, band, n, class, slack, leader) of the keys that several classes hold.
 
     The leader of a tile is the class with the largest share of hot shingles: in a crowd of near copies that is the one
     nearest to all others."""
-    lent = profiled.sparkSession.sparkContext.broadcast(shared)
-    rows = profiled.where("keys is not null").select("keys", "band", "fame", "n", "class").mapInArrow(
-        partial(_key_rows, shared=lent), "key long, band int, fame int, n long, class long")
-    order = [F.desc("fame"), "n", "class"]
+    lend = profiled.sparkSession.sparkContext.broadcast
+    rows = profiled.where("keys is not null").select("keys", "band", "hot", "n", "class").mapInArrow(
+        partial(_key_rows, shared=lend(shared), hot=lend(hot), least=least), "key long, band int, hot int, n long, class long, slack long")
+    order = [F.desc(F.col("hot") / F.col("n")), "n", "class"]
     by_key = Window.partitionBy("key").orderBy("band", *order)
     once = rows.withColumn("_before", F.lag("class").over(by_key)).where("_before is null or _before <> class").drop("_before")
     near = once.withColumns({"_before": F.lag("class").over(by_key), "_after": F.lead("class").over(by_key)})
     in_tile = Window.partitionBy("key", "band").orderBy(*order)
     return (near.where("_before is not null or _after is not null").drop("_before", "_after")
-            .withColumn("leader", F.first("class").over(in_tile)).drop("fame"))
+            .withColumn("leader", F.first(F.struct("class", "slack")).over(in_tile)).drop("hot"))
 
 
 def _overlap_possible(a: str, b: str, least: int) -> Column:
@@ -194,27 +226,28 @@ def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 def join(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable by links)."""
-    made, shared = profiles(docs, least)
-    tile = stored(tiles(made, shared))
+    made, shared, hot = profiles(docs, least)
+    tile = stored(tiles(made, shared, hot, least))
     classes = (made.where("keys is not null").groupBy("class")
                .agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
     held = stored(classes.join(tile.select("class").distinct(), "class"))
     texts = _texts_of(docs, held)
     sizes = held.select("class", "n", "bits")
 
-    votes = tile.where("leader <> class").groupBy("class", "leader").agg(F.count("*").alias("keys"))
+    votes = (tile.where("leader.class <> class and slack + leader.slack >= 0").groupBy("class", F.col("leader.class").alias("leader"))
+             .agg(F.count("*").alias("keys")))
     best = votes.groupBy("class").agg(F.max(F.struct("keys", "leader"))["leader"].alias("leader"))
     first = stored(verified(best.select(F.col("class").alias("x"), F.col("leader").alias("y")), sizes, texts, least))
     labels = components(first)
 
     named_tile = (tile.join(labels.withColumnRenamed("v", "class"), "class", "left")
-                  .select("key", "band", "n", "class", F.coalesce("component", "class").alias("component")))
+                  .select("key", "band", "n", "class", "slack", F.coalesce("component", "class").alias("component")))
     mixed = (named_tile.groupBy("key").agg(F.mode("component").alias("main"), F.min("component").alias("low"),
                                            F.max("component").alias("high")).where("low <> high").select("key", "main"))
     rest = stored(named_tile.join(mixed, "key"))
     a, b = rest.where("component <> main").alias("a"), rest.alias("b")
     apart = ((F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
-             & (F.abs(F.col("a.band") - F.col("b.band")) <= 1)
+             & (F.abs(F.col("a.band") - F.col("b.band")) <= 1) & (F.col("a.slack") + F.col("b.slack") >= 0)
              & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * least)
              & ((F.col("b.component") == F.col("b.main")) | (F.col("a.class") < F.col("b.class"))))
     pairs = a.join(b, apart).select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y")).distinct()
