@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from tidemark.plans.catalog import QUERIES
 from conftest import SF
 from tidemark.operators import keyed, search
 from tidemark.sources import adapters
@@ -19,7 +20,7 @@ def plan(df, run=False):
     return re.sub(r"#\d+L?", "", text)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_built_in_and_without_pairs(spark, name):
     text = plan(contract.queries()[name](spark, SF))
     assert not [b for b in BAD if b in text], text
