@@ -75,3 +75,25 @@ def test_odd_rows(spark):
     got = remove_repeats(docs)
     assert sorted(got.columns) == sorted(docs.columns) and got.count() == docs.count()
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_long_sentences(spark):
+    """Passages of 51 words cut out of sentences of any length, and copies of one long sentence."""
+    rand = random.Random(6)
+    word = lambda: "".join(rand.choice("abcdefgh") for _ in range(6))
+    rows, truth = [], {}
+    for i in range(120):
+        step = [0, 13, 20, 60][i % 4]
+        passage = [word() + ("." if step and rand.randrange(step) == 0 else "") for _ in range(51)]
+        rows.append((i, " ".join([word() for _ in range(rand.randrange(30))] + passage + [word() for _ in range(rand.randrange(30))])))
+        own = [word() for _ in range(rand.randrange(1, 30))], [word() for _ in range(rand.randrange(1, 30))]
+        rows.append((1000 + i, " ".join([*own[0], *passage, *own[1]])))
+        truth[1000 + i] = passage, own
+    whole = " ".join(word() for _ in range(101))
+    rows += [(3000, whole), (3001, whole)]
+    got = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3000] == whole and got[3001] == ""
+    assert all(got[i] == text for i, text in rows if i < 1000)
+    for i, (passage, own) in truth.items():
+        left = got[i].split()
+        assert len(set(left) & set(passage)) <= 51 - spans.WORDS and set(own[0] + own[1]) <= set(left), i

@@ -1,17 +1,21 @@
-"""Repeated passages: runs of consecutive sentences that occur before in the corpus are removed.
-
-A text is cut into sentences at line ends and after full stops, exclamation and question marks before white space. From
-every sentence on, and up to every sentence, the shortest run of at least ``sentences`` sentences and ``words`` words is
-hashed (words in lower case, white space aside), so every sentence of a repeated passage lies in a run within it. Runs are
-grouped by hash over all documents; a sentence goes if a run that is not its hash's first occurrence covers it. The first
-occurrence is the one of least (doc_id, place).
+"""Repeated passages: runs of consecutive pieces of text that occur before in the corpus are removed.
+
+A text is cut into sentences at line ends and after full stops, exclamation and question marks before white space. A sentence
+of more than ``LONG`` words is cut further, before words whose hash is least among some ``NEAR`` words in a row: these places
+depend on the words around them alone, so copies are cut alike wherever their sentence begins or ends. Pieces have at most
+``LONG`` words. From every piece on, and up to every piece, the shortest run of at least ``sentences`` pieces and ``words``
+words is hashed (words in lower case, white space aside), so every piece of a repeated passage lies in a run within it. A
+passage loses at most ``LONG`` - 1 words at either end to pieces that its neighbours share, so one of more than 50 words, cut
+out of its text between any two words and with the same line ends, always holds a run. Runs are grouped by hash over all
+documents; a piece goes if a run that is not its hash's first occurrence covers it. The first occurrence is the one of least
+(doc_id, place).
 
 Hashes that occur once are left out of the second shuffle by a filter of fixed size; texts that lose nothing are not
 shuffled. A very common passage is counted in the map tasks and joined on with one row on the other side.
 
 Defined results: null and empty texts keep their text; rows with equal ids count as one document; rows without an id come
-last in the order; what is left of a copied document may be empty; repeats within a document go as well. Other columns pass
-through; ``text`` and ``n_chars`` are renewed where present, ``n_removed`` is added (sentences removed).
+last in the order; what is left of a copied document may be empty; repeats within a document go as well. Other columns pass through; ``text``
+and ``n_chars`` are renewed where present, ``n_removed`` is added (pieces removed: sentences, or pieces of long ones).
 """
 
 from __future__ import annotations
@@ -32,44 +36,89 @@ from tidemark.llm.common import stored, whole
 from tidemark.llm.shingles import mix
 
 SENTENCES, WORDS = 2, 20
+#: Words of the longest piece, and of the stretches that each have a cut in a longer sentence. Twice one less than LONG, and
+#: WORDS, are within the 50 words of a passage.
+LONG, NEAR = 15, 14
 _END = re.compile(r"[.!?]+(?=\s)|\n+")
+_WORD = re.compile(r"\S+")
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 
 
-def sentences_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts (and, last, the text's length), word counts and hashes of the sentences that hold words."""
-    starts, words, hashes = [], [], []
+class _Hashes(dict):
+    """Hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
+_HASHES = _Hashes()
+
+
+def _pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts (and, last, the text's length) and word counts of the pieces that hold words, and the hashes of all words."""
+    starts, words, every = [], [], []
+    long = []
     at = 0
     for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
         own = text[at:end].lower().split()
         if own:
+            if len(own) > LONG:
+                long.append((len(starts), len(every), at, end))
             starts.append(at)
             words.append(len(own))
-            hashes.append(xxhash.xxh64_intdigest(" ".join(own)))
+            every += own
             at = end
-    return np.array([*starts, len(text)]), np.array(words, np.int64), np.array(hashes, np.uint64)
+    hashes = np.fromiter(map(_HASHES.__getitem__, every), np.uint64, len(every))
+    if long:
+        cuts = _cuts(hashes)
+        for k, first, at, end in reversed(long):
+            n = words[k]
+            # windows wholly in the sentence
+            own = np.unique(cuts[first:first + n - NEAR + 1]) - first
+            own = own[own > 0]
+            if len(own):
+                places = [m.start() for m in _WORD.finditer(text, at, end)]
+                starts[k:k + 1] = [at, *(places[i] for i in own.tolist())]
+                words[k:k + 1] = np.diff(np.concatenate([[0], own, [n]])).tolist()
+    return np.array([*starts, len(text)]), np.array(words, np.int64), hashes
+
+
+def _cuts(hashes: np.ndarray) -> np.ndarray:
+    """Of every stretch of ``NEAR`` words the last word of least hash."""
+    n = len(hashes) - NEAR + 1
+    back = np.lib.stride_tricks.sliding_window_view(mix(hashes)[::-1], NEAR).argmin(axis=1)[::-1]
+    return np.arange(n) + NEAR - 1 - back
+
+
+def sentences_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (and, last, the text's length) and word counts of the pieces that hold words."""
+    return _pieces(text)[:2]
 
 
 def runs_of(text: str, sentences: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first character and end of every run."""
-    starts, many, hashes = sentences_of(text)
+    starts, many, hashes = _pieces(text)
     n = len(many)
-    if n < sentences:
+    if n < sentences or len(hashes) < words:
         return np.zeros(0, np.uint64), starts[:0], starts[:0]
     total = np.concatenate([[0], np.cumsum(many)])
     i = np.arange(n)
     last = np.maximum(np.searchsorted(total, total[:-1] + words), i + sentences)  # exclusive
     first = np.minimum(np.searchsorted(total, total[1:] - words, "right") - 1, i + 1 - sentences)
-    pairs = np.concatenate([np.stack([i, last], 1)[last <= n], np.stack([first, i + 1], 1)[first >= 0]])
-    pairs = np.unique(pairs, axis=0)
+    # runs as one number each, begin and end
+    pairs = np.unique(np.concatenate([(i * (n + 1) + last)[last <= n], (first * (n + 1) + i + 1)[first >= 0]]))
+    begin, end = pairs // (n + 1), pairs % (n + 1)
     with np.errstate(over="ignore"):
-        power, back = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _BACK, np.uint64)
+        power, back = np.full(len(hashes) + 1, _BASE, np.uint64), np.full(len(hashes) + 1, _BACK, np.uint64)
         power[0] = back[0] = 1
         power, back = np.cumprod(power), np.cumprod(back)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:n])])
-        run = mix((sums[pairs[:, 1]] - sums[pairs[:, 0]]) * back[pairs[:, 0]])
-    return run, starts[pairs[:, 0]], starts[pairs[:, 1]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:-1])])
+        run = mix((sums[total[end]] - sums[total[begin]]) * back[total[begin]])
+    return run, starts[begin], starts[end]
 
 
 def _emit(batches: Iterator[pd.DataFrame], sentences: int, words: int, repeated=None) -> Iterator[pd.DataFrame]:
