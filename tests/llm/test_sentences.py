@@ -97,3 +97,14 @@ def test_long_sentences(spark):
     for i, (passage, own) in truth.items():
         left = got[i].split()
         assert len(set(left) & set(passage)) <= 51 - spans.WORDS and set(own[0] + own[1]) <= set(left), i
+
+
+def test_rows_without_an_id(spark):
+    """Each is a document of its own; so are other texts of one id."""
+    rand = random.Random(8)
+    text = lambda: " ".join("".join(rand.choice("abcdefgh") for _ in range(6)) + "." * (j % 8 == 7) for j in range(64))
+    copied, other, third, twin = text(), text(), text(), text()
+    rows = [(1, copied), (None, copied), (None, other), (None, third), (None, third), (2, copied), (2, twin), (3, third[:0])]
+    got = [(r.doc_id, r.text) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = [(1, copied), (None, ""), (None, other), (None, third), (None, ""), (2, ""), (2, twin), (3, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -8,13 +8,14 @@ words is hashed (words in lower case, white space aside), so every piece of a re
 passage loses at most ``LONG`` - 1 words at either end to pieces that its neighbours share, so one of more than 50 words, cut
 out of its text between any two words and with the same line ends, always holds a run. Runs are grouped by hash over all
 documents; a piece goes if a run that is not its hash's first occurrence covers it. The first occurrence is the one of least
-(doc_id, place).
+(doc_id, hash of the text, place).
 
 Hashes that occur once are left out of the second shuffle by a filter of fixed size; texts that lose nothing are not
 shuffled. A very common passage is counted in the map tasks and joined on with one row on the other side.
 
-Defined results: null and empty texts keep their text; rows with equal ids count as one document; rows without an id come
-last in the order; what is left of a copied document may be empty; repeats within a document go as well. Other columns pass through; ``text``
+Defined results: null and empty texts keep their text; rows with equal ids and equal texts count as one document, rows with
+equal ids and other texts as several; every row without an id is a document of its own, and these come last in the order;
+what is left of a copied document may be empty; repeats within a document go as well. Other columns pass through; ``text``
 and ``n_chars`` are renewed where present, ``n_removed`` is added (pieces removed: sentences, or pieces of long ones).
 """
 
@@ -123,21 +124,22 @@ def runs_of(text: str, sentences: int = SENTENCES, words: int = WORDS) -> tuple[
 
 def _emit(batches: Iterator[pd.DataFrame], sentences: int, words: int, repeated=None) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, found = [], []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        ids, ties, found = [], [], []
+        for doc_id, tie, text in zip(batch["doc_id"], batch["tie"], batch["text"]):
             run, start, end = runs_of(text, sentences, words)
             if repeated is not None:
                 hit = bitmaps.holds(repeated.value, run)
                 run, start, end = run[hit], start[hit], end[hit]
             ids.append(np.full(len(run), doc_id, np.int64))
+            ties.append(np.full(len(run), tie, np.int64))
             found.append((run, start, end))
         if found:
             run, start, end = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"run": run.view(np.int64), "doc_id": np.concatenate(ids), "start": start.astype(np.int32),
-                                "stop": end.astype(np.int32)})
+            yield pd.DataFrame({"run": run.view(np.int64), "doc_id": np.concatenate(ids), "tie": np.concatenate(ties),
+                                "start": start.astype(np.int32), "stop": end.astype(np.int32)})
 
 
-_RUNS = "run long, doc_id long, start int, stop int"
+_RUNS = "run long, doc_id long, tie long, start int, stop int"
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())])
 _LAST = 2**63 - 1
 
@@ -158,28 +160,40 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_CUT.names)
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """Per document the spans (start, stop) of its runs that occur earlier: columns ``doc_id`` and ``spans``."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), whole().alias("text"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row key ``_doc``, ``_tie``: the id and a hash of the text. Rows without an id are written and numbered."""
+    doc = F.col("doc_id").cast("long")
+    void = [c for c, kind in docs.dtypes if kind == "void"]
+    bare = stored(docs.where(doc.isNull()).drop(*void).withColumn("_tie", F.monotonically_increasing_id()))
+    bare = bare.withColumns({c: F.lit(None) for c in void})
+    named = docs.where(doc.isNotNull()).withColumn("_tie", F.xxhash64(whole()))
+    return named.unionByName(bare).withColumn("_doc", F.coalesce(doc, F.lit(_LAST)))
+
+
+def repeated_spans(keyed: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """Per row key the spans (start, stop) of its runs that occur earlier: columns ``doc_id``, ``tie`` and ``spans``."""
+    rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), whole().alias("text"))
     runs = rows.mapInPandas(partial(_emit, sentences=sentences, words=words), _RUNS)
-    first = stored(runs.groupBy("run").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start")).alias("first"))
+    place = F.struct("doc_id", "tie", "start")
+    first = stored(runs.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first"))
                    .where("times > 1").select("run", "first"))
-    lent = docs.sparkSession.sparkContext.broadcast(bitmaps.of_column(first, "run"))
+    lent = keyed.sparkSession.sparkContext.broadcast(bitmaps.of_column(first, "run"))
     again = rows.mapInPandas(partial(_emit, sentences=sentences, words=words, repeated=lent), _RUNS)
-    later = again.join(first, "run").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    later = again.join(first, "run").where(place != F.col("first"))
+    return later.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``docs`` without the sentences of later occurrences."""
-    spans = stored(repeated_spans(docs, sentences, words))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    marked = docs.withColumn("_may", bitmaps.filter_of(spans, "doc_id", key))
-    gone = spans.select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"))
-    cut = marked.where("_may").withColumn("_key", key).join(gone, "_key").withColumn("_cut", _cut(whole(), "_spans"))
+    """``docs`` without the pieces of later occurrences."""
+    keyed = _keyed(docs)
+    spans = stored(repeated_spans(keyed, sentences, words))
+    keys = ["_doc", "_tie"]
+    marked = keyed.withColumn("_may", bitmaps.filter_of(spans.select(F.xxhash64("doc_id", "tie").alias("key")), "key", F.xxhash64(*keys)))
+    gone = spans.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
+    cut = marked.where("_may").join(gone, keys).withColumn("_cut", _cut(whole(), "_spans"))
     renewed = {"text": F.col("_cut.text"), "n_chars": F.length("_cut.text").cast("long"), "n_removed": F.col("_cut.n_removed")}
     names = [c for c in docs.columns if c != "n_removed"]
     changed = cut.select(*[renewed[c].alias(c) if c in renewed else F.col(f"`{c}`") for c in names], renewed["n_removed"].alias("n_removed"))
-    kept = marked.where("_may").withColumn("_key", key).join(gone.select("_key"), "_key", "left_anti")
+    kept = marked.where("_may").join(gone.select(*keys), keys, "left_anti")
     same = [F.col(f"`{c}`") for c in names] + [F.lit(0).alias("n_removed")]
     return changed.unionByName(kept.select(*same)).unionByName(marked.where(~F.col("_may")).select(*same))
