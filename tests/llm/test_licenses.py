@@ -49,3 +49,26 @@ def test_anchors_are_lossless():
 def test_odd_rows(spark):
     docs = odd(spark, "license int, size string, band string")
     assert scan.scan(docs).count() == 0 and scan.scan(docs.limit(0)).count() == 0
+
+
+def test_bands_hold_their_bound(spark):
+    """The least similar window of every template is missed with a chance of one in ten thousand at most."""
+    for _, notice in scan.TEMPLATES:
+        words = scan._words(notice)
+        n, size = len(scan._shingles(words)), scan.size_of(len(words))
+        held = -(-3 * n // 4)
+        like = held / (max(size - 4, held) + n - held)
+        assert (1 - like) ** scan._bands(scan.TEMPLATES)[size] <= 1e-4
+    for short in ["MIT License", "the software license here"]:
+        try:
+            scan.templates_of(spark, [("x", short)])
+        except ValueError:
+            continue
+        raise AssertionError
+
+
+def test_short_notice_in_many_texts(spark):
+    rand = random.Random(9)
+    filler = lambda: " ".join("".join(rand.choice("abcde") for _ in range(6)) for _ in range(rand.randrange(20, 40)))
+    rows = [(i, f"{filler()} Released under the MIT License. {filler()}") for i in range(2000)]
+    assert scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2000

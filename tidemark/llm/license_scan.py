@@ -2,9 +2,10 @@
 
 Texts and templates are words of small letters and digits; shingles are five words. Every template belongs to a window size
 of at least one and a half times its length, and windows of a size follow each other so closely that any stretch of the
-template's length lies whole in one. A window that holds the least containment of a template then has a similarity with it
-of a third or more; with ``BANDS`` bands of one row it misses the template with a chance below (2/3)^24, under one in ten
-thousand. The templates it meets are verified by exact containment of their shingles.
+template's length lies whole in one. From the template's shingles, the least containment and the window's size follows the
+least similarity of a window that holds the template (an eighth for five words in a window of twelve). Each size has as many
+bands of one row as its templates need for a chance of ``MISS``, one in ten thousand, at most to miss one; a template that
+would need more than ``MOST`` is refused. The templates a window meets are verified by exact containment of their shingles.
 
 A stretch that holds ``LEAST`` of a template's shingles holds one of the anchors, since more than the rest of the
 template's shingles contain one (checked when the templates are made). So windows are only made of texts with an anchor.
@@ -17,6 +18,7 @@ once per licence, with its best window; rows without an id are reported together
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from operator import or_
@@ -28,7 +30,9 @@ from tidemark.llm.common import whole
 
 WIDTH = 5
 LEAST = 0.75
-BANDS = 24
+MISS = 1e-4
+#: Bands of a window size, at most.
+MOST = 128
 #: Parts of words that licence notices use.
 ANCHORS = ("licen", "permission", "redistribut", "copyright", "warrant", "software")
 
@@ -69,6 +73,18 @@ def size_of(words: int) -> int:
     return size
 
 
+def bands_of(words: int, shingles: int) -> int:
+    """Bands that meet a template of so many words and shingles in a window that holds ``LEAST`` of it, but for ``MISS``."""
+    if words < WIDTH:
+        raise ValueError(f"a notice of {words} words has no shingle of its own")
+    held = math.ceil(LEAST * shingles)
+    like = held / (max(size_of(words) - WIDTH + 1, held) + shingles - held)
+    need = 1 if like == 1 else math.ceil(math.log(MISS) / math.log1p(-like))
+    if need > MOST:
+        raise ValueError(f"a notice of {words} words needs {need} bands")
+    return need
+
+
 def _check(templates) -> None:
     for name, text in templates:
         shingles = _shingles(_words(text))
@@ -77,18 +93,29 @@ def _check(templates) -> None:
             raise ValueError(f"a notice of {name} can be met without an anchor")
 
 
-def _minimum_hashes(shingles: Column) -> Column:
+def _minimum_hashes(shingles: Column, bands: Column) -> Column:
     """Per band the least hash of the shingles."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(
         F.transform(shingles, lambda s: F.xxhash64(b, s))))
 
 
+def _bands(templates) -> dict[int, int]:
+    """Bands of every window size."""
+    out: dict[int, int] = {}
+    for _, text in templates:
+        words = _words(text)
+        size = size_of(len(words))
+        out[size] = max(out.get(size, 1), bands_of(len(words), len(_shingles(words))))
+    return out
+
+
 def templates_of(spark, templates=TEMPLATES) -> DataFrame:
     """The templates: licence, shingles, window size, and hash of each band."""
     _check(templates)
+    bands = _bands(templates)
     rows = [(i, name, _shingles(_words(text)), size_of(len(_words(text)))) for i, (name, text) in enumerate(templates)]
-    made = spark.createDataFrame(rows, "template int, license string, wanted array<string>, size int")
-    return made.select("*", F.posexplode(_minimum_hashes(F.col("wanted"))).alias("band", "hash"))
+    made = spark.createDataFrame([(*r, bands[r[3]]) for r in rows], "template int, license string, wanted array<string>, size int, bands int")
+    return made.select("template", "license", "wanted", "size", F.posexplode(_minimum_hashes(F.col("wanted"), F.col("bands"))).alias("band", "hash"))
 
 
 def windows(docs: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
@@ -118,7 +145,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         steps[size] = min(steps.get(size, size), size - n + 1)
     made = templates_of(spark, templates)
     rows = windows(docs, sorted(steps.items()))
-    banded = rows.select("*", F.posexplode(_minimum_hashes(F.col("shingles"))).alias("band", "hash"))
+    bands = F.create_map(*[F.lit(x) for pair in _bands(templates).items() for x in pair])[F.col("size")]
+    banded = rows.select("*", F.posexplode(_minimum_hashes(F.col("shingles"), bands)).alias("band", "hash"))
     met = banded.join(F.broadcast(made), ["size", "band", "hash"])
     share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
     return (met.withColumn("containment", share).where(F.col("containment") >= LEAST)
