@@ -9,8 +9,8 @@ holds the share of false finds below ``level``. All candidates of the table are
 gets one row per band and bin.
 
 Positions are code points from 0, ends exclusive. Defined results: null and empty texts have no spans; repeated rows are
-scanned each; a random token that touches a pattern's span is not reported twice; added columns replace columns of their
-names, others pass through.
+scanned each; a random token that the patterns' spans cover is not reported twice, one that reaches beyond them is reported
+whole; added columns replace columns of their names, others pass through.
 """
 
 from __future__ import annotations
@@ -179,9 +179,11 @@ def scan(docs: DataFrame, limits: list[float] | None = None) -> DataFrame:
     text = F.col("_whole")
     done = docs.withColumn("_whole", whole()).withColumns(base_spans(text))
     allowed = F.array(*[F.lit(x) for x in limits])
-    based = F.concat("assign", "access", "hex")
+    based = F.array_sort(F.concat("assign", "access", "hex"))
     tested = F.filter(candidates(text), lambda c: c["p"] <= F.element_at(allowed, _band(c["n"]) + 1))
-    free = F.filter(tested, lambda c: ~F.exists(F.col("_based"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # how far the spans, by start, cover the token without a gap
+    free = F.filter(tested, lambda c: F.aggregate(F.col("_based"), c["start"], lambda at, b: F.when(
+        b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)) < c["end"])
     random = F.transform(free, lambda c: F.struct(c["start"], c["end"]))
     return done.withColumn("_based", based).withColumn("random", random).drop("_whole", "_based")
 
