@@ -67,3 +67,25 @@ def test_odd_rows(spark):
     assert got.count() == docs.count() and got.columns == docs.columns
     assert got.where("size(leaks) > 0").count() == 2
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).where("size(leaks) > 0").count() == 0
+
+
+def test_edited_copies_of_every_length():
+    """Every copy of three quarters of an item's shingles is found, at any length, place and choice of edits."""
+    rand = random.Random(12)
+    word = lambda: "".join(rand.choice("abcdefghij") for _ in range(5))
+    edited = 0
+    for m in [*range(1, 61), 100, 300]:
+        item = [word() for _ in range(m)]
+        search, want = Items([7], [" ".join(item)]), shingle_set(" ".join(item))
+        for _ in range(40):
+            copy, at = list(item), rand.randrange(m)
+            spots = rand.choice([[at], [at, (at + 1) % m], [at, rand.randrange(m)], [0], [0, m - 1]])
+            for k in spots:
+                copy[k] = "changed"
+            if len(want & shingle_set(" ".join(copy))) < 0.75 * len(want):
+                continue
+            edited += 1
+            lead = [word() for _ in range(rand.randrange(9))]
+            found = search.find(["", " ".join(lead + copy + [word() for _ in range(rand.randrange(9))]), word()])
+            assert [[f[0] for f in own] for own in found] == [[], [7], []], (m, spots)
+    assert edited > 1000

@@ -8,6 +8,11 @@ bits differ by one bit at most in some block, so looking up each block, with all
 within the radius. A found pair is aligned, and the share of the item's five-word shingles in the document's stretch,
 weighted by their words, must reach ``least``.
 
+Edited copies of short items have no untouched sub-window, and few changed words flip many bits. So pairs also come from the
+items' shingles, looked up at every word of a document, whatever the item's length: a pair is aligned wherever a shingle
+stands if the shingles that the document shares weigh ``least`` of the item's at all. A stretch that reaches ``least`` in the
+item's own alignment is always found.
+
 Items are lent to every task in slices of bounded size, each one pass over the documents; nothing is shuffled.
 
 Defined results: null and empty texts have no leaks; null or empty items match nothing; items of fewer than 15 words are
@@ -113,6 +118,35 @@ class Index:
         return pairs[:, 0], pairs[:, 1]
 
 
+class Seeds:
+    """Shingles of one width by hash, with the item and the offset of each."""
+
+    #: Bits of the filter of shingles.
+    MASK = np.uint64((1 << 22) - 1)
+
+    def __init__(self, hashes: np.ndarray, items: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
+        order = np.lexsort((offsets, items, hashes))
+        self.hashes, self.items, self.offsets, self.weights = hashes[order], items[order], offsets[order], weights[order]
+        #: The first of each item's equal shingles.
+        self.fresh = np.concatenate([[True], (np.diff(self.hashes) != 0) | (np.diff(self.items) != 0)])
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[hashes & self.MASK] = True
+
+    def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose shingle is known, and the first and last (exclusive) of its rows."""
+        at = np.nonzero(self.filter[shingles & self.MASK])[0]
+        first, last = (np.searchsorted(self.hashes, shingles[at], side) for side in ("left", "right"))
+        known = last > first
+        return at[known], first[known], last[known]
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the ranges, and all their members."""
+    many = last - first
+    owner = np.repeat(np.arange(len(many)), many)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(many) - many - first, many)
+
+
 class Items:
     """The benchmark, ready for searching."""
 
@@ -129,11 +163,15 @@ class Items:
         self.words = Words(light)
         self.hashes = [self.words.of(w) for w in split_texts]
         self.shingles = [_shingles(h) for h in self.hashes]
+        self.least = np.array([LEAST * weight.sum() for _, weight in self.shingles])
         parts: dict[tuple[int, int], list] = {}
+        seeds: dict[int, list] = {}
         for i, h in enumerate(self.hashes):
             m = len(h)
             if not m:
                 continue
+            every, weight = _rolled(h, min(WIDTH, m))
+            seeds.setdefault(min(WIDTH, m), []).append((every, np.full(len(every), i), np.arange(len(every)), weight))
             if m < SHORT:
                 wanted = [(m, 1)]
             else:
@@ -145,6 +183,7 @@ class Items:
                 prints = _window_prints(sums, totals, size)
                 parts.setdefault((size, step), []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
         self.indexes = {k: Index(*(np.concatenate(x) for x in zip(*v))) for k, v in parts.items()}
+        self.seeds = {k: Seeds(*(np.concatenate(x) for x in zip(*v))) for k, v in seeds.items()}
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, float]]]:
         """Per text its leaks: item, first word, similarity; the best place of each item."""
@@ -167,6 +206,18 @@ class Items:
         hashes = np.concatenate(docs)
         ends = np.cumsum([len(d) for d in docs])
         tried = set()
+
+        def attempt(doc: int, item: int, start: int) -> None:
+            if (doc, item, start) in tried:
+                return
+            tried.add((doc, item, start))
+            begin = int(ends[doc]) - len(docs[doc])
+            slack = 2 if len(self.hashes[item]) >= WIDTH else 0  # words more at either end allow for shifts
+            like = self._similarity(item, docs[doc], start - begin, slack)
+            if like >= LEAST:
+                rank = (like, self._similarity(item, docs[doc], start - begin, 0), begin - start)
+                best[doc][item] = max(rank, best[doc].get(item, rank))
+
         for step in sorted({s for _, s in self.indexes}):
             sums, totals = (_running(x) for x in _weighted_bits(hashes, step))
             for (size, own_step), index in self.indexes.items():
@@ -176,16 +227,44 @@ class Items:
                 for w, r in zip((window * step).tolist(), row.tolist()):
                     doc = int(np.searchsorted(ends, w, "right"))
                     item, start = int(index.items[r]), w - int(index.offsets[r])
-                    if w + size <= ends[doc] and (doc, item, start) not in tried:
-                        tried.add((doc, item, start))
-                        begin = int(ends[doc]) - len(docs[doc])
-                        slack = 2 if len(self.hashes[item]) >= WIDTH else 0  # words more at either end allow for shifts
-                        like = self._similarity(item, docs[doc], start - begin, slack)
-                        if like >= LEAST:
-                            rank = (like, self._similarity(item, docs[doc], start - begin, 0), begin - start)
-                            best[doc][item] = max(rank, best[doc].get(item, rank))
+                    if w + size <= ends[doc]:
+                        attempt(doc, item, start)
+        for doc, item, start in self._seeded(hashes, ends):
+            attempt(doc, item, start)
         return [[(self.ids[i], max(-v[2], 0), v[0]) for i, v in sorted(found.items())] for found in best]
 
+    def _seeded(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Document, item and start of all alignments by a shared shingle, where the shared shingles can weigh enough."""
+        for width, seeds in self.seeds.items():
+            if len(hashes) < width:
+                continue
+            at, first, last = seeds.hits(_rolled(hashes, width)[0])
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + width <= ends[doc]
+            at, first, last, doc = at[inside], first[inside], last[inside], doc[inside]
+            if not len(at):
+                continue
+            # one hit of each shingle in each document: the weight of what it shares with every item
+            once = np.unique(np.stack([doc, first], axis=1), axis=0, return_index=True)[1]
+            owner, row = _spread(first[once], last[once])
+            owner, row = owner[seeds.fresh[row]], row[seeds.fresh[row]]
+            pair, which = np.unique(doc[once][owner] * len(self.ids) + seeds.items[row], return_inverse=True)
+            shared = np.bincount(which, seeds.weights[row])
+            pair = pair[shared >= self.least[pair % len(self.ids)] - 1e-6]
+            if not len(pair):
+                continue
+            near = np.isin(doc, pair // len(self.ids))
+            at, first, last, doc = at[near], first[near], last[near], doc[near]
+            # a bounded number of alignments at a time
+            cuts = np.searchsorted(np.cumsum(last - first), np.arange(0, int((last - first).sum()), 2_000_000)[1:])
+            for part in np.split(np.arange(len(at)), cuts):
+                owner, row = _spread(first[part], last[part])
+                owner = part[owner]
+                good = np.isin(doc[owner] * len(self.ids) + seeds.items[row], pair)
+                owner, row = owner[good], row[good]
+                starts = np.stack([doc[owner], seeds.items[row], at[owner] - seeds.offsets[row]], axis=1)
+                yield from map(tuple, np.unique(starts, axis=0).tolist())
+
     def _similarity(self, item: int, doc: np.ndarray, start: int, slack: int) -> float:
         """Weighted share of the item's shingles that the stretch holds."""
         want, weight = self.shingles[item]
@@ -193,16 +272,21 @@ class Items:
         return float(weight[np.isin(want, have)].sum() / weight.sum())
 
 
-def _shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and the weight of each: its words' weights summed."""
+def _rolled(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle at every word and the weight of each: its words' weights summed."""
     n = len(hashes)
-    if not n:
-        return hashes, np.array([1.0])
-    width = min(WIDTH, n)
     acc, weight = np.full(n - width + 1, np.uint64(width)), np.zeros(n - width + 1)
     for j in range(width):
         part = hashes[j:n - width + 1 + j]
         acc, weight = mix(acc * np.uint64(0x9E3779B97F4A7C15) + part), weight + (part & np.uint64(3)).astype(float)
+    return acc, weight
+
+
+def _shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles and the weight of each."""
+    if not len(hashes):
+        return hashes, np.array([1.0])
+    acc, weight = _rolled(hashes, min(WIDTH, len(hashes)))
     kept, first = np.unique(acc, return_index=True)
     return kept, weight[first]
 
