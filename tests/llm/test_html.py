@@ -68,3 +68,11 @@ def test_odd_rows(spark):
     got = extract(pages)
     assert got.count() == 4 and got.columns == ["page_id", "html", "text", "n_blocks", "n_content"]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_svg_and_math_close_themselves():
+    story = "A long story of many words that is the article of this page. " * 8
+    for tag in ["<svg class='icon'/>", "<svg/>", "<math />", '<svg d="a=b"/>']:
+        assert "A long story" in main_text(f"<html><body><article><p>{tag}{story}</p></article></body></html>")[0], tag
+    for tag in ["<svg class=a/>", "<script/>"]:
+        assert "A long story" not in main_text(f"<html><body><article><p>{tag}{story}</p></article></body></html>")[0], tag

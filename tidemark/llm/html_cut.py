@@ -75,6 +75,12 @@ class Block:
         self.text, self.node, self.linked = text, node, linked
 
 
+def _closes_itself(attributes: str | None) -> bool:
+    """Whether a tag ends in a slash that is not part of a value without quotes."""
+    bare = re.sub("\"[^\"]*\"|'[^']*'", '""', attributes or "")
+    return bare.endswith("/") and not re.search(r'=\s*[^\s"]\S*$', bare)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     at = Node("#page", None, "")
@@ -125,6 +131,9 @@ def blocks_of(page: str) -> list[Block]:
                 if name in BLOCK and links:
                     links = _open_links(at)
             continue
+        if name in ("svg", "math") and _closes_itself(m[3]):
+            parts.append(" ")
+            continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, position)
             position = stop.end()
