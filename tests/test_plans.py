@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from tidemark.plans.catalog import QUERIES
-from conftest import SF
+from builders import SF
 from tidemark.operators import keyed, search
 from tidemark.sources import adapters
 

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from check_oracle import compare, connect
-from conftest import SF
+from builders import SF
 from tidemark.operators.slicing import HOT_KEY_SETTING
 from tidemark.plans.catalog import ORACLES, QUERIES
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import events, readings, transactions
+from builders import events, readings, transactions
 from tidemark.operators import joins, keyed, patterns
 
 

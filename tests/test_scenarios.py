@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, events, readings, transactions
+from builders import at, events, readings, transactions
 from tidemark.functions import categories as C
 from tidemark.functions.times import event_time, is_off_hours, micros
 from tidemark.operators import alerts, dashboard, enrich, joins, keyed, metrics, patterns, routing, search, windows

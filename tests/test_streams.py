@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF
+from builders import SF
 from tidemark.operators import alerts, enrich, joins, keyed, patterns, routing, windows
 from tidemark.sources import adapters, documents, topics
 from tidemark.streaming import jobs
