@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
 from tidemark.llm import (
-    decontaminate, html_cut, license_scan, ngram_join, pieces, quality_crf, secret_scan, sentence_spans, url_rules)
+    decontaminate, html_cut, license_scan, line_runs, ngram_join, pieces, quality_crf, secret_scan, sentence_spans, url_rules)
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -147,3 +147,20 @@ def op5_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of every document that holds one."""
     return license_scan.scan(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op11_line_dedup", r"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM cut),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN often ON k.key = often.key GROUP BY doc_id
+""")
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that ten documents or more hold; the table's files are added in eight batches."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    kept = line_runs.remove_frequent(docs, line_runs.batches_of(docs, 8))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(whole(), 256).alias("kept_sha256"))
