@@ -103,10 +103,10 @@ class LineRuns:
         """Adds the lines of a batch of documents with a column ``text``. A batch of a known name is not added again."""
         if name is not None and name in self.batches:
             return
-        keys = F.filter(F.transform(lines_of(whole()), key_of), lambda k: k != "")
-        once = F.array_distinct(F.transform(keys, lambda k: F.struct(*_hashes(k))))
-        fresh = (batch.select(F.explode(once).alias("h")).groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
-                 .agg(F.count(F.lit(1)).alias("docs")))
+        # strings are told apart by a hash set, structs would be compared in pairs
+        keys = F.array_distinct(F.transform(lines_of(whole()), key_of))
+        once = batch.select(F.explode(keys).alias("key")).where("key <> ''").select(*_hashes(F.col("key")))
+        fresh = once.groupBy(*_HASH).agg(F.count(F.lit(1)).alias("docs"))
         if self.settled:
             # both sides lie in the same buckets, sorted
             fresh = fresh.join(self.rows(self.settled).hint("merge"), _HASH, "left_anti")
