@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
 from tidemark.llm import (
-    decontaminate, html_cut, license_scan, line_runs, ngram_join, pieces, quality_crf, secret_scan, sentence_spans, url_rules)
+    bag_search, decontaminate, html_cut, license_scan, line_runs, ngram_join, pieces, quality_crf, secret_scan, sentence_spans, url_rules)
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -164,3 +164,25 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     kept = line_runs.remove_frequent(docs, line_runs.batches_of(docs, 8))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(whole(), 256).alias("kept_sha256"))
+
+
+@query("op12_bag_search", r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, docs),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM sizes, totals),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM tf JOIN q USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+""")
+def op12_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return bag_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
