@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as imatch
 from tidemark.llm import (
-    bag_search, decontaminate, html_cut, license_scan, line_runs, ngram_join, pieces, quality_crf, secret_scan, sentence_spans, url_rules)
+    bag_search, decontaminate, html_cut, license_scan, line_runs, ngram_join, pieces, quality_crf, secret_scan, sentence_spans, token_links,
+    url_rules)
 from tidemark.llm.common import packed, read, whole
 from tidemark.llm.neighbours import with_next
 
@@ -186,3 +187,12 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 def op12_bag_search(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty best documents of every benchmark item."""
     return bag_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op13_token_links")
+def op13_token_links(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two public tokenizers lie over each other in every document."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    a, b = (pieces.model_bytes(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_links.digests(docs, a, b).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
