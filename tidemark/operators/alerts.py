@@ -109,10 +109,10 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
     limits = F.broadcast(scoring.alert_limits(readings.sparkSession)) if limits is None else limits
     readings = with_unit(readings)
     columns = [*order, "sensorId", "sensorType", "location", "value", "unit"]
-    sliced = S.rank_slices(readings.select(*columns), ["sensorId"], F.unix_micros("ts"), order, back=n - 1)
+    placed = S.rank_slices(readings.select(*columns), ["sensorId"], F.unix_micros("ts"), order, back=n - 1)
     w = S.over_slices(["sensorId"], *order)
     last_n = w.rowsBetween(-(n - 1), 0)
-    seen = S.own(sliced.withColumns({
+    seen = S.own(placed.rows.withColumns({
         "_n": F.count(F.lit(1)).over(last_n), "_mean": F.avg("value").over(last_n),
         "_std": F.stddev_pop("value").over(last_n), "_prev": F.lag(F.struct("ts", "value")).over(w)}))
     met = seen.join(limits, F.lower(seen["sensorType"]) == limits["limitType"], "left")
@@ -134,7 +134,7 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
         (F.col("_gap") > silence, sensor_alert("MISSING_DATA", F.lit(0.7), F.col("_gap") / 60_000_000.0)),
         (F.col("_gap") > silence, offline_at(F.col("_prev.ts"))),
     ])
-    horizon = readings.groupBy().agg(F.max(F.unix_micros("ts")) - micros(delay)).scalar()
+    horizon = K._horizon(placed, delay)
     newest = readings.groupBy("sensorId").agg(
         F.max("ts").alias("ts"), F.lit(None).cast("string").alias("sensorType"),
         F.lit(None).cast("string").alias("location"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))

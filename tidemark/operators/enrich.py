@@ -90,8 +90,8 @@ def risk_score(tx: DataFrame, profiles: DataFrame, risky_countries: list[str] |
     adaptive execution can split a skewed user.
     """
     recent, key, order = micros("300 seconds"), ["userId"], ["ts", "transactionId"]
-    sliced = S.add_totals(S.slice_rows(tx, key, F.unix_micros("ts"), before=recent), key,
-                          {"_fraud": F.col("isFraud").cast("int")})
+    near = S.add_earlier(S.place(tx, key, F.unix_micros("ts")), order)
+    sliced = S.add_totals(near, {"_fraud": F.col("isFraud").cast("int")}).rows
     w = S.over_slices(key, F.asc_nulls_first("ts"), "transactionId")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     seen = S.own(sliced.withColumns({

@@ -24,10 +24,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, name: str, right_id:
                           F.struct(*right.columns).alias("_right"))
     both = lefts.unionByName(rights)
     order = ["_ts", "_side", "_id"]
-    sliced = S.add_earlier(S.slice_rows(both, ["_key"], F.unix_micros("_ts")), ["_key"], order, F.col("_side") == 0)
+    placed = S.add_earlier(S.place(both, ["_key"], F.unix_micros("_ts")), order, F.col("_side") == 0)
     latest = F.last(F.when(F.col("_side") == 0, F.struct("_right", "_ts")), ignorenulls=True).over(
         S.over_slices(["_key"], *order).rowsBetween(Window.unboundedPreceding, 0))
-    met = S.own(sliced.withColumn("_hit", latest)).where("_side = 1")
+    met = S.own(placed.rows.withColumn("_hit", latest)).where("_side = 1")
     found: Column = F.col("_hit._right")
     if tolerance is not None:
         near = F.unix_micros("_ts") - F.unix_micros("_hit._ts") <= micros(tolerance)

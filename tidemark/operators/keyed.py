@@ -20,6 +20,11 @@ def _pos(ts: str) -> Column:
 
 # Runs of rows: sessions, sustained conditions -----------------------------------------------------------------
 
+def _narrow(df: DataFrame, key: list[str], label: str, ts: str, tiebreak: str) -> S.Placed:
+    narrow = df.select(*key, F.col(label).alias("_label"), F.col(ts).alias("_ts"), F.col(tiebreak).alias("_id"))
+    return S.place(narrow, key, _pos("_ts"))
+
+
 def segments(df: DataFrame, key: list[str], label: str, ts: str, tiebreak: str,
              gap: str | float | None = None) -> DataFrame:
     """Runs of consecutive rows with the same label and no time gap of ``gap`` or more.
@@ -27,12 +32,14 @@ def segments(df: DataFrame, key: list[str], label: str, ts: str, tiebreak: str,
     Per run: start, end, number of rows, and time and label of the row after it. Runs are formed inside slices;
     only the first and last run of a slice can continue elsewhere, and only those are joined up across slices.
     """
-    narrow = df.select(*key, F.col(label).alias("_label"), F.col(ts).alias("_ts"), F.col(tiebreak).alias("_id"))
-    order = ["_ts", "_id"]
-    near = S.add_neighbours(S.slice_rows(narrow, key, _pos("_ts")), key, order)
+    return _runs(_narrow(df, key, label, ts, tiebreak), gap)
+
+
+def _runs(placed: S.Placed, gap: str | float | None) -> DataFrame:
+    key, order = placed.key, ["_ts", "_id"]
     w = S.over_slices(key, *order)
     row = F.struct("_ts", "_label", "_own")
-    seen = near.withColumns({"_prev": F.lag(row).over(w), "_next": F.lead(row).over(w)})
+    seen = S.add_neighbours(placed, order).rows.withColumns({"_prev": F.lag(row).over(w), "_next": F.lead(row).over(w)})
     starts = F.col("_prev").isNull() | ~F.col("_prev._label").eqNullSafe(F.col("_label"))
     if gap is not None:
         starts = starts | (_pos("_ts") - _pos("_prev._ts") >= micros(gap))
@@ -44,9 +51,12 @@ def segments(df: DataFrame, key: list[str], label: str, ts: str, tiebreak: str,
         F.count(F.lit(1)).alias("rows"), F.max("_last").alias("_last"),
         F.max_by(F.struct(F.col("_next._ts").alias("ts"), F.col("_next._label").alias("label")),
                  F.struct("_ts", "_id")).alias("_after"))
-    open_run = F.col("_hot") & ((F.col("_run") == 0) | F.col("_last"))
     kept = [*key, "label", "start", "end", "rows", F.col("_after.ts").alias("next_ts"),
             F.col("_after.label").alias("next_label")]
+    if placed.busy is None:
+        return runs.select(*kept)
+    runs = S.stored(runs)
+    open_run = F.col("_hot") & ((F.col("_run") == 0) | F.col("_last"))
     whole = runs.where(~open_run).select(*kept)
     across = Window.partitionBy(*key).orderBy("_slice", "_run")
     joined = (runs.where(open_run)
@@ -59,6 +69,11 @@ def segments(df: DataFrame, key: list[str], label: str, ts: str, tiebreak: str,
     return whole.unionByName(joined)
 
 
+def _horizon(placed: S.Placed, delay: str) -> Column:
+    """The newest position of all rows, less the delay; null without rows. It was found while the rows were counted."""
+    return F.lit(None if placed.newest is None else placed.newest - micros(delay)).cast("bigint")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 seconds", tiebreak: str = "eventId") -> DataFrame:
     """Sessions per user: a new one begins when the session id changes or after ``gap`` without events.
 
@@ -66,8 +81,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 second
     ``delay``, is that far; ``ended`` if another session began sooner; else ``active``.
     """
     span = micros(gap)
-    runs = segments(events, ["userId"], "sessionId", "ts", tiebreak, gap)
-    horizon = events.groupBy().agg(F.max(_pos("ts")) - micros(delay)).scalar()
+    placed = _narrow(events, ["userId"], "sessionId", "ts", tiebreak)
+    runs, horizon = _runs(placed, gap), _horizon(placed, delay)
     next_pos, end = _pos("next_ts"), _pos("end")
     status = (F.when(next_pos - end >= span, "timeout").when(F.col("next_ts").isNotNull(), "ended")
               .when(end + span <= horizon, "timeout").otherwise("active"))
@@ -98,7 +113,7 @@ def zscore_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float =
     order = ["ts", "readingId"]
     sliced = S.rank_slices(readings, ["sensorId"], _pos("ts"), order, back=n - 1)
     w = S.over_slices(["sensorId"], *order).rowsBetween(-(n - 1), 0)
-    scored = S.own(sliced.withColumns({
+    scored = S.own(sliced.rows.withColumns({
         "readings": F.count(F.lit(1)).over(w), "mean": F.avg("value").over(w), "std": F.stddev_pop("value").over(w)}))
     return (scored.where((F.col("readings") >= min_n) & (F.col("std") > 0))
             .withColumn("zScore", F.abs(F.col("value") - F.col("mean")) / F.col("std"))
@@ -106,7 +121,6 @@ def zscore_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float =
             .withColumn("severity", F.least(F.lit(0.9), F.col("zScore") / z)).drop("std"))
 
 
-
 def relative_change(value: Column, previous: Column) -> Column:
     """Change as a share of the previous value; any change from zero counts as unlimited."""
     change = F.abs(value - previous)
@@ -116,10 +130,10 @@ def relative_change(value: Column, previous: Column) -> Column:
 
 def rapid_change(readings: DataFrame, max_dt: str = "300 seconds", rel: float = 0.5) -> DataFrame:
     """Readings that changed by more than ``rel`` from the sensor's previous one, less than ``max_dt`` before."""
-    span = micros(max_dt)
-    sliced = S.slice_rows(readings, ["sensorId"], _pos("ts"), before=span)
-    w = S.over_slices(["sensorId"], "ts", "readingId")
-    seen = S.own(sliced.withColumns({"previousTs": F.lag("ts").over(w), "previousValue": F.lag("value").over(w)}))
+    span, order = micros(max_dt), ["ts", "readingId"]
+    placed = S.add_earlier(S.place(readings, ["sensorId"], _pos("ts")), order)
+    w = S.over_slices(["sensorId"], *order)
+    seen = S.own(placed.rows.withColumns({"previousTs": F.lag("ts").over(w), "previousValue": F.lag("value").over(w)}))
     elapsed = _pos("ts") - _pos("previousTs")
     change = relative_change(F.col("value"), F.col("previousValue"))
     return (seen.where((elapsed > 0) & (elapsed < span)).withColumn("relativeChange", change)
@@ -131,9 +145,9 @@ def rapid_change(readings: DataFrame, max_dt: str = "300 seconds", rel: float =
 def data_gaps(readings: DataFrame, timeout: str = "5 minutes") -> DataFrame:
     """Readings that came more than ``timeout`` after the sensor's previous one."""
     order = ["ts", "readingId"]
-    sliced = S.add_earlier(S.slice_rows(readings, ["sensorId"], _pos("ts")), ["sensorId"], order)
+    placed = S.add_earlier(S.place(readings, ["sensorId"], _pos("ts")), order)
     previous = F.lag("ts").over(S.over_slices(["sensorId"], *order))
-    seen = S.own(sliced.withColumn("_gap", _pos("ts") - F.unix_micros(previous)))
+    seen = S.own(placed.rows.withColumn("_gap", _pos("ts") - F.unix_micros(previous)))
     return (seen.where(F.col("_gap") > micros(timeout)).withColumn("minutes", F.col("_gap") / 60_000_000.0)
             .withColumn("severity", F.lit(0.7)).drop("_gap"))
 
@@ -142,9 +156,9 @@ def offline(readings: DataFrame, timeout: str = "5 minutes", delay: str = "10 se
     """Times at which a sensor had been silent for ``timeout``: after each gap longer than that, and at the end."""
     span, order = micros(timeout), ["ts", "readingId"]
     narrow = readings.select("sensorId", "ts", "readingId")
-    sliced = S.add_later(S.slice_rows(narrow, ["sensorId"], _pos("ts")), ["sensorId"], order)
-    seen = S.own(sliced.withColumn("_next", F.unix_micros(F.lead("ts").over(S.over_slices(["sensorId"], *order)))))
-    horizon = readings.groupBy().agg(F.max(_pos("ts")) - micros(delay)).scalar()
+    placed = S.add_later(S.place(narrow, ["sensorId"], _pos("ts")), order)
+    seen = S.own(placed.rows.withColumn("_next", F.unix_micros(F.lead("ts").over(S.over_slices(["sensorId"], *order)))))
+    horizon = _horizon(placed, delay)
     silent = F.when(F.col("_next").isNull(), _pos("ts") + span <= horizon).otherwise(F.col("_next") - _pos("ts") > span)
     return seen.where(silent).select(
         "sensorId", "readingId", F.col("ts").alias("lastSeen"), F.timestamp_micros(_pos("ts") + span).alias("ts"),
@@ -177,8 +191,8 @@ def running_stats(events: DataFrame, action: str = "action", tiebreak: str = "ev
     """Milliseconds since the user's previous event (0 for the first) and the running count of the same action."""
     key, order = ["userId"], ["ts", tiebreak]
     named = events.withColumn("_action", F.coalesce(F.col(action), F.lit("unknown")))
-    near = S.add_earlier(S.slice_rows(named, key, _pos("ts")), key, order)
-    counted = S.add_totals(near, [*key, "_action"], {"_one": F.lit(1).cast("bigint")})
+    near = S.add_earlier(S.place(named, key, _pos("ts")), order)
+    counted = S.add_totals(near, {"_one": F.lit(1).cast("bigint")}, more=("_action",)).rows
     # Rows of totals have no time; they must not take the place of the previous event.
     previous = F.last("ts", ignorenulls=True).over(
         S.over_slices(key, F.asc_nulls_first("ts"), tiebreak).rowsBetween(Window.unboundedPreceding, -1))

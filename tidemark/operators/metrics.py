@@ -41,9 +41,9 @@ def instant_rate(df: DataFrame, labels: list[str], ts: str, value: str, tiebreak
     """Increase per second between each sample and the one before it; samples of one instant are ordered by ``tiebreak``,
     else by value."""
     order = [ts, tiebreak or value]
-    sliced = S.add_earlier(S.slice_rows(df, labels, F.unix_micros(ts)), labels, order)
+    placed = S.add_earlier(S.place(df, labels, F.unix_micros(ts)), order)
     previous = F.lag(F.struct(F.col(ts).alias("ts"), F.col(value).alias("v"))).over(S.over_slices(labels, *order))
-    seen = S.own(sliced.withColumn("_prev", previous))
+    seen = S.own(placed.rows.withColumn("_prev", previous))
     elapsed = (F.unix_micros(ts) - F.unix_micros("_prev.ts")) / 1e6
     rate = F.try_divide(_increase(value, F.col("_prev.v")), elapsed)
     return seen.select(*df.columns, rate.alias("irate"))

@@ -139,10 +139,10 @@ def country_change(tx: DataFrame, within: str = "5 minutes", success: tuple[str,
     """Two successive successful transactions of a user in different countries."""
     span = micros(within)
     done = tx.where(F.col("status").isin(*success) & F.col("country").isNotNull())
-    sliced = S.slice_rows(done, ["userId"], F.unix_micros("ts"), after=span)
+    placed = S.add_later(S.place(done, ["userId"], F.unix_micros("ts")), ["ts", "transactionId"])
     following = F.lead(F.struct("ts", "country", F.col("transactionId").alias("id"))).over(
         S.over_slices(["userId"], "ts", "transactionId"))
-    seen = S.own(sliced.withColumn("_next", following))
+    seen = S.own(placed.rows.withColumn("_next", following))
     in_time = F.unix_micros("_next.ts") - F.unix_micros("ts") < span
     return (seen.where(in_time & (F.col("_next.country") != F.col("country")))
             .withColumns({"nextCountry": F.col("_next.country"), "endTs": F.col("_next.ts"), "endId": F.col("_next.id")})

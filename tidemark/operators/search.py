@@ -79,7 +79,7 @@ def across(tables: dict[str, DataFrame], pattern: str) -> DataFrame:
 
 def order_violations(df: DataFrame, key: str, arrival: str, seq: str) -> DataFrame:
     """Rows that arrived after a row of their key with a larger sequence number right before them."""
-    sliced = S.add_earlier(S.slice_rows(df, [key], F.col(arrival)), [key], [arrival])
+    placed = S.add_earlier(S.place(df, [key], F.col(arrival)), [arrival])
     before = F.lag(seq).over(S.over_slices([key], arrival))
-    seen = S.own(sliced.withColumn("previousSeq", before))
+    seen = S.own(placed.rows.withColumn("previousSeq", before))
     return seen.where(F.col("previousSeq") > F.col(seq))

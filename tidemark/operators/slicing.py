@@ -1,30 +1,35 @@
 """Ordered per-key work without putting a hot key into one task.
 
 A window over ``key`` alone sends every row of a key to one task, which fails when one key holds a third of a
-large table. Here a key with more rows than ``HOT_KEY_ROWS`` is cut along the order column into slices of about
-that many rows each, and windows run over ``(key, _slice)``. All other keys stay whole in slice 0, so without
-hot keys the plan is the plain window: one shuffle, no copies.
-
-Rows near an edge need context from the neighbouring slice. It comes as *halo* rows (``_own`` is false), which
-take part in the window and are dropped afterwards:
-
-* bounded reach (``before``/``after``): rows near an edge are copied, without a further shuffle;
-* nearest earlier or later row, however far: ``add_earlier``, ``add_later`` and ``add_neighbours`` carry one row
-  per slice and direction;
-* running totals: ``add_totals`` carries one row of totals per slice;
+large table. ``place`` counts rows per key in one scan of the key and the position alone. Where no key has more than
+``HOT_KEY_ROWS`` rows the plan stays the plain window: one more scan, one shuffle, nothing stored, no copies.
+
+Otherwise the second scan writes every row once to the shared folder, hot keys apart from the others, and all that
+follows reads that copy. Hot keys are cut along the order column into slices of about the limit, as narrow as the densest
+part of the key asks for; windows run over ``(key, _slice)``, all other keys lying whole in slice 0. What a slice needs
+from others is a two-level scan: each slice is summed up (its first and last row, its totals), the summaries, fewer than
+(rows / limit) times a small number, are stored and scanned along the key, and each slice gets the outcome as a *halo* row
+(``_own`` is false), which takes part in the window and is dropped afterwards:
+
+* nearest earlier or later row, however far: ``add_earlier``, ``add_later`` and ``add_neighbours``;
+* running totals: ``add_totals``;
+* bounded reach (``before``/``after``): rows near an edge are copied;
 * the last n rows: ``rank_slices`` cuts by row number instead of by time.
 
-The tables of hot keys hold fewer than (rows / HOT_KEY_ROWS) rows and so are safe to broadcast; when they
-turn out empty, adaptive execution removes the branches that depend on them.
+So the source is read twice, with hot keys or without, whatever the operator carries.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
+
 HOT_KEY_ROWS = 2_000_000
 HOT_KEY_SETTING = "tidemark.hotKeyRows"
 CELLS = 4096
@@ -34,54 +39,79 @@ def hot_key_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_KEY_SETTING, str(HOT_KEY_ROWS)))
 
 
-def hot_keys(df: DataFrame, key: list[str], pos: Column, min_width: int = 1) -> DataFrame:
-    """Keys above the row limit, with the origin and the width of their slices.
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there: it survives lost executors and is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The width follows the densest part of a key, so that a burst is cut finely enough: the rows of hot keys alone
-    are counted again in ``CELLS`` equal parts of the key's range.
-    """
-    limit = hot_key_rows(df.sparkSession)
-    narrow = df.select(*key, pos.alias("_p"))
-    names = [f"_hot_{i}" for i in range(len(key))]
-    busy = narrow.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).where(F.col("_n") > limit)
-    busy = busy.select(*[F.col(k).alias(n) for k, n in zip(key, names)], "_lo",
-                       F.ceil((F.col("_hi") - F.col("_lo") + 1) / CELLS).alias("_cell"))
-    cells = _mark(narrow, key, busy, "inner").groupBy(
-        *names, "_lo", "_cell", F.floor((F.col("_p") - F.col("_lo")) / F.col("_cell")).alias("_at"))
-    densest = cells.agg(F.count(F.lit(1)).alias("_n")).groupBy(*names, "_lo", "_cell").agg(F.max("_n").alias("_n"))
-    width = F.when(F.col("_n") > limit, F.ceil(F.col("_cell") / F.ceil(F.col("_n") / limit))).otherwise(
-        F.col("_cell") * F.floor(limit / F.col("_n")))
-    return densest.select(*names, "_lo", F.greatest(width, F.lit(max(min_width, 1))).alias("_width"))
 
+def _same(df: DataFrame, other: DataFrame, key: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"_key{i}"]) for i, k in enumerate(key)])
 
-def _mark(df: DataFrame, key: list[str], hot: DataFrame, how: str = "left") -> DataFrame:
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_hot_{i}"]) for i, k in enumerate(key)])
-    return df.join(F.broadcast(hot), same, how)
 
+def _renamed(key: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"_key{i}") for i, k in enumerate(key)]
 
-def _helpers(key: list[str]) -> list[str]:
-    return ["_lo", "_width", *[f"_hot_{i}" for i in range(len(key))]]
 
+@dataclass(frozen=True)
+class Placed:
+    """Rows with ``_slice``, ``_own`` and ``_hot``; those of hot keys alone, read from the stored copy (None without such keys);
+    and the largest position of all (None without rows)."""
 
-def slice_rows(df: DataFrame, key: list[str], pos: Column, before: int = 0, after: int = 0) -> DataFrame:
-    """Adds ``_slice``, ``_own`` and ``_hot``; copies rows into slices that reach back ``before`` or ahead ``after``.
+    rows: DataFrame
+    busy: DataFrame | None
+    key: list[str]
+    newest: int | None
+
+    def with_rows(self, rows: DataFrame) -> Placed:
+        return replace(self, rows=rows)
 
-    Rows without a position have no place in the order and are left out."""
-    df = df.where(pos.isNotNull())
-    hot = hot_keys(df, key, pos, min_width=max(before, after))
-    marked = _mark(df, key, hot)
-    is_hot = F.col("_width").isNotNull()
+
+def place(df: DataFrame, key: list[str], pos: Column, before: int = 0, after: int = 0) -> Placed:
+    """Places rows by key and slice; copies rows into slices that reach back ``before`` or ahead ``after``.
+
+    Rows without a position have no place in the order and are left out. The count runs at once."""
+    df, limit = df.where(pos.isNotNull()), hot_key_rows(df.sparkSession)
+    seen = Observation()
+    narrow = df.select(*_renamed(key), pos.alias("_p")).observe(seen, F.max("_p").alias("newest"))
+    names = [f"_key{i}" for i in range(len(key))]
+    counted = narrow.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    crowded = stored(counted.where(F.col("_n") > limit).select(
+        *names, "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / CELLS).alias("_cell")))
+    newest = seen.get["newest"]
+    if crowded.isEmpty():
+        plain = df.select("*", F.lit(0).cast("bigint").alias("_slice"), F.lit(True).alias("_own"), F.lit(False).alias("_hot"))
+        return Placed(plain, None, key, newest)
+    marked = df.join(crowded, _same(df, crowded, key), "left").select(
+        *[df[c] for c in df.columns], pos.alias("_pos"), "_lo", "_cell", F.col("_cell").isNotNull().alias("_hot"))
+    copy = stored(marked, "_hot")
+    quiet = copy.where(~F.col("_hot")).select(
+        *df.columns, F.lit(0).cast("bigint").alias("_slice"), F.lit(True).alias("_own"), F.lit(False).alias("_hot"))
+    mine = copy.where("_hot")
+    cells = mine.groupBy(*_renamed(key), "_lo", "_cell", F.floor((F.col("_pos") - F.col("_lo")) / F.col("_cell")).alias("_at"))
+    densest = cells.agg(F.count(F.lit(1)).alias("_n")).groupBy(*names, "_cell").agg(F.max("_n").alias("_n"))
+    width = F.when(F.col("_n") > limit, F.ceil(F.col("_cell") / F.ceil(F.col("_n") / limit))).otherwise(
+        F.col("_cell") * F.floor(limit / F.col("_n")))
+    widths = stored(densest.select(*names, F.greatest(width, F.lit(max(before, after, 1))).alias("_width")))
 
     def at(p: Column) -> Column:
-        return F.coalesce(F.floor((p - F.col("_lo")) / F.col("_width")), F.lit(0))
+        return F.floor((p - F.col("_lo")) / F.col("_width"))
+
+    sized = mine.join(widths, _same(mine, widths, key)).withColumn("_slice", at(F.col("_pos")))
+    if before or after:
+        reach = F.sequence(F.greatest(at(F.col("_pos") - after), F.lit(0)), at(F.col("_pos") + before))
+        sized = sized.withColumnRenamed("_slice", "_home").withColumn("_slice", F.explode(reach))
+        sized = sized.withColumn("_own", F.col("_home") == F.col("_slice"))
+    else:
+        sized = sized.withColumn("_own", F.lit(True))
+    busy = sized.select(*df.columns, "_slice", "_own", F.lit(True).alias("_hot"))
+    return Placed(quiet.unionByName(busy), busy, key, newest)
 
-    home = at(pos)
-    if not before and not after:
-        return marked.select(*df.columns, home.alias("_slice"), F.lit(True).alias("_own"), is_hot.alias("_hot"))
-    reach = F.sequence(F.greatest(at(pos - after), F.lit(0)), at(pos + before))
-    placed = marked.select(*df.columns, home.alias("_home"), F.explode(reach).alias("_slice"), is_hot.alias("_hot"))
-    return placed.select(*df.columns, "_slice", (F.col("_home") == F.col("_slice")).alias("_own"), "_hot")
+
+def slice_rows(df: DataFrame, key: list[str], pos: Column, before: int = 0, after: int = 0) -> DataFrame:
+    """The rows of ``place``."""
+    return place(df, key, pos, before, after).rows
 
 
 def over_slices(key: list[str], *order: Column | str, more: list[str] | None = None):
@@ -100,51 +130,60 @@ def own(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_slice", "_hot")
 
 
-def _carry(sliced: DataFrame, key: list[str], order: list[str], cond: Column | None, later: bool) -> DataFrame:
-    columns = [c for c in sliced.columns if c not in ("_slice", "_own", "_hot")]
-    nearest = F.min_by if later else F.max_by
-    row = F.when(cond, F.struct(*columns)) if cond is not None else F.struct(*columns)
-    rank = F.struct(*order)
+def _carried(placed: Placed, order: list[str], cond: Column | None, later: tuple[bool, ...]) -> Placed:
+    """Halo rows from the slices before (``later`` false) or after."""
+    if placed.busy is None:
+        return placed
+    key, columns = placed.key, [c for c in placed.busy.columns if c not in ("_slice", "_own", "_hot")]
+    row, rank = F.struct(*columns), F.struct(*order)
     if cond is not None:
-        rank = F.when(cond, rank)
-    edges = sliced.where("_hot AND _own").groupBy(*key, "_slice").agg(nearest(row, rank).alias("_edge"))
-    steps = Window.partitionBy(*key).orderBy(F.desc("_slice") if later else F.asc("_slice"))
-    nearest_edge = F.last("_edge", ignorenulls=True).over(steps.rowsBetween(Window.unboundedPreceding, -1))
-    halo = edges.select("_slice", nearest_edge.alias("_edge")).where(F.col("_edge").isNotNull())
-    return halo.select(*[F.col("_edge")[c].alias(c) for c in columns],
-                       "_slice", F.lit(False).alias("_own"), F.lit(True).alias("_hot"))
-
-
-def add_earlier(sliced: DataFrame, key: list[str], order: list[str], cond: Column | None = None) -> DataFrame:
+        row, rank = F.when(cond, row), F.when(cond, rank)
+    edges = stored(placed.busy.where("_own").groupBy(*key, "_slice").agg(
+        F.max_by(row, rank).alias("_last"), F.min_by(row, rank).alias("_first")))
+    rows = placed.rows
+    for ahead in later:
+        steps = Window.partitionBy(*key).orderBy(F.desc("_slice") if ahead else F.asc("_slice"))
+        nearest = F.last("_first" if ahead else "_last", ignorenulls=True).over(steps.rowsBetween(Window.unboundedPreceding, -1))
+        halo = edges.select("_slice", nearest.alias("_edge")).where(F.col("_edge").isNotNull())
+        rows = rows.unionByName(halo.select(*[F.col("_edge")[c].alias(c) for c in columns], "_slice",
+                                            F.lit(False).alias("_own"), F.lit(True).alias("_hot")), allowMissingColumns=True)
+    return placed.with_rows(rows)
+
+
+def add_earlier(placed: Placed, order: list[str], cond: Column | None = None) -> Placed:
     """Gives each slice of a hot key the last row (that meets ``cond``) of all its earlier slices."""
-    return sliced.unionByName(_carry(sliced, key, order, cond, later=False))
+    return _carried(placed, order, cond, (False,))
 
 
-def add_later(sliced: DataFrame, key: list[str], order: list[str], cond: Column | None = None) -> DataFrame:
+def add_later(placed: Placed, order: list[str], cond: Column | None = None) -> Placed:
     """Gives each slice of a hot key the first row (that meets ``cond``) of all its later slices."""
-    return sliced.unionByName(_carry(sliced, key, order, cond, later=True))
+    return _carried(placed, order, cond, (True,))
 
 
-def add_neighbours(sliced: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def add_neighbours(placed: Placed, order: list[str]) -> Placed:
     """Gives each slice of a hot key the last row before it and the first row after it."""
-    return (sliced.unionByName(_carry(sliced, key, order, None, later=False))
-            .unionByName(_carry(sliced, key, order, None, later=True)))
+    return _carried(placed, order, None, (False, True))
 
 
-def add_totals(sliced: DataFrame, key: list[str], totals: dict[str, Column]) -> DataFrame:
-    """Adds the columns ``totals``, which are zero on halo rows, and carries their sums over earlier slices.
+def add_totals(placed: Placed, totals: dict[str, Column], more: tuple[str, ...] = ()) -> Placed:
+    """Adds the columns ``totals``, which are zero on halo rows, and carries their sums over earlier slices, for each
+    value of the columns ``more``.
 
-    A running sum over ``(key, _slice)`` that starts with the carried row (``_own`` false, all else null) is then
+    A running sum over ``(key, _slice, more)`` that starts with the carried row (``_own`` false, all else null) is then
     the running sum over the whole key.
     """
-    plain = sliced.withColumns({n: F.when(F.col("_own"), v).otherwise(0) for n, v in totals.items()})
-    sums = plain.where("_hot AND _own").groupBy(*key, "_slice").agg(*[F.sum(n).alias(n) for n in totals])
+    plain = placed.rows.withColumns({n: F.when(F.col("_own"), v).otherwise(0) for n, v in totals.items()})
+    if placed.busy is None:
+        return placed.with_rows(plain)
+    key = [*placed.key, *more]
+    sums = placed.busy.where("_own").groupBy(*key, "_slice").agg(*[F.sum(v).alias(n) for n, v in totals.items()])
+    slices = stored(sums)
     steps = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*key, "_slice", *[F.sum(n).over(steps).alias(n) for n in totals])
+    carried = slices.select(*key, "_slice", *[F.sum(n).over(steps).alias(n) for n in totals])
     carried = carried.where(F.col(next(iter(totals))).isNotNull()).select(
         *key, "_slice", *[F.col(n).cast(plain.schema[n].dataType).alias(n) for n in totals],
         F.lit(False).alias("_own"), F.lit(True).alias("_hot"))
-    return plain.unionByName(carried, allowMissingColumns=True)
+    return placed.with_rows(plain.unionByName(carried, allowMissingColumns=True))
 
 
 def with_leavings(sliced: DataFrame, span: int) -> DataFrame:
@@ -158,27 +197,30 @@ def with_leavings(sliced: DataFrame, span: int) -> DataFrame:
     return twice.withColumns({"_at": F.col("_move.at"), "_leaves": F.col("_move.leaves")}).drop("_move")
 
 
+def _numbered(placed: Placed, order: list[str], name: str) -> DataFrame:
+    counted = add_totals(placed, {"_one": F.lit(1).cast("bigint")})
+    running = over_slices(placed.key, F.asc("_own"), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.rows.withColumn(name, F.sum("_one").over(running)).drop("_one")
+
+
 def row_numbers(df: DataFrame, key: list[str], pos: Column, order: list[str], name: str) -> DataFrame:
     """Row number within the key, counted from 1."""
-    counted = add_totals(slice_rows(df, key, pos), key, {"_one": F.lit(1).cast("bigint")})
-    running = over_slices(key, F.asc("_own"), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return own(counted.withColumn(name, F.sum("_one").over(running))).drop("_one")
+    return own(_numbered(place(df, key, pos), order, name))
 
 
-def rank_slices(df: DataFrame, key: list[str], pos: Column, order: list[str], back: int) -> DataFrame:
+def rank_slices(df: DataFrame, key: list[str], pos: Column, order: list[str], back: int) -> Placed:
     """Slices in which every own row has the ``back`` rows before it; hot keys are cut by row number."""
-    df = df.where(pos.isNotNull())
-    hot = hot_keys(df, key, pos)
+    placed = place(df, key, pos)
+    if placed.busy is None:
+        return placed
     rows = max(hot_key_rows(df.sparkSession), back + 1)
-    cold = (_mark(df, key, hot).where(F.col("_width").isNull()).drop(*_helpers(key))
-            .withColumn("_slice", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True)))
-    busy = _mark(df, key, hot, "inner").drop(*_helpers(key))
     rank = F.col("_rank")
 
     def at(r: Column) -> Column:
         return F.floor((r - 1) / rows)
 
-    cut = (row_numbers(busy, key, pos, order, "_rank")
-           .select(*df.columns, "_rank", F.explode(F.sequence(at(rank), at(rank + back))).alias("_slice"))
-           .select(*df.columns, "_slice", (F.col("_slice") == at(rank)).alias("_own")))
-    return cold.unionByName(cut)
+    columns = df.columns
+    cut = (own(_numbered(placed.with_rows(placed.busy), order, "_rank"))
+           .select(*columns, "_rank", F.explode(F.sequence(at(rank), at(rank + back))).alias("_slice"))
+           .select(*columns, "_slice", (F.col("_slice") == at(rank)).alias("_own"), F.lit(True).alias("_hot")))
+    return placed.with_rows(placed.rows.where("NOT _hot").unionByName(cut))
