@@ -52,7 +52,7 @@ def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n:
     narrow = tx.select("userId", "transactionId", "ts", "amount", "status", "country", "riskScore")
     narrow = narrow.where(F.col("status").isin(*success, *failure))
     key = ["userId"]
-    work = S.by_slice(S.slice_rows(narrow, key, F.unix_micros("ts"), after=max(spans)), key)
+    work = S.by_slice(S.place(narrow, key, F.unix_micros("ts"), after=max(spans)))
     for name, stages, span in (("_v", P.velocity_stages(velocity_n, success), spans[0]),
                                ("_s", P.structuring_stages(high, low, small_n, success), spans[1]),
                                ("_t", P.card_testing_stages(failed_n, success, failure), spans[3])):

@@ -64,9 +64,8 @@ def sequence(df: DataFrame, stages: list[Stage], within: str, key: str, tiebreak
     """One row per match: the starting row's columns, ``startTs``, ``endTs``, ``endId`` and a total per stage."""
     span = micros(within)
     wanted = reduce(lambda a, b: a | b, [F.coalesce(s.cond, F.lit(False)) for s in stages])
-    sliced = S.slice_rows(df.where(wanted), [key], F.unix_micros("ts"), after=span)
-    if len(stages) > 1:
-        sliced = S.by_slice(sliced, [key])
+    placed = S.place(df.where(wanted), [key], F.unix_micros("ts"), after=span)
+    sliced = S.by_slice(placed) if len(stages) > 1 else placed.rows
     matches = add_matches(sliced, stages, span, [key], tiebreak, amount, "_to").where(
         F.col("_own") & F.col("_to").isNotNull())
     totals = [F.col("_to.totals")[i].alias(f"{s.name}Total") for i, s in enumerate(stages)]

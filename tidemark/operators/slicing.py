@@ -119,10 +119,10 @@ def over_slices(key: list[str], *order: Column | str, more: list[str] | None = N
     return Window.partitionBy(*key, "_slice", *(more or [])).orderBy(*order)
 
 
-def by_slice(sliced: DataFrame, key: list[str]) -> DataFrame:
-    """Places rows by slice once, for several windows to come: the first of them alone might place them more finely,
+def by_slice(placed: Placed) -> DataFrame:
+    """Rows moved by slice once, for several windows to come: the first of them alone might place them more finely,
     and the next would have to move them again."""
-    return sliced.repartition(*key, "_slice")
+    return placed.rows.repartition(*placed.key, *([] if placed.busy is None else ["_slice"]))
 
 
 def own(df: DataFrame) -> DataFrame:
