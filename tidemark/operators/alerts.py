@@ -52,15 +52,28 @@ def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n:
     narrow = tx.select("userId", "transactionId", "ts", "amount", "status", "country", "riskScore")
     narrow = narrow.where(F.col("status").isin(*success, *failure))
     key = ["userId"]
-    work = S.by_slice(S.place(narrow, key, F.unix_micros("ts"), after=max(spans)))
-    for name, stages, span in (("_v", P.velocity_stages(velocity_n, success), spans[0]),
-                               ("_s", P.structuring_stages(high, low, small_n, success), spans[1]),
-                               ("_t", P.card_testing_stages(failed_n, success, failure), spans[3])):
-        work = P.add_matches(work, stages, span, key, "transactionId", "amount", name)
+    placed = S.place(narrow, key, F.unix_micros("ts"))
+    found = {"_v": (P.velocity_stages(velocity_n, success), spans[0]),
+             "_s": (P.structuring_stages(high, low, small_n, success), spans[1]),
+             "_t": (P.card_testing_stages(failed_n, success, failure), spans[3])}
     done = F.col("status").isin(*success)
-    work = work.withColumn("_done", done & F.col("country").isNotNull())
+    with_country = done & F.col("country").isNotNull()
+    quiet = placed if placed.busy is None else placed.with_rows(placed.rows.where("NOT _hot"))
+    work = S.by_slice(quiet)
+    for name, (stages, span) in found.items():
+        work = P.add_matches(work, stages, span, key, "transactionId", "amount", name)
+    work = work.withColumn("_done", with_country)
     following = F.lead(F.struct("ts", "country")).over(S.over_slices(key, "ts", "transactionId", more=["_done"]))
-    seen = work.withColumn("_c", F.when(F.col("_done"), following)).where("_own")
+    kept = [*narrow.columns, *found, "_c"]
+    seen = work.withColumn("_c", F.when(F.col("_done"), following)).select(*kept)
+    if placed.busy is not None:
+        ranked = P.rank_rows(placed, {name: stages for name, (stages, _) in found.items()}, key, "transactionId", {"_done": with_country})
+        hot = ranked
+        for name, (stages, span) in found.items():
+            hot = P.by_seq(hot, P.matches_by_rank(ranked, stages, span, key, "transactionId", "amount", name), key)
+        nexts = ranked.where("_done_is").select(F.col("userId").alias("_user"), F.col("_done").alias("_no"), F.struct("ts", "country").alias("_c"))
+        same = hot["userId"].eqNullSafe(nexts["_user"]) & F.col("_done_is") & (hot["_done"] + 1 == nexts["_no"])
+        seen = seen.unionByName(hot.join(nexts, same, "left").select(*kept))
     travelled = ((F.unix_micros("_c.ts") - F.unix_micros("ts") < spans[2]) & (F.col("_c.country") != F.col("country")))
 
     def fraud(kind: str, severity: Column, *said: Column | float, tx_id: Column = F.col("transactionId")) -> Column:

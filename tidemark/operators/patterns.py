@@ -64,13 +64,77 @@ def sequence(df: DataFrame, stages: list[Stage], within: str, key: str, tiebreak
     """One row per match: the starting row's columns, ``startTs``, ``endTs``, ``endId`` and a total per stage."""
     span = micros(within)
     wanted = reduce(lambda a, b: a | b, [F.coalesce(s.cond, F.lit(False)) for s in stages])
-    placed = S.place(df.where(wanted), [key], F.unix_micros("ts"), after=span)
-    sliced = S.by_slice(placed) if len(stages) > 1 else placed.rows
-    matches = add_matches(sliced, stages, span, [key], tiebreak, amount, "_to").where(
-        F.col("_own") & F.col("_to").isNotNull())
+    placed = S.place(df.where(wanted), [key], F.unix_micros("ts"))
     totals = [F.col("_to.totals")[i].alias(f"{s.name}Total") for i, s in enumerate(stages)]
-    return matches.select(*df.columns, F.col("ts").alias("startTs"), F.col("_to.ts").alias("endTs"),
-                          F.col("_to.id").alias("endId"), *totals)
+    out = [*df.columns, F.col("ts").alias("startTs"), F.col("_to.ts").alias("endTs"), F.col("_to.id").alias("endId"), *totals]
+    quiet = placed if placed.busy is None else placed.with_rows(placed.rows.where("NOT _hot"))
+    sliced = S.by_slice(quiet) if len(stages) > 1 else quiet.rows
+    matches = add_matches(sliced, stages, span, [key], tiebreak, amount, "_to").where(F.col("_to").isNotNull()).select(*out)
+    if placed.busy is None:
+        return matches
+    ranked = rank_rows(placed, {"_to": stages}, [key], tiebreak)
+    ends = matches_by_rank(ranked, stages, span, [key], tiebreak, amount, "_to")
+    return matches.unionByName(by_seq(ranked, ends, [key], "inner").select(*out))
+
+
+def rank_rows(placed: S.Placed, patterns: dict[str, list[Stage]], key: list[str], tiebreak: str,
+              more: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of hot keys with their number ``_seq``, and per stage of each pattern how many rows of it came up to each row
+    (``<pattern>_<stage>``; ``more``: further flags to count). Stored, as every stage reads them."""
+    flags = {f"{name}_{i}": F.coalesce(s.cond, F.lit(False)) for name, stages in patterns.items() for i, s in enumerate(stages)}
+    counts = {"_seq": F.lit(1).cast("bigint"), **{n: c.cast("bigint") for n, c in {**flags, **(more or {})}.items()}}
+    counted = S.add_totals(placed.with_rows(placed.busy), counts).rows
+    upto = S.over_slices(key, F.asc("_own"), "ts", tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # whether the row itself is one is kept beside the count
+    is_one = {f"{n}_is": F.col(n) == 1 for n in counts if n != "_seq"}
+    return S.stored(S.own(counted.withColumns({**{n: F.sum(n).over(upto) for n in counts}, **is_one})))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_key{i}"]) for i, k in enumerate(key)])
+
+
+def by_seq(ranked: DataFrame, found: DataFrame, key: list[str], how: str = "left") -> DataFrame:
+    """Ranked rows with what was found for their numbers (columns ``_key..``, ``_at`` and others)."""
+    keys = [f"_key{i}" for i in range(len(key))]
+    return ranked.join(found, _null_safe(ranked, found, key) & (ranked["_seq"] == found["_at"]), how).drop(*keys, "_at")
+
+
+def matches_by_rank(ranked: DataFrame, stages: list[Stage], span: int, key: list[str], tiebreak: str, amount: str,
+                    name: str) -> DataFrame:
+    """How the matches end that start in ranked rows: ``_key..``, ``_at`` (the starting row's number) and the struct ``name``.
+
+    Worked from the last stage back, as ``add_matches``. A stage's rows are cut into blocks by their rank; a block also holds
+    the ``times - 1`` rows after it. The next stage starts with the rank after all that came up to the stage's last row.
+    """
+    keys = [f"_key{i}" for i in range(len(key))]
+    limit, rest = S.hot_key_rows(ranked.sparkSession), None
+    for i in range(len(stages) - 1, -1, -1):
+        n, rank = stages[i].times, F.col(f"{name}_{i}")
+        last = i == len(stages) - 1
+        follow = F.lit(None).cast("bigint") if last else F.col(f"{name}_{i + 1}")
+        rows = ranked.where(f"{name}_{i}_is").select(
+            *[F.col(k).alias(c) for k, c in zip(key, keys)], rank.alias("_rank"), "_seq", F.col("ts").alias("_ts"),
+            F.col(amount).cast("double").alias("_amount"),
+            F.struct(F.col("ts").alias("ts"), F.col(tiebreak).alias("id"), follow.alias("follow")).alias("_end"))
+        if n > 1:
+            size = max(limit, n)
+            home = F.floor((F.col("_rank") - 1) / size)
+            first = F.greatest(F.floor((F.col("_rank") - n) / size), F.lit(0))
+            rows = rows.withColumns({"_home": home, "_block": F.explode(F.sequence(first, home))})
+            w = Window.partitionBy(*keys, "_block").orderBy("_rank")
+            rows = rows.withColumns({"_end": F.lead("_end", n - 1).over(w), "_amount": F.sum("_amount").over(w.rowsBetween(0, n - 1))})
+            rows = rows.where((F.col("_home") == F.col("_block")) & F.col("_end").isNotNull())
+        rows = rows.where(F.unix_micros("_end.ts") - F.unix_micros("_ts") < span)
+        if last:
+            done = rows.withColumn("_to", F.struct(F.col("_end.ts").alias("ts"), F.col("_end.id").alias("id"), F.array("_amount").alias("totals")))
+        else:
+            ahead = rest.select(*[F.col(c).alias(f"{c}b") for c in keys], F.col("_rank").alias("_next"), F.col("_to").alias("_rest"))
+            met = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(ahead[f"{c}b"]) for c in keys])
+            done = rows.join(ahead, met & (F.col("_end.follow") + 1 == F.col("_next"))).withColumn("_to", F.struct(
+                F.col("_rest.ts").alias("ts"), F.col("_rest.id").alias("id"), F.concat(F.array("_amount"), F.col("_rest.totals")).alias("totals")))
+        rest = done.where(F.unix_micros("_to.ts") - F.unix_micros("_ts") < span).select(*keys, "_rank", "_seq", "_to")
+    return rest.select(*keys, F.col("_seq").alias("_at"), F.col("_to").alias(name))
 
 
 def add_matches(sliced: DataFrame, stages: list[Stage], span: int, key: list[str], tiebreak: str, amount: str,
