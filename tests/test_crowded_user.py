@@ -16,7 +16,9 @@ def crowd(spark):
     rand = random.Random(9)
     rows = [(f"t{i:05d}", "u", at(rand.randrange(100)), float(rand.choice([20, 50, 500, 1500])), rand.choice(["completed"] * 3 + ["failed"] * 2),
              0.1, rand.choice(["US", "DE", None]), "retail", False) for i in range(ROWS)]
-    return spark.createDataFrame(rows, TX).repartition(8).cache()
+    kept = spark.createDataFrame(rows, TX).repartition(8).cache()
+    kept.count()
+    return kept
 
 
 @pytest.fixture
