@@ -89,15 +89,14 @@ def test_largest_task(spark, crowd, many_tasks, build):
 
     def listed():
         spark._jsc.sc().listenerBus().waitUntilEmpty()
-        return store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+        found = store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s for s in (found.apply(i) for i in range(found.size()))}
 
-    known = listed().size()
+    known = listed()
     build(crowd).collect()
-    stages = listed()
     most = 0
-    for i in range(stages.size() - known):
-        stage = stages.apply(i)
-        if stage.shuffleReadRecords() >= ROWS / 2:
-            quantiles = store.taskSummary(stage.stageId(), stage.attemptId(), one)
+    for number, stage in listed().items():
+        if number not in known and stage.shuffleReadRecords() >= ROWS / 4:
+            quantiles = store.taskSummary(number, stage.attemptId(), one)
             most = max(most, quantiles.get().shuffleReadMetrics().readRecords().apply(0))
     assert 0 < most < ROWS / 8
