@@ -3,7 +3,7 @@
 import pytest
 from builders import SF
 from pyspark.sql import functions as F
-from tidemark.operators import joins, keyed, metrics, search
+from tidemark.operators import alerts, joins, keyed, metrics, patterns, search, windows
 from tidemark.sources import adapters
 
 
@@ -43,6 +43,11 @@ OPERATORS = {
     "asof": (2, lambda s: joins.asof_join(adapters.transactions(s, SF), adapters.user_events(s, SF), "userId", "event", "eventId")),
     "instant_rate": (1, lambda s: metrics.instant_rate(adapters.sensors(s, SF), ["sensorId"], "ts", "value")),
     "sustained": (1, lambda s: metrics.sustained(adapters.sensors(s, SF), ["sensorId"], "ts", F.col("value") > 10, "1 hour", "readingId")),
+    "trend": (1, lambda s: windows.sensor_trend(adapters.sensors(s, SF))),
+    "velocity": (1, lambda s: patterns.velocity(adapters.transactions(s, SF))),
+    "structuring": (1, lambda s: patterns.structuring(adapters.transactions(s, SF))),
+    "country_change": (1, lambda s: patterns.country_change(adapters.transactions(s, SF))),
+    "fraud_alerts": (1, lambda s: alerts.fraud_alerts(adapters.transactions(s, SF))),
     "order_violations": (1, lambda s: search.order_violations(adapters.sensors(s, SF), "sensorId", "readingId", "readingId")),
 }
 

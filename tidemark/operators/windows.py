@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import late_filter, micros, seconds
+from tidemark.operators import slicing as S
 
 
 def _bounds() -> list[Column]:
@@ -77,26 +78,28 @@ def sensor_trend(sensors: DataFrame, size: str = "10 minutes", slide: str = "2 m
                  label: str = "sliding_10min_2min", slice_width: str | None = None) -> DataFrame:
     """Slope of the readings over their index, per sensor type in sliding windows of two readings or more.
 
-    Readings are numbered inside short slices of each type, never across a whole window: a slice gives its count,
-    its sum and its sum of index times value, and the slices of a window combine exactly, since shifting all
-    indexes by ``m`` adds ``m`` times the sum. Rows are therefore not copied into the windows they belong to.
+    Readings are numbered inside blocks of each type, never across a whole window: a block gives its count,
+    its sum and its sum of index times value, and the blocks of a window combine exactly in their order, since shifting
+    all indexes by ``m`` adds ``m`` times the sum. Rows are therefore not copied into the windows they belong to. Blocks are
+    as wide as ``slice_width``; those of a type with too many rows for one task are cut further by density.
     """
     step, span = micros(slide), micros(size)
     width = micros(slice_width) if slice_width else step
     if step % width or span % width:
         raise ValueError("the slices must divide the slide and the window")
-    placed = sensors.select("sensorType", "value", "ts", "readingId", F.floor(F.unix_micros("ts") / width).alias("_slice"))
-    number = F.row_number().over(Window.partitionBy("sensorType", "_slice").orderBy("ts", "readingId")) - 1
-    numbered = placed.withColumn("_i", number)
-    slices = numbered.groupBy("sensorType", "_slice").agg(
+    narrow = sensors.select("sensorType", "value", "ts", "readingId", F.floor(F.unix_micros("ts") / width).alias("_at"))
+    placed = S.place(narrow, ["sensorType"], F.unix_micros("ts")).rows
+    block = ["sensorType", "_at", "_slice"]
+    numbered = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*block).orderBy("ts", "readingId")) - 1)
+    blocks = numbered.groupBy(*block).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_y"), F.sum(F.col("_i") * F.col("value")).alias("_iy"))
-    begin = F.col("_slice") * width
+    begin = F.col("_at") * width
     first = F.floor((begin - span) / step) + 1
     starts = F.sequence(first * step, F.floor(begin / step) * step, F.lit(step))
-    placed = slices.withColumn("_start", F.explode(starts))
-    ahead = (Window.partitionBy("sensorType", "_start").orderBy("_slice")
+    copied = blocks.withColumn("_start", F.explode(starts))
+    ahead = (Window.partitionBy("sensorType", "_start").orderBy("_at", "_slice")
              .rowsBetween(Window.unboundedPreceding, -1))
-    shifted = placed.withColumn("_m", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    shifted = copied.withColumn("_m", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
     total = shifted.groupBy("sensorType", "_start").agg(
         F.sum("_n").alias("_n"), F.sum("_y").alias("_y"),
         F.sum(F.col("_iy") + F.col("_m") * F.col("_y")).alias("_xy"))

@@ -18,14 +18,20 @@ TUNED = {
 MESSAGE = "topic STRING, partition INT, offset BIGINT, key STRING, value STRING"
 
 
+def source_options(topics: list[str], starting: str = "latest", tuned: bool = False, **options: str) -> dict[str, str]:
+    """Options of a broker source: the topics, where to start, the tuned settings if asked for, and then the caller's own."""
+    return {"subscribe": ",".join(topics), "startingOffsets": starting, **(TUNED if tuned else {}), **options}
+
+
 def read_topics(spark: SparkSession, topics: str | list[str], format: str = "kafka", path: str | None = None,
-                starting: str = "latest", **options: str) -> DataFrame:
-    """Messages with topic, partition, offset, key and value as text. ``path`` is for file formats."""
+                starting: str = "latest", tuned: bool = False, **options: str) -> DataFrame:
+    """Messages with topic, partition, offset, key and value as text. ``path`` is for file formats; ``tuned`` fetches in larger
+    parts and bounds the work of a batch."""
     names = [topics] if isinstance(topics, str) else list(topics)
     reader = spark.readStream.format(format)
     if format != "kafka":
         return reader.schema(MESSAGE).options(**options).load(path).where(F.col("topic").isin(names))
-    return (reader.option("subscribe", ",".join(names)).option("startingOffsets", starting).options(**options).load()
+    return (reader.options(**source_options(names, starting, tuned, **options)).load()
             .select("topic", "partition", "offset", F.col("key").cast("string").alias("key"),
                     F.col("value").cast("string").alias("value")))
 
