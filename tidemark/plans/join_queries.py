@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring
 from tidemark.operators import joins as J
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import sensors, table, transactions, user_events
+from tidemark.sources import parse as P
+from tidemark.sources.adapters import sensor_messages, sensors, table, transaction_messages, transactions, user_events
 
 _TX = """t."transactionId", t."userId", t.ts, t.amount, t.status"""
 
@@ -51,6 +52,28 @@ def j2_asof_sensor(spark, folder):
                       F.col("s.ts").alias("readingTs"))
 
 
+@query("j2_asof_messages", """
+WITH told AS (SELECT event_id, k, CASE WHEN k % 2 = 1 THEN make_timestamp(epoch_us(ts) // 1000 * 1000) ELSE ts END AS said FROM ev),
+tx AS (SELECT t."transactionId", t.amount, e.said AS ts, (['warehouse_a', 'warehouse_b', 'office_floor_1', 'office_floor_2',
+    'production_line_1', 'production_line_2', 'server_room', 'loading_dock', 'cafeteria', 'parking_garage'])
+    [CAST((CAST(substr(t."userId", 6) AS BIGINT) // 10) % 10 AS INT) + 1] AS location
+  FROM told e JOIN transactions t ON t."transactionId" = 'tx_' || e.event_id WHERE k > 1),
+found AS (SELECT e.event_id AS id, e.said AS ts, s.location, s.value FROM told e JOIN sensors s ON s."readingId" = e.event_id
+  WHERE k > 1 AND s."isAnomaly"),
+met AS (SELECT t."transactionId", t.location, t.ts, t.amount, max({'ts': f.ts, 'id': f.id}) AS last
+  FROM tx t JOIN found f ON t.location = f.location AND f.ts <= t.ts GROUP BY ALL)
+SELECT "transactionId", met.location, met.ts, amount, id AS "readingMessage", value, found.ts AS "readingTs"
+FROM met JOIN found ON met.last.id = found.id
+""")
+def j2_asof_messages(spark, folder):
+    """Transactions as they come from their topic, by the place they name, with the last anomalous reading there."""
+    tx = P.parse_transactions(transaction_messages(spark, folder).select("value"))
+    readings = P.parse_sensors(sensor_messages(spark, folder).select("offset", "value")).where("isAnomaly")
+    out = J.asof_join(tx.where("location IS NOT NULL"), readings, "location", "s", "offset")
+    return out.select("transactionId", "location", "ts", "amount", F.col("s.offset").alias("readingMessage"), "s.value",
+                      F.col("s.ts").alias("readingTs"))
+
+
 @query("j3_profile_lookup", """
 SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, coalesce(c.c_mktsegment, 'premium') AS tier,
   round(coalesce(c.c_acctbal, 0.0), 6) AS balance

@@ -127,9 +127,11 @@ def user_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transaction_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Transactions as JSON text, damaged the same way; k = 2 has no risk score, k = 3 no country."""
+    """Transactions as JSON text, damaged the same way; k = 2 has no risk score, k = 3 no country. Ten users in a row share a place."""
     lost = {"userId": 1, "riskScore": 2, "country": 3}
-    return _messages(spark, folder, lambda e, *kept: transactions_of(e, *kept).withColumn("currency", F.lit("USD")),
+    place = _pick(fixed.LOCATIONS, F.floor(F.substring("userId", 6, 20).cast("bigint") / 10) % 10)
+    return _messages(spark, folder, lambda e, *kept: transactions_of(e, *kept).withColumns(
+                         {"currency": F.lit("USD"), "location": place}),
                      "transaction-events", ["ts"],
                      lambda k, c: F.when(k != lost[c], F.col(c)) if c in lost else F.col(c))
 
