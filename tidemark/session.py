@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,9 +36,25 @@ def local_session(cores: int | str = "*", app: str = "tidemark", **extra: str) -
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of a session, once. Where the package is installed on all machines it is not needed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # Spark's own file server takes the file from the driver to the executors
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "tidemark"), "zip", root, "tidemark")
+    context.addPyFile(made)
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``. Where that is unset a local session makes one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
