@@ -45,11 +45,16 @@ def plain(text, a, b):
         while k < len(at[1]) and at[1][k][0] < hi:
             pairs.add((i, k))
             k += 1
-    groups = []
+    groups, seen = [], [0, 0]
     for end in sorted((cut[0] & cut[1]) - {0}):
-        own = [[str(x) for x, (lo, hi) in zip(ids[s], at[s]) if (groups[-1][0] if groups else 0) < hi <= end] for s in (0, 1)]
-        groups.append((end, "|".join(",".join(x) for x in own)))
-    return *ids, pairs, ";".join(g for _, g in groups)
+        own = []
+        for s in (0, 1):
+            first = seen[s]
+            while seen[s] < len(at[s]) and at[s][seen[s]][1] <= end:
+                seen[s] += 1
+            own.append(",".join(map(str, ids[s][first:seen[s]])))
+        groups.append("|".join(own))
+    return *ids, pairs, ";".join(groups)
 
 
 def brute(texts):
