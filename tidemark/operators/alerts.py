@@ -122,15 +122,11 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
     limits = F.broadcast(scoring.alert_limits(readings.sparkSession)) if limits is None else limits
     readings = with_unit(readings)
     columns = [*order, "sensorId", "sensorType", "location", "value", "unit"]
-    placed = S.rank_slices(readings.select(*columns), ["sensorId"], F.unix_micros("ts"), order, back=n - 1)
-    w = S.over_slices(["sensorId"], *order)
-    last_n = w.rowsBetween(-(n - 1), 0)
-    seen = S.own(placed.rows.withColumns({
-        "_n": F.count(F.lit(1)).over(last_n), "_mean": F.avg("value").over(last_n),
-        "_std": F.stddev_pop("value").over(last_n), "_prev": F.lag(F.struct("ts", "value")).over(w)}))
+    placed = S.place(readings.select(*columns), ["sensorId"], F.unix_micros("ts"))
+    seen = S.last_rows(placed, order, "value", n)
     met = seen.join(limits, F.lower(seen["sensorType"]) == limits["limitType"], "left")
     value, elapsed = F.col("value"), F.unix_micros("ts") - F.unix_micros("_prev.ts")
-    score = F.when((F.col("_n") >= min_n) & (F.col("_std") > 0), F.abs(value - F.col("_mean")) / F.col("_std"))
+    score = F.when((F.col("_n") >= min_n) & (F.col("_std") > 0), F.col("_off") / F.col("_std"))
     change = F.when((elapsed > 0) & (elapsed < span), K.relative_change(value, F.col("_prev.value")))
     scored = met.withColumns({"_z": score, "_rel": change, "_gap": elapsed})
 

@@ -110,15 +110,11 @@ def gap_sessions(df: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts
 
 def zscore_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float = 2.5) -> DataFrame:
     """Readings more than ``z`` population deviations from the mean of the sensor's last ``n``, itself included."""
-    order = ["ts", "readingId"]
-    sliced = S.rank_slices(readings, ["sensorId"], _pos("ts"), order, back=n - 1)
-    w = S.over_slices(["sensorId"], *order).rowsBetween(-(n - 1), 0)
-    scored = S.own(sliced.rows.withColumns({
-        "readings": F.count(F.lit(1)).over(w), "mean": F.avg("value").over(w), "std": F.stddev_pop("value").over(w)}))
-    return (scored.where((F.col("readings") >= min_n) & (F.col("std") > 0))
-            .withColumn("zScore", F.abs(F.col("value") - F.col("mean")) / F.col("std"))
-            .where(F.col("zScore") > z)
-            .withColumn("severity", F.least(F.lit(0.9), F.col("zScore") / z)).drop("std"))
+    scored = S.last_rows(S.place(readings, ["sensorId"], _pos("ts")), ["ts", "readingId"], "value", n)
+    return (scored.where((F.col("_n") >= min_n) & (F.col("_std") > 0))
+            .withColumn("zScore", F.col("_off") / F.col("_std")).where(F.col("zScore") > z)
+            .withColumn("severity", F.least(F.lit(0.9), F.col("zScore") / z))
+            .withColumnsRenamed({"_n": "readings", "_mean": "mean"}).drop("_off", "_std", "_prev"))
 
 
 def relative_change(value: Column, previous: Column) -> Column:

@@ -11,10 +11,10 @@ from others is a two-level scan: each slice is summed up (its first and last row
 (rows / limit) times a small number, are stored and scanned along the key, and each slice gets the outcome as a *halo* row
 (``_own`` is false), which takes part in the window and is dropped afterwards:
 
-* nearest earlier or later row, however far: ``add_earlier``, ``add_later`` and ``add_neighbours``;
+* nearest earlier or later row, however far: ``add_earlier``, ``add_later`` and ``add_neighbours``; the first of all: ``add_past``;
 * running totals: ``add_totals``;
 * bounded reach (``before``/``after``): rows near an edge are copied;
-* the last n rows: ``rank_slices`` cuts by row number instead of by time.
+* the last n rows: ``last_rows`` puts every window together from two sums over blocks of n numbered rows.
 
 So the source is read twice, with hot keys or without, whatever the operator carries.
 """
@@ -130,8 +130,8 @@ def own(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_slice", "_hot")
 
 
-def _carried(placed: Placed, order: list[str], cond: Column | None, later: tuple[bool, ...]) -> Placed:
-    """Halo rows from the slices before (``later`` false) or after."""
+def _carried(placed: Placed, order: list[str], cond: Column | None, wanted: tuple[str, ...]) -> Placed:
+    """Halo rows: the ``last`` of the slices before, the ``next`` of those after, the very ``first`` of the key."""
     if placed.busy is None:
         return placed
     key, columns = placed.key, [c for c in placed.busy.columns if c not in ("_slice", "_own", "_hot")]
@@ -141,10 +141,12 @@ def _carried(placed: Placed, order: list[str], cond: Column | None, later: tuple
     edges = stored(placed.busy.where("_own").groupBy(*key, "_slice").agg(
         F.max_by(row, rank).alias("_last"), F.min_by(row, rank).alias("_first")))
     rows = placed.rows
-    for ahead in later:
-        steps = Window.partitionBy(*key).orderBy(F.desc("_slice") if ahead else F.asc("_slice"))
-        nearest = F.last("_first" if ahead else "_last", ignorenulls=True).over(steps.rowsBetween(Window.unboundedPreceding, -1))
-        halo = edges.select("_slice", nearest.alias("_edge")).where(F.col("_edge").isNotNull())
+    taken = {"last": F.last("_last", ignorenulls=True), "next": F.last("_first", ignorenulls=True),
+             "first": F.first("_first", ignorenulls=True)}
+    for which in wanted:
+        steps = Window.partitionBy(*key).orderBy(F.desc("_slice") if which == "next" else F.asc("_slice"))
+        edge = taken[which].over(steps.rowsBetween(Window.unboundedPreceding, -1))
+        halo = edges.select("_slice", edge.alias("_edge")).where(F.col("_edge").isNotNull())
         rows = rows.unionByName(halo.select(*[F.col("_edge")[c].alias(c) for c in columns], "_slice",
                                             F.lit(False).alias("_own"), F.lit(True).alias("_hot")), allowMissingColumns=True)
     return placed.with_rows(rows)
@@ -152,17 +154,22 @@ def _carried(placed: Placed, order: list[str], cond: Column | None, later: tuple
 
 def add_earlier(placed: Placed, order: list[str], cond: Column | None = None) -> Placed:
     """Gives each slice of a hot key the last row (that meets ``cond``) of all its earlier slices."""
-    return _carried(placed, order, cond, (False,))
+    return _carried(placed, order, cond, ("last",))
 
 
 def add_later(placed: Placed, order: list[str], cond: Column | None = None) -> Placed:
     """Gives each slice of a hot key the first row (that meets ``cond``) of all its later slices."""
-    return _carried(placed, order, cond, (True,))
+    return _carried(placed, order, cond, ("next",))
 
 
 def add_neighbours(placed: Placed, order: list[str]) -> Placed:
     """Gives each slice of a hot key the last row before it and the first row after it."""
-    return _carried(placed, order, None, (False, True))
+    return _carried(placed, order, None, ("last", "next"))
+
+
+def add_past(placed: Placed, order: list[str]) -> Placed:
+    """Gives each slice of a hot key the first row of the key and the last row before the slice."""
+    return _carried(placed, order, None, ("first", "last"))
 
 
 def add_totals(placed: Placed, totals: dict[str, Column], more: tuple[str, ...] = ()) -> Placed:
@@ -199,28 +206,77 @@ def with_leavings(sliced: DataFrame, span: int) -> DataFrame:
 
 def _numbered(placed: Placed, order: list[str], name: str) -> DataFrame:
     counted = add_totals(placed, {"_one": F.lit(1).cast("bigint")})
-    running = over_slices(placed.key, F.asc("_own"), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = earliest_first(placed.key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counted.rows.withColumn(name, F.sum("_one").over(running)).drop("_one")
 
 
-def row_numbers(df: DataFrame, key: list[str], pos: Column, order: list[str], name: str) -> DataFrame:
-    """Row number within the key, counted from 1."""
-    return own(_numbered(place(df, key, pos), order, name))
+def numbered(placed: Placed, order: list[str], name: str, columns: dict[str, Column] | None = None) -> DataFrame:
+    """Own rows with their number within the key, from 1, and ``columns``, which take halo rows of ``placed`` into account:
+    expressions over ``earliest_first``."""
+    return own(_numbered(placed, order, name).withColumns(columns or {}))
 
 
-def rank_slices(df: DataFrame, key: list[str], pos: Column, order: list[str], back: int) -> Placed:
-    """Slices in which every own row has the ``back`` rows before it; hot keys are cut by row number."""
-    placed = place(df, key, pos)
-    if placed.busy is None:
-        return placed
-    rows = max(hot_key_rows(df.sparkSession), back + 1)
-    rank = F.col("_rank")
+def earliest_first(key: list[str], order: list[str]):
+    """The window over a key's slice with rows of other slices ahead."""
+    return over_slices(key, F.asc("_own"), *order)
 
-    def at(r: Column) -> Column:
-        return F.floor((r - 1) / rows)
 
-    columns = df.columns
-    cut = (own(_numbered(placed.with_rows(placed.busy), order, "_rank"))
-           .select(*columns, "_rank", F.explode(F.sequence(at(rank), at(rank + back))).alias("_slice"))
-           .select(*columns, "_slice", (F.col("_slice") == at(rank)).alias("_own"), F.lit(True).alias("_hot")))
-    return placed.with_rows(placed.rows.where("NOT _hot").unionByName(cut))
+def row_numbers(df: DataFrame, key: list[str], pos: Column, order: list[str], name: str) -> DataFrame:
+    """Row number within the key, counted from 1."""
+    return numbered(place(df, key, pos), order, name)
+
+
+def _moments(rows: DataFrame, key: list[str], value: str, n: int) -> DataFrame:
+    """Rows with ``_head`` and ``_tail``: moments of their block of n numbered rows up to this row, and from it on. The origin of
+    either (``o``) is its first value, so it lies in every window that is put together from it."""
+    known = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
+    block = Window.partitionBy(*key, "_block")
+    rows = rows.withColumn("_block", F.floor((F.col("_no") - 1) / n))
+    for name, by in (("_head", F.asc("_no")), ("_tail", F.desc("_no"))):
+        over = block.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("_o", F.coalesce(F.first(known, ignorenulls=True).over(over), F.lit(0.0)))
+        away = F.col(value) - F.col("_o")
+        rows = rows.withColumn(name, F.struct(
+            F.count(away).over(over).alias("n"), F.avg(away).over(over).alias("m"), F.var_pop(away).over(over).alias("v"),
+            F.min(value).over(over).alias("low"), F.max(value).over(over).alias("high"), F.col("_o").alias("o")))
+    return rows.drop("_o", "_block")
+
+
+def last_rows(placed: Placed, order: list[str], value: str, n: int) -> DataFrame:
+    """Own rows with the number ``_n``, ``_mean`` and population deviation ``_std`` of the last ``n`` rows, this one included,
+    the distance ``_off`` from the mean, and ``_prev``, the row before (``order`` columns and ``value``).
+
+    Rows of a key are numbered and cut into blocks of ``n``. The last n rows up to a row are the head of its own block and a
+    tail of the block before; both are running moments that start anew with each block, so a row costs the same
+    whatever ``n`` is, and nothing is subtracted that was added before. For a hot key the tail finds its row by
+    (key, number): no row is copied, and no task needs more than a block in order. Moments are taken about a value of the
+    window, so a large common offset costs no digits: the error of mean and deviation is some n * 2 ** -53 of the range of
+    the window's values. Equal values have the deviation 0. Missing values count as rows only.
+    """
+    key, before = placed.key, F.struct(*order, value)
+    w = over_slices(key, *order)
+    quiet = placed.rows if placed.busy is None else placed.rows.where("NOT _hot")
+    quiet = quiet.withColumns({"_no": F.row_number().over(w), "_prev": F.lag(before).over(w)})
+    quiet = _moments(quiet, [*key, "_slice"], value, n)
+    # A window that fills its block needs no tail.
+    rest = F.when(F.col("_no") % n != 0, F.lag("_tail", n - 1).over(over_slices(key, "_no")))
+    done = own(quiet.withColumn("_rest", rest)).drop("_tail")
+    if placed.busy is not None:
+        near = add_earlier(placed.with_rows(placed.busy), order)
+        rows = numbered(near, order, "_no", {"_prev": F.lag(before).over(earliest_first(key, order))})
+        summed = stored(_moments(rows, key, value, n))
+        tails = summed.where(F.col("_no") % n != 1 % n).select(*_renamed(key), (F.col("_no") + n - 1).alias("_at"), F.col("_tail").alias("_rest"))
+        met = summed.join(tails, _same(summed, tails, key) & (summed["_no"] == tails["_at"]), "left")
+        done = done.unionByName(met.select(*done.columns))
+    a, b = F.col("_head.n").cast("double"), F.coalesce(F.col("_rest.n"), F.lit(0)).cast("double")
+    # The tail's mean as seen from the head's origin; a side without values takes the other's.
+    other = (F.col("_rest.o") - F.col("_head.o")) + F.col("_rest.m")
+    one, two = F.coalesce(F.col("_head.m"), other), F.coalesce(other, F.col("_head.m"))
+    mean = F.try_divide(a * one + b * two, a + b)
+    spread = (a * F.coalesce(F.col("_head.v"), F.lit(0.0)) + b * F.coalesce(F.col("_rest.v"), F.lit(0.0))
+              + F.try_divide(a * b, a + b) * (one - two) * (one - two))
+    low, high = F.least("_head.low", "_rest.low"), F.greatest("_head.high", "_rest.high")
+    std = F.when((low == high) & ~F.isnan(low), F.lit(0.0)).otherwise(F.sqrt(F.try_divide(spread, a + b)))
+    return done.withColumns({
+        "_n": F.least(F.col("_no"), F.lit(n)).cast("bigint"), "_mean": F.col("_head.o") + mean, "_std": std,
+        "_off": F.abs(F.col(value) - F.col("_head.o") - mean)}).drop("_no", "_head", "_rest")
