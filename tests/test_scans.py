@@ -3,7 +3,7 @@
 import pytest
 from builders import SF
 from pyspark.sql import functions as F
-from tidemark.operators import alerts, joins, keyed, metrics, patterns, search, windows
+from tidemark.operators import alerts, enrich, joins, keyed, metrics, patterns, search, windows
 from tidemark.sources import adapters
 
 
@@ -48,6 +48,7 @@ OPERATORS = {
     "structuring": (1, lambda s: patterns.structuring(adapters.transactions(s, SF))),
     "country_change": (1, lambda s: patterns.country_change(adapters.transactions(s, SF))),
     "fraud_alerts": (1, lambda s: alerts.fraud_alerts(adapters.transactions(s, SF))),
+    "risk_score": (1, lambda s: enrich.risk_score(adapters.transactions(s, SF))),
     "order_violations": (1, lambda s: search.order_violations(adapters.sensors(s, SF), "sensorId", "readingId", "readingId")),
 }
 

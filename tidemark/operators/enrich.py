@@ -74,30 +74,66 @@ def user_profiles(tx: DataFrame, categories: int = 3) -> DataFrame:
     by_category = tx.groupBy("userId", "merchantCategory").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_amount"),
         F.min(F.struct("ts", "transactionId", "country")).alias("_first"))
-    # At most one element per merchant category.
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("merchantCategory").alias("c"))))
-    return by_category.groupBy("userId").agg(
-        F.try_divide(F.sum("_amount"), F.sum("_n")).alias("averageAmount"),
-        F.min("_first")["country"].alias("homeCountry"),
-        F.transform(F.slice(ranked, 1, categories), lambda r: r["c"]).alias("preferredCategories"))
-
-
-def risk_score(tx: DataFrame, profiles: DataFrame, risky_countries: list[str] | None = None) -> DataFrame:
+    # The map tasks drop what cannot be among the first categories.
+    ranked = Window.partitionBy("userId").orderBy(F.desc("_n"), "merchantCategory")
+    first = by_category.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= categories)
+    preferred = first.groupBy("userId").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_r", "merchantCategory"))), lambda r: r["merchantCategory"]).alias("preferredCategories"))
+    means = by_category.groupBy("userId").agg(
+        F.try_divide(F.sum("_amount"), F.sum("_n")).alias("averageAmount"), F.min("_first")["country"].alias("homeCountry"))
+    return means.join(preferred, means["userId"].eqNullSafe(preferred["userId"])).drop(preferred["userId"])
+
+
+def earlier_profiles(tx: DataFrame, categories: int = 3) -> DataFrame:
+    """Transactions with what was known of their user just before: ``averageAmount``, ``homeCountry`` (of the first
+    transaction), ``usualCategory``, ``elapsed`` microseconds and ``priorFrauds``. All but the last are null for a user's first.
+
+    A category is usual where fewer than ``categories`` others had been bought from more often. When a category comes to its
+    m-th purchase, those that had m before are the ones that reached theirs earlier; so its place among all m-th purchases of
+    the user tells, and no set of categories is held. Every m is a group of its own; for a hot user each slice settles
+    all but its first few of every m, and only these meet.
+    """
+    key, order = ["userId"], ["ts", "transactionId"]
+    placed = S.add_past(S.place(tx, key, F.unix_micros("ts")), order)
+    one = F.lit(1).cast("bigint")
+    counted = S.add_totals(placed, {
+        "_fraud": F.coalesce(F.col("isFraud").cast("int"), F.lit(0)), "_paid": F.coalesce(F.col("amount").cast("double"), F.lit(0.0)),
+        "_priced": F.col("amount").isNotNull().cast("bigint")})
+    rows = S.add_totals(counted, {"_bought": one}, more=("merchantCategory",)).rows
+    past = S.over_slices(key, F.asc_nulls_first("ts"), "transactionId").rowsBetween(Window.unboundedPreceding, -1)
+    real = F.col("ts").isNotNull()  # rows of totals have no time
+    so_far = S.over_slices(key, F.asc("_own"), *order, more=["merchantCategory"]).rowsBetween(Window.unboundedPreceding, 0)
+    seen = S.own(rows.withColumns({
+        "elapsed": F.unix_micros("ts") - F.unix_micros(F.last("ts", ignorenulls=True).over(past)),
+        "homeCountry": F.first(F.when(real, F.struct("country")), ignorenulls=True).over(past)["country"],
+        "averageAmount": F.try_divide(F.sum("_paid").over(past), F.sum("_priced").over(past)),
+        "priorFrauds": F.coalesce(F.sum("_fraud").over(past), F.lit(0)).cast("bigint"),
+        "_m": F.sum("_bought").over(so_far)}).withColumn("_at", F.col("_slice"))).drop("_fraud", "_paid", "_priced", "_bought")
+    named = F.col("merchantCategory").isNotNull()  # transactions without a category take no place
+    within = Window.partitionBy(*key, "_at", "_m", "_named").orderBy(*order)
+    placing = seen.withColumn("_named", named).withColumn("_place", F.row_number().over(within))
+    if placed.busy is not None:
+        meet = F.when(F.col("_place") <= categories, F.lit(-1).cast("bigint")).otherwise(F.col("_at"))
+        across = Window.partitionBy(*key, "_meet", "_m", "_named").orderBy(*order)
+        again = placing.withColumn("_meet", meet).withColumn("_over", F.row_number().over(across))
+        placing = again.withColumn("_place", F.when(F.col("_meet") < 0, F.col("_over")).otherwise(F.col("_place")))
+    usual = (F.col("_m") > 1) & (F.col("_place") <= categories)
+    return placing.withColumn("usualCategory", F.when(F.col("elapsed").isNotNull() & F.col("_named"), usual)).select(
+        *tx.columns, "averageAmount", "homeCountry", "usualCategory", "elapsed", "priorFrauds")
+
+
+def risk_score(tx: DataFrame, profiles: DataFrame | None = None, risky_countries: list[str] | None = None,
+               categories: int = 3) -> DataFrame:
     """Transactions with ``score`` (0 to 1) and ``decision``.
 
-    The profile is a table per user; time since the previous transaction and earlier frauds come from the rows
-    before. Their windows run first, over slices of hot users; the profile join then is the last shuffle, where
-    adaptive execution can split a skewed user.
+    What is usual for a user comes from the user's earlier transactions, or from a table of profiles where one is given. That
+    join is the last shuffle, where adaptive execution can split a skewed user.
     """
-    recent, key, order = micros("300 seconds"), ["userId"], ["ts", "transactionId"]
-    near = S.add_earlier(S.place(tx, key, F.unix_micros("ts")), order)
-    sliced = S.add_totals(near, {"_fraud": F.col("isFraud").cast("int")}).rows
-    w = S.over_slices(key, F.asc_nulls_first("ts"), "transactionId")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    seen = S.own(sliced.withColumns({
-        "_elapsed": F.unix_micros("ts") - F.unix_micros(F.last("ts", ignorenulls=True).over(past)),
-        "priorFrauds": F.coalesce(F.sum("_fraud").over(past), F.lit(0)).cast("bigint")})).drop("_fraud")
-    known = seen.join(profiles, "userId", "left")
+    recent = micros("300 seconds")
+    known = earlier_profiles(tx, categories)
+    if profiles is not None:
+        known = known.drop("averageAmount", "homeCountry", "usualCategory").join(profiles, "userId", "left").withColumn(
+            "usualCategory", F.array_contains("preferredCategories", F.col("merchantCategory")))
     risky = F.col("country").isin(risky_countries or fixed.HIGH_RISK_COUNTRIES)
     method = F.col("paymentMethod") == "magnetic_stripe" if "paymentMethod" in tx.columns else F.lit(False)
     weights = fixed.RISK_WEIGHTS
@@ -105,9 +141,9 @@ def risk_score(tx: DataFrame, profiles: DataFrame, risky_countries: list[str] |
         F.when(F.col("amount") > F.col("averageAmount") * weights["amount_factor"], weights["amount"]).otherwise(0.0)
         + F.when(F.hour("ts") < weights["night_until"], weights["night"]).otherwise(0.0)
         + F.when(risky, weights["risky_country"]).when(F.col("country") != F.col("homeCountry"), weights["other_country"]).otherwise(0.0)
-        + F.when(~F.array_contains("preferredCategories", F.col("merchantCategory")), weights["other_category"]).otherwise(0.0)
-        + F.when(F.col("_elapsed") < micros("60 seconds"), weights["within_minute"])
-        .when(F.col("_elapsed") < recent, weights["within_five_minutes"]).otherwise(0.0)
+        + F.when(~F.col("usualCategory"), weights["other_category"]).otherwise(0.0)
+        + F.when(F.col("elapsed") < micros("60 seconds"), weights["within_minute"])
+        .when(F.col("elapsed") < recent, weights["within_five_minutes"]).otherwise(0.0)
         + F.when(method, weights["magnetic_stripe"]).otherwise(0.0)
         + F.least(F.col("priorFrauds") * weights["per_prior_fraud"], F.lit(weights["most_prior_frauds"]))
     )

@@ -118,27 +118,25 @@ def e18_gauge(spark, folder):
 
 
 @query("e19_risk_score", """
-WITH per_category AS (
-  SELECT "userId", "merchantCategory" AS c, count(*) AS n, row_number() OVER (PARTITION BY "userId"
-    ORDER BY count(*) DESC, "merchantCategory") AS r
-  FROM transactions GROUP BY "userId", "merchantCategory"),
-profiles AS (
-  SELECT "userId", avg(amount) AS mean, arg_min(country, ts) AS home FROM transactions GROUP BY "userId"),
-seen AS (
-  SELECT t.*, ts - lag(ts) OVER w AS elapsed,
-    coalesce(sum(CASE WHEN "isFraud" THEN 1 ELSE 0 END) OVER (PARTITION BY "userId" ORDER BY ts, "transactionId"
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS frauds
-  FROM transactions t WINDOW w AS (PARTITION BY "userId" ORDER BY ts, "transactionId")),
+WITH seen AS (
+  SELECT t.*, ts - lag(ts) OVER w AS elapsed, avg(amount) OVER past AS mean, first_value(country) OVER past AS home,
+    coalesce(sum(CASE WHEN "isFraud" THEN 1 ELSE 0 END) OVER past, 0) AS frauds
+  FROM transactions t WINDOW w AS (PARTITION BY "userId" ORDER BY ts, "transactionId"),
+    past AS (PARTITION BY "userId" ORDER BY ts, "transactionId" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bought AS (
+  SELECT t."transactionId" AS id, e."merchantCategory" AS c, rank() OVER (PARTITION BY id ORDER BY count(*) DESC) AS r
+  FROM transactions t JOIN transactions e ON e."userId" = t."userId"
+    AND (e.ts < t.ts OR e.ts = t.ts AND e."transactionId" < t."transactionId")
+  GROUP BY id, c),
 scored AS (
   SELECT s.*, round(least(1.0 :: DOUBLE,
     CASE WHEN amount > mean * 3 THEN 0.3 :: DOUBLE ELSE 0 END + CASE WHEN hour(s.ts) < 6 THEN 0.2 :: DOUBLE ELSE 0 END
     + CASE WHEN country IN ('RU', 'CN', 'NG', 'PK') THEN 0.4 :: DOUBLE WHEN country <> home THEN 0.1 :: DOUBLE ELSE 0 END
-    + CASE WHEN p.r > 3 THEN 0.1 :: DOUBLE ELSE 0 END
+    + CASE WHEN elapsed IS NOT NULL AND coalesce(b.r, 4) > 3 THEN 0.1 :: DOUBLE ELSE 0 END
     + CASE WHEN elapsed < INTERVAL 60 second THEN 0.3 :: DOUBLE WHEN elapsed < INTERVAL 300 second THEN 0.1 :: DOUBLE
         ELSE 0 END
     + least(frauds * 0.1 :: DOUBLE, 0.3 :: DOUBLE)), 3) AS score
-  FROM seen s JOIN profiles USING ("userId")
-    JOIN per_category p ON p."userId" = s."userId" AND p.c = s."merchantCategory")
+  FROM seen s LEFT JOIN bought b ON b.id = s."transactionId" AND b.c = s."merchantCategory")
 SELECT "transactionId", "userId", ts, amount, status, CAST("riskScore" AS DOUBLE) AS "riskScore", country,
   "merchantCategory", "isFraud", CAST(frauds AS BIGINT) AS "priorFrauds", score,
   CASE WHEN "isFraud" AND score > 0.7 THEN 'declined_or_review' WHEN score > 0.8 THEN 'pending_review'
@@ -146,8 +144,7 @@ SELECT "transactionId", "userId", ts, amount, status, CAST("riskScore" AS DOUBLE
 FROM scored
 """)
 def e19_risk_score(spark, folder):
-    tx = transactions(spark, folder)
-    return E.risk_score(tx, E.user_profiles(tx))
+    return E.risk_score(transactions(spark, folder))
 
 
 @query("e20_quality_score", """
