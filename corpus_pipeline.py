@@ -1,8 +1,9 @@
 """From raw documents to token samples in stages; each stage's rows are written and read again.
 
 1. quality: documents that the line field scores below ``quality_crf.KEEP`` go.
-2. near copies: of each component of linked documents the one of least doc_id stays. Repeated rows of one id become one;
-   rows without an id cannot be named and stay.
+2. near copies: of each component of linked rows the one of least doc_id stays. A row is its id and its text: several texts of
+   one id, and texts without an id, are each judged by their own text; where rows of a component tie by id, one hash of id
+   and text decides. Rows equal in both become one.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: found spans give way to a mark; no document goes. ``n_chars`` is renewed.
 5. tokens: two sampled segmentations of every document that is left.
@@ -30,11 +31,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return named.unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    found = ngram_join.join(keyed.select(F.col("_row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
+    # Ids are known by row; of a component the row of least id stays, rows without an id coming last.
+    named = keyed.select("_row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key").alias("_rank")).join(found, "_row_key")
+    kept = named.groupBy("component_id").agg(F.min("_rank")["_row_key"].alias("_row_key")).select("_row_key")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    again = Window.partitionBy("_row_key", "doc_id", "text").orderBy(F.xxhash64(*plain))
+    numbered = keyed.join(kept, "_row_key", "left_semi").withColumn("_row_no", F.row_number().over(again))
+    return numbered.where("_row_no = 1").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
