@@ -37,6 +37,26 @@ def test_stages(spark):
     assert {r.doc_id for r in coded} == clean.keys() and all(pieces.decode_ids(r.ids, raw) == clean[r.doc_id].text for r in coded)
 
 
+def test_near_copies_by_row(spark):
+    """Texts are judged each by itself, whether they share an id or have none."""
+    base = " ".join(f"word{i}" for i in range(60))
+    near, other, third = base.replace("word30", "changed"), base.replace("word", "term"), base.replace("word", "name")
+    rows = [(7, base, "a"), (3, near, "b"),            # near copies: the lesser id stays
+            (5, other, "c"), (5, third, "d"),          # one id, two texts: both stay
+            (5, other, "c"),                           # a repeated row
+            (None, base, "e"), (None, near, "f"),      # near copies without an id give way to one with an id
+            (None, "alone " * 30, "g"), (None, third + " more", "h"),
+            (9, None, "i"), (9, "", "j"), (None, None, "k"), (None, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    got = sorted((r.extra for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()))
+    assert got == list("bcdgijk")
+    lone = spark.createDataFrame([(None, base, "a"), (None, near, "b"), (None, other, "c")], docs.schema)
+    got = corpus_pipeline.drop_near_copies(spark, lone, SF)
+    assert got.columns == docs.columns
+    kept = [r.extra for r in got.collect()]
+    assert len(kept) == 2 and "c" in kept
+
+
 def test_odd_tables(spark, tmp_path):
     folder = str(tmp_path / "odd")
     odd(spark, "lang string, n_chars long, score double, leaks string").write.parquet(f"{folder}/documents.parquet")
