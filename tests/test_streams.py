@@ -154,11 +154,11 @@ def test_asof(feed, drain):
     same(drain(live), want, "transactionId", "ts", "amount", "e.eventId", "e.ts")
 
 
-def test_risk_history(feed, drain):
+def test_risk_score(feed, drain):
     table, stream = feed
-    tx = adapters.transactions_of(table)
-    want = enrich.risk_score(tx, enrich.user_profiles(tx))
-    same(drain(O.risk_history(adapters.transactions_of(stream()), **DELAY)), want, "transactionId", "priorFrauds")
+    want = enrich.risk_score(adapters.transactions_of(table))
+    same(drain(O.risk_score(adapters.transactions_of(stream()), **DELAY)), want, "transactionId", "userId", "ts", "amount",
+         "priorFrauds", "score", "decision")
 
 
 def test_dedupe(feed, drain):

@@ -129,13 +129,18 @@ def risk_score(tx: DataFrame, profiles: DataFrame | None = None, risky_countries
     What is usual for a user comes from the user's earlier transactions, or from a table of profiles where one is given. That
     join is the last shuffle, where adaptive execution can split a skewed user.
     """
-    recent = micros("300 seconds")
     known = earlier_profiles(tx, categories)
     if profiles is not None:
         known = known.drop("averageAmount", "homeCountry", "usualCategory").join(profiles, "userId", "left").withColumn(
             "usualCategory", F.array_contains("preferredCategories", F.col("merchantCategory")))
+    return scored(known, risky_countries).select(*tx.columns, "priorFrauds", "score", "decision")
+
+
+def scored(known: DataFrame, risky_countries: list[str] | None = None) -> DataFrame:
+    """Score and decision beside the columns of ``earlier_profiles``."""
+    recent = micros("300 seconds")
     risky = F.col("country").isin(risky_countries or fixed.HIGH_RISK_COUNTRIES)
-    method = F.col("paymentMethod") == "magnetic_stripe" if "paymentMethod" in tx.columns else F.lit(False)
+    method = F.col("paymentMethod") == "magnetic_stripe" if "paymentMethod" in known.columns else F.lit(False)
     weights = fixed.RISK_WEIGHTS
     score = (
         F.when(F.col("amount") > F.col("averageAmount") * weights["amount_factor"], weights["amount"]).otherwise(0.0)
@@ -149,5 +154,4 @@ def risk_score(tx: DataFrame, profiles: DataFrame | None = None, risky_countries
     )
     score = F.round(F.least(score, F.lit(1.0)), 3)
     return (known.withColumn("score", score)
-            .withColumn("decision", scoring.review_status(F.col("isFraud"), F.col("score")))
-            .select(*tx.columns, "priorFrauds", "score", "decision"))
+            .withColumn("decision", scoring.review_status(F.col("isFraud"), F.col("score"))))

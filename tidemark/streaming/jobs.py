@@ -28,8 +28,9 @@ def user_events(messages: DataFrame, delay: str = "10 seconds") -> Streams:
 
 
 def transactions(messages: DataFrame, delay: str = "20 seconds", **limits) -> Streams:
-    """Fraud alerts."""
-    return {"fraud_alerts": O.fraud_alerts(parse.parse_transactions(_values(messages)), delay=delay, **limits)}
+    """Fraud alerts, and the risk score of every transaction."""
+    tx = parse.parse_transactions(_values(messages))
+    return {"fraud_alerts": O.fraud_alerts(tx, delay=delay, **limits), "risk_scores": O.risk_score(tx, delay=delay)}
 
 
 def sensors(messages: DataFrame, delay: str = "10 seconds", **limits) -> Streams:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import is_off_hours, micros
 from tidemark.operators import alerts as A
-from tidemark.operators.enrich import threshold_violations
+from tidemark.operators.enrich import scored, threshold_violations
 from tidemark.operators.patterns import Stage, card_testing_stages, structuring_stages, velocity_stages
 from tidemark.streaming import rules as R
 from tidemark.streaming.ordered import in_order
@@ -131,9 +131,12 @@ def _back(c: str, kind: str) -> Column:
     return F.timestamp_micros(c) if kind == "timestamp" else F.col(c)
 
 
-def risk_history(tx: DataFrame, **options: str) -> DataFrame:
-    """What the risk score needs of the past; join the static profiles to it for the score."""
-    return _times(in_order(tx, "userId", R.History(), "transactionId", **options), p="ts")
+def risk_score(tx: DataFrame, risky_countries: list[str] | None = None, categories: int = 3, **options: str) -> DataFrame:
+    """Score and decision of every transaction from what its user did before, as of a table."""
+    if "paymentMethod" not in tx.columns:
+        tx = tx.withColumn("paymentMethod", F.lit(None).cast("string"))
+    known = _times(in_order(tx, "userId", R.Profile(categories), "transactionId", **options), p="ts")
+    return scored(known, risky_countries).drop("elapsed", "averageAmount", "homeCountry", "usualCategory")
 
 
 def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n: int = 5, high: float = 1000,

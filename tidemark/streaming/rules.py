@@ -197,46 +197,70 @@ class CountryChange(Rule):
 
 
 class Sequence(Rule):
-    """Open matches of a key, each waiting for the rest of its stage; the oldest falls out after ``within``."""
+    """Open matches of a key, a queue for each stage; the oldest falls out after ``within``.
+
+    A row that meets a stage moves every match that waits there by one, so nothing is told to the matches themselves: the stage
+    counts its rows and adds up their amounts, and a match keeps what both were when it came. Those that came first have
+    their rows first and are the oldest, so only the heads of the queues are looked at, however many matches are open.
+    """
 
     columns = ["flags", "amount"]
-    memory = "open ARRAY<STRUCT<p: BIGINT, id: STRING, stage: INT, left: INT, totals: ARRAY<DOUBLE>>>"
+    memory = ("queues ARRAY<ARRAY<STRUCT<p: BIGINT, id: STRING, rows: BIGINT, amount: DOUBLE, rest: DOUBLE, totals: ARRAY<DOUBLE>>>>, "
+              "rows ARRAY<BIGINT>, amounts ARRAY<DOUBLE>, rests ARRAY<DOUBLE>")
     output = "startId STRING, startP BIGINT, endId STRING, endP BIGINT, totals ARRAY<DOUBLE>"
 
     def __init__(self, times: list[int], within: int):
         self.times, self.within = times, within
 
-    def _advance(self, match, amount):
-        start, ident, stage, left, totals = match
-        totals = list(totals)
-        totals[stage] += amount
-        if left > 1:
-            return start, ident, stage, left - 1, totals
-        stage += 1
-        return start, ident, stage, self.times[stage] if stage < len(self.times) else 0, totals
+    def _open(self, memory):
+        """Queues and running numbers that may be changed; those of the state are lists."""
+        n = len(self.times)
+        if memory is None:
+            return [deque() for _ in range(n)], [0] * n, [0.0] * n, [0.0] * n
+        queues, *running = memory
+        if queues and not isinstance(queues[0], deque):
+            queues = [deque(tuple(m) for m in q) for q in queues]
+        return (queues, *running)
+
+    @staticmethod
+    def _forget(queues, until):
+        for queue in queues:
+            while queue and queue[0][0] <= until:
+                queue.popleft()
 
     def step(self, memory, row):
         at, ident, flags, amount = row
-        still, out = [], []
-        matches = [tuple(m) for m in memory[0]] if memory else []
-        begun = [(at, ident, 0, self.times[0], [0.0] * len(self.times))] if flags[0] else []
-        for match in matches + begun:
-            if at - match[0] >= self.within:
-                continue
-            if flags[match[2]]:
-                match = self._advance(match, amount)
-            if match[2] == len(self.times):
-                out.append((match[1], match[0], ident, at, match[4]))
-            else:
-                still.append(match)
-        return ((still,) if still else None), out
+        queues, rows, amounts, rests = self._open(memory)
+        self._forget(queues, at - self.within)
+        if flags[0]:
+            queues[0].append((at, ident, rows[0], amounts[0], rests[0], []))
+        for stage, met in enumerate(flags):
+            if met:
+                rows[stage] += 1
+                # The part of the amount that the sum cannot hold is added up beside it, so differences lose nothing.
+                have, more = amounts[stage], amount or 0.0
+                both = have + more
+                kept = both - have
+                amounts[stage] = both
+                rests[stage] += (have - (both - kept)) + (more - kept)
+        out = []
+        for stage in reversed(range(len(self.times))):  # a row moves a match by one stage at most
+            while queues[stage] and rows[stage] >= queues[stage][0][2] + self.times[stage]:
+                start, name, _, had, beside, totals = queues[stage].popleft()
+                totals = [*totals, (amounts[stage] - had) + (rests[stage] - beside)]
+                if stage + 1 < len(self.times):
+                    queues[stage + 1].append((start, name, rows[stage + 1], amounts[stage + 1], rests[stage + 1], totals))
+                else:
+                    out.append((name, start, ident, at, totals))
+        return ((queues, rows, amounts, rests) if any(queues) else None), out
 
     def wake(self, memory):
-        return min(m[0] for m in memory[0]) + self.within if memory else None
+        return min(q[0][0] for q in memory[0] if q) + self.within if memory else None
 
     def idle(self, memory, now):
-        still = [tuple(m) for m in memory[0] if m[0] + self.within > now]
-        return ((still,) if still else None), []
+        queues, *running = self._open(memory)
+        self._forget(queues, now - self.within)
+        return ((queues, *running) if any(queues) else None), []
 
 
 class AsOf(Rule):
@@ -303,14 +327,27 @@ class Together(Rule):
         return self._merge(each)
 
 
-class History(Rule):
-    """Time since the previous transaction and the number of earlier frauds, for the risk score."""
+class Profile(Rule):
+    """What was known of a user before each transaction, for the risk score. Memory has an entry for each category of the user."""
+
+    columns = ["amount", "country", "merchantCategory", "isFraud", "paymentMethod"]
+    memory = "p BIGINT, frauds BIGINT, paid DOUBLE, priced BIGINT, home STRING, counts MAP<STRING, BIGINT>"
+    output = ("transactionId STRING, p BIGINT, amount DOUBLE, country STRING, merchantCategory STRING, isFraud BOOLEAN, "
+              "paymentMethod STRING, elapsed BIGINT, averageAmount DOUBLE, homeCountry STRING, usualCategory BOOLEAN, priorFrauds BIGINT")
 
-    columns = ["isFraud"]
-    memory = "p BIGINT, frauds BIGINT"
-    output = "transactionId STRING, p BIGINT, elapsed BIGINT, priorFrauds BIGINT"
+    def __init__(self, categories: int = 3):
+        self.categories = categories
 
     def step(self, memory, row):
-        at, ident, fraud = row
-        last, frauds = memory or (None, 0)
-        return (at, frauds + bool(fraud)), [(ident, at, None if last is None else at - last, frauds)]
+        at, ident, amount, country, category, fraud, method = row
+        first = memory is None
+        last, frauds, paid, priced, home, counts = memory or (None, 0, 0.0, 0, country, {})
+        usual = None
+        if category is not None:
+            have = counts.get(category, 0)
+            usual = None if first else have > 0 and sum(n > have for n in counts.values()) < self.categories
+            counts[category] = have + 1
+        made = (ident, at, amount, country, category, fraud, method, None if first else at - last,
+                paid / priced if priced else None, None if first else home, usual, frauds)
+        known = (at, frauds + bool(fraud), paid + (amount or 0.0), priced + (amount is not None), home, counts)
+        return known, [made]
