@@ -83,3 +83,18 @@ FROM (SELECT status, CAST(floor(amount) AS BIGINT) AS l FROM transactions) GROUP
 def m5_latency(spark, folder):
     rows = transactions(spark, folder).select("status", F.floor("amount").alias("latency"))
     return M.latency_histogram(rows, "status", "latency")
+
+
+@query("m5_latency_sketches", """
+SELECT status, count(*) AS processed, true AS "p50Holds", true AS "p95Holds", true AS "p99Holds" FROM transactions GROUP BY status
+""")
+def m5_latency_sketches(spark, folder):
+    """Daily sketches merged, and whether the exact rank of each quantile keeps to three times the stated error."""
+    rows = transactions(spark, folder).select("status", "ts", "amount")
+    found = M.merged_latency(M.latency_sketches(rows, "status", "amount", "ts", "1 day"), ["status"])
+    shares, slack = {"p50": 0.5, "p95": 0.95, "p99": 0.99}, 3 * M.rank_error(800)
+    ranked = rows.join(found, "status").groupBy("status", "processed").agg(*[
+        F.avg((F.col("amount") < F.col(p)).cast("int")).alias(f"{p}_below") for p in shares], *[
+        F.avg((F.col("amount") <= F.col(p)).cast("int")).alias(f"{p}_upto") for p in shares])
+    return ranked.select("status", "processed", *[
+        ((F.col(f"{p}_below") <= q + slack) & (F.col(f"{p}_upto") >= q - slack)).alias(f"{p}Holds") for p, q in shares.items()])
