@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.times import is_off_hours, micros
 from tidemark.operators import alerts as A
@@ -11,6 +12,7 @@ from tidemark.operators.enrich import scored, threshold_violations
 from tidemark.operators.patterns import Stage, card_testing_stages, structuring_stages, velocity_stages
 from tidemark.streaming import rules as R
 from tidemark.streaming.ordered import in_order
+from tidemark.streaming.profiles import Profiles
 
 
 def _times(df: DataFrame, **names: str) -> DataFrame:
@@ -131,6 +133,28 @@ def _back(c: str, kind: str) -> Column:
     return F.timestamp_micros(c) if kind == "timestamp" else F.col(c)
 
 
+def profile_lookup(df: DataFrame, profiles: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Every row with its key's profile, as ``joins.lookup`` gives it, and ``profileKnown``: false for the row at which a profile was
+    created from ``defaults``.
+
+    ``profiles`` is read once, when the stream starts without a checkpoint, and lies in the state by key; nothing is
+    broadcast, and a restart finds created profiles again. Of several profiles of one key the least counts. Rows without a
+    key have the profile of that key, if any. All rows of a key pass through one task, one trigger's rows at a time.
+    """
+    known = [c for c in profiles.columns if c != key]
+    kinds = {c: k for c, k in df.dtypes if c != key}
+    mine = dict(_numbers(profiles.select(*known)).dtypes)
+    first = _numbers(profiles).groupBy(key).agg(F.min(F.struct(*known)).alias("_p")).select(key, *[F.col("_p")[c].alias(c) for c in known])
+    work = _numbers(df.select(key, *kinds))
+    rows = ", ".join(f"`{c}` {k}" for c, k in work.dtypes)
+    own = ", ".join(f"`{c}` {k}" for c, k in mine.items())
+    output = T.StructType.fromDDL(f"{rows}, {own}, profileKnown BOOLEAN")
+    processor = Profiles(list(kinds), known, defaults, own, output.names)
+    out = work.groupBy(key).transformWithState(processor, output, "Append", "None", initialState=first.groupBy(key))
+    back = {**kinds, **{c: k for c, k in profiles.dtypes if c != key}}
+    return out.select(key, *[_back(c, k).alias(c) for c, k in back.items()], "profileKnown")
+
+
 def risk_score(tx: DataFrame, risky_countries: list[str] | None = None, categories: int = 3, **options: str) -> DataFrame:
     """Score and decision of every transaction from what its user did before, as of a table."""
     if "paymentMethod" not in tx.columns:
