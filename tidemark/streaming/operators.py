@@ -55,8 +55,11 @@ def rate_limit(tx: DataFrame, per: str = "1 minute", n: int = 100, **options: st
     return _times(in_order(tx, "userId", R.RateLimit(micros(per), n), "transactionId", **options), p="ts")
 
 
-def running_stats(events: DataFrame, action: str = "action", forget: str | None = "24 hours", **options: str) -> DataFrame:
-    return _times(in_order(events, "userId", R.RunningStats(), "eventId", forget=forget, action=F.col(action), **options), p="ts")
+def running_stats(events: DataFrame, action: str = "action", forget: str | None = "24 hours", live: str | None = None,
+                  **options: str) -> DataFrame:
+    """``live``: how long an action's count outlives its last event; the table form keeps all, as None does."""
+    rule = R.RunningStats(micros(live) if live else None)
+    return _times(in_order(events, "userId", rule, "eventId", forget=forget, action=F.col(action), **options), p="ts")
 
 
 def count_batches(readings: DataFrame, size: int = 100, timeout: str | None = None, **options: str) -> DataFrame:

@@ -142,17 +142,45 @@ class RateLimit(Rule):
 
 
 class RunningStats(Rule):
+    """Counts lie in a map of the state, one entry per action, so a row reads and writes its own action's only.
+
+    ``live``: an action not seen for so long (event time) starts again from 1; its entry is taken away at the next sweep,
+    of which there is one in that time while the key has entries. ``live`` None keeps counts as long as the key is known.
+    """
+
     columns = ["action"]
-    memory = "last BIGINT, counts MAP<STRING, BIGINT>"
+    memory = "last BIGINT, sweep BIGINT"
+    entries = ("STRING", "n BIGINT, seen BIGINT")
     output = "eventId BIGINT, p BIGINT, action STRING, lastProcessingInterval BIGINT, eventTypeCount BIGINT"
 
+    def __init__(self, live: int | None = None):
+        self.live = live
+
+    def _over(self, seen: int, now: int) -> bool:
+        return self.live is not None and now - seen >= self.live
+
     def step(self, memory, row):
         at, ident, action = row
         action = action or "unknown"
-        counts = dict(memory[1]) if memory else {}
-        counts[action] = counts.get(action, 0) + 1
-        since = at // 1000 - memory[0] // 1000 if memory else 0
-        return (at, counts), [(ident, at, action, since, counts[action])]
+        have = self.kept.get(action)
+        n = 1 if have is None or self._over(have[1], at) else have[0] + 1
+        self.kept.put(action, (n, at))
+        last, sweep = memory or (None, None)
+        if sweep is None and self.live is not None:
+            sweep = at + self.live
+        return (at, sweep), [(ident, at, action, 0 if last is None else at // 1000 - last // 1000, n)]
+
+    def wake(self, memory):
+        return memory[1] if memory else None
+
+    def idle(self, memory, now):
+        seen = []
+        for action, (_, at) in self.kept.items():
+            if self._over(at, now):
+                self.kept.put(action, None)
+            else:
+                seen.append(at)
+        return (memory[0], min(seen) + self.live if seen else None), []
 
 
 class CountBatches(Rule):
