@@ -140,8 +140,10 @@ def test_alerts_together(feed, drain):
     same(drain(O.fraud_alerts(live, **LIMITS, **DELAY)), alerts.fraud_alerts(still, **LIMITS),
          "alertId", "ts", "alertType", "userId", "transactionId", "title", "description", "severity", "status", "source")
     live, still = adapters.sensors_of(stream()), adapters.sensors_of(table)
-    want = alerts.anomaly_alerts(still, max_dt="2 hours", timeout="8 hours").where("alertType <> 'CORRELATION_ANOMALY'")
-    same(drain(O.anomaly_alerts(live, max_dt="2 hours", timeout="8 hours", **DELAY)), want, "alertId", "ts", "alertType", "sensorId",
+    limits = {"max_dt": "2 hours", "timeout": "8 hours", "deviation_window": "1 day"}
+    want, got = alerts.anomaly_alerts(still, **limits), drain(O.anomaly_alerts(live, **limits, **DELAY))
+    assert got.where("alertType = 'CORRELATION_ANOMALY'").count() > 0
+    same(got, want, "alertId", "ts", "alertType", "sensorId",
          "deviceType", "location", "value", "unit", "readingTimestamp", "title", "description", F.round("severity", 6), "status", "source")
 
 
@@ -154,6 +156,25 @@ def test_asof(feed, drain):
     same(drain(live), want, "transactionId", "ts", "amount", "e.eventId", "e.ts")
 
 
+def test_asof_no_older_than(feed, drain):
+    table, stream = feed
+    options = {"tolerance": "3 days", "how": "left"}
+    live = O.asof_join(adapters.transactions_of(stream()), adapters.user_events_of(stream()).where("eventType = 'signup'"),
+                       "userId", "e", "eventId", **options, **DELAY)
+    want = joins.asof_join(adapters.transactions_of(table), adapters.user_events_of(table).where("eventType = 'signup'"),
+                           "userId", "e", "eventId", **options)
+    assert 0 < want.where("e IS NULL").count() < want.count()
+    same(drain(live), want, "transactionId", "ts", "e.eventId", "e.ts")
+
+
+def test_topic_totals(feed, drain):
+    table, stream = feed
+    live = adapters.user_events_of(stream()).withColumnRenamed("eventType", "topic").withWatermark("ts", "12 hours")
+    want = windows.topic_stats(adapters.user_events_of(table).withColumnRenamed("eventType", "topic"), "6 hours")
+    same(drain(windows.topic_stats(live, "6 hours")), want, "topic", "window_start", "window_end", "messages", "totalMessages",
+         "messagesPerSecond")
+
+
 def test_risk_score(feed, drain):
     table, stream = feed
     want = enrich.risk_score(adapters.transactions_of(table))

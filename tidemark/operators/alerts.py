@@ -97,12 +97,15 @@ def off_hours_alert() -> Column:
 
 
 def sensor_alert(kind: str, severity: Column, *said: Column | float, at: Column | None = None, row: str = "") -> Column:
-    """An alert about a reading, whose columns lie at ``row``; an offline sensor has no reading to tell of."""
+    """An alert about a reading, whose columns lie at ``row``; an offline sensor has no reading to tell of.
+
+    The alert's id is made of sensor and reading, so that two readings of one sensor in one millisecond have alerts of their own."""
 
     def field(name: str, otherwise: Column) -> Column:
         return otherwise if kind == "SENSOR_OFFLINE" else F.col(f"{row}{name}")
 
-    return alert(kind, "anomaly", F.col("sensorId"), F.col(f"{row}ts") if at is None else at, describe(kind, *said), severity,
+    about = F.concat_ws("|", F.col("sensorId"), field("readingId", F.lit(None)).cast("string"))
+    return alert(kind, "anomaly", about, F.col(f"{row}ts") if at is None else at, describe(kind, *said), severity,
                  sensorId=F.col("sensorId"), deviceType=field("sensorType", F.lit("UNKNOWN")),
                  location=field("location", F.lit("UNKNOWN")), value=field("value", F.lit(0.0)),
                  unit=field("unit", F.lit(None).cast("string")), readingTimestamp=field("ts", F.lit(None).cast("timestamp")))

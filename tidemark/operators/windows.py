@@ -170,10 +170,16 @@ def deviation_candidates(sensors: DataFrame, size: str = "1 minute", sensor_type
 
 
 def topic_stats(messages: DataFrame, size: str = "10 seconds", ts: str = "ts") -> DataFrame:
-    """Messages per topic and window with the window's total and rate (one decimal)."""
+    """Messages per topic and window with the window's total and rate (one decimal).
+
+    A stream sums its counts up in a second aggregation, which holds one entry per topic, and so runs in append mode."""
     by_topic = (messages.groupBy(F.window(ts, size), "topic").agg(F.count(F.lit(1)).alias("messages")))
     if messages.isStreaming:
-        return by_topic.select("topic", "messages", *_bounds())
+        whole = (by_topic.groupBy(F.window("window", size)).agg(
+            F.sum("messages").alias("totalMessages"), F.collect_list(F.struct("topic", "messages")).alias("_topics"))
+            .select("*", F.inline("_topics")))
+        return whole.select("topic", "messages", *_bounds(), "totalMessages",
+                            F.round(F.col("totalMessages") / seconds(size), 1).alias("messagesPerSecond"))
     total = F.sum("messages").over(Window.partitionBy("window"))
     return by_topic.select(
         "topic", "messages", *_bounds(), total.alias("totalMessages"),

@@ -63,7 +63,8 @@ def _anomaly(kind, severity, source, *said, real=True):
     details = (f'''"sensorId", "sensorType" AS "deviceType", location, value, {_UNIT} AS unit, ts AS "readingTimestamp"''' if real else
                """"sensorId", 'UNKNOWN' AS "deviceType", 'UNKNOWN' AS location, CAST(0 AS DOUBLE) AS value,
                CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS TIMESTAMP) AS "readingTimestamp" """)
-    head = _alert(kind, "anomaly", '"sensorId"', "ts", _say(kind, *said), severity, details)
+    about = """"sensorId" || '|' || CAST("readingId" AS VARCHAR)""" if real else '"sensorId"'
+    head = _alert(kind, "anomaly", about, "ts", _say(kind, *said), severity, details)
     return f"{head} FROM ({ORACLES[source]})"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.times import is_off_hours, micros
 from tidemark.operators import alerts as A
+from tidemark.operators import windows as W
 from tidemark.operators.enrich import scored, threshold_violations
 from tidemark.operators.patterns import Stage, card_testing_stages, structuring_stages, velocity_stages
 from tidemark.streaming import rules as R
@@ -98,8 +99,9 @@ def country_change(tx: DataFrame, within: str = "5 minutes", success: tuple[str,
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, name: str, right_id: str, ts: str = "ts",
-              how: str = "inner", **options: str) -> DataFrame:
-    """Each left row with the latest right row of its key, as struct ``name``; both streams share one watermark."""
+              tolerance: str | None = None, how: str = "inner", **options: str) -> DataFrame:
+    """Each left row with the latest right row of its key, no older than ``tolerance``, as struct ``name``; both streams
+    share one watermark."""
     left_kinds, right_kinds = dict(left.dtypes), dict(right.dtypes)
     lefts, rights = _numbers(left), _numbers(right)
     no_id = F.lit(None).cast(right.schema[right_id].dataType)
@@ -113,7 +115,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, name: str, right_id:
 
     both = side(left, 1, no_id, (_number_row(left), no_right)).unionByName(
         side(right, 0, F.col(right_id), (no_left, _number_row(right))))
-    rule = R.AsOf(lefts.schema.simpleString(), rights.schema.simpleString(), how == "inner")
+    rule = R.AsOf(lefts.schema.simpleString(), rights.schema.simpleString(), how == "inner", micros(tolerance) if tolerance else None)
     out = in_order(both, "_key", rule, "_side", ts="_ts", **options)
     hit = F.when(F.col("hit").isNotNull(), F.struct(*[_back(f"hit.{c}", k).alias(c) for c, k in right_kinds.items()]))
     return out.select(*[_back(f"leftRow.{c}", k).alias(c) for c, k in left_kinds.items()], hit.alias(name))
@@ -202,15 +204,18 @@ def fraud_alerts(tx: DataFrame, velocity_within: str = "2 minutes", velocity_n:
 
 
 def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float = 2.5, max_dt: str = "300 seconds",
-                   rel: float = 0.5, timeout: str = "5 minutes", **options: str) -> DataFrame:
-    """The alert rows of the detectors per sensor, as of a table; they share one state per sensor. Deviations within a
-    location are a plain windowed aggregation (``windows.deviation_candidates``)."""
+                   rel: float = 0.5, timeout: str = "5 minutes", deviation_window: str = "1 minute",
+                   deviation: float = 5.0, delay: str = "10 seconds", **options: str) -> DataFrame:
+    """The alert rows of all detectors, as of a table. Those per sensor share one state per sensor; deviations within a
+    location are a windowed aggregation beside them, and limits need no state."""
     parts = [(R.ZScore(n, min_n, z), ["value"]), (R.RapidChange(micros(max_dt), rel), ["value"]),
              (R.DataGaps(micros(timeout)), []), (R.Offline(micros(timeout)), [])]
-    readings = A.with_unit(readings).withColumn("rowTs", F.col("ts"))
-    carry = {"sensorType": "string", "location": "string", "value": "double", "unit": "string", "rowTs": "timestamp"}
+    readings = A.with_unit(readings)
+    apart = W.deviation_candidates(readings.withWatermark("ts", delay), deviation_window, limit=deviation)
+    readings = readings.withColumn("rowTs", F.col("ts"))
+    carry = {"readingId": dict(readings.dtypes)["readingId"], "sensorType": "string", "location": "string", "value": "double", "unit": "string", "rowTs": "timestamp"}
     found = in_order(readings, "sensorId", R.Together(parts, carry), "readingId",
-                     use=F.array(*[F.lit(True)] * len(parts)), **options)
+                     delay=delay, use=F.array(*[F.lit(True)] * len(parts)), **options)
     found = found.withColumn("row", F.struct("row.*", F.col("row.rowTs").alias("ts")))
 
     def hit(i: int, kind: str, severity: Column, *said: Column | float) -> Column:
@@ -226,4 +231,6 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
         hit(3, "SENSOR_OFFLINE", F.lit(0.8), micros(timeout) / 60_000_000.0))
     outside = threshold_violations(readings).select(A.sensor_alert(
         "THRESHOLD_VIOLATION", F.col("severity"), F.col("sensorType"), F.col("value"), F.coalesce("unit", F.lit(""))).alias("a"))
-    return found.select(made.alias("a")).select("a.*").unionByName(outside.select("a.*"))
+    crossed = apart.select(A.sensor_alert(
+        "CORRELATION_ANOMALY", F.col("severity"), F.col("value"), F.col("deviation"), F.col("mean")).alias("a"))
+    return (found.select(made.alias("a")).select("a.*").unionByName(outside.select("a.*")).unionByName(crossed.select("a.*")))

@@ -292,22 +292,22 @@ class Sequence(Rule):
 
 
 class AsOf(Rule):
-    """Rows of two sides: 0 is remembered, 1 is given out with what is remembered."""
+    """Rows of two sides: 0 is remembered, 1 is given out with what is remembered unless that is older than ``tolerance``."""
 
     columns = ["payload"]
 
-    def __init__(self, left: str, right: str, inner: bool = True):
-        self.inner = inner
-        self.memory = f"hit {right}"
+    def __init__(self, left: str, right: str, inner: bool = True, tolerance: int | None = None):
+        self.inner, self.tolerance = inner, tolerance
+        self.memory = f"hit {right}, p BIGINT"
         self.output = f"leftRow {left}, hit {right}"
 
     def step(self, memory, row):
-        _, (side, _), (left, right) = row
+        at, (side, _), (left, right) = row
         if side == 0:
-            return (tuple(right),), []
-        if memory is None:
+            return (tuple(right), at), []
+        if memory is None or (self.tolerance is not None and at - memory[1] > self.tolerance):
             return memory, [] if self.inner else [(tuple(left), None)]
-        return tuple(memory), [(tuple(left), tuple(memory[0]))]
+        return memory, [(tuple(left), tuple(memory[0]))]
 
 
 class Together(Rule):
