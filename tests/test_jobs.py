@@ -61,7 +61,9 @@ def test_stream_patterns(spark, feed, tmp_path):
         return drained(spark, tmp_path, streams[name], f"sp_{name}")
 
     enriched = joins.asof_join(tx, events, "userId", "event", "messageId")
-    assert rows(enriched, "transactionId", "event.messageId") == rows(got("enriched_transactions"), "transactionId", "event.messageId") != []
+    names = ("transactionId", "event.messageId", "metadata", "event.ts", "event.additionalData")
+    assert rows(enriched, *names) == rows(got("enriched_transactions"), *names) != []
+    assert enriched.where("size(event.additionalData) > 0").count() > 0
     placed = joins.asof_join(tx.where("location IS NOT NULL"), readings, "location", "reading", "messageId")
     names = ("transactionId", "location", "reading.messageId", "reading.value")
     assert rows(placed, *names) == rows(got("located_transactions"), *names) != []

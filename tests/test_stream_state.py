@@ -2,6 +2,7 @@
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from builders import EVENT, at
 from tidemark.operators import keyed
@@ -9,6 +10,9 @@ from tidemark.streaming import operators as O
 from tidemark.streaming.ordered import InOrder, Rule
 
 
+PLACE = T.StructType([T.StructField("_p", T.LongType()), T.StructField("_id", T.LongType())])
+
+
 class Shelf:
     """A state of one key, held in a dict; counts the rows that are read."""
 
@@ -67,7 +71,7 @@ class Echo(Rule):
 
 def waiting(width):
     handle = Handle()
-    processor = InOrder(Echo(), "struct<_p: bigint, _id: bigint>", ["_p", "_id"], ["key", "_p", "_id"], None, width)
+    processor = InOrder(Echo(), PLACE, ["key", "_p", "_id"], None, width)
     processor.init(handle)
     return handle, processor, handle.shelves["waiting"]
 

@@ -14,6 +14,7 @@ from tidemark.operators.patterns import Stage, card_testing_stages, structuring_
 from tidemark.streaming import rules as R
 from tidemark.streaming.ordered import in_order
 from tidemark.streaming.profiles import Profiles
+from tidemark.streaming.slices import FullBatches, in_slices
 
 
 def _times(df: DataFrame, **names: str) -> DataFrame:
@@ -63,7 +64,17 @@ def running_stats(events: DataFrame, action: str = "action", forget: str | None
     return _times(in_order(events, "userId", rule, "eventId", forget=forget, action=F.col(action), **options), p="ts")
 
 
-def count_batches(readings: DataFrame, size: int = 100, timeout: str | None = None, **options: str) -> DataFrame:
+def count_batches(readings: DataFrame, size: int = 100, timeout: str | None = None, width: str | None = None,
+                  **options: str) -> DataFrame:
+    """Batches of ``size`` readings per type. With ``width`` a type's readings are spread over tasks by slices of time, whose
+    counts number them on, and a batch is put together from the slices it reaches over; a last batch that is not full waits."""
+    if width is not None:
+        if timeout is not None:
+            raise ValueError("batches of spread keys have no timeout")
+        numbered = in_slices(readings, "sensorType", R.Numbered(size), R.Counted(), F.count(F.lit(1)), "readingId", width, **options)
+        kind = dict(numbered.dtypes)["sensorType"]
+        output = T.StructType.fromDDL(f"sensorType {kind}, {R.CountBatches.output}")
+        return numbered.groupBy("sensorType", "batch").transformWithState(FullBatches(size, output.names), output, "Append", "None")
     rule = R.CountBatches(size, micros(timeout) if timeout else None)
     return in_order(readings, "sensorType", rule, "readingId", **options)
 
@@ -99,9 +110,9 @@ def country_change(tx: DataFrame, within: str = "5 minutes", success: tuple[str,
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, name: str, right_id: str, ts: str = "ts",
-              tolerance: str | None = None, how: str = "inner", **options: str) -> DataFrame:
+              tolerance: str | None = None, how: str = "inner", width: str | None = None, **options: str) -> DataFrame:
     """Each left row with the latest right row of its key, no older than ``tolerance``, as struct ``name``; both streams
-    share one watermark."""
+    share one watermark. With ``width`` a key's rows are spread over tasks by slices of time, for keys that are few."""
     left_kinds, right_kinds = dict(left.dtypes), dict(right.dtypes)
     lefts, rights = _numbers(left), _numbers(right)
     no_id = F.lit(None).cast(right.schema[right_id].dataType)
@@ -116,7 +127,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, name: str, right_id:
     both = side(left, 1, no_id, (_number_row(left), no_right)).unionByName(
         side(right, 0, F.col(right_id), (no_left, _number_row(right))))
     rule = R.AsOf(lefts.schema.simpleString(), rights.schema.simpleString(), how == "inner", micros(tolerance) if tolerance else None)
-    out = in_order(both, "_key", rule, "_side", ts="_ts", **options)
+    if width is None:
+        out = in_order(both, "_key", rule, "_side", ts="_ts", **options)
+    else:
+        is_right = F.col("_id.side") == 0
+        latest = F.max_by(F.when(is_right, F.struct(F.col("payload.rightRow").alias("hit"), F.col("_p").alias("p"))),
+                          F.when(is_right, F.struct("_p", "_id.id")))
+        out = in_slices(both.withColumnRenamed("_key", "of"), "of", rule, R.LatestHit(), latest, "_side", width, ts="_ts", **options)
     hit = F.when(F.col("hit").isNotNull(), F.struct(*[_back(f"hit.{c}", k).alias(c) for c, k in right_kinds.items()]))
     return out.select(*[_back(f"leftRow.{c}", k).alias(c) for c, k in left_kinds.items()], hit.alias(name))
 

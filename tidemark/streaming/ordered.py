@@ -88,6 +88,17 @@ def _plain(value):
     return [_plain(v) for v in value] if isinstance(value, (list, deque)) else value
 
 
+def shaped(value, kind: T.DataType):
+    """A value as Arrow hands it over (structs as dicts, maps as pairs) in the form the state takes: tuples and dicts."""
+    if value is None or not isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return value
+    if isinstance(kind, T.StructType):
+        return tuple(shaped(value[f.name], f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return [shaped(v, kind.elementType) for v in value]
+    return {k: shaped(v, kind.valueType) for k, v in (value.items() if isinstance(value, dict) else value)}
+
+
 def _place(row: tuple) -> tuple:
     """Time, then id; rows without an id come first."""
     return row[0], row[1] is not None, row[1] if row[1] is not None else ""
@@ -96,13 +107,13 @@ def _place(row: tuple) -> tuple:
 class InOrder(StatefulProcessor):
     """``width``: microseconds of a bucket of waiting rows."""
 
-    def __init__(self, rule: Rule, row_type: str, names: list[str], output_names: list[str], forget: int | None, width: int):
-        self.rule, self.row_type, self.names = rule, row_type, names
+    def __init__(self, rule: Rule, row: T.StructType, output_names: list[str], forget: int | None, width: int):
+        self.rule, self.row = rule, row
         self.output_names, self.forget, self.width = output_names, forget, width
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket BIGINT, part INT", f"rows ARRAY<{self.row_type}>")
+        self.waiting = handle.getMapState("waiting", "bucket BIGINT, part INT", f"rows ARRAY<{self.row.simpleString()}>")
         self.memory = handle.getValueState("memory", self.rule.memory)
         self.clock = handle.getValueState(
             "clock", "timer BIGINT, last BIGINT, buckets ARRAY<STRUCT<bucket: BIGINT, parts: INT, first: BIGINT>>")
@@ -132,7 +143,7 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         came: dict[int, list[tuple]] = {}
         for row in rows:
-            value = tuple(_plain(row[n]) for n in self.names)
+            value = shaped(row, self.row)
             came.setdefault(value[0] // self.width, []).append(value)
         if came:
             timer, last, buckets = self._clock()
@@ -206,9 +217,8 @@ def in_order(df: DataFrame, key: str, rule: Rule, tiebreak: Column | str, ts: st
     work = marked.select(F.col(key), F.col(ts), F.unix_micros(ts).alias("_p"), tie.alias("_id"),
                          *[(computed[c] if c in computed else F.col(c)).alias(c) for c in rule.columns])
     names = ["_p", "_id", *rule.columns]
-    types = {f.name: f.dataType.simpleString() for f in work.schema.fields}
-    row_type = f"struct<{', '.join(f'{n}: {types[n]}' for n in names)}>"
-    output = T.StructType.fromDDL(f"{key} {types[key]}, {rule.output}")
-    processor = InOrder(rule, row_type, names, output.names, micros(forget) if forget else None,
+    row = work.select(*names).schema
+    output = T.StructType.fromDDL(f"{key} {work.schema[key].dataType.simpleString()}, {rule.output}")
+    processor = InOrder(rule, row, output.names, micros(forget) if forget else None,
                         max(1, micros(delay) // BUCKETS))
     return work.groupBy(key).transformWithState(processor, output, "Append", "EventTime")

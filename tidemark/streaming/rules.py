@@ -9,6 +9,7 @@ import math
 from pyspark.sql import types as T
 
 from tidemark.streaming.ordered import Rule
+from tidemark.streaming.slices import Fold
 
 
 class Sessions(Rule):
@@ -210,6 +211,27 @@ class CountBatches(Rule):
         return self._flush(memory)
 
 
+class Numbered(Rule):
+    """Rows in batches of ``size``, numbered on from what came before."""
+
+    columns = ["value"]
+    memory = "n BIGINT"
+    output = "batch BIGINT, readingId BIGINT, p BIGINT, value DOUBLE"
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def step(self, memory, row):
+        at, ident, value = row
+        n = memory[0] if memory else 0
+        return (n + 1,), [(n // self.size, ident, at, value)]
+
+
+class Counted(Fold):
+    def add(self, carried, summary):
+        return ((carried[0] if carried else 0) + summary[0],)
+
+
 class CountryChange(Rule):
     columns = ["country"]
     memory = "p BIGINT, transactionId STRING, country STRING"
@@ -310,6 +332,13 @@ class AsOf(Rule):
         return memory, [(tuple(left), tuple(memory[0]))]
 
 
+class LatestHit(Fold):
+    """The latest right row of a slice, where it has one; ``AsOf`` starts from it."""
+
+    def add(self, carried, summary):
+        return carried if summary[0] is None else summary[0]
+
+
 class Together(Rule):
     """Several rules over one buffer. ``use`` says per row which of them see it; outputs come as one struct each.
 
