@@ -6,6 +6,9 @@ another one wrote. A stream's writer is its query id, which lives in its checkpo
 a new writer and counts its batches from 0 without harm. Within a batch rows lie in ``buckets`` files by a hash of the id,
 so a look-up by id reads one bucket. Reading takes the latest row of each id over all batches; ``fold`` writes what is
 read as the base of a new folder, under a writer of its own, which every later batch outranks at equal order.
+
+Within a file rows are sorted by id, and ids and the columns named as ``terms`` have Bloom filters, so a filter that names
+one of their values skips the row groups that do not hold it.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,14 +74,21 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _for_lookups(df: DataFrame, key: str, terms: tuple[str, ...], rows_per_file: int) -> DataFrameWriter:
+    """A writer of documents in folders by table and bucket; a filter is as large as its row group's values ask for."""
+    writer = df.sortWithinPartitions("index", "bucket", key).write.option("maxRecordsPerFile", rows_per_file)
+    for c in (key, *terms):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer.option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("index", "bucket")
+
+
 def upsert(df: DataFrame, root: str, batch: int, order: list[str], key: str = "doc_id", writer: str = "batch",
-           buckets: int = BUCKETS, rows_per_file: int = 5_000_000) -> None:
+           buckets: int = BUCKETS, rows_per_file: int = 5_000_000, terms: tuple[str, ...] = ()) -> None:
     """Writes one batch. Repeating it with the same writer and number replaces what it wrote before, and nothing else."""
     if not re.fullmatch(r"[\w.-]+", writer):
         raise ValueError(f"a writer's name is made of letters, digits, '.', '_' and '-': {writer!r}")
     latest = compact_latest(df, ["index", key], order).withColumn("bucket", _bucket(F.col(key), buckets))
-    (latest.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("index", "bucket")
-     .parquet(f"{root}/writer={writer}/batch={batch}"))
+    _for_lookups(latest, key, terms, rows_per_file).mode("overwrite").parquet(f"{root}/writer={writer}/batch={batch}")
 
 
 def stream_writer(df: DataFrame) -> str:
@@ -87,9 +97,9 @@ def stream_writer(df: DataFrame) -> str:
 
 
 def upsert_stream(root: str, order: list[str], key: str = "doc_id", buckets: int = BUCKETS,
-                  rows_per_file: int = 5_000_000) -> Callable[[DataFrame, int], None]:
+                  rows_per_file: int = 5_000_000, terms: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
     """The same as a ``foreachBatch`` function."""
-    return lambda df, batch: upsert(df, root, batch, order, key, stream_writer(df), buckets, rows_per_file)
+    return lambda df, batch: upsert(df, root, batch, order, key, stream_writer(df), buckets, rows_per_file, terms)
 
 
 def read_documents(spark: SparkSession, root: str, schema: T.StructType, order: list[str], key: str = "doc_id",
@@ -110,12 +120,12 @@ def read_documents(spark: SparkSession, root: str, schema: T.StructType, order:
 
 
 def fold(spark: SparkSession, root: str, target: str, schema: T.StructType, order: list[str], key: str = "doc_id",
-         buckets: int = BUCKETS) -> None:
+         buckets: int = BUCKETS, rows_per_file: int = 5_000_000, terms: tuple[str, ...] = ()) -> None:
     """Writes the current documents as the base of a new folder."""
     if root.rstrip("/") == target.rstrip("/"):
         raise ValueError("fold into a new folder")
     now = read_documents(spark, root, schema, order, key).withColumn("bucket", _bucket(F.col(key), buckets))
-    now.write.mode("errorifexists").partitionBy("index", "bucket").parquet(f"{target}/writer={BASE}/batch=0")
+    _for_lookups(now, key, terms, rows_per_file).mode("errorifexists").parquet(f"{target}/writer={BASE}/batch=0")
 
 
 def bulk_load(df: DataFrame, path: str) -> DataFrame:

@@ -54,11 +54,13 @@ def sensors(messages: DataFrame, delay: str = "10 seconds", **limits) -> Streams
 
 
 def stream_patterns(messages: DataFrame, delay: str = "20 seconds", high: float = 10_000, velocity_window: str = "300 seconds",
-                    velocity_more_than: int = 5, per: str = "1 minute", per_user: int = 100) -> Streams:
+                    velocity_more_than: int = 5, per: str = "1 minute", per_user: int = 100,
+                    width: str | None = "5 seconds") -> Streams:
     """Transactions with their user's latest event and their place's latest reading, rapid ones, statistics of the sensors, the two
     outputs by amount, user events in their current form, and transactions within the limit per user and minute.
 
-    ``messages`` holds all three topics; each kind is read from the messages of its topic."""
+    ``messages`` holds all three topics; each kind is read from the messages of its topic. Places are few, so what is joined by
+    them is spread over tasks by slices of ``width``."""
     events = parse.parse_user_events(_values(_of(messages, "user_event"))).where(F.col("ts").isNotNull())
     tx = parse.parse_transactions(_values(_of(messages, "transaction_event")))
     readings = parse.parse_sensors(_values(_of(messages, "iot_sensor_event")))
@@ -68,17 +70,18 @@ def stream_patterns(messages: DataFrame, delay: str = "20 seconds", high: float
     return {
         "enriched_transactions": O.asof_join(tx, events, "userId", "event", "messageId", delay=delay),
         "rapid_transactions": O.velocity_count(tx, velocity_window, velocity_more_than, delay=delay),
-        "located_transactions": O.asof_join(tx.where(F.col("location").isNotNull()), readings, "location", "reading", "messageId", delay=delay),
+        "located_transactions": O.asof_join(tx.where(F.col("location").isNotNull()), readings, "location", "reading", "messageId", width=width,
+                                            delay=delay),
         "sensor_aggregates": routing.sensor_aggregates(readings.withColumn("readingId", F.xxhash64("messageId")).withWatermark("ts", delay)),
         "processed": main, "anomalies": side, "evolved_events": current,
         "limited_transactions": O.rate_limit(tx, per, per_user, delay=delay)}
 
 
 def tuned_processing(messages: DataFrame, profiles: DataFrame, defaults: dict[str, object], delay: str = "10 seconds",
-                     batch: int = 100, window: str = "1 minute") -> Streams:
+                     batch: int = 100, window: str = "1 minute", width: str | None = "5 seconds") -> Streams:
     """Running counts of each user's actions, transactions with their user's profile, batches of readings, and latency sketches.
 
-    ``profiles`` has ``userId`` and columns of its own; ``defaults`` are those of a profile that is created on a miss."""
+    Types of sensors are few, so batches are put together from slices of ``width``. ``profiles`` has ``userId`` and columns of its own; ``defaults`` are those of a profile that is created on a miss."""
     events = parse.parse_user_events(_values(_of(messages, "user_event"))).where(F.col("ts").isNotNull())
     events = events.withColumn("eventId", F.xxhash64("messageId"))
     tx = parse.parse_transactions(_values(_of(messages, "transaction_event")))
@@ -89,7 +92,7 @@ def tuned_processing(messages: DataFrame, profiles: DataFrame, defaults: dict[st
     return {
         "user_statistics": O.running_stats(events, "eventType", live="1 hour", delay=delay),
         "profiled_transactions": O.profile_lookup(tx, profiles, "userId", defaults),
-        "sensor_batches": O.count_batches(readings, batch, delay=delay),
+        "sensor_batches": O.count_batches(readings, batch, width=width, delay=delay),
         "latency_sketches": metrics.latency_sketches(every, "kind", "latency", "ts", window)}
 
 
@@ -113,9 +116,10 @@ def documents_of(messages: DataFrame, kind: str) -> DataFrame:
 
 
 def to_documents(docs: DataFrame, root: str, checkpoint: str, every: str = "1 minute",
-                 rows_per_file: int = 5_000_000) -> DataStreamWriter:
-    """A writer that upserts each batch; bulk sizes are the trigger interval and the rows per file."""
-    write = documents.upsert_stream(root, ["ts"], rows_per_file=rows_per_file)
+                 rows_per_file: int = 5_000_000, terms: tuple[str, ...] = ()) -> DataStreamWriter:
+    """A writer that upserts each batch; bulk sizes are the trigger interval and the rows per file. ``terms`` are the columns
+    that are looked up by value."""
+    write = documents.upsert_stream(root, ["ts"], rows_per_file=rows_per_file, terms=terms)
     return (docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(processingTime=every))
 
