@@ -59,8 +59,9 @@ def t2_zscore(spark, folder):
 WITH s AS (
   SELECT *, lag(ts) OVER w AS pts, lag(value) OVER w AS pv FROM sensors
   WINDOW w AS (PARTITION BY "sensorId" ORDER BY ts, "readingId")),
-r AS (SELECT *, abs(value - pv) / abs(pv) AS rel FROM s
-  WHERE ts > pts AND ts - pts < INTERVAL 2 hour AND pv <> 0)
+r AS (SELECT *, CASE WHEN pv <> 0 THEN abs(value - pv) / abs(pv)
+    WHEN pv = 0 AND value <> 0 THEN CAST('Infinity' AS DOUBLE) END AS rel FROM s
+  WHERE ts > pts AND ts - pts < INTERVAL 2 hour)
 SELECT "readingId", "sensorId", "sensorType", location, ts, value, "batteryLevel", "isAnomaly",
   pv AS "previousValue", round(rel, 6) AS "relativeChange",
   round((epoch_us(ts) - epoch_us(pts)) / 1000000.0, 6) AS seconds, round(least(0.9, rel), 6) AS severity
