@@ -32,7 +32,7 @@ def connect_events(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["t3_rapid_change"])
+@pytest.mark.parametrize("name", ["t3_rapid_change", "u2_anomaly_alerts"])
 def test_change_from_zero_as_in_sql(spark, folder, name):
     con = connect_events(folder)
     text, _, good = compare(spark, con, name, folder)

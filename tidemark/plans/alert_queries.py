@@ -13,13 +13,16 @@ from tidemark.plans.registry import ORACLES, query
 from tidemark.sources.adapters import sensors, transactions
 
 
-def _say(kind: str, *values: str) -> str:
-    """An alert's description; numbers are rounded half up."""
+def _say(kind: str, *values: str, unlimited: str | None = None) -> str:
+    """An alert's description; numbers are rounded half up. The first one is without limit where ``unlimited`` holds."""
     parts, rest = [], ALERT_TEXTS[kind][1]
     for value in values:
         hit = re.search(r"%(?:\.(\d))?([dfs])", rest)
         text = f"CAST(CAST({value} AS DECIMAL(28, 6)) AS DECIMAL(28, {hit[1]}))" if hit[2] == "f" else value
-        parts += [f"'{rest[:hit.start()]}'", f"CAST({text} AS VARCHAR)"]
+        text = f"CAST({text} AS VARCHAR)"
+        if unlimited and not parts:
+            text = f"CASE WHEN {unlimited} THEN 'Infinity' ELSE {text} END"
+        parts += [f"'{rest[:hit.start()]}'", text]
         rest = rest[hit.end():]
     return " || ".join([*parts, f"'{rest}'"])
 
@@ -59,12 +62,12 @@ def u1_fraud_alerts(spark, folder):
 _UNIT = "CASE \"sensorType\" " + " ".join(f"WHEN '{t}' THEN '{r[0]}'" for t, r in SENSOR_RANGES.items()) + " END"
 
 
-def _anomaly(kind, severity, source, *said, real=True):
+def _anomaly(kind, severity, source, *said, real=True, unlimited=None):
     details = (f'''"sensorId", "sensorType" AS "deviceType", location, value, {_UNIT} AS unit, ts AS "readingTimestamp"''' if real else
                """"sensorId", 'UNKNOWN' AS "deviceType", 'UNKNOWN' AS location, CAST(0 AS DOUBLE) AS value,
                CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS TIMESTAMP) AS "readingTimestamp" """)
     about = """"sensorId" || '|' || CAST("readingId" AS VARCHAR)""" if real else '"sensorId"'
-    head = _alert(kind, "anomaly", about, "ts", _say(kind, *said), severity, details)
+    head = _alert(kind, "anomaly", about, "ts", _say(kind, *said, unlimited=unlimited), severity, details)
     return f"{head} FROM ({ORACLES[source]})"
 
 
@@ -72,7 +75,7 @@ def _anomaly(kind, severity, source, *said, real=True):
     _anomaly("STATISTICAL_ANOMALY", "severity", "t2_zscore", "value", '"zScore"', "mean"),
     _anomaly("THRESHOLD_VIOLATION", "severity", "e14_e15_threshold_violations", '"sensorType"', "value", _UNIT),
     _anomaly("RAPID_CHANGE", "severity", "t3_rapid_change", 'abs(value - "previousValue") / abs("previousValue") * 100',
-             '"previousValue"', "value", "seconds"),
+             '"previousValue"', "value", "seconds", unlimited='"previousValue" = 0'),
     _anomaly("MISSING_DATA", "severity", "t4_data_gaps", "minutes"),
     _anomaly("SENSOR_OFFLINE", "severity", "t5_offline", "480.0", real=False),
     _anomaly("CORRELATION_ANOMALY", "severity", "a6_cross_sensor_deviation", "value", "deviation", "mean"),
