@@ -67,3 +67,14 @@ def test_neighbours_with_ties_and_nulls(spark):
     many = [(i, str(i)) for i in range(500)]
     assert nexts(many) == sorted(((i, str(i), str((i - 1) % 500)) for i in range(500)), key=str)
     assert with_next(spark.createDataFrame([], "k long, v string"), "k", {"v": "after"}, F.col("v")).count() == 0
+
+
+def test_one_python_step_per_stage(spark):
+    plan = contract.queries()["op1_imatch_fingerprints"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 2, plan
+
+
+def test_likeness_in_the_step_is_that_of_the_column(spark):
+    got = contract.queries()["op1_imatch_fingerprints"](spark, SF)
+    again = got.withColumn("_near", imatch.likeness(F.unhex("fingerprint"), F.unhex("edited_fingerprint")))
+    assert again.where("_near <> near_edited").count() == 0 and got.where("near_edited > 0").count() > 0

@@ -14,11 +14,12 @@ table gives no rows. Other columns pass through; the added name replaces a colum
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,22 +51,21 @@ def lexicon(docs: DataFrame, low: float = 0.0005, high: float = 0.1, most: int =
     return sorted(r.term for r in rows)
 
 
-def _membership(terms: list[str]) -> list[np.ndarray]:
-    """Per term the subsets that hold it: a mixed hash of (term, subset) below the subset's rate."""
+def _membership(terms: list[str]) -> list[bytes]:
+    """Per term the subsets that hold it, a byte each: a mixed hash of (term, subset) below the subset's rate."""
     h = np.array([xxhash.xxh64_intdigest(t) for t in terms], dtype=np.uint64)
-    held: list[list[int]] = [[] for _ in terms]
+    inside = np.zeros((len(terms), len(RATES)), dtype=bool)
     with np.errstate(over="ignore"):
         for s, rate in enumerate(RATES):
             x = h ^ np.uint64((s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(31)
-            for i in np.nonzero(x < np.uint64(int(rate * 2**64)))[0]:
-                held[i].append(s)
-    return held
+            inside[:, s] = x < np.uint64(int(rate * 2**64))
+    return [np.flatnonzero(row).astype(np.uint8).tobytes() for row in inside]
 
 
-def fingerprint_of(words: list[str], held: dict[str, list[int]]) -> bytes:
+def fingerprint_of(words: list[str], held: dict[str, bytes]) -> bytes:
     """Eight bytes of the whole lexicon's signature, then two bytes of each subset's, zero where it holds no term."""
     distinct = set(words)
     kept = sorted(distinct & held.keys())
@@ -83,54 +83,71 @@ def fingerprint_of(words: list[str], held: dict[str, list[int]]) -> bytes:
     return first.to_bytes(8, "big") + out.tobytes()
 
 
-def fingerprints(docs: DataFrame, terms: list[str], text: Column | None = None, out: str = "fingerprint") -> DataFrame:
-    """``docs`` with the binary fingerprint of ``text``. ``terms``: the lexicon, of bounded size."""
+def fingerprints(docs: DataFrame, terms: list[str], text: Column | None = None, out: str = "fingerprint",
+                 packed_as: str | None = None) -> DataFrame:
+    """``docs`` with the binary fingerprint of ``text``, and with ``packed_as`` the text compressed, in one Python step.
+
+    ``terms``: the lexicon, of bounded size."""
     lent = docs.sparkSession.sparkContext.broadcast(terms)
+    kind = T.StructType([T.StructField(n, T.BinaryType()) for n in ("print", *(["packed"] if packed_as else []))])
 
-    @F.pandas_udf(T.BinaryType())
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        held = dict(zip(lent.value, _membership(lent.value)))
+    @F.pandas_udf(kind)
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held, press = dict(zip(lent.value, _membership(lent.value))), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pd.Series([fingerprint_of(t.lower().split(), held) for t in batch], dtype=object)
+            made = {"print": pd.Series([fingerprint_of(t.lower().split(), held) for t in batch], dtype=object)}
+            if packed_as:
+                made["packed"] = pd.Series([press.compress(t.encode()) for t in batch], dtype=object)
+            yield pd.DataFrame(made)
 
-    return docs.withColumn(out, apply(whole() if text is None else text))
+    done = docs.withColumn("_made", apply(whole() if text is None else text))
+    more = {packed_as: F.col("_made.packed")} if packed_as else {}
+    return done.withColumns({out: F.col("_made.print"), **more}).drop("_made")
 
 
-def edited(pairs: DataFrame, terms: list[str], text: str, donor: str) -> DataFrame:
-    """Fingerprint and digest of texts whose second half gives way to the donor's start.
+def edited(pairs: DataFrame, terms: list[str], text: str, donor: str, own: str, other: str) -> DataFrame:
+    """Fingerprint and digest of texts whose second half gives way to the donor's start, and how near texts are.
 
     ``text`` and ``donor`` are packed. The last floor(n / 2) code points are replaced by as many of the donor's first ones,
-    or by all of them. Adds ``edited_sha256`` and ``edited_fingerprint``.
+    or by all of them. Adds ``edited_sha256``, ``edited_fingerprint``, and the likeness of the fingerprint ``own`` to that
+    one and to the fingerprint ``other``: ``near_edited``, ``near_next``. All of it is one Python step.
     """
     lent = pairs.sparkSession.sparkContext.broadcast(terms)
-    kind = T.StructType([T.StructField("edited_sha256", T.StringType()), T.StructField("edited_fingerprint", T.BinaryType())])
+    kind = T.StructType([T.StructField("edited_sha256", T.StringType()), T.StructField("edited_fingerprint", T.BinaryType()),
+                         T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
     @F.pandas_udf(kind)
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         held = dict(zip(lent.value, _membership(lent.value)))
-        for own, other in batches:
-            rows = []
-            for a, b in zip(own, other):
+        for texts, donors, prints, others in batches:
+            digests, made = [], []
+            for a, b in zip(texts, donors):
                 a, b = unpacked(a), unpacked(b)
                 half = len(a) // 2
                 new = a[:len(a) - half] + b[:half]
-                rows.append((hashlib.sha256(new.encode()).hexdigest(), fingerprint_of(new.lower().split(), held)))
-            yield pd.DataFrame(rows, columns=kind.names)
+                digests.append(hashlib.sha256(new.encode()).hexdigest())
+                made.append(fingerprint_of(new.lower().split(), held))
+            yield pd.DataFrame({"edited_sha256": pd.Series(digests, dtype=object), "edited_fingerprint": pd.Series(made, dtype=object),
+                                "near_edited": alike(prints, made), "near_next": alike(prints, others)})
 
-    done = pairs.withColumn("_edited", apply(text, donor))
+    done = pairs.withColumn("_edited", apply(text, donor, own, other))
     return done.withColumns({n: F.col(f"_edited.{n}") for n in kind.names}).drop("_edited")
 
 
-@F.pandas_udf(T.DoubleType())
-def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Likeness of two fingerprints, 0 to 1: 1 where the whole lexicon's signatures agree."""
-    if not len(left):
-        return pd.Series([], dtype=float)
-    a, b = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(left), -1) for x in (left, right))
+def alike(left: Iterable[bytes], right: Iterable[bytes]) -> np.ndarray:
+    """Likeness of pairs of fingerprints, 0 to 1: 1 where the whole lexicon's signatures agree."""
+    width = 8 + 2 * len(RATES)
+    a, b = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, width) for x in (left, right))
     same = (a[:, :8] == b[:, :8]).all(axis=1)
     a, b = (np.ascontiguousarray(x[:, 8:]).view(">u2") for x in (a, b))
     used = (a | b) != 0
     used &= np.cumsum(used, axis=1) <= COMPARED
     n = used.sum(axis=1)
     equal = (used & (a == b)).sum(axis=1)
-    return pd.Series(np.where(same, 1.0, equal / np.maximum(n, 1)))
+    return np.where(same, 1.0, equal / np.maximum(n, 1))
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Likeness of two columns of fingerprints."""
+    return pd.Series(alike(left, right))
