@@ -162,5 +162,6 @@ def _messages(spark: SparkSession, folder: str, view, topic: str, left_out: list
     fields = [damage(k, c).alias(c) for c in named.columns if c not in left_out]
     text = F.to_json(F.struct(time.alias("timestamp"), *fields))
     value = F.when(k == 0, F.substring(text, 1, 25)).otherwise(text)
+    # The text is made once: a filter is not moved below a generator, where each use of the text would make it anew.
     return made.select(F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
-                       value.alias("value"))
+                       F.inline(F.array(F.struct(value.alias("value")))))
