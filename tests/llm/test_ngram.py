@@ -69,3 +69,31 @@ def test_filter_lets_members_through(spark):
     bits = bitmaps.of_column(df, "v")
     assert bitmaps.holds(bits, np.array(values)).all()
     assert bitmaps.holds(bits, np.arange(10_000, 20_000)).sum() == 0
+
+
+def test_counting_holds_its_sets_and_one_copy():
+    import tracemalloc
+
+    rand = np.random.default_rng(5)
+    sets = [np.unique(rand.integers(0, 400_000, 400, dtype=np.uint64)) for _ in range(2_500)]
+    keys, many = np.unique(np.concatenate(sets), return_counts=True)
+    size = sum(s.nbytes for s in sets)
+    tracemalloc.start()
+    got, times = join.thrice(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == keys[many >= 3]).all() and (times == many[many >= 3]).all() and sets == []
+    assert peak < 3 * size
+    assert [len(x) for x in join.thrice([np.array([], np.uint64)])] == [0, 0]
+
+
+def test_sets_met_before_are_not_made_again():
+    import pyarrow as pa
+    import zstandard
+
+    sets = join._Sets()
+    text = pa.scalar(zstandard.ZstdCompressor().compress(b"a b c d e f g"), pa.binary())
+    first = sets.of(1, text)
+    assert sets.of(1, text) is first and len(first) == 3
+    sets.most = 4
+    assert len(sets.of(2, text)) == 3 and list(sets) == [2]

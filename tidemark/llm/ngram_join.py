@@ -66,6 +66,15 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def thrice(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that three sets or more hold, and how many do. Empties the list, so that it and one copy are all that is held."""
+    every = np.concatenate(sets)
+    sets.clear()
+    every.sort()
+    keys = np.unique(every[2:][every[2:] == every[:-2]])
+    return keys, np.searchsorted(every, keys, "right") - np.searchsorted(every, keys, "left")
+
+
 def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Prefix keys of every class of the task, and any shingles that many classes of the task hold, with their number.
 
@@ -79,9 +88,8 @@ def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
                                           ["key", "sets", "often"])
 
     def frequent() -> pa.RecordBatch:
-        keys, many = np.unique(np.concatenate(held), return_counts=True)
-        keys, many = keys[many >= 3], many[many >= 3]
-        return rows(keys, np.zeros(len(keys)).astype(np.int32), many.astype(np.int32))
+        keys, many = thrice(held)
+        return rows(keys, np.zeros(len(keys), np.int32), many.astype(np.int32))
 
     for batch in slices(batches):
         found = [none]
@@ -210,14 +218,35 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: int)
     return both.select("x", "y", "left", "right").mapInArrow(partial(_linked, least=least), "a long, b long")
 
 
+class _Sets(dict):
+    """Sets of the classes met last, up to so many shingles (4 MB)."""
+
+    most = 500_000
+
+    def __init__(self):
+        self.words, self.size = Words(), 0
+
+    def of(self, own: int, text: pa.BinaryScalar) -> np.ndarray:
+        if own in self:
+            return self[own]
+        made = distinct(unpacked(text.as_py()), self.words)
+        self.size += len(made)
+        if self.size > self.most:
+            self.clear()
+            self.size = len(made)
+        self[own] = made
+        return made
+
+
 def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    words, last = Words(), (None, None)
+    sets, last = _Sets(), (None, None)
     for batch in slices(batches):
         keep = []
-        for p, q in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            if q != last[0]:  # a leader's rows come together
-                last = (q, distinct(unpacked(q), words))
-            s, t = distinct(unpacked(p), words), last[1]
+        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        for a, b, p, q in zip(x, y, batch.column("left"), batch.column("right")):
+            if b != last[0]:  # a leader's rows come together
+                last = (b, sets.of(b, q))
+            s, t = sets.of(a, p), last[1]
             common = len(np.intersect1d(s, t, assume_unique=True))
             keep.append(100 * common >= least * (len(s) + len(t) - common))
         pairs = pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["a", "b"])
