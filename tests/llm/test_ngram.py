@@ -97,3 +97,54 @@ def test_sets_met_before_are_not_made_again():
     assert sets.of(1, text) is first and len(first) == 3
     sets.most = 4
     assert len(sets.of(2, text)) == 3 and list(sets) == [2]
+
+
+def test_bitmaps_tell_large_sets_apart():
+    rand = np.random.default_rng(2)
+    pool = rand.integers(0, 2**63, 6000, dtype=np.uint64)
+    a, b = np.unique(pool[:4000]), np.unique(pool[2000:])
+    p, q = (join.bitmap(s).view(np.uint64) for s in (a, b))
+    bound = (len(a) + len(b) - int(np.bitwise_count(p ^ q).sum())) / 2
+    assert 2000 <= bound < 3429  # the overlap, and what a link needs
+    half = len(p) // 2
+    bits = np.bincount((a & np.uint64(64 * half - 1)).astype(int), minlength=64 * half) & 1
+    assert ((p[:half] ^ p[half:]) == np.packbits(bits.astype(np.uint8)).view(np.uint64)).all()
+
+
+def test_unlinked_members_of_a_crowd_make_few_pairs(spark, monkeypatch):
+    rand = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+
+    def near(edits):
+        out = list(base)
+        for at in rand.sample(range(3, 147, 6), edits):
+            out[at] = f"e{rand.randrange(10**9)}"
+        return " ".join(out)
+
+    texts = {i: near(1) for i in range(150)} | {i: near(6) for i in range(150, 200)}
+    made, whole_of = [], join.verified
+    monkeypatch.setattr(join, "verified", lambda pairs, *rest: (made.append(pairs.count()), whole_of(pairs, *rest))[1])
+    got = join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(texts)
+    assert len({r.component_id for r in got}) == 51
+    assert sum(made) < 1000  # of 50 * 150 pairs across
+
+
+def test_sets_of_odd_texts():
+    import pyarrow as pa
+    from tidemark.llm.shingles import sets, split, words
+
+    rand = random.Random(1)
+    texts = ["", "a b", " \n\t ", "é▁漢😀 \x00 x", "A b C d E f", "a b c d e f", "x" * 100 + " y " + "X" * 100, "word " * 300, "  lead", "trail ",
+             "a\x1cb c\x85d", "q" * 9 + " " + "q" * 8 + " " + "q" * 64 + " " + "q" * 65]
+    texts += ["".join(rand.choice("aAbB \n\té\x0b") for _ in range(rand.randrange(60))) for _ in range(500)]
+    known, made = {}, {}
+    for part in (pa.array(texts), pa.array(texts).slice(3, 9), pa.array(texts, pa.large_string()), pa.array([""]), pa.array([], pa.string())):
+        hashes, many = words(part)
+        lists = [split(t) for t in part.to_pylist()]
+        assert many.tolist() == [len(x) for x in lists]
+        assert all(known.setdefault(w, h) == h for w, h in zip([w for x in lists for w in x], hashes.tolist()))
+        for got, t in zip(sets(part), part.to_pylist()):
+            want = shingle_set(t)
+            assert len(got) == len(want) and (got[1:] > got[:-1]).all() and made.setdefault(want, got.tobytes()) == got.tobytes()
+    assert len(set(known.values())) == len(known) and len(set(made.values())) == len(made)

@@ -33,14 +33,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bitmaps
 from tidemark.llm.common import components, slices, stored, unpacked, whole
-from tidemark.llm.shingles import Words, distinct, distinct_all
+from tidemark.llm.shingles import sets as sets_of
 
 #: Least similarity, in hundredths.
 LEAST = 75
 #: Keys of more classes than this go last in the order, most frequent first, up to a number that fits every task.
 OFTEN, MOST_HOT = 32, 200_000
-WORDS = 16  # 64-bit words of a bitmap
-ANY = 1 << 50  # slack at a key that is not hot
+WORDS = 16  # least number of 64-bit words of a bitmap
 
 
 def needed(n: np.ndarray | int, least: int):
@@ -48,21 +47,38 @@ def needed(n: np.ndarray | int, least: int):
     return -(-least * n // 100)
 
 
-def prefix(shingles: np.ndarray, hot: np.ndarray, least: int) -> np.ndarray:
+def prefix(shingles: np.ndarray, least: int, late: np.ndarray | None = None) -> np.ndarray:
     """The first shingles in the order (hot ones last, then by hash)."""
     take = len(shingles) - needed(len(shingles), least) + 1
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
+    if late is not None:
         shingles = np.concatenate([shingles[~late], shingles[late]])
     return shingles[:take]
 
 
+def members(values: np.ndarray, of: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``of``; ``bits`` is its ``marks``."""
+    out = bits[(values & np.uint64(len(bits) - 1)).astype(np.int64)]
+    at = np.flatnonzero(out)
+    if len(at):
+        out[at] = of[np.minimum(np.searchsorted(of, values[at]), len(of) - 1)] == values[at]
+    return out
+
+
+def marks(of: np.ndarray) -> np.ndarray:
+    """Where members can be, by the low bits of a hash."""
+    out = np.zeros(1 << max(16, (16 * len(of)).bit_length()), bool)
+    out[(of & np.uint64(len(out) - 1)).astype(np.int64)] = True
+    return out
+
+
 def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    parity = np.bincount((shingles % np.uint64(64 * WORDS)).astype(int), minlength=64 * WORDS) & 1
+    """Twice as many bits as shingles or more, a power of 2. Its halves, added, are the bitmap of half the size."""
+    size = max(64 * WORDS, 1 << (2 * len(shingles) - 1).bit_length())
+    parity = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -79,8 +95,7 @@ def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
     """Prefix keys of every class of the task, and any shingles that many classes of the task hold, with their number.
 
     The latter may be in no prefix by hash, but would enter the prefixes that other frequent shingles leave."""
-    words, seen = Words(), set()
-    none = np.array([], np.uint64)
+    seen, none = set(), np.array([], np.uint64)
     held, size = [none], 0
 
     def rows(keys: np.ndarray, sets: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
@@ -93,12 +108,12 @@ def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
 
     for batch in slices(batches):
         found = [none]
-        for shingles in distinct_all(batch.column("text").to_pylist(), words):
+        for shingles in sets_of(batch.column("text")):
             own = class_of(shingles)
             if len(shingles) and own not in seen:
                 seen.add(own)
-                found.append(prefix(shingles, none, least))
-                held.append(shingles)
+                found.append(prefix(shingles, least))
+                held.append(shingles.copy())
                 size += len(shingles)
         keys = np.concatenate(found)
         yield rows(keys, np.ones(len(keys), np.int32), np.zeros(len(keys), np.int32))
@@ -108,31 +123,30 @@ def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
     yield frequent()
 
 
-_PROFILE = "doc_id long, n long, class long, band int, hot int, late boolean, keys array<long>, bits array<long>"
+_PROFILE = "doc_id long, source long, n long, class long, band int, hot int, late boolean, keys array<long>, bits array<long>"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], least: int, hot) -> Iterator[pa.RecordBatch]:
-    words, seen, often = Words(), set(), hot.value
-    none = np.array([], np.uint64)
+    seen, often, bits_of = set(), hot.value, marks(hot.value)
     for batch in slices(batches):
         rows = []
-        for shingles in distinct_all(batch.column("text").to_pylist(), words):
+        for shingles in sets_of(batch.column("text")):
             n, own = len(shingles), class_of(shingles)
             many, late, keys, bits = 0, False, None, None
             if n and own not in seen:
                 seen.add(own)
-                famous = np.isin(shingles, often, assume_unique=True)
+                famous = members(shingles, often, bits_of)
                 many = int(famous.sum())
-                first = prefix(shingles, none, least)
-                late = bool(famous[:len(first)].any())
-                keys, bits = (prefix(shingles, often, least) if late else first).view(np.int64), bitmap(shingles)
+                keys = prefix(shingles, least)
+                late = bool(famous[:len(keys)].any())
+                keys, bits = (prefix(shingles, least, famous) if late else keys).view(np.int64), bitmap(shingles)
             rows.append((n, own, band(n, least), many, late, keys, bits))
         columns = list(zip(*rows)) if rows else [()] * 7
         longs = pa.list_(pa.int64())
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), longs, longs]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-            ["doc_id", "n", "class", "band", "hot", "late", "keys", "bits"])
+            [batch.column("doc_id"), batch.column("source"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            ["doc_id", "source", "n", "class", "band", "hot", "late", "keys", "bits"])
 
 
 def band(n: int, least: int) -> int:
@@ -141,10 +155,10 @@ def band(n: int, least: int) -> int:
 
 
 def profiles(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Per document its class, set size and band, and once per task and class its hot shingles' number, prefix keys and
+    """Per document the hash of its text, its class, set size and band, and once per task and class its hot shingles' number, prefix keys and
     bitmap; the filter of the keys that several sets may hold; and the hot keys."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("source"), whole().alias("text"))
     counted = (texts.select("text").mapInArrow(partial(_keys, least=least), "key long, sets int, often int").groupBy("key")
                .agg(F.sum("sets").alias("sets"), F.sum("often").alias("often")).where((F.col("sets") > 1) | (F.col("often") > OFTEN)))
     counted = stored(counted.select("sets", "key", F.greatest("sets", "often").alias("most")))
@@ -157,13 +171,11 @@ def profiles(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, np.ndarray
     return made, shared, hot
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch], shared, hot, least: int) -> Iterator[pa.RecordBatch]:
-    """A row for each key that passes the filter.
+def _key_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """A row for each key that passes the filter. ``onward``: the set's shingles from this key on, in the order of all.
 
-    A set with a hot key in its prefix has all its other shingles there too. So two sets whose first common key is a hot
-    one differ in all shingles that are not hot and in the hot ones before that key, and overlap in half of the rest at
-    most. At a hot key ``slack`` is (100 + least) * (hot ones from this key on) - 2 * least * n: the two can only be
-    linked if, at their first common key, their slacks add up to 0 or more."""
+    Two sets have nothing in common before their first common key, so the smaller of their ``onward`` there bounds the
+    overlap."""
     names = ["band", "hot", "n", "class"]
     for batch in slices(batches):
         keys = batch.column("keys")
@@ -173,47 +185,61 @@ def _key_rows(batches: Iterator[pa.RecordBatch], shared, hot, least: int) -> Ite
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         hit = bitmaps.holds(shared.value, flat)
         at = pa.array(owner[hit])
-        many, n = (batch.column(c).to_numpy()[owner[hit]].astype(np.int64) for c in ("hot", "n"))
-        onward = many - (place[hit] - (n - many))
-        slack = np.where(np.isin(flat[hit].view(np.uint64), hot.value), (100 + least) * onward - 2 * least * n, ANY)
+        onward = batch.column("n").to_numpy()[owner[hit]] - place[hit]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(flat[hit]), *(batch.column(c).take(at) for c in names), pa.array(slack)], ["key", *names, "slack"])
+            [pa.array(flat[hit]), *(batch.column(c).take(at) for c in names), pa.array(onward)], ["key", *names, "onward"])
 
 
-def tiles(profiled: DataFrame, shared: np.ndarray, hot: np.ndarray, least: int = LEAST) -> DataFrame:
-    """Rows (key, band, n, class, slack, leader) of the keys that several classes hold.
+def tiles(profiled: DataFrame, shared: np.ndarray) -> DataFrame:
+    """Rows (key, band, n, class, onward, leader) of the keys that several classes hold.
 
     The leader of a tile is the class with the largest share of hot shingles: in a crowd of near copies that is the one
     nearest to all others."""
     lend = profiled.sparkSession.sparkContext.broadcast
     rows = profiled.where("keys is not null").select("keys", "band", "hot", "n", "class").mapInArrow(
-        partial(_key_rows, shared=lend(shared), hot=lend(hot), least=least), "key long, band int, hot int, n long, class long, slack long")
+        partial(_key_rows, shared=lend(shared)), "key long, band int, hot int, n long, class long, onward long")
     order = [F.desc(F.col("hot") / F.col("n")), "n", "class"]
     by_key = Window.partitionBy("key").orderBy("band", *order)
     once = rows.withColumn("_before", F.lag("class").over(by_key)).where("_before is null or _before <> class").drop("_before")
     near = once.withColumns({"_before": F.lag("class").over(by_key), "_after": F.lead("class").over(by_key)})
     in_tile = Window.partitionBy("key", "band").orderBy(*order)
     return (near.where("_before is not null or _after is not null").drop("_before", "_after")
-            .withColumn("leader", F.first(F.struct("class", "slack")).over(in_tile)).drop("hot"))
+            .withColumn("leader", F.first(F.struct("class", "n", "onward")).over(in_tile)).drop("hot"))
+
+
+def _near(a: str, b: str, least: int) -> Column:
+    """At their first common key two sets have shingles enough left for a link."""
+    n, m, rest = F.col(f"{a}n"), F.col(f"{b}n"), F.least(F.col(f"{a}onward"), F.col(f"{b}onward"))
+    return rest * (100 + least) >= (n + m) * least
 
 
 def _overlap_possible(a: str, b: str, least: int) -> Column:
-    """Sizes and bitmaps allow the overlap that a link needs: overlap <= (n + m - differing bits) / 2."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.aggregate(F.zip_with(F.col(f"{a}.bits"), F.col(f"{b}.bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                        F.lit(0), lambda acc, x: acc + x)
+    """Sizes and bitmaps allow the overlap that a link needs: overlap <= (n + m - differing bits) / 2.
+
+    Sets that may be linked by size have bitmaps of one size, or of one and twice that."""
+    n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    size = F.least(F.size(p), F.size(q))
+
+    def folded(bits: Column) -> Column:
+        halves = F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > size, halves).otherwise(bits)
+
+    apart = F.aggregate(F.zip_with(folded(p), folded(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     # 100 * overlap >= least * (n + m - overlap)
-    return (n + m - apart) * (100 + least) >= 2 * least * (n + m)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * least) & ((n + m - apart) * (100 + least) >= 2 * least * (n + m))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked. Texts of both are brought together packed, and intersected exactly."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked. Texts of those that bitmaps let through are brought together packed, and
+    intersected exactly."""
     a, b = classes.alias("a"), classes.alias("b")
-    hopeful = (pairs.join(a, F.col("x") == F.col("a.class")).join(b, F.col("y") == F.col("b.class"))
-               .where(_overlap_possible("a", "b", least)).select("x", "y"))
+    hopeful = stored(pairs.join(a, F.col("x") == F.col("a.class")).join(b, F.col("y") == F.col("b.class"))
+                     .where(_overlap_possible("a", "b", least)).select("x", "y", F.col("a.source").alias("p"), F.col("b.source").alias("q")))
+    wanted = hopeful.select(F.col("x").alias("class"), F.col("p").alias("source")).unionAll(hopeful.select("y", "q")).distinct()
+    texts = _texts_of(docs, wanted)
     left = texts.select(F.col("class").alias("x"), F.col("text").alias("left"))
     right = texts.select(F.col("class").alias("y"), F.col("text").alias("right"))
-    both = hopeful.join(left, "x").join(right, "y")
+    both = hopeful.select("x", "y").join(left, "x").join(right, "y")
 
     return both.select("x", "y", "left", "right").mapInArrow(partial(_linked, least=least), "a long, b long")
 
@@ -224,12 +250,12 @@ class _Sets(dict):
     most = 500_000
 
     def __init__(self):
-        self.words, self.size = Words(), 0
+        self.size = 0
 
     def of(self, own: int, text: pa.BinaryScalar) -> np.ndarray:
         if own in self:
             return self[own]
-        made = distinct(unpacked(text.as_py()), self.words)
+        made = sets_of(pa.array([unpacked(text.as_py())], pa.string()))[0]
         self.size += len(made)
         if self.size > self.most:
             self.clear()
@@ -256,31 +282,30 @@ def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 def join(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable by links)."""
     made, shared, hot = profiles(docs, least)
-    tile = stored(tiles(made, shared, hot, least))
+    tile = stored(tiles(made, shared))
     classes = (made.where("keys is not null").groupBy("class")
-               .agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")))
-    held = stored(classes.join(tile.select("class").distinct(), "class"))
-    texts = _texts_of(docs, held)
-    sizes = held.select("class", "n", "bits")
+               .agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("source").alias("source")))
+    sizes = stored(classes.join(tile.select("class").distinct(), "class"))
 
-    votes = (tile.where("leader.class <> class and slack + leader.slack >= 0").groupBy("class", F.col("leader.class").alias("leader"))
+    votes = (tile.where((F.col("leader.class") != F.col("class")) & _near("", "leader.", least))
+             .groupBy("class", F.col("leader.class").alias("leader"))
              .agg(F.count("*").alias("keys")))
     best = votes.groupBy("class").agg(F.max(F.struct("keys", "leader"))["leader"].alias("leader"))
-    first = stored(verified(best.select(F.col("class").alias("x"), F.col("leader").alias("y")), sizes, texts, least))
+    first = stored(verified(best.select(F.col("class").alias("x"), F.col("leader").alias("y")), sizes, docs, least))
     labels = components(first)
 
     named_tile = (tile.join(labels.withColumnRenamed("v", "class"), "class", "left")
-                  .select("key", "band", "n", "class", "slack", F.coalesce("component", "class").alias("component")))
+                  .select("key", "band", "n", "class", "onward", F.coalesce("component", "class").alias("component")))
     mixed = (named_tile.groupBy("key").agg(F.mode("component").alias("main"), F.min("component").alias("low"),
                                            F.max("component").alias("high")).where("low <> high").select("key", "main"))
     rest = stored(named_tile.join(mixed, "key"))
     a, b = rest.where("component <> main").alias("a"), rest.alias("b")
     apart = ((F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
-             & (F.abs(F.col("a.band") - F.col("b.band")) <= 1) & (F.col("a.slack") + F.col("b.slack") >= 0)
+             & (F.abs(F.col("a.band") - F.col("b.band")) <= 1) & _near("a.", "b.", least)
              & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * least)
              & ((F.col("b.component") == F.col("b.main")) | (F.col("a.class") < F.col("b.class"))))
     pairs = a.join(b, apart).select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y")).distinct()
-    second = stored(verified(pairs, sizes, texts, least))
+    second = stored(verified(pairs, sizes, docs, least))
     if not second.isEmpty():
         labels = components(first.unionAll(second))
 
@@ -293,21 +318,18 @@ def join(docs: DataFrame, least: int = LEAST) -> DataFrame:
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _packed_classes(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    """Class and packed text of the documents whose id may be wanted."""
-    words, press = Words(), zstandard.ZstdCompressor(level=3)
+def _packed(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    """Hash and packed text of the texts that may be wanted."""
+    press = zstandard.ZstdCompressor(level=3)
     for batch in slices(batches):
-        may = bitmaps.holds(wanted.value, batch.column("h").to_numpy(zero_copy_only=False))
-        texts = batch.column("text").filter(pa.array(may)).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([class_of(x) for x in distinct_all(texts, words)], pa.int64()),
-             pa.array([press.compress(t.encode()) for t in texts], pa.binary())], ["class", "text"])
+        own = batch.filter(pa.array(bitmaps.holds(wanted.value, batch.column("source").to_numpy(zero_copy_only=False))))
+        packed = [press.compress(t.encode()) for t in own.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([own.column("source"), pa.array(packed, pa.binary())], ["source", "text"])
 
 
-def _texts_of(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(class, packed text) of every class that is compared. A filter on ids keeps the other texts out of the shuffle."""
-    ids = bitmaps.of_column(held.select(F.xxhash64("doc_id").alias("h")), "h")
-    lent = docs.sparkSession.sparkContext.broadcast(ids)
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), whole().alias("text"))
-    made = rows.mapInArrow(partial(_packed_classes, wanted=lent), "class long, text binary")
-    return stored(made.join(held.select("class"), "class").dropDuplicates(["class"]))
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, packed text) of every class that is compared. A filter on hashes keeps the other texts out of the shuffle."""
+    lent = docs.sparkSession.sparkContext.broadcast(bitmaps.of_column(wanted, "source"))
+    made = docs.select(F.xxhash64(whole()).alias("source"), whole().alias("text")).mapInArrow(
+        partial(_packed, wanted=lent), "source long, text binary")
+    return stored(made.join(wanted, "source").dropDuplicates(["class"]).select("class", "text"))
