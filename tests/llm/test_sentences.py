@@ -108,3 +108,14 @@ def test_rows_without_an_id(spark):
     got = [(r.doc_id, r.text) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     want = [(1, copied), (None, ""), (None, other), (None, third), (None, ""), (2, ""), (2, twin), (3, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_runs_are_made_once(spark):
+    text = " ".join(f"Word{i} of a sentence that is here." for i in range(12))
+    keyed = spans._keyed(spark.createDataFrame([(1, text), (2, "First of all. " + text + " And last.")], "doc_id long, text string"))
+    found = spans.repeated_spans(keyed)
+    assert "MapInPandas" not in found._jdf.queryExecution().toString()
+    (row,) = found.collect()
+    starts = sentences_of("First of all. " + text + " And last.")[0].tolist()
+    assert row.doc_id == 2 and all((s.start, s.stop) == (starts[s.piece], starts[s.after]) for s in row.spans)
+    assert {r.doc_id: r.n_removed for r in remove_repeats(keyed.select("doc_id", "text")).collect()} == {1: 0, 2: 12}

@@ -10,7 +10,7 @@ out of its text between any two words and with the same line ends, always holds
 documents; a piece goes if a run that is not its hash's first occurrence covers it. The first occurrence is the one of least
 (doc_id, hash of the text, place).
 
-Hashes that occur once are left out of the second shuffle by a filter of fixed size; texts that lose nothing are not
+Runs are made once and written. Hashes that occur once are left out of the second shuffle by a filter of fixed size; texts that lose nothing are not
 shuffled. A very common passage is counted in the map tasks and joined on with one row on the other side.
 
 Defined results: null and empty texts keep their text; rows with equal ids and equal texts count as one document, rows with
@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ _END = re.compile(r"[.!?]+(?=\s)|\n+")
 _WORD = re.compile(r"\S+")
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
+#: What str.split() takes as white space among the ASCII characters.
+_SPACE = np.array([chr(c).isspace() for c in range(128)])
 
 
 class _Hashes(dict):
@@ -59,40 +62,46 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _begins(text: str) -> np.ndarray:
+    """Where each word begins."""
+    if not text.isascii():
+        return np.array([m.start() for m in _WORD.finditer(text)], np.int64)
+    within = ~_SPACE[np.frombuffer(text.encode(), np.uint8)]
+    first = within.copy()
+    first[1:] &= ~within[:-1]
+    return np.flatnonzero(first)
+
+
 def _pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts (and, last, the text's length) and word counts of the pieces that hold words, and the hashes of all words."""
-    starts, words, every = [], [], []
-    long = []
-    at = 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        own = text[at:end].lower().split()
-        if own:
-            if len(own) > LONG:
-                long.append((len(starts), len(every), at, end))
-            starts.append(at)
-            words.append(len(own))
-            every += own
-            at = end
+    every, begins = text.lower().split(), _begins(text)
     hashes = np.fromiter(map(_HASHES.__getitem__, every), np.uint64, len(every))
-    if long:
-        cuts = _cuts(hashes)
-        for k, first, at, end in reversed(long):
-            n = words[k]
-            # windows wholly in the sentence
-            own = np.unique(cuts[first:first + n - NEAR + 1]) - first
-            own = own[own > 0]
-            if len(own):
-                places = [m.start() for m in _WORD.finditer(text, at, end)]
-                starts[k:k + 1] = [at, *(places[i] for i in own.tolist())]
-                words[k:k + 1] = np.diff(np.concatenate([[0], own, [n]])).tolist()
-    return np.array([*starts, len(text)]), np.array(words, np.int64), hashes
+    ends = np.array([m.end() for m in _END.finditer(text)] + [len(text)])
+    before = np.searchsorted(begins, ends)
+    words = np.diff(before, prepend=0)
+    ends, before, words = (x[words > 0] for x in (ends, before, words))
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    long = words > LONG
+    if long.any():
+        # a cut of a window wholly in a long sentence, but not at the sentence's first word
+        first = np.repeat(before - words, words)
+        inside = np.repeat(long, words) & (np.arange(NEAR, len(every) + NEAR) <= np.repeat(before, words))
+        cuts = _cuts(hashes)[inside[:len(every) - NEAR + 1]]  # in order
+        cuts = cuts[(cuts > first[cuts]) & (np.diff(cuts, prepend=-1) > 0)]
+        order = np.argsort(np.concatenate([before - words, cuts]), kind="stable")
+        starts = np.concatenate([starts, begins[cuts]])[order]
+        words = np.diff(np.concatenate([before - words, cuts])[order], append=len(every))
+    return np.append(starts, len(text)), words.astype(np.int64), hashes
 
 
 def _cuts(hashes: np.ndarray) -> np.ndarray:
     """Of every stretch of ``NEAR`` words the last word of least hash."""
-    n = len(hashes) - NEAR + 1
-    back = np.lib.stride_tricks.sliding_window_view(mix(hashes)[::-1], NEAR).argmin(axis=1)[::-1]
-    return np.arange(n) + NEAR - 1 - back
+    n, mixed = len(hashes) - NEAR + 1, mix(hashes)
+    best, back = mixed[:n].copy(), np.zeros(n, np.int64)
+    for j in range(1, NEAR):
+        back[mixed[j:n + j] <= best] = j
+        np.minimum(best, mixed[j:n + j], out=best)
+    return np.arange(n) + back
 
 
 def sentences_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +111,28 @@ def sentences_of(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def runs_of(text: str, sentences: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first character and end of every run."""
+    run, starts, begin, end = _runs(text, sentences, words)
+    return run, starts[begin], starts[end]
+
+
+def _powers(n: int, kept={}) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, the lesser ones kept."""
+    if n > len(kept.get("all", ((),))[0]):
+        power = np.full((2, max(n, 10_000)), [[_BASE], [_BACK]], np.uint64)
+        power[:, 0] = 1
+        made = np.cumprod(power, axis=1)
+        if n > 100_000:
+            return made[0], made[1]
+        kept["all"] = made
+    return kept["all"][0][:n], kept["all"][1][:n]
+
+
+def _runs(text: str, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every run, the starts of the pieces, and each run's first piece and the one after its last."""
     starts, many, hashes = _pieces(text)
     n = len(many)
     if n < sentences or len(hashes) < words:
-        return np.zeros(0, np.uint64), starts[:0], starts[:0]
+        return np.zeros(0, np.uint64), starts, np.zeros(0, np.int64), np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(many)])
     i = np.arange(n)
     last = np.maximum(np.searchsorted(total, total[:-1] + words), i + sentences)  # exclusive
@@ -114,32 +141,32 @@ def runs_of(text: str, sentences: int = SENTENCES, words: int = WORDS) -> tuple[
     pairs = np.unique(np.concatenate([(i * (n + 1) + last)[last <= n], (first * (n + 1) + i + 1)[first >= 0]]))
     begin, end = pairs // (n + 1), pairs % (n + 1)
     with np.errstate(over="ignore"):
-        power, back = np.full(len(hashes) + 1, _BASE, np.uint64), np.full(len(hashes) + 1, _BACK, np.uint64)
-        power[0] = back[0] = 1
-        power, back = np.cumprod(power), np.cumprod(back)
+        power, back = _powers(len(hashes) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:-1])])
         run = mix((sums[total[end]] - sums[total[begin]]) * back[total[begin]])
-    return run, starts[begin], starts[end]
+    return run, starts, begin, end
 
 
-def _emit(batches: Iterator[pd.DataFrame], sentences: int, words: int, repeated=None) -> Iterator[pd.DataFrame]:
+def _emit(batches: Iterator[pd.DataFrame], sentences: int, words: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, ties, found = [], [], []
         for doc_id, tie, text in zip(batch["doc_id"], batch["tie"], batch["text"]):
-            run, start, end = runs_of(text, sentences, words)
-            if repeated is not None:
-                hit = bitmaps.holds(repeated.value, run)
-                run, start, end = run[hit], start[hit], end[hit]
+            run, starts, begin, end = _runs(text, sentences, words)
             ids.append(np.full(len(run), doc_id, np.int64))
             ties.append(np.full(len(run), tie, np.int64))
-            found.append((run, start, end))
+            found.append((run, starts[begin], starts[end], begin, end))
         if found:
-            run, start, end = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"run": run.view(np.int64), "doc_id": np.concatenate(ids), "tie": np.concatenate(ties),
-                                "start": start.astype(np.int32), "stop": end.astype(np.int32)})
+            run, *places = (np.concatenate(x) for x in zip(*found))
+            yield pd.DataFrame({"run": run.view(np.int64), "doc_id": np.concatenate(ids), "tie": np.concatenate(ties)}
+                               | {c: x.astype(np.int32) for c, x in zip(("start", "stop", "piece", "after"), places)})
+
+
+def _hits(batches: Iterator[pa.RecordBatch], repeated) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(bitmaps.holds(repeated.value, batch.column("run").to_numpy())))
 
 
-_RUNS = "run long, doc_id long, tie long, start int, stop int"
+_RUNS = "run long, doc_id long, tie long, start int, stop int, piece int, after int"
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())])
 _LAST = 2**63 - 1
 
@@ -148,14 +175,12 @@ _LAST = 2**63 - 1
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
     for text, gone in zip(texts, spans):
-        out, at, n = [], 0, 0
-        starts = sentences_of(text)[0]
-        for span in sorted((s["start"], s["stop"]) for s in gone):
-            if span[1] > at:
-                begin = max(span[0], at)
-                out.append(text[at:begin])
-                n += int(np.searchsorted(starts, span[1]) - np.searchsorted(starts, begin))
-                at = span[1]
+        out, at, n, piece = [], 0, 0, 0
+        for start, stop, first, after in sorted((s["start"], s["stop"], s["piece"], s["after"]) for s in gone):
+            if stop > at:
+                out.append(text[at:max(start, at)])
+                n += after - max(first, piece)
+                at, piece = stop, after
         rows.append(("".join(out).rstrip() if at == len(text) else "".join(out) + text[at:], n))
     return pd.DataFrame(rows, columns=_CUT.names)
 
@@ -171,16 +196,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """Per row key the spans (start, stop) of its runs that occur earlier: columns ``doc_id``, ``tie`` and ``spans``."""
+    """Per row key the spans (start, stop, and the numbers of the first piece and of the one after) of its runs that occur earlier: columns ``doc_id``, ``tie`` and ``spans``."""
     rows = keyed.select(F.col("_doc").alias("doc_id"), F.col("_tie").alias("tie"), whole().alias("text"))
-    runs = rows.mapInPandas(partial(_emit, sentences=sentences, words=words), _RUNS)
+    runs = stored(rows.mapInPandas(partial(_emit, sentences=sentences, words=words), _RUNS))
     place = F.struct("doc_id", "tie", "start")
     first = stored(runs.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first"))
                    .where("times > 1").select("run", "first"))
     lent = keyed.sparkSession.sparkContext.broadcast(bitmaps.of_column(first, "run"))
-    again = rows.mapInPandas(partial(_emit, sentences=sentences, words=words, repeated=lent), _RUNS)
+    again = runs.mapInArrow(partial(_hits, repeated=lent), _RUNS)
     later = again.join(first, "run").where(place != F.col("first"))
-    return later.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return later.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop", "piece", "after")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
