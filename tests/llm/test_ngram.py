@@ -148,3 +148,17 @@ def test_sets_of_odd_texts():
             want = shingle_set(t)
             assert len(got) == len(want) and (got[1:] > got[:-1]).all() and made.setdefault(want, got.tobytes()) == got.tobytes()
     assert len(set(known.values())) == len(known) and len(set(made.values())) == len(made)
+
+
+def test_hashing_words_keeps_none_of_them():
+    import tracemalloc
+
+    import pyarrow as pa
+    from tidemark.llm.shingles import sets
+
+    texts = pa.array([" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, 100_000, 1000)])
+    tracemalloc.start()
+    size = sum(len(sets(texts.slice(at, 10))[0]) for at in range(0, 100, 10))
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size == 9960 and left < 1_000_000
