@@ -143,7 +143,8 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
             F.col("sensorType"), value, F.coalesce("unit", F.lit("")))),
         (F.col("_rel") > rel, sensor_alert("RAPID_CHANGE", F.least(F.lit(0.9), F.col("_rel")), F.col("_rel") * 100,
                                       F.col("_prev.value"), value, F.col("_gap") / 1e6)),
-        (F.col("_gap") > silence, sensor_alert("MISSING_DATA", F.lit(0.7), F.col("_gap") / 60_000_000.0)),
+        # rounded once, to the digit that the text shows
+        (F.col("_gap") > silence, sensor_alert("MISSING_DATA", F.lit(0.7), F.round(F.col("_gap") / 60_000_000.0, 1))),
         (F.col("_gap") > silence, offline_at(F.col("_prev.ts"))),
     ])
     horizon = K._horizon(placed, delay)

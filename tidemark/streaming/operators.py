@@ -244,7 +244,7 @@ def anomaly_alerts(readings: DataFrame, n: int = 100, min_n: int = 10, z: float
         hit(0, "STATISTICAL_ANOMALY", F.least(F.lit(0.9), F.col("o0.zScore") / z), value, F.col("o0.zScore"), F.col("o0.mean")),
         hit(1, "RAPID_CHANGE", F.least(F.lit(0.9), F.col("o1.relativeChange")), F.col("o1.relativeChange") * 100,
             F.col("o1.previousValue"), value, F.col("o1.seconds")),
-        hit(2, "MISSING_DATA", F.lit(0.7), F.col("o2.minutes")),
+        hit(2, "MISSING_DATA", F.lit(0.7), F.round("o2.minutes", 1)),
         hit(3, "SENSOR_OFFLINE", F.lit(0.8), micros(timeout) / 60_000_000.0))
     outside = threshold_violations(readings).select(A.sensor_alert(
         "THRESHOLD_VIOLATION", F.col("severity"), F.col("sensorType"), F.col("value"), F.coalesce("unit", F.lit(""))).alias("a"))
