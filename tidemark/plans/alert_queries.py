@@ -83,7 +83,9 @@ def _anomaly(kind, severity, source, *said, real=True, unlimited=None):
 def u2_anomaly_alerts(spark, folder):
     units = F.create_map(*[F.lit(x) for t, r in SENSOR_RANGES.items() for x in (t, r[0])])
     readings = sensors(spark, folder).withColumn("unit", units[F.col("sensorType")])
-    return A.anomaly_alerts(readings, max_dt="2 hours", timeout="8 hours", deviation_window="1 day")
+    found = A.anomaly_alerts(readings, max_dt="2 hours", timeout="8 hours", deviation_window="1 day")
+    # A severity half-way between two sixth digits is rounded as the SQL's engine does: scaled up, then to the nearest whole.
+    return found.withColumn("severity", F.round(F.col("severity") * 1e6) / 1e6)
 
 
 @query("u3_sensor_aggregates", f"""
