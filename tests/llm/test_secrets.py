@@ -79,3 +79,37 @@ def test_random_token_beyond_a_pattern(spark):
     assert got == {1: f"random:4:{4 + len(long)}", 2: f"random:4:{4 + len(mixed)}", 3: "", 4: ""}
     clean = {r.doc_id: r.text for r in scan.redact(docs, limits=[1e-3] * 6).collect()}
     assert set(clean.values()) == {"see [SECRET] z"}
+
+
+def test_texts_are_searched_once(spark):
+    """The second look reads what the first one stored: no text, and no search."""
+    found = contract.queries()["op3_secret_scan"](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_tested" in plan and "text" not in plan and "regexp_extract_all" not in plan
+
+
+def test_hits_are_named_once(spark):
+    """One search for the hits and one split per pattern (of assignments, the values too)."""
+    plan = scan.searched(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 5 and plan.count("split(_whole") == 4
+
+
+def test_words_of_few_symbols(spark):
+    """A token of hardly any symbols beside its padding is not random, and no test of it divides by zero."""
+    docs = spark.createDataFrame([(i, c * n + "=" * 20) for i, (c, n) in enumerate([("a", 1), ("b", 2), ("Zz", 3), ("q", 8)])], "doc_id long, text string")
+    assert [r.random for r in scan.scan(docs, [1e-3] * 6).collect()] == [[], [], [], []]
+
+
+def test_assignments_are_not_overlooked(spark):
+    texts = [f"{word}{quote}{gap}{sign} {'a' * 12}" for word in ("PassWord", "PASSWD", "sEcret", "toKEN", "ApiKey", "API_key") for quote in ("", "'")
+             for gap in ("", " ") for sign in ":="]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = scan.scan(docs, [-1.0] * 6).select("doc_id", scan.listed(("assign",)).alias("spans")).collect()
+    assert all(r.spans == base(texts[r.doc_id]) != "" for r in got)
+
+
+def test_kept_columns(spark):
+    docs = odd(spark, "assign double, random string, _whole int")
+    whole, kept = scan.scan(docs), scan.scan(docs, keep=["doc_id"])
+    assert kept.columns == ["doc_id", "assign", "access", "hex", "random"] and kept.count() == docs.count()
+    assert sorted(map(str, kept.collect())) == sorted(map(str, whole.select(kept.columns).collect()))

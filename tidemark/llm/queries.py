@@ -52,7 +52,7 @@ def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
-    found = secret_scan.scan(read(spark, folder, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(read(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = secret_scan.KINDS[:3]
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
