@@ -201,7 +201,8 @@ def _long(c: Column) -> Column:
 
 def cutoffs(found: DataFrame, level: float = LEVEL) -> list[float]:
     """Per band of lengths the largest p that the Benjamini-Hochberg rule accepts, to a bin; -1 where none is. ``found``: as ``searched``."""
-    tokens = found.select(F.explode("_tested").alias("c"))
+    # for a plain explode Spark filters empty arrays first, and searches twice for it where nothing is stored
+    tokens = found.select(F.explode_outer("_tested").alias("c")).where("c IS NOT NULL")
     rank = F.least(F.floor(-F.log10("c.p") / BIN), F.lit(BINS - 1)).cast("int")
     rows = tokens.groupBy(_band(_long(F.col("c"))).alias("band"), rank.alias("bin")).count().collect()
     out = []
