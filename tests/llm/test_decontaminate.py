@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import __spark_entry__ as contract
 from helpers import SF, odd, shingle_set, texts_of
-from tidemark.llm.decontaminate import Items, find_leaks
+from tidemark.llm.decontaminate import Items, Runs, Weights, _hashes, find_leaks
 
 
 def bench(spark):
@@ -89,3 +92,42 @@ def test_edited_copies_of_every_length():
             found = search.find(["", " ".join(lead + copy + [word() for _ in range(rand.randrange(9))]), word()])
             assert [[f[0] for f in own] for own in found] == [[], [7], []], (m, spots)
     assert edited > 1000
+
+
+def test_leaks_are_found_once(spark):
+    plan = contract.queries()["op9_decontaminate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_sums_of_windows():
+    rows = np.random.default_rng(5).integers(0, 13, (40, 64)).astype(np.int16)
+    runs = Runs(rows)
+    for length in (1, 2, 3, 4, 5, 7, 13, 31, 32, 40):
+        assert (runs.of(length) == [rows[i:i + length].sum(axis=0) for i in range(41 - length)]).all()
+
+
+def test_weights_of_words():
+    """A word of over a tenth of the texts weighs 1, over a fiftieth 2, others and words of one text 3."""
+    texts = [" ".join(w for w, every in (("a", 2), ("b", 25), ("c", 100)) if i % every == 0) + f" own{i}" for i in range(100)]
+    weights = Weights(_hashes(pa.array(texts)))
+    (found,) = _hashes(pa.array(["a b C A own3 new"]))
+    assert (weights.of(found) & np.uint64(3)).tolist() == [1, 2, 3, 1, 3, 3]
+    assert (weights.of(found) >> np.uint64(2) == found >> np.uint64(2)).all()
+
+
+def test_far_items_are_not_aligned(spark):
+    """Fingerprints may be near by chance; only pairs whose shared shingles can weigh enough are aligned, and none is lost by that."""
+    texts = list(texts_of(spark).values())
+    items = bench(spark)
+    tried = []
+
+    class Seen(Items):
+        def _similarity(self, item, doc, start, slack):
+            like = super()._similarity(item, doc, start, slack)
+            tried.append((item, doc.tobytes(), slack, like))
+            return like
+
+    found = Seen(list(items), list(items.values())).find(texts)
+    pairs = {(i, d) for i, d, *_ in tried}
+    kept = {(i, d) for i, d, slack, like in tried if slack and like >= 0.75}
+    assert sum(map(len, found)) >= len(kept) >= 0.8 * len(pairs) > 0
